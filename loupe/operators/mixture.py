@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from loupe.functions.vectors import check_constant_size
 from loupe.operators.cluster import kmeans
+from loupe.session import ship_package
 
 COV_TYPES = ("spherical", "tied", "diag", "full")
 KEY = "review_id"
@@ -148,6 +149,7 @@ def _stats_fn(cov_type, d, k, params=None, hard=False):
 
 
 def _collect_stats(data: DataFrame, fn, k, d, cov_type):
+    ship_package(data.sparkSession)
     agg = (data.mapInPandas(fn, STATS_SCHEMA)
            .groupBy("component").agg(
                F.sum("nk").alias("nk"),
@@ -231,6 +233,7 @@ def score(model: MixtureModel, data: DataFrame) -> float:
 
 def predict(model: MixtureModel, data: DataFrame, key: str = KEY) -> DataFrame:
     """Hard labels: component of highest responsibility (lowest index on ties)."""
+    ship_package(data.sparkSession)
     params = _params(model)
     ct = model.covariance_type
 
