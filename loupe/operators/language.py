@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,12 @@ MAX_LANGUAGES = 10_000
 def train(tokens: DataFrame, docs: DataFrame, lang_col: str = "lang") -> tuple[DataFrame, list]:
     """Return (sparse model ``(term, lang, logc)``, language stats list).
 
-    ``tokens`` is ``(review_id, term, lang)``; ``docs`` is ``(review_id, lang)``.
+    ``tokens`` is ``(review_id, term, lang)`` or already-aggregated
+    ``(review_id, term, lang, n)`` rows; ``docs`` is ``(review_id, lang)``.
     """
-    counts = tokens.groupBy(F.col(lang_col).alias("lang"), "term").agg(F.count(F.lit(1)).alias("c"))
+    n = F.col("n") if "n" in tokens.columns else F.lit(1)
+    counts = (tokens.groupBy(F.col(lang_col).alias("lang"), "term").agg(F.sum(n).alias("c"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
     model = counts.select("term", "lang", F.log(F.col("c") + 1.0).alias("logc"))
     totals = counts.groupBy("lang").agg(F.sum("c").alias("t"))
     v = counts.select("term").distinct().count()
@@ -42,6 +46,13 @@ def train(tokens: DataFrame, docs: DataFrame, lang_col: str = "lang") -> tuple[D
     return model, lang_stats
 
 
+def review_term_counts(tokens: DataFrame, lang_col: str | None = "lang") -> DataFrame:
+    """``(review_id, term[, lang], n)``: one pass over the tokens, cached for
+    both training and scoring (much smaller than the token table)."""
+    keys = ["review_id", "term"] + ([lang_col] if lang_col else [])
+    return tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def profile(model: DataFrame, lang_stats: list) -> DataFrame:
     """Dense-free view of the model: ``(lang, term, logp)`` for seen pairs."""
     den = F.create_map(*[x for lang, _, ld in lang_stats for x in (F.lit(lang), F.lit(ld))])
@@ -55,7 +66,8 @@ def score(tokens: DataFrame, reviews: DataFrame, model: DataFrame, lang_stats: l
     ``tokens`` is ``(review_id, term)``, ``reviews`` lists every review id.
     Reviews without any known word get no prediction and flag 2.
     """
-    dt = tokens.groupBy("review_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    dt = (tokens.groupBy("review_id", "term").agg(F.sum(F.col("n")).alias("n")) if "n" in tokens.columns
+          else tokens.groupBy("review_id", "term").agg(F.count(F.lit(1)).alias("n")))
     vocab = model.select("term").distinct()
     n_in = dt.join(vocab, "term", "left_semi").groupBy("review_id").agg(F.sum("n").alias("n_in"))
     seen = (dt.join(model, "term").groupBy("review_id", "lang")

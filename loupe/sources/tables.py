@@ -17,19 +17,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer input splits than task slots.
+
+    A Parquet row group is never split, so a small corpus stored as one row
+    group is read by a single task and all per-row text or vector work would
+    run on one core. Only then is the scan round-robin repartitioned to the
+    default parallelism. A large input has far more splits than slots and is
+    left untouched (no shuffle of the corpus).
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def read_reviews(spark: SparkSession, path: str, fmt: str = "parquet", id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """Any Spark-readable source projected to ``(review_id, text)``."""
     reader = spark.read.format(fmt)
     if fmt in ("csv",):
         reader = reader.option("header", "true")
-    return reader.load(path).select(F.col(id_col).cast("bigint").alias("review_id"),
-                                    F.col(text_col).alias("text"))
+    return spread(reader.load(path).select(F.col(id_col).cast("bigint").alias("review_id"),
+                                           F.col(text_col).alias("text")))
 
 
 def reviews(spark: SparkSession, sf_dir: str, corrected: bool = True) -> DataFrame:
     """``documents`` as reviews: ``(review_id, text, weight)``, weight = n_chars."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
     text = correct_text("text") if corrected else F.col("text")
     return d.select(F.col("doc_id").alias("review_id"), text.alias("text"),
                     F.col("n_chars").cast("double").alias("weight"))
@@ -49,7 +64,7 @@ def labelled_reviews(spark: SparkSession, sf_dir: str, corrected: bool = True) -
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` as ``(review_id, embedding array<double>, label)``."""
-    e = table(spark, sf_dir, "embeddings")
+    e = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return e.select(F.col("vec_id").alias("review_id"),
                     F.col("embedding").cast("array<double>").alias("embedding"),
                     F.col("label"))
