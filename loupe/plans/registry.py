@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-from loupe.plans import text_queries
+from loupe.plans import model_queries, python_queries, report_queries, text_queries, vector_queries
 
-_MODULES = [text_queries]
-
-
-def _optional_modules():
-    mods = []
-    for name in ("vector_queries", "model_queries", "python_queries"):
-        try:
-            mods.append(__import__(f"loupe.plans.{name}", fromlist=["QUERIES"]))
-        except ModuleNotFoundError:
-            pass
-    return mods
+_MODULES = [text_queries, vector_queries, model_queries, python_queries, report_queries]
 
 
 def all_queries() -> dict:
     out = {}
-    for m in _MODULES + _optional_modules():
+    for m in _MODULES:
+        dup = set(out) & set(m.QUERIES)
+        if dup:
+            raise ValueError(f"query names registered twice: {sorted(dup)}")
         out.update(m.QUERIES)
     return out
 
 
 def all_sql() -> dict:
     out = {}
-    for m in _MODULES + _optional_modules():
+    for m in _MODULES:
         out.update(getattr(m, "SQL", {}))
     return out
