@@ -1,0 +1,20 @@
+"""The term-frequency operators on a file stream equal the batch result."""
+
+import os
+import tempfile
+
+from loupe.operators import terms
+from loupe.sources import tables
+from loupe.streaming import terms as sterms
+
+
+def test_stream_counts_equal_batch(spark):
+    src = tables.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    folder = tempfile.mkdtemp(prefix="loupe-stream-", dir="/tmp")
+    src.repartition(3).write.parquet(os.path.join(folder, "in"))
+    q = sterms.start(spark, os.path.join(folder, "in"), "loupe_tf",
+                     checkpoint=os.path.join(folder, "ckpt"))
+    q.awaitTermination(120)
+    got = {(r.term, r.frequency) for r in spark.table("loupe_tf").collect()}
+    batch = terms.term_frequency(terms.review_tokens(tables.reviews(spark, "/root/testdata/sf0.001")))
+    assert got == {(r.term, r.frequency) for r in batch.collect()}
