@@ -60,7 +60,8 @@ def lloyd(df: DataFrame, init_centers, max_iter: int = 100, tol: float = 1e-4,
         stats = assigned.groupBy("label").agg(
             F.sum("distance").alias("s"),
             vector_to_array(Summarizer.mean(array_to_vector(F.col(VEC)))).alias("center"),
-        ).orderBy("label").collect()
+        ).collect()
+        stats = sorted(stats, key=lambda r: r["label"])  # k rows, sorted on the driver
         cur = float(sum(r["s"] for r in stats))
         new_centers = [(int(r["label"]), [float(v) for v in r["center"]]) for r in stats]
         if prev - cur < tol:

@@ -5,10 +5,11 @@ applied as Spark aggregations and joins:
 
 * train: ``groupBy(lang, term).count()`` (sparse), per-language token totals
   and document priors, vocabulary size V;
-* score: per review ``groupBy(review_id, term).count()``, equi-join to the
-  sparse model, ``sum(n * log(c + 1))``; the unseen-pair mass is the closed
-  form ``- n_in_vocab * log(T_lang + V)`` per (review, language); the
-  language table (a handful of rows) is the only constant;
+* score: per review and term counts, one equi-join to the model as a
+  per-term vector over languages, one per-review vector sum of
+  ``n * log(c + 1)``; the unseen-pair mass is the closed form
+  ``- n_in_vocab * log(T_lang + V)``; the language table (a handful of rows)
+  is the only constant;
 * choose: highest score, ties to the alphabetically first language.
 
 Add-one smoothing: log p(w | l) = log(c_lw + 1) - log(T_l + V).
@@ -19,6 +20,8 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,26 +66,33 @@ def score(tokens: DataFrame, reviews: DataFrame, model: DataFrame, lang_stats: l
           english: str = "en") -> DataFrame:
     """``(review_id, lang_pred, is_english)`` for every review.
 
-    ``tokens`` is ``(review_id, term)``, ``reviews`` lists every review id.
-    Reviews without any known word get no prediction and flag 2.
+    ``tokens`` is ``(review_id, term)`` or aggregated ``(review_id, term, n)``
+    rows (one per review and term); ``reviews`` lists every review id.
+    The model becomes one row per term holding log(c + 1) for every language
+    (exactly 0 where the pair was never seen), so scoring is one join and
+    one per-review vector sum; the argmax is a projection. Reviews without
+    any known word get no prediction and flag 2.
     """
-    dt = (tokens.groupBy("review_id", "term").agg(F.sum(F.col("n")).alias("n")) if "n" in tokens.columns
+    if len(lang_stats) > MAX_LANGUAGES:
+        raise ValueError("too many languages for the constant language table")
+    langs = [lang for lang, _, _ in lang_stats]
+    dt = (tokens if "n" in tokens.columns
           else tokens.groupBy("review_id", "term").agg(F.count(F.lit(1)).alias("n")))
-    vocab = model.select("term").distinct()
-    n_in = dt.join(vocab, "term", "left_semi").groupBy("review_id").agg(F.sum("n").alias("n_in"))
-    seen = (dt.join(model, "term").groupBy("review_id", "lang")
-            .agg(F.sum(F.col("n") * F.col("logc")).alias("s")))
-    langs = F.array(*[F.struct(F.lit(lang).alias("lang"), F.lit(lp).alias("prior"), F.lit(ld).alias("logden"))
-                      for lang, lp, ld in lang_stats])
-    per = n_in.select("review_id", "n_in", F.inline(langs))
-    scored = (per.join(seen, ["review_id", "lang"], "left")
-              .select("review_id", "lang",
-                      (F.col("prior") - F.col("n_in") * F.col("logden") + F.coalesce(F.col("s"), F.lit(0.0)))
-                      .alias("score")))
+    per_term = model.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("lang", "logc"))).alias("m"))
+    lang_arr = F.array(*[F.lit(x) for x in langs])
+    vec = per_term.select("term", F.transform(lang_arr, lambda l: F.coalesce(F.element_at("m", l), F.lit(0.0)))
+                          .alias("logc"))
+    joined = dt.join(vec, "term")
+    sums = joined.groupBy("review_id").agg(
+        F.sum("n").alias("n_in"),
+        vector_to_array(Summarizer.sum(array_to_vector(
+            F.transform("logc", lambda x: x * F.col("n"))))).alias("s"))
+    consts = F.array(*[F.struct(F.lit(lp).alias("prior"), F.lit(ld).alias("logden")) for _, lp, ld in lang_stats])
+    scores = F.zip_with(consts, F.col("s"), lambda c, x: c["prior"] - F.col("n_in") * c["logden"] + x)
     # highest score; equal scores go to the alphabetically first language
-    top = scored.groupBy("review_id").agg(
-        F.min(F.struct((-F.col("score")).alias("neg"), F.col("lang"))).alias("_b")) \
-        .select("review_id", F.col("_b")["lang"].alias("lang_pred"))
+    best = F.array_min(F.transform(F.arrays_zip(scores.alias("sc"), lang_arr.alias("l")),
+                                   lambda z: F.struct((-z["sc"]).alias("neg"), z["l"].alias("l"))))
+    top = sums.select("review_id", best["l"].alias("lang_pred"))
     out = reviews.select("review_id").join(top, "review_id", "left")
     flag = F.when(F.col("lang_pred").isNull(), F.lit(2)).when(F.col("lang_pred") == english, F.lit(1)).otherwise(F.lit(0))
     return out.select("review_id", "lang_pred", flag.alias("is_english"))

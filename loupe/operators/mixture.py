@@ -156,7 +156,8 @@ def _collect_stats(data: DataFrame, fn, k, d, cov_type):
                vector_to_array(Summarizer.sum(array_to_vector("sx"))).alias("sx"),
                vector_to_array(Summarizer.sum(array_to_vector("sxx"))).alias("sxx"),
                F.sum("ll").alias("ll"))
-           .orderBy("component").collect())
+           .collect())
+    agg = sorted(agg, key=lambda r: r["component"])  # k rows: sorted on the driver, no extra stage
     nk = np.array([r["nk"] for r in agg])
     sx = np.array([r["sx"] for r in agg])
     shape = (k, d, d) if cov_type in ("full", "tied") else (k, d)

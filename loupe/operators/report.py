@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.session import checkpoint_dir
+
 
 def label_crosstab_topk(df: DataFrame, k: int = 15, label_col: str = "label",
                         true_col: str = "true_label", specific_label=None) -> DataFrame:
@@ -50,20 +52,35 @@ def silhouette_bands(sil: DataFrame, label_col: str = "label", value_col: str =
     """Y-positions of a silhouette plot.
 
     Within each label values ascend; labels are stacked in label order with
-    ``gap`` empty units before each band. The running offsets are computed on
-    the small per-label size table, the ranks within the (partitioned) label.
+    ``gap`` empty units before each band. A row's position is its rank in
+    the global (label, value, id) order plus ``gap`` times its label's
+    ordinal. That rank comes from a range-partitioned sort: per-partition row
+    counts (one small table) give each partition's offset, and the row's
+    index inside its sorted partition is read off
+    ``monotonically_increasing_id``; the sorted table is checkpointed so
+    both uses agree. No window spans a whole label, so a label holding most
+    rows is still split over many tasks.
     """
-    sizes = sil.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("size"))
-    ow = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn(
-        "y_lower", (F.coalesce(F.sum("size").over(ow), F.lit(0)) + F.lit(gap) *
-                    F.row_number().over(Window.orderBy("label"))).cast("bigint"))
-    rw = Window.partitionBy("label").orderBy(F.col(value_col), F.col("review_id"))
-    ranked = sil.select("review_id", F.col(label_col).alias("label"), F.col(value_col).alias("silhouette")) \
-        .withColumn("pos", F.row_number().over(rw) - 1)
-    return (ranked.join(F.broadcast(offsets.select("label", "y_lower")), "label")
+    spark = sil.sparkSession
+    base = sil.select("review_id", F.col(label_col).alias("label"), F.col(value_col).alias("silhouette"))
+    nparts = max(1, spark.sparkContext.defaultParallelism)
+    ordered = (base.repartitionByRange(nparts, "label", "silhouette", "review_id")
+               .sortWithinPartitions("label", "silhouette", "review_id")
+               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
+    # both branches below must see the same partitioning: materialise it once
+    # in the shared checkpoint folder (a recomputed range sort could differ)
+    checkpoint_dir(spark)
+    ordered = ordered.checkpoint(eager=True)
+    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.select("_pid", (F.coalesce(F.sum("_c").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_off"))
+    ordinals = base.select("label").distinct().select(
+        "label", F.row_number().over(Window.orderBy("label")).alias("_ord"))
+    # offsets: one row per partition; ordinals: one row per label
+    return (ordered.join(F.broadcast(offsets), "_pid").join(F.broadcast(ordinals), "label")
             .select("review_id", "label", "silhouette",
-                    (F.col("y_lower") + F.col("pos")).cast("bigint").alias("y")))
+                    (F.col("_off") + F.col("_local") + F.lit(gap) * F.col("_ord")).cast("bigint").alias("y")))
 
 
 def boxplot_stats(df: DataFrame, group_col: str, value_col: str) -> DataFrame:

@@ -42,12 +42,12 @@ def read_reviews(spark: SparkSession, path: str, fmt: str = "parquet", id_col: s
                                            F.col(text_col).alias("text")))
 
 
-def reviews(spark: SparkSession, sf_dir: str, corrected: bool = True) -> DataFrame:
-    """``documents`` as reviews: ``(review_id, text, weight)``, weight = n_chars."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+def reviews(spark: SparkSession, sf_dir: str, corrected: bool = True, extra=()) -> DataFrame:
+    """``documents`` as reviews: ``(review_id, text, weight, *extra)``, weight = n_chars."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", *extra))
     text = correct_text("text") if corrected else F.col("text")
     return d.select(F.col("doc_id").alias("review_id"), text.alias("text"),
-                    F.col("n_chars").cast("double").alias("weight"))
+                    F.col("n_chars").cast("double").alias("weight"), *extra)
 
 
 def review_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
