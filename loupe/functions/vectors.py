@@ -68,8 +68,14 @@ def mahalanobis_distance(a: Column, c: Column, vi: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), dot(d, F.transform(vi, lambda row: dot(row, d)))))
 
 
+def weighted_sq_distance(a: Column, c: Column, w: Column) -> Column:
+    """sum_i w_i (a_i - c_i)^2: the mahalanobis form for a diagonal precision."""
+    return F.aggregate(F.zip_with(F.zip_with(a, c, lambda x, y: x - y), w, lambda d, p: d * d * p),
+                       F.lit(0.0), lambda acc, v: acc + v)
+
+
 def distance(metric: str, x: Column, c: Column, x_norm: Column | None = None,
-             c_norm: Column | None = None, vi: Column | None = None) -> Column:
+             c_norm: Column | None = None, vi: Column | None = None, vd: Column | None = None) -> Column:
     if metric == "cosine":
         return cosine_distance(x, c, x_norm, c_norm)
     if metric == "euclidean":
@@ -77,6 +83,8 @@ def distance(metric: str, x: Column, c: Column, x_norm: Column | None = None,
     if metric == "sqeuclidean":
         return sq_euclidean_distance(x, c)
     if metric == "mahalanobis":
+        if vd is not None:  # diagonal precisions: O(d) instead of O(d^2)
+            return F.sqrt(F.greatest(F.lit(0.0), weighted_sq_distance(x, c, vd)))
         if vi is None:
             raise ValueError("mahalanobis needs precision matrices")
         return mahalanobis_distance(x, c, vi)
@@ -101,6 +109,11 @@ def constant(value, ddl: str) -> Column:
 
 CENTER_DDL = "array<struct<label:int,center:array<double>,cnorm:double>>"
 CENTER_VI_DDL = "array<struct<label:int,center:array<double>,cnorm:double,vi:array<array<double>>>>"
+CENTER_VD_DDL = "array<struct<label:int,center:array<double>,cnorm:double,vd:array<double>>>"
+
+
+def is_diagonal(m) -> bool:
+    return all(v == 0.0 for i, row in enumerate(m) for j, v in enumerate(row) if i != j)
 
 
 def centers_literal(centers: list[tuple], precisions: dict | None = None) -> Column:
@@ -110,14 +123,18 @@ def centers_literal(centers: list[tuple], precisions: dict | None = None) -> Col
     to a d x d matrix (list of rows).
     """
     cells = sum(len(v) for _, v in centers)
+    diag = bool(precisions) and all(is_diagonal(m) for m in precisions.values())
     if precisions:
-        cells += sum(len(m) * len(m[0]) for m in precisions.values())
+        cells += sum(len(m) if diag else len(m) * len(m[0]) for m in precisions.values())
     check_constant_size(cells)
     items = []
     for label, vec in centers:
         vec = [float(v) for v in vec]
         item = {"label": int(label), "center": vec, "cnorm": math.sqrt(sum(v * v for v in vec))}
-        if precisions:
+        if precisions and diag:
+            item["vd"] = [float(row[i]) for i, row in enumerate(precisions[label])]
+        elif precisions:
             item["vi"] = [[float(v) for v in row] for row in precisions[label]]
         items.append(item)
-    return constant(items, CENTER_VI_DDL if precisions else CENTER_DDL)
+    ddl = (CENTER_VD_DDL if diag else CENTER_VI_DDL) if precisions else CENTER_DDL
+    return constant(items, ddl)

@@ -84,10 +84,11 @@ def distances(df: DataFrame, centers_, metric: str = "cosine", precisions=None,
     C = V.centers_literal(cl, pm)
     x = F.col(vec_col)
     base = df.select(F.col(key), *keep, x.alias("_x"), V.norm(x).alias("_xn"))
+    diag = bool(pm) and all(V.is_diagonal(m) for m in pm.values())
     dist = F.transform(C, lambda c: F.struct(
         c["label"].alias("center_label"),
         V.distance(metric, F.col("_x"), c["center"], F.col("_xn"), c["cnorm"],
-                   c["vi"] if pm else None).alias("distance")))
+                   c["vi"] if pm and not diag else None, c["vd"] if diag else None).alias("distance")))
     return base.select(F.col(key), *keep, F.inline(dist))
 
 
@@ -103,7 +104,9 @@ def own_center_distance(df: DataFrame, centers_, metric: str = "cosine", precisi
     lookup = F.map_from_arrays(F.transform(C, lambda c: c["label"]), C)
     own = F.element_at(lookup, F.col(label_col))
     x = F.col(vec_col)
-    d = V.distance(metric, x, own["center"], None, own["cnorm"], own["vi"] if pm else None)
+    diag = bool(pm) and all(V.is_diagonal(m) for m in pm.values())
+    d = V.distance(metric, x, own["center"], None, own["cnorm"],
+                   own["vi"] if pm and not diag else None, own["vd"] if diag else None)
     return df.select(F.col(key), F.col(label_col).alias("label"), d.alias("distance"))
 
 
