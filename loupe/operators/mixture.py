@@ -2,8 +2,10 @@
 
 E-step and sufficient statistics run per partition in numpy
 (``mapInPandas``): each task emits one row per component (responsibility
-sum, weighted sum, weighted second moments). Spark sums those rows; the
-M-step runs on the driver over k x d x d numbers. Rows never leave the
+sum, weighted sum, weighted second moments). Spark sums those rows (or, when
+partitions x k x statistics stay under a fixed bound, the driver sums the
+few task rows directly, saving a stage per iteration); the M-step runs on
+the driver over k x d x d numbers. Rows never leave the
 executors. Initialisation: hard responsibilities from seeded Euclidean
 k-means, as is customary for mixture fits.
 """
@@ -148,10 +150,29 @@ def _stats_fn(cov_type, d, k, params=None, hard=False):
     return fn
 
 
+# partial statistics (numbers) that may be summed on the driver directly;
+# above this they are summed by a Spark aggregation first
+MAX_DRIVER_STAT_CELLS = 2_000_000
+
+
 def _collect_stats(data: DataFrame, fn, k, d, cov_type):
     ship_package(data.sparkSession)
-    agg = (data.mapInPandas(fn, STATS_SCHEMA)
-           .groupBy("component").agg(
+    per_part = data.mapInPandas(fn, STATS_SCHEMA)
+    second = d * d if cov_type in ("full", "tied") else d
+    cells = data.rdd.getNumPartitions() * k * (1 + d + second)
+    shape = (k, d, d) if cov_type in ("full", "tied") else (k, d)
+    if cells <= MAX_DRIVER_STAT_CELLS:
+        # few partitions: one stage, k rows per task, summed here
+        rows = per_part.collect()
+        nk, sx, sxx, ll = np.zeros(k), np.zeros((k, d)), np.zeros(shape), 0.0
+        for r in rows:
+            j = r["component"]
+            nk[j] += r["nk"]
+            sx[j] += np.asarray(r["sx"])
+            sxx[j] += np.asarray(r["sxx"]).reshape(shape[1:])
+            ll += r["ll"]
+        return nk, sx, sxx, float(ll)
+    agg = (per_part.groupBy("component").agg(
                F.sum("nk").alias("nk"),
                vector_to_array(Summarizer.sum(array_to_vector("sx"))).alias("sx"),
                vector_to_array(Summarizer.sum(array_to_vector("sxx"))).alias("sxx"),
@@ -160,7 +181,6 @@ def _collect_stats(data: DataFrame, fn, k, d, cov_type):
     agg = sorted(agg, key=lambda r: r["component"])  # k rows: sorted on the driver, no extra stage
     nk = np.array([r["nk"] for r in agg])
     sx = np.array([r["sx"] for r in agg])
-    shape = (k, d, d) if cov_type in ("full", "tied") else (k, d)
     sxx = np.array([r["sxx"] for r in agg]).reshape(shape)
     ll = float(sum(r["ll"] for r in agg))
     return nk, sx, sxx, ll
