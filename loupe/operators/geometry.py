@@ -170,10 +170,20 @@ def central_indices(dist: DataFrame, k: int, sizes: DataFrame, key: str = KEY) -
 def central_reviews(df: DataFrame, centers_, k: int, texts: DataFrame, metric: str = "cosine",
                     precisions=None, label_col: str = "label", vec_col: str = VEC,
                     key: str = KEY) -> DataFrame:
-    """Central ids per label with their distance and text."""
-    dist = distances(df, centers_, metric, precisions, vec_col, key)
+    """Central ids per label with their distance and text.
+
+    At most ``k`` x (number of centres) rows carry a text, so the text
+    table is only scanned and filtered against those broadcast ids.
+    """
+    cl = collect_centers(centers_)
+    dist = distances(df, cl, metric, precisions, vec_col, key)
     top = central_indices(dist, k, cluster_sizes(df, label_col), key)
-    return top.join(texts.select(F.col(key), F.col("text")), key, "left")
+    # the top table has at most k x (number of centres) rows, a proven bound:
+    # broadcast its ids so the text table is filtered where it is scanned
+    # (never shuffled), then attach the few texts
+    ids = F.broadcast(top.select(key).distinct())
+    found = texts.select(F.col(key), F.col("text")).join(ids, key, "left_semi")
+    return top.join(found, key, "left")
 
 
 def center_distance_matrix(centers_, metric: str = "cosine", precisions=None,
