@@ -47,47 +47,100 @@ def stacked_bar(df: DataFrame, series_col: str, category_col: str, value_col: st
     return out.join(pos, "category")
 
 
-def silhouette_bands(sil: DataFrame, label_col: str = "label", value_col: str = "silhouette",
-                     gap: int = 10) -> DataFrame:
-    """Y-positions of a silhouette plot.
-
-    Within each label values ascend; labels are stacked in label order with
-    ``gap`` empty units before each band. A row's position is its rank in
-    the global (label, value, id) order plus ``gap`` times its label's
-    ordinal. That rank comes from a range-partitioned sort: per-partition row
-    counts (one small table) give each partition's offset, and the row's
-    index inside its sorted partition is read off
-    ``monotonically_increasing_id``; the sorted table is checkpointed so
-    both uses agree. No window spans a whole label, so a label holding most
-    rows is still split over many tasks.
+def ordered_positions(df: DataFrame, order_cols: list[str]) -> DataFrame:
+    """Add ``_pos``: each row's 0-based position in the global order.
+
+    A range-partitioned sort spreads the rows (a hot leading key is split
+    over many tasks); per-partition row counts (one small table) give each
+    partition's offset, and the row's index inside its sorted partition is
+    read off ``monotonically_increasing_id``. The sorted table is
+    checkpointed to the shared folder so both uses see the same partitions.
     """
-    spark = sil.sparkSession
-    base = sil.select("review_id", F.col(label_col).alias("label"), F.col(value_col).alias("silhouette"))
+    spark = df.sparkSession
     nparts = max(1, spark.sparkContext.defaultParallelism)
-    ordered = (base.repartitionByRange(nparts, "label", "silhouette", "review_id")
-               .sortWithinPartitions("label", "silhouette", "review_id")
+    ordered = (df.repartitionByRange(nparts, *order_cols)
+               .sortWithinPartitions(*order_cols)
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
-    # both branches below must see the same partitioning: materialise it once
-    # in the shared checkpoint folder (a recomputed range sort could differ)
     checkpoint_dir(spark)
     ordered = ordered.checkpoint(eager=True)
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.select("_pid", (F.coalesce(F.sum("_c").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_off"))
+    # one row per partition
+    return (ordered.join(F.broadcast(offsets), "_pid")
+            .withColumn("_pos", F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off"))
+
+
+def rank_in_group(df: DataFrame, group_col: str, order_cols: list[str]) -> DataFrame:
+    """Add ``_rank`` (0-based within ``group_col``) and ``_n`` (group size)
+    without a window over a whole group."""
+    pos = ordered_positions(df, [group_col] + order_cols)
+    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select(group_col, "_n", F.coalesce(F.sum("_n").over(
+        Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    # one row per group (the group set is the small label set)
+    return (pos.join(F.broadcast(starts), group_col)
+            .withColumn("_rank", F.col("_pos") - F.col("_start")).drop("_pos", "_start"))
+
+
+def silhouette_bands(sil: DataFrame, label_col: str = "label", value_col: str = "silhouette",
+                     gap: int = 10) -> DataFrame:
+    """Y-positions of a silhouette plot.
+
+    Within each label values ascend; labels are stacked in label order with
+    ``gap`` empty units before each band, so a row's position is its rank
+    in the global (label, value, id) order plus ``gap`` times its label's
+    ordinal. No window spans a whole label (``ordered_positions``).
+    """
+    base = sil.select("review_id", F.col(label_col).alias("label"), F.col(value_col).alias("silhouette"))
+    pos = ordered_positions(base, ["label", "silhouette", "review_id"])
     ordinals = base.select("label").distinct().select(
         "label", F.row_number().over(Window.orderBy("label")).alias("_ord"))
-    # offsets: one row per partition; ordinals: one row per label
-    return (ordered.join(F.broadcast(offsets), "_pid").join(F.broadcast(ordinals), "label")
+    # one row per label
+    return (pos.join(F.broadcast(ordinals), "label")
             .select("review_id", "label", "silhouette",
-                    (F.col("_off") + F.col("_local") + F.lit(gap) * F.col("_ord")).cast("bigint").alias("y")))
+                    (F.col("_pos") + F.lit(gap) * F.col("_ord")).cast("bigint").alias("y")))
+
+
+def exact_quantiles(df: DataFrame, group_col: str, value_col: str, probs) -> DataFrame:
+    """Exact linear-interpolation quantiles per group, ``(group, p, value)``.
+
+    The value at fraction p of a group of n is v[lo] + (h - lo)(v[hi] - v[lo])
+    with h = (n - 1)p, lo = floor(h), hi = ceil(h) (as numpy / DuckDB
+    ``quantile_cont``). Ranks come from ``rank_in_group``; the two needed
+    order statistics are picked by a join with a small (group, p) table, so
+    no group is gathered into one task.
+    """
+    ranked = rank_in_group(df.select(F.col(group_col).alias("_g"), F.col(value_col).alias("_v")), "_g", ["_v"])
+    plist = F.array(*[F.lit(float(p)) for p in probs])
+    want = (ranked.select("_g", "_n").distinct()
+            .select("_g", "_n", F.explode(plist).alias("p"))
+            .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
+            .withColumn("_lo", F.floor("_h").cast("bigint"))
+            .withColumn("_hi", F.ceil("_h").cast("bigint")))
+    picks = want.select("_g", "p", "_h", "_lo", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank"))
+    got = ranked.join(F.broadcast(picks), ["_g", "_rank"]).select(
+        "_g", "p", "_h", "_lo", F.when(F.col("_rank") == F.col("_lo"), F.col("_v")).alias("_vlo"),
+        F.when(F.col("_rank") == F.col("_lo") + F.when(F.col("_h") > F.col("_lo"), 1).otherwise(0),
+               F.col("_v")).alias("_vhi"))
+    agg = got.groupBy("_g", "p", "_h", "_lo").agg(F.max("_vlo").alias("_vlo"), F.max("_vhi").alias("_vhi"))
+    val = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.col("_lo").cast("double"))
+    return agg.select(F.col("_g").alias(group_col), "p", val.alias("value"))
 
 
 def boxplot_stats(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
-    """Quartiles, whisker ends inside 1.5 IQR, and outlier count per group."""
-    q = df.groupBy(F.col(group_col).alias("grp")).agg(
-        F.percentile(F.col(value_col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select("grp", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    """Quartiles, whisker ends inside 1.5 IQR, and outlier count per group.
+
+    Quartiles are exact (``exact_quantiles``); the whiskers are a partial
+    aggregation against the per-group quartile table.
+    """
+    qs = exact_quantiles(df, group_col, value_col, [0.25, 0.5, 0.75])
+    q = (qs.groupBy(F.col(group_col).alias("grp"))
+         .agg(F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
+              F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),
+              F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3")))
+    # one row per group
     j = df.select(F.col(group_col).alias("grp"), F.col(value_col).alias("v")).join(F.broadcast(q), "grp")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))

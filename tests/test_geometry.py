@@ -181,3 +181,15 @@ def test_boxplot_stats(spark):
     q1, med, q3 = np.percentile(vals, [25, 50, 75])
     assert (r.q1, r.median, r.q3) == (q1, med, q3)
     assert (r.whisker_low, r.whisker_high, r.outliers) == (1.0, 4.0, 1)
+
+
+def test_exact_quantiles_match_numpy(spark):
+    rng = np.random.default_rng(9)
+    sizes = {0: 1, 1: 2, 2: 7, 3: 300}
+    rows = [(g, float(v)) for g, n in sizes.items() for v in rng.normal(size=n).round(3)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {(r.g, r.p): r.value for r in report.exact_quantiles(df, "g", "v", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    for g in sizes:
+        vals = np.array([v for gg, v in rows if gg == g])
+        for p in (0.0, 0.25, 0.5, 0.9, 1.0):
+            assert abs(got[(g, p)] - np.quantile(vals, p)) < 1e-12
