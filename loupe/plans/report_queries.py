@@ -21,9 +21,11 @@ SEED = 314
 
 
 def _inputs(spark, sf_dir, corrected=False):
+    """Reviews that have a vector, and the vectors that have a review."""
     v = tables.vectors(spark, sf_dir)
     rv = tables.reviews(spark, sf_dir, corrected=corrected).select("review_id", "text")
     rv = rv.join(v.select("review_id", "label"), "review_id")
+    v = v.join(rv.select("review_id"), "review_id", "left_semi")
     return v, rv
 
 
@@ -64,7 +66,8 @@ QUERIES = {
     "topic_report": topic_report,
 }
 
-_BASE = """e AS (SELECT vec_id AS review_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+_BASE = """e AS (SELECT vec_id AS review_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+       WHERE vec_id IN (SELECT doc_id FROM documents)),
 rv AS (SELECT e.review_id, e.label, d.text FROM e JOIN documents d ON d.doc_id = e.review_id),
 summ AS (SELECT label, 'label = ' || CAST(label AS VARCHAR) || ', n = ' || CAST(COUNT(*) AS VARCHAR) || ', sentiment = NA' AS line
          FROM rv GROUP BY label)"""
