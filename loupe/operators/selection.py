@@ -58,6 +58,11 @@ def em_selection(df: DataFrame, n_components_range, seed: int = 0, criterion: st
     return best[1], best[2], runs, means
 
 
+def measure_pivot(means: DataFrame, ks) -> DataFrame:
+    """C4 table layout: one row per covariance type, one column per k."""
+    return means.groupBy("cov_type").pivot("k", [int(k) for k in ks]).agg(F.first("measure"))
+
+
 def kmeans_selection(df: DataFrame, n_components_range, n_runs: int = 1, seed: int = 0,
                      metric: str = "cosine", vec_col: str = "embedding"):
     """Inertia and silhouette per k, averaged over runs.

@@ -160,6 +160,9 @@ def test_selection_and_benchmark(spark):
                                                            cv_types=("spherical", "diag"), max_iter=50)
     assert eruns.count() == 4 and emeans.count() == 4
     assert best.bic() == min(r.measure for r in eruns.collect())
+    piv = {r.cov_type: (r["2"], r["4"]) for r in selection.measure_pivot(emeans, [2, 4]).collect()}
+    means = {(r.cov_type, r.k): r.measure for r in emeans.collect()}
+    assert piv == {ct: (means[(ct, 2)], means[(ct, 4)]) for ct in ("spherical", "diag")}
     truth_df = df.select("review_id", F.col("label").alias("true_label"))
     bench = selection.clustering_benchmark(
         {"x": df.drop("label")}, {"spherical_kmeans": [{"k": 4}], "kmeans": [{"k": "bad"}]}, truth_df, seed=5)
