@@ -68,11 +68,13 @@ def review_ngrams(reviews: DataFrame, n: int, text_col: str = "text", key: str =
         grams = grams.where(c)
     grams = grams.select(KEY, "idx", F.array_join("ws", " ").alias("term"), *carry)
     if min_freq > 1:
-        # per-review counts by aggregation (partial agg before the shuffle),
-        # not a window: one long review must not land in one task
-        freq = (grams.groupBy(KEY, F.lower("term").alias("_lt")).count()
-                .where(F.col("count") >= min_freq).drop("count"))
-        grams = (grams.join(freq, (grams[KEY] == freq[KEY]) & (F.lower(grams["term"]) == freq["_lt"]), "left_semi"))
+        # one pass: group the occurrences of each (review, lower-cased n-gram)
+        # and keep groups seen often enough; a group is bounded by its
+        # review's length, and the n-grams are generated only once
+        occ = grams.groupBy(KEY, F.lower("term").alias("_lt")).agg(
+            F.collect_list(F.struct("idx", "term", *carry)).alias("_occ"))
+        grams = (occ.where(F.size("_occ") >= min_freq)
+                 .select(KEY, F.inline("_occ")).select(KEY, "idx", "term", *carry))
     return grams
 
 

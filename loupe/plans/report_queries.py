@@ -8,10 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
-
 from loupe.operators import geometry as G
-from loupe.operators import report, sample
 from loupe.plans import report_job
 from loupe.session import checkpoint_dir
 from loupe.sources import sinks, tables

@@ -1,6 +1,5 @@
 """Driver contract and a sample of Spark-vs-DuckDB checks on sf0.001."""
 
-import math
 from collections import Counter
 
 import duckdb

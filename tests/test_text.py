@@ -1,7 +1,5 @@
 """Text predicates, correction, tokens and n-grams (FIXTURES A1-A5)."""
 
-from pyspark.sql import functions as F
-
 from loupe.functions.text import correct_text, is_ascii
 from loupe.operators import terms
 
