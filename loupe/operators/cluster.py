@@ -126,3 +126,12 @@ def kmeans(df: DataFrame, k: int = 8, n_init: int = 1, max_iter: int = 300, tol:
            seed: int = 0, vec_col: str = VEC, key: str = KEY) -> ClusterResult:
     """Euclidean k-means (MLlib), best of ``n_init`` runs."""
     return _mllib_kmeans(df, k, n_init, max_iter, tol, seed, "euclidean", vec_col, key)
+
+
+def skmeans(df: DataFrame, vec_col: str = VEC, key: str = KEY, **kwargs) -> ClusterResult:
+    """Spherical k-means kept for older results, with unit centres
+    recomputed as the normalised mean of the normalised member rows (G1)."""
+    res = spherical_kmeans(df, vec_col=vec_col, key=key, **kwargs)
+    rows = G.normalize_rows(df.select(F.col(key), F.col(vec_col).alias(VEC))).join(res.labels.select(key, "label"), key)
+    res.centers = G.collect_centers(G.centers(rows, "label", VEC, normalize=True))
+    return res

@@ -169,3 +169,14 @@ def test_selection_and_benchmark(spark):
     rows = {r.model: r for r in bench.collect()}
     assert rows["spherical_kmeans"].score > 0.99 and rows["spherical_kmeans"].seed == 5
     assert rows["kmeans"].score is None  # a failing cell is recorded, not raised
+
+
+def test_skmeans_recomputed_centers(spark):
+    X, truth = _circle(11)
+    df = _vec(spark, X)
+    res = cluster.skmeans(df, k=4, n_init=3, seed=2)
+    lab = {r.review_id: r.label for r in res.labels.collect()}
+    U = X / np.linalg.norm(X, axis=1, keepdims=True)
+    for label, c in res.centers:
+        m = U[[i for i in range(len(U)) if lab[i] == label]].mean(0)
+        assert np.allclose(c, m / np.linalg.norm(m))
