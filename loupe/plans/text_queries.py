@@ -69,7 +69,11 @@ def bigrams_min_freq(spark, sf_dir):
 
 
 def unigrams_pos(spark, sf_dir):
-    return terms.with_pos(terms.review_tokens(tables.reviews(spark, sf_dir)))
+    """T7 lexicon join: a (term, pos) lexicon of the corpus vocabulary is
+    tagged once, then left-joined to every token."""
+    tok = terms.review_tokens(tables.reviews(spark, sf_dir))
+    lexicon = terms.with_pos(tok.select("term").distinct())
+    return terms.with_pos(tok, lexicon=lexicon)
 
 
 def recycle_labels(spark, sf_dir):

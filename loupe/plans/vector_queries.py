@@ -204,6 +204,9 @@ def stacked_bar(spark, sf_dir):
 
 
 def selection_boxplot(spark, sf_dir):
+    """P7 box-plot statistics (exact quartiles, whiskers, outliers), applied
+    per label to the own-centre cosine distances; the run-level version over
+    model-selection runs is ``kmeans_selection_boxplot``."""
     v = _vec(spark, sf_dir)
     own = G.own_center_distance(v, G.centers(v), "cosine")
     b = report.boxplot_stats(own, "label", "distance")
