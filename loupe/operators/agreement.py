@@ -27,12 +27,13 @@ def mutual_info_parts(df: DataFrame, u: str, v: str):
     cont = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("nij")).persist()
     a = cont.groupBy("u").agg(F.sum("nij").alias("a"))
     b = cont.groupBy("v").agg(F.sum("nij").alias("b"))
-    b_rows = b.collect()
-    if len(b_rows) > MAX_CLUSTERS:
+    if b.count() > MAX_CLUSTERS:  # checked before anything reaches the driver
         raise ValueError("too many clusters in the second labelling")
+    b_rows = b.collect()
     n = float(sum(r["b"] for r in b_rows))
     logn = math.log(n)
     h_v = -sum((r["b"] / n) * math.log(r["b"] / n) for r in b_rows)
+    # b was collected above and its size checked against MAX_CLUSTERS
     h_u_mi = (cont.join(a, "u").join(F.broadcast(b), "v")
               .agg(F.sum((F.col("nij") / n) * (F.log(F.col("nij")) + F.lit(logn) - F.log("a") - F.log("b")))
                    .alias("mi")).first())

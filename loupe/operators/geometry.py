@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loupe.functions import vectors as V
+from loupe.guards import bounded_broadcast
 
 KEY = "review_id"
 VEC = "embedding"
@@ -161,7 +162,8 @@ def central_indices(dist: DataFrame, k: int, sizes: DataFrame, key: str = KEY) -
     """
     w = Window.partitionBy("center_label").orderBy(F.col("distance"), F.col(key))
     top = dist.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    capped = top.join(F.broadcast(sizes.select(F.col("label").alias("center_label"), "n")), "center_label")
+    size_tab = bounded_broadcast(sizes.select(F.col("label").alias("center_label"), "n"), "cluster size table")
+    capped = top.join(size_tab, "center_label")
     return (capped.where(F.col("rank") <= F.col("n"))
             .select(F.col("center_label").alias("label"), F.col(key), "distance",
                     F.col("rank").cast("bigint").alias("rank")))
@@ -214,7 +216,7 @@ def center_distance_density(own: DataFrame, n_grid: int = 100) -> DataFrame:
     lo, hi = float(bounds["lo"]), float(bounds["hi"])
     grid = [lo + (hi - lo) * i / (n_grid - 1) for i in range(n_grid)] if n_grid > 1 else [lo]
     g = F.array(*[F.lit(v) for v in grid])
-    j = own.join(F.broadcast(stats), "label")
+    j = own.join(bounded_broadcast(stats, "per-label statistics"), "label")
     h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     contrib = F.transform(g, lambda x, i: F.struct(
         i.alias("grid"), x.alias("x"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.guards import bounded_broadcast
 from loupe.session import checkpoint_dir
 
 
@@ -79,8 +80,8 @@ def rank_in_group(df: DataFrame, group_col: str, order_cols: list[str]) -> DataF
     sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select(group_col, "_n", F.coalesce(F.sum("_n").over(
         Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    # one row per group (the group set is the small label set)
-    return (pos.join(F.broadcast(starts), group_col)
+    # one row per group (the label set), size checked
+    return (pos.join(bounded_broadcast(starts, "group offsets"), group_col)
             .withColumn("_rank", F.col("_pos") - F.col("_start")).drop("_pos", "_start"))
 
 
@@ -97,8 +98,8 @@ def silhouette_bands(sil: DataFrame, label_col: str = "label", value_col: str =
     pos = ordered_positions(base, ["label", "silhouette", "review_id"])
     ordinals = base.select("label").distinct().select(
         "label", F.row_number().over(Window.orderBy("label")).alias("_ord"))
-    # one row per label
-    return (pos.join(F.broadcast(ordinals), "label")
+    # one row per label, size checked
+    return (pos.join(bounded_broadcast(ordinals, "label ordinals"), "label")
             .select("review_id", "label", "silhouette",
                     (F.col("_pos") + F.lit(gap) * F.col("_ord")).cast("bigint").alias("y")))
 
@@ -120,7 +121,8 @@ def exact_quantiles(df: DataFrame, group_col: str, value_col: str, probs) -> Dat
             .withColumn("_lo", F.floor("_h").cast("bigint"))
             .withColumn("_hi", F.ceil("_h").cast("bigint")))
     picks = want.select("_g", "p", "_h", "_lo", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank"))
-    got = ranked.join(F.broadcast(picks), ["_g", "_rank"]).select(
+    # at most 2 rows per (group, p), size checked
+    got = ranked.join(bounded_broadcast(picks, "quantile ranks"), ["_g", "_rank"]).select(
         "_g", "p", "_h", "_lo", F.when(F.col("_rank") == F.col("_lo"), F.col("_v")).alias("_vlo"),
         F.when(F.col("_rank") == F.col("_lo") + F.when(F.col("_h") > F.col("_lo"), 1).otherwise(0),
                F.col("_v")).alias("_vhi"))
@@ -140,8 +142,9 @@ def boxplot_stats(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
          .agg(F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
               F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),
               F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3")))
-    # one row per group
-    j = df.select(F.col(group_col).alias("grp"), F.col(value_col).alias("v")).join(F.broadcast(q), "grp")
+    # one row per group, size checked
+    j = df.select(F.col(group_col).alias("grp"), F.col(value_col).alias("v")).join(
+        bounded_broadcast(q, "quartile table"), "grp")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("v") >= lo) & (F.col("v") <= hi)
