@@ -23,3 +23,19 @@ def bounded_broadcast(df: DataFrame, what: str, max_rows: int = MAX_BROADCAST_RO
         small.unpersist()
         raise ValueError(f"{what} has {n} rows, above the {max_rows} allowed for a broadcast")
     return F.broadcast(small)
+
+
+# most rows of a per-label / per-language table brought to the driver
+MAX_DRIVER_ROWS = 1_000_000
+
+
+def collect_bounded(df: DataFrame, what: str, max_rows: int = MAX_DRIVER_ROWS) -> list:
+    """Collect a small table, fetching at most ``max_rows + 1`` rows.
+
+    The limit bounds what reaches the driver even when the table is larger
+    than expected; then the size is refused instead of truncated.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"{what} has more than {max_rows} rows; too many to bring to the driver")
+    return rows

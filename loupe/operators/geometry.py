@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loupe.functions import vectors as V
-from loupe.guards import bounded_broadcast
+from loupe.guards import bounded_broadcast, collect_bounded
 
 KEY = "review_id"
 VEC = "embedding"
@@ -44,7 +44,7 @@ def collect_centers(c) -> list[tuple[int, list[float]]]:
     The size is checked before anything is inlined into a later plan.
     """
     if isinstance(c, DataFrame):
-        rows = c.select("label", "center").orderBy("label").collect()
+        rows = sorted(collect_bounded(c.select("label", "center"), "centre table"), key=lambda r: r["label"])
         out = [(int(r["label"]), [float(v) for v in r["center"]]) for r in rows]
     else:
         out = [(int(lbl), [float(v) for v in vec]) for lbl, vec in c]
@@ -69,7 +69,7 @@ def _prec_map(precisions) -> dict | None:
         return None
     if isinstance(precisions, DataFrame):
         return {int(r["label"]): [list(map(float, row)) for row in r["vi"]]
-                for r in precisions.select("label", "vi").collect()}
+                for r in collect_bounded(precisions.select("label", "vi"), "precision table")}
     return {int(k): [list(map(float, row)) for row in m] for k, m in precisions.items()}
 
 
@@ -246,7 +246,8 @@ def silhouette_samples(df: DataFrame, label_col: str = "label", vec_col: str = V
     stats = base.groupBy("label").agg(
         vector_to_array(Summarizer.sum(array_to_vector(F.col("_u")))).alias("s"),
         F.count(F.lit(1)).alias("n"),
-        F.sum(V.sq_norm(F.col("_u"))).alias("q")).orderBy("label").collect()
+        F.sum(V.sq_norm(F.col("_u"))).alias("q"))
+    stats = sorted(collect_bounded(stats, "per-label sums"), key=lambda r: r["label"])
     V.check_constant_size(sum(len(r["s"]) for r in stats))
     C = F.array(*[F.struct(F.lit(int(r["label"])).alias("label"),
                            F.array(*[F.lit(float(v)) for v in r["s"]]).alias("s"),
@@ -335,7 +336,7 @@ def merge_map(labels: Sequence[int], which) -> dict[int, int]:
 
 def merge_clusters(df: DataFrame, which, label_col: str = "label") -> DataFrame:
     """Relabel rows after merging clusters (a projection via a constant map)."""
-    labels = [int(r[0]) for r in df.select(label_col).distinct().collect()]
+    labels = [int(r[0]) for r in collect_bounded(df.select(label_col).distinct(), "label set")]
     m = merge_map(labels, which)
     mapping = F.create_map(*[v for kv in sorted(m.items()) for v in (F.lit(kv[0]), F.lit(kv[1]))])
     return df.withColumn(label_col, F.element_at(mapping, F.col(label_col)))

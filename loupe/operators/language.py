@@ -25,6 +25,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loupe.guards import collect_bounded
+
 MAX_LANGUAGES = 10_000
 
 
@@ -41,9 +43,8 @@ def train(tokens: DataFrame, docs: DataFrame, lang_col: str = "lang") -> tuple[D
     totals = counts.groupBy("lang").agg(F.sum("c").alias("t"))
     v = counts.select("term").distinct().count()
     priors = docs.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("d"))
-    stats = priors.join(totals, "lang", "left").orderBy("lang").collect()
-    if len(stats) > MAX_LANGUAGES:
-        raise ValueError("too many languages for the constant language table")
+    stats = sorted(collect_bounded(priors.join(totals, "lang", "left"), "language table", MAX_LANGUAGES),
+                   key=lambda r: r["lang"])
     n_docs = float(sum(r["d"] for r in stats))
     lang_stats = [(r["lang"], math.log(r["d"] / n_docs), math.log(float(r["t"] or 0) + v)) for r in stats]
     return model, lang_stats
