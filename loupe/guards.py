@@ -35,7 +35,9 @@ def collect_bounded(df: DataFrame, what: str, max_rows: int = MAX_DRIVER_ROWS) -
     The limit bounds what reaches the driver even when the table is larger
     than expected; then the size is refused instead of truncated.
     """
-    rows = df.limit(max_rows + 1).collect()
+    # one partition first: the limit then runs as a single job instead of
+    # scanning the (small) result's partitions in growing batches
+    rows = df.coalesce(1).limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"{what} has more than {max_rows} rows; too many to bring to the driver")
     return rows
