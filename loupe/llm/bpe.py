@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from loupe.llm import common as C
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
+SLICE_ROWS = 500  # rows whose tokens a task holds at once
 
 # fixed values: the byte alphabet of byte-level BPE (printable bytes stand for themselves, the others follow from 256 on)
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -131,7 +132,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 def _coder(name: str, want: tuple[str, ...]):
     def code(batches):
         tok = load(name if "/" in name else vocabulary_path(name))
-        for b in batches:
+        for b in (whole.slice(i, SLICE_ROWS) for whole in batches for i in range(0, whole.num_rows, SLICE_ROWS)):
             cols = {k: [] for k in want}
             for t in b.column("text"):
                 ids = tok.encode(t.as_py() or "")

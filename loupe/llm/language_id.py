@@ -180,7 +180,7 @@ def _predictor(texts: dict[str, str], batch_chars: int):
 
 
 def identify(docs: DataFrame, texts: dict[str, str], text_col: str = "text", out: str = "language",
-             batch_chars: int = 16_000_000) -> DataFrame:
+             batch_chars: int = 8_000_000) -> DataFrame:
     """Adds ``out``: struct (lang, score). ``texts`` as from ``samples``."""
     C.prepare(docs.sparkSession)
     t = F.col(text_col).cast("string")
