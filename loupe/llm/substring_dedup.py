@@ -15,7 +15,11 @@ refine without one global sort, and three steps keep the data small:
    refined bucket settles all windows of its other members at once.
 3. *Windows.* Only what differs within a bucket is refined to single 50-byte
    windows: identifiers of 16 bytes at i and i+16 name 32 bytes, those of 32
-   bytes at i and i+18 name 50, each level reusing the one below.
+   bytes at i and i+18 name 50, each level reusing the one below. Again groups
+   first ask, packed, which identifiers others hold; the rest is done.
+
+Whole texts that equal one with a smaller id are removed as one span before all
+this (by two 64-bit hashes and the length), so copies add nothing to the steps.
 
 Every group sends a bucket once however many of its documents hold it, so a
 passage in a third of all documents is a few rows per group.
@@ -31,6 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,13 +55,24 @@ ASK, SPANS, WINDOWS = 0, 1, 2
 
 def _group(tab: pa.Table):
     """The group's rows in a fixed order: ids (null: row takes no part), bytes, offsets."""
-    tab = tab.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    tab = _sorted(tab)
     data, offs = C.string_buffers(tab["text"])
     live = tab["doc_id"].is_valid().to_numpy()
     ids = tab["doc_id"].fill_null(0).to_numpy().astype(np.int64)
     return ids, live, data, offs
 
 
+def _skip_copies(live, tab: pa.Table, copies: pa.Table):
+    """(rows that are copies, rows that take part in the steps); ``tab`` is in the order of _group."""
+    known = set(zip(copies["doc_id"].to_pylist(), copies["h"].to_pylist()))
+    copy = np.fromiter(((d, h) in known for d, h in zip(tab["doc_id"].to_pylist(), tab["h"].to_pylist())), bool, len(tab))
+    return copy, live & ~copy
+
+
+def _sorted(tab: pa.Table) -> pa.Table:
+    return tab.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def _runs(live, data, offs):
     """Super-windows: first window start, number of windows, q-gram position and identifier of each."""
     n = len(data)
@@ -106,17 +122,29 @@ def _known(keys48: np.ndarray, docs: np.ndarray):
 
 
 def _ask(n_ranges: int):
-    def ask(tab: pa.Table) -> pa.Table:
-        g = tab["g"][0].as_py()
+    def ask(tab: pa.Table, copies: pa.Table) -> pa.Table:
         ids, live, data, offs = _group(tab)
-        first, _, _, key = _runs(live, data, offs)
-        uniq = np.unique(key >> np.uint64(16))
-        parts = C.asks(uniq, n_ranges)
-        return pa.table({"g": pa.array([g] * len(parts), pa.int32()), "r": pa.array([p[0] for p in parts], pa.int32()),
-                         "keys": pa.array([C.pack48(uniq[i:j]) for _, i, j in parts], pa.binary())})
+        _, live = _skip_copies(live, _sorted(tab), copies)
+        _, _, _, key = _runs(live, data, offs)
+        return _asked(tab["g"][0].as_py(), np.unique(key >> np.uint64(16)), n_ranges)
     return ask
 
 
+def _asked(g: int, uniq: np.ndarray, n_ranges: int) -> pa.Table:
+    parts = C.asks(uniq, n_ranges)
+    return pa.table({"g": pa.array([g] * len(parts), pa.int32()), "r": pa.array([p[0] for p in parts], pa.int32()),
+                     "keys": pa.array([C.pack48(uniq[i:j]) for _, i, j in parts], pa.binary())})
+
+
+def _shared(key48: np.ndarray, docs: np.ndarray, replies: pa.Table, n_ranges: int) -> np.ndarray:
+    """Which keys occur with two ids, in this group or by the replies."""
+    uniq, idx, multi = _known(key48, docs)
+    bits = {r: b for r, b in zip(replies["r"].to_pylist(), replies["bits"].to_pylist()) if r is not None}
+    for r, i, j in C.asks(uniq, n_ranges):
+        multi[i:j] |= np.unpackbits(np.frombuffer(bits[r], np.uint8), count=j - i).astype(bool)
+    return multi[idx]
+
+
 def _reply(tab: pa.Table) -> pa.Table:
     blobs = [C.unpack48(b.as_py()) for b in tab["keys"]]
     _, inv, cnt = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
@@ -158,52 +186,70 @@ def _super_windows(n_ranges: int):
             return _ROWS.empty_table()
         g = tab["g"][0].as_py()
         ids, live, data, offs = _group(tab)
+        copy, live = _skip_copies(live, _sorted(tab), replies.filter(replies["r"].is_null()))
         first, count, pos, key = _runs(live, data, offs)
         row = np.searchsorted(offs, first, "right") - 1
-        uniq, idx, multi = _known(key >> np.uint64(16), ids[row])
-        bits = {r: b for r, b in zip(replies["r"].to_pylist(), replies["bits"].to_pylist())}
-        for r, i, j in C.asks(uniq, n_ranges):
-            multi[i:j] |= np.unpackbits(np.frombuffer(bits[r], np.uint8), count=j - i).astype(bool)
-        shared = multi[idx]
-        keep = multi[idx]
+        keep = _shared(key >> np.uint64(16), ids[row], replies, n_ranges)
         at, n, key, row = first[keep], count[keep], key[keep], row[keep]
         view = memoryview(np.ascontiguousarray(data))
         s = np.fromiter((xxhash.xxh3_64_intdigest(view[a:a + m]) for a, m in zip(at.tolist(), (n + LENGTH - 1).tolist())), np.uint64, len(at))
         doc = ids[row]
         kind = _settle(key, s, doc)
         at = at - offs[row]
-        return _out(_spread(key, kind, row, at), s, doc, row, at, n, kind, g)
+        whole = np.flatnonzero(copy & (np.diff(offs) >= LENGTH))
+        zero = np.zeros(len(whole), np.uint64)
+        spans = np.full(len(whole), SPANS, np.int8)
+        return pa.concat_tables([
+            _out(_spread(key, kind, row, at), s, doc, row, at, n, kind, g),
+            _out(_spread(zero, spans, whole, zero.astype(np.int64)), zero, ids[whole], whole, zero, np.diff(offs)[whole] - LENGTH + 1, spans, g)])
     return refine
 
 
-def _windows(tab: pa.Table, found: pa.Table) -> pa.Table:
-    if not len(found):
-        return _ROWS.empty_table()
-    g = tab["g"][0].as_py()
-    ids, live, data, offs = _group(tab)
-    kind, row, at, n = (found[c].to_numpy() for c in ("kind", "row", "at", "n"))
-    doc = ids[row]
-    done = kind == SPANS
-    zero = np.zeros(int(done.sum()), np.uint64)
-    out = [_out(_spread(zero, kind[done], row[done], at[done]), zero, doc[done], row[done], at[done], n[done], kind[done], g)]
-    w = ~done
-    if w.any():
-        rw, aw, nw = row[w].astype(np.int64), at[w].astype(np.int64), n[w].astype(np.int64)
-        size = nw + LENGTH - 1
-        begin = np.cumsum(size) - size
-        src = np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(offs[rw] + aw, size)
-        text = data[src]
-        names = []
-        for seed in (1, 2):
-            b16 = C.gram_hashes(text, Q, seed)
-            b32 = C.mix(b16[:-Q] * C.M1 + b16[Q:])
-            names.append(C.mix(b32[:-(LENGTH - 2 * Q)] * C.M2 + b32[LENGTH - 2 * Q:]))
-        i = np.arange(nw.sum()) - np.repeat(np.cumsum(nw) - nw, nw)
-        here, wr, wa = i + np.repeat(begin, nw), np.repeat(rw, nw), np.repeat(aw, nw) + i
-        k, s, d = names[0][here], names[1][here], ids[wr]
-        kinds = _settle(k, s, d)
-        out.append(_out(_spread(k, kinds, wr, wa), s, d, wr, wa, np.ones(len(k), np.int32), kinds, g))
-    return pa.concat_tables(out)
+def _named(ids, data, offs, found: pa.Table):
+    """Identifiers (two hashes), row and place of each window of the strings to refine."""
+    rw, aw, nw = (found[c].to_numpy().astype(np.int64) for c in ("row", "at", "n"))
+    size = nw + LENGTH - 1
+    begin = np.cumsum(size) - size
+    text = data[np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(offs[rw] + aw, size)]
+    i = np.arange(nw.sum()) - np.repeat(np.cumsum(nw) - nw, nw)
+    here, names = i + np.repeat(begin, nw), []
+    for seed in (1, 2):
+        b16 = C.gram_hashes(text, Q, seed)
+        b32 = C.mix(b16[:-Q] * C.M1 + b16[Q:])
+        names.append(C.mix(b32[:-(LENGTH - 2 * Q)] * C.M2 + b32[LENGTH - 2 * Q:])[here])
+    return names[0], names[1], np.repeat(rw, nw), np.repeat(aw, nw) + i
+
+
+def _ask_windows(n_ranges: int):
+    def ask(tab: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.filter(pc.equal(found["kind"], WINDOWS))
+        if not len(found):
+            return _asked(0, np.empty(0, np.uint64), n_ranges)
+        ids, live, data, offs = _group(tab)
+        return _asked(tab["g"][0].as_py(), np.unique(_named(ids, data, offs, found)[0] >> np.uint64(16)), n_ranges)
+    return ask
+
+
+def _windows(n_ranges: int):
+    def refine(tab: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(found):
+            return _ROWS.empty_table()
+        g = tab["g"][0].as_py()
+        ids, live, data, offs = _group(tab)
+        replies = found.filter(found["r"].is_valid())
+        done = found.filter(pc.equal(found["kind"], SPANS))
+        row, at, n = (done[c].to_numpy().astype(np.int64) for c in ("row", "at", "n"))
+        zero, kind = np.zeros(len(done), np.uint64), np.full(len(done), SPANS, np.int8)
+        out = [_out(_spread(zero, kind, row, at), zero, ids[row], row, at, n, kind, g)]
+        todo = found.filter(pc.equal(found["kind"], WINDOWS))
+        if len(todo):
+            k, s, wr, wa = _named(ids, data, offs, todo)
+            keep = _shared(k >> np.uint64(16), ids[wr], replies, n_ranges)
+            k, s, wr, wa = k[keep], s[keep], wr[keep], wa[keep]
+            kinds = _settle(k, s, ids[wr])
+            out.append(_out(_spread(k, kinds, wr, wa), s, ids[wr], wr, wa, np.ones(len(k), np.int32), kinds, g))
+        return pa.concat_tables(out)
+    return refine
 
 
 def _remove(with_kept: bool):
@@ -250,10 +296,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = C.total_bytes(docs)
     n_groups, n_ranges = C.n_parts(size, group_bytes), C.n_parts(size / (SPAN / 2), range_keys)
-    text = C.grouped(docs, n_groups, "doc_id", "text")
+    text = C.grouped(docs.withColumn("h", F.xxhash64("text")), n_groups, "doc_id", "text")
     by_g = text.groupBy("g")
-    asked = by_g.applyInArrow(_ask(n_ranges), "g int, r int, keys binary")
-    replies = asked.groupBy("r").applyInArrow(_reply, "g int, r int, bits binary")
+    slim = text.where("doc_id is not null").select("g", "doc_id", "h", F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").alias("n"))
+    first = slim.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first")
+    copies = C.keep(slim.join(C.keep(first).hint("merge"), ["h", "h2", "n"]).where("doc_id > first").select("g", "doc_id", "h"))
+    asked = by_g.cogroup(copies.groupBy("g")).applyInArrow(_ask(n_ranges), "g int, r int, keys binary")
+    replies = asked.groupBy("r").applyInArrow(_reply, "g int, r int, bits binary").unionByName(copies, allowMissingColumns=True)
     pieces = by_g.cogroup(replies.groupBy("g")).applyInArrow(_super_windows(n_ranges), _ROWS_DDL)
     by_k = Window.partitionBy("k")
     told = (_least(pieces.repartition("k"))
@@ -261,7 +310,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .withColumn("kind", F.when((F.col("kind") == SPANS) | (F.col("least") < F.col("doc_id")), SPANS)
                         .when(F.col("high") > F.col("low"), WINDOWS).otherwise(ASK).cast("byte"))
             .where(F.col("kind") != ASK).select("g", "row", "at", "n", "kind"))
-    single = by_g.cogroup(told.groupBy("g")).applyInArrow(_windows, _ROWS_DDL)
+    held = (by_g.cogroup(told.groupBy("g")).applyInArrow(_ask_windows(n_ranges), "g int, r int, keys binary")
+            .groupBy("r").applyInArrow(_reply, "g int, r int, bits binary"))
+    single = by_g.cogroup(told.unionByName(held, allowMissingColumns=True).groupBy("g")).applyInArrow(_windows(n_ranges), _ROWS_DDL)
     spans = (_least(single).where((F.col("kind") == SPANS) | (F.col("least") < F.col("doc_id")))
              .select("g", "row", "at", "n"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
