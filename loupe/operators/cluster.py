@@ -33,7 +33,7 @@ class ClusterResult:
     inertias: list = field(default_factory=list)
     n_iter: int = 0
     seeds: list = field(default_factory=list)
-    dropped_zero_rows: int = 0
+    dropped_zero_rows: int = 0              # zero vectors, left out of the fit and given the lowest label
 
 
 def lloyd(df: DataFrame, init_centers, max_iter: int = 100, tol: float = 1e-4,
@@ -83,24 +83,30 @@ def _mllib_kmeans(df: DataFrame, k: int, n_init: int, max_iter: int, tol: float,
     data = df.select(F.col(key), array_to_vector(F.col(vec_col)).alias("features"))
     dropped = 0
     if measure == "cosine":
-        # cosine distance is undefined for zero vectors; they are reported
+        # MLlib takes no zero vectors; at distance 1 from every centre they get the lowest label
         nz = V.sq_norm(vector_to_array(F.col("features")))
-        dropped = data.where(nz == 0).count()
+        zero = data.where(nz == 0).select(key, F.lit(0).alias("label"))
+        dropped = zero.count()
         data = data.where(nz > 0)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = data.persist(StorageLevel.MEMORY_AND_DISK)
     best = None
     inertias, seeds = [], []
-    for run in range(n_init):
-        s = seed + run
-        model = KMeans(k=k, maxIter=max_iter, tol=tol, seed=s, distanceMeasure=measure,
-                       featuresCol="features", predictionCol="label").fit(data)
-        cost = float(model.summary.trainingCost)
-        inertias.append(cost)
-        seeds.append(s)
-        if best is None or cost < best[0]:
-            best = (cost, model)
+    try:
+        for run in range(n_init):
+            s = seed + run
+            model = KMeans(k=k, maxIter=max_iter, tol=tol, seed=s, distanceMeasure=measure,
+                           featuresCol="features", predictionCol="label").fit(cached)
+            cost = float(model.summary.trainingCost) + dropped
+            inertias.append(cost)
+            seeds.append(s)
+            if best is None or cost < best[0]:
+                best = (cost, model)
+    finally:
+        cached.unpersist()
     cost, model = best
     labels = model.transform(data).select(F.col(key), F.col("label"))
+    if dropped:
+        labels = labels.unionByName(zero)
     centers = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
     if measure == "cosine":
         centers = [(i, _unit(c)) for i, c in centers]

@@ -222,7 +222,8 @@ def center_distance_density(own: DataFrame, n_grid: int = 100) -> DataFrame:
         i.alias("grid"), x.alias("x"),
         (F.exp(-0.5 * F.pow((x - F.col("distance")) / h, 2)) /
          (h * F.col("n") * F.lit(math.sqrt(2 * math.pi)))).alias("d")))
-    return (j.where(F.col("n") > 1).select("label", F.inline(contrib))
+    # a label of one row, or of equal distances, has no bandwidth and so no density
+    return (j.where((F.col("n") > 1) & (F.col("sd") > 0)).select("label", F.inline(contrib))
             .groupBy("label", "grid", "x").agg(F.sum("d").alias("density")))
 
 
@@ -237,7 +238,7 @@ def silhouette_samples(df: DataFrame, label_col: str = "label", vec_col: str = V
     excluded) ((n_c - 1) - (u.S_c - u.u))/(n_c - 1).
     sqeuclidean: with S_c and Q_c = sum |y|^2 the summed squared distance to
     cluster c is n_c|x|^2 - 2 x.S_c + Q_c.
-    Rows of singleton clusters score 0.
+    Rows of singleton clusters score 0, and so do rows at distance 0 from both.
     """
     if metric not in ("cosine", "sqeuclidean"):
         raise ValueError("closed-form silhouettes exist for cosine and sqeuclidean")
@@ -268,9 +269,10 @@ def silhouette_samples(df: DataFrame, label_col: str = "label", vec_col: str = V
     others = F.filter(F.col("_per"), lambda p: p["l"] != F.col("label"))
     # the self term: cosine 1 - u.u, squared euclidean 0
     self_term = (F.lit(1.0) - F.col("_uu")) if metric == "cosine" else F.lit(0.0)
-    a = (own["t"] - self_term) / (own["n"] - 1)
+    a = F.try_divide(own["t"] - self_term, own["n"] - 1)
     b = F.array_min(F.transform(others, lambda p: p["t"] / p["n"]))
-    s = F.when(own["n"] <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
+    s = F.when((own["n"] <= 1) | (F.greatest(a, b) == 0), F.lit(0.0)).otherwise(
+        F.try_divide(b - a, F.greatest(a, b)))
     return with_per.select(key, "label", F.coalesce(s, F.lit(0.0)).alias("silhouette"))
 
 

@@ -22,7 +22,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loupe.functions.vectors import check_constant_size
 from loupe.operators.cluster import kmeans
 from loupe.session import ship_package
 
@@ -150,28 +149,11 @@ def _stats_fn(cov_type, d, k, params=None, hard=False):
     return fn
 
 
-# partial statistics (numbers) that may be summed on the driver directly;
-# above this they are summed by a Spark aggregation first
-MAX_DRIVER_STAT_CELLS = 2_000_000
-
-
 def _collect_stats(data: DataFrame, fn, k, d, cov_type):
     ship_package(data.sparkSession)
     per_part = data.mapInPandas(fn, STATS_SCHEMA)
     second = d * d if cov_type in ("full", "tied") else d
-    cells = data.rdd.getNumPartitions() * k * (1 + d + second)
     shape = (k, d, d) if cov_type in ("full", "tied") else (k, d)
-    if cells <= MAX_DRIVER_STAT_CELLS:
-        # few partitions: one stage, k rows per task, summed here
-        rows = per_part.collect()
-        nk, sx, sxx, ll = np.zeros(k), np.zeros((k, d)), np.zeros(shape), 0.0
-        for r in rows:
-            j = r["component"]
-            nk[j] += r["nk"]
-            sx[j] += np.asarray(r["sx"])
-            sxx[j] += np.asarray(r["sxx"]).reshape(shape[1:])
-            ll += r["ll"]
-        return nk, sx, sxx, float(ll)
     agg = (per_part.groupBy("component").agg(
                F.sum("nk").alias("nk"),
                vector_to_array(Summarizer.sum(array_to_vector("sx"))).alias("sx"),
@@ -214,7 +196,6 @@ def gaussian_mixture(df: DataFrame, n_components: int, covariance_type: str = "f
     data = df.select(F.col(key), F.col(vec_col).cast("array<double>").alias(VEC)).persist(
         StorageLevel.MEMORY_AND_DISK)
     d = len(data.select(VEC).first()[0])
-    check_constant_size(k * d * d if covariance_type in ("full", "tied") else k * d, "mixture parameters")
     init = kmeans(data, k=k, n_init=1, seed=seed, max_iter=300).labels
     init = init.join(data, key)
     nk, sx, sxx, _ = _collect_stats(init, _stats_fn(covariance_type, d, k, hard=True), k, d, covariance_type)

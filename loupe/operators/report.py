@@ -111,9 +111,9 @@ def exact_quantiles(df: DataFrame, group_col: str, value_col: str, probs) -> Dat
     with h = (n - 1)p, lo = floor(h), hi = ceil(h) (as numpy / DuckDB
     ``quantile_cont``). Ranks come from ``rank_in_group``; the two needed
     order statistics are picked by a join with a small (group, p) table, so
-    no group is gathered into one task.
+    no group is gathered into one task. Null values do not count.
     """
-    ranked = rank_in_group(df.select(F.col(group_col).alias("_g"), F.col(value_col).alias("_v")), "_g", ["_v"])
+    ranked = rank_in_group(df.where(F.col(value_col).isNotNull()).select(F.col(group_col).alias("_g"), F.col(value_col).alias("_v")), "_g", ["_v"])
     plist = F.array(*[F.lit(float(p)) for p in probs])
     want = (ranked.select("_g", "_n").distinct()
             .select("_g", "_n", F.explode(plist).alias("p"))
@@ -143,7 +143,7 @@ def boxplot_stats(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
               F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),
               F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3")))
     # one row per group, size checked
-    j = df.select(F.col(group_col).alias("grp"), F.col(value_col).alias("v")).join(
+    j = df.where(F.col(value_col).isNotNull()).select(F.col(group_col).alias("grp"), F.col(value_col).alias("v")).join(
         bounded_broadcast(q, "quartile table"), "grp")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))

@@ -16,22 +16,26 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     skewed join partitions and turns a sort-merge join into a broadcast join
     when the measured size of a side is under the broadcast threshold. That
     runtime measurement is the size check for data-derived join sides.
+    Master, driver memory and shuffle partitions are left as submitted unless
+    given here.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
         SparkSession.builder
-        .master(master or f"local[{cpus}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("LOUPE_DRIVER_MEMORY", "16g"))
     )
+    if master:
+        builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", os.environ.get("LOUPE_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -50,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # unset: only the case in local tests and benches
         path = tempfile.mkdtemp(prefix="loupe-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)

@@ -1,5 +1,7 @@
 """Python-worker steps and language flags."""
 
+from difflib import SequenceMatcher
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,10 +47,8 @@ def test_stem_vocabulary_and_ngrams(spark):
 
 
 def test_close_matches_fixture():
-    assert align.close_match_indexes("great", ["super", "great", "nice"]) == [1]
-    assert align.close_match_indexes("great", ["great", "great", "great"]) == [2, 1, 0]
-    with pytest.raises(ValueError):
-        align.close_match_indexes("a", ["a"], n=0)
+    assert align._matches_for_review(["great"], ["super", "great", "nice"], 3, 0.6) == [[1]]
+    assert align._matches_for_review(["great"], ["great", "great", "great"], 3, 0.6) == [[2, 1, 0]]
 
 
 def test_fast_matches_equal_definition():
@@ -57,7 +57,10 @@ def test_fast_matches_equal_definition():
     for _ in range(30):
         words = ["".join(rng.choice(alphabet, rng.integers(1, 7))) for _ in range(rng.integers(0, 25))]
         toks = ["[CLS]"] + ["".join(rng.choice(alphabet, rng.integers(1, 6))) for _ in range(8)] + ["[SEP]"]
-        slow = [[] if t in ("[CLS]", "[SEP]") else align.close_match_indexes(t, words) for t in toks]
+        slow = []
+        for t in toks:
+            best = sorted(((SequenceMatcher(None, w, t).ratio(), i) for i, w in enumerate(words)), reverse=True)
+            slow.append([] if t in ("[CLS]", "[SEP]") else [i for r, i in best if r >= 0.6][:3])
         assert align._matches_for_review(toks, words, 3, 0.6) == slow
 
 
@@ -81,6 +84,13 @@ def test_token_pos_table_fixture(spark):
     assert [r.token for r in trunc] == ["[CLS]", "great", "[SEP]"]
 
 
+def test_token_pos_table_long_review(spark):
+    text = " ".join(f"w{i % 50} great" for i in range(3000))
+    df = spark.createDataFrame([(0, text)], "review_id bigint, text string")
+    out = align.token_pos_table(df)
+    assert out.count() == 6002 and out.where("pos is null").count() >= 2
+
+
 def test_pooling(spark):
     rows = [(0, 0, [1.0, 2.0]), (0, 1, [3.0, 0.0]), (1, 0, [5.0, 5.0])]
     v = spark.createDataFrame(rows, "review_id bigint, idx int, embedding array<double>")
