@@ -54,15 +54,18 @@ def test_language_on_held_out(spark):
 def test_language_phrases_by_hand(spark):
     p = language_id.Parser({"a": "abab", "b": "bbc"})
     count, lens = p.phrases(["abab", "bbcab", ""])
-    assert count[:, 0].tolist() == [1, 4] and lens.tolist() == [4, 5, 0]
+    # against "bbc", an unknown a ends a phrase each time: a, ba, b
+    assert count[:, 0].tolist() == [1, 3] and lens.tolist() == [4, 5, 0]
     got = language_id.identify(odd(spark, ODD + [(9, "123 ...")]), {"en": "some words of a sample"}).collect()
     assert len(got) == len(ODD) + 1 and {r["language"]["lang"] for r in got if r["text"] in (None, "", "123 ...")} == {"und"}
     assert {r["language"]["lang"] for r in language_id.identify(odd(spark), {}).collect()} == {"und"}
 
 
 def test_toxicity_on_held_out(spark):
-    labels = C.table(spark, MORE, "labels").select("doc_id", "toxic")
-    out = toxicity.op7_toxicity(spark, MORE).join(labels, "doc_id").where("held_out").collect()
+    # sf0.1: sf0.01 has under 40 toxic training rows, too few to learn ten insults from
+    big = "/root/testdata/sf0.1"
+    labels = C.table(spark, big, "labels").select("doc_id", "toxic")
+    out = toxicity.op7_toxicity(spark, big).join(labels, "doc_id").where("held_out").collect()
     hit = [r["predicted"] for r in out if r["toxic"] == 1]
     clean = [r["predicted"] for r in out if r["toxic"] == 0]
     assert sum(hit) >= 0.6 * len(hit) and sum(clean) <= 0.1 * len(clean)
