@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from loupe.llm import common as C
 
 BITS, SIZES = 20, (4, 6)
-FEATURES, SAMPLE = 16_384, 15_000
+FEATURES, SAMPLE = 1024, 15_000
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 _SLICE = 1 << 13
 
