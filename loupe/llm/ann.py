@@ -106,12 +106,16 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
            tables: int = TABLES, probes: int = PROBES, cell: int = CELL) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: up to ``k`` neighbours found per row for which ``is_query`` holds."""
     C.prepare(vectors.sparkSession)
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
+    # single precision is carried as it is, half the bytes; every sum is in double precision
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind if kind == "array<float>" else "array<double>").alias("vec"),
                           F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & _valid("vec"))
     size = base.agg(F.max(F.size("vec"))).first()[0] or 1
     width = 1 << max(1, (size - 1).bit_length())
-    placed = C.keep(base.select("id", "vec", _addresses(width, tables, 1)("vec").alias("a")).select("id", "vec", "a.band", F.explode("a.at").alias("at")))
-    asked = C.keep(base.where("q").select("id", "vec", F.explode(_addresses(width, tables, min(probes, 2 * width))("vec")["at"]).alias("at")))
+    # one row per vector is written; its copies are made on the way to the cells
+    placed = C.keep(base.select("id", "vec", _addresses(width, tables, 1)("vec").alias("a")).select("id", "vec", "a.band", "a.at"))
+    asked = C.keep(base.where("q").select("id", "vec", _addresses(width, tables, min(probes, 2 * width))("vec")["at"].alias("at")))
+    placed, asked = (x.withColumn("at", F.explode("at")) for x in (placed, asked))
     # a row per axis of a table, and per band of it: sizes that the parameters bound
     held = placed.groupBy("band", "at").agg(F.count(F.lit(1)).alias("np"))
     want = asked.groupBy("at").agg(F.count(F.lit(1)).alias("nq"))
