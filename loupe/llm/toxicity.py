@@ -85,21 +85,31 @@ def _featurise(index_of):
     return F.pandas_udf(features, "array<int>")
 
 
-def train(rows: DataFrame) -> tuple[np.ndarray, float]:
-    """(weight of each cell, intercept) from labelled rows (doc_id, text, y)."""
-    spark = rows.sparkSession
+def train(docs: DataFrame, labels: DataFrame | None = None) -> tuple[np.ndarray, float]:
+    """(weight of each cell, intercept) from ``docs`` (doc_id, text) and ``labels`` (doc_id, y), or from docs that hold y.
+
+    Texts are shuffled once, to their labels, for the counts; the sample is
+    chosen by ids and hashes alone and sent to the documents.
+    """
+    spark = docs.sparkSession
     C.prepare(spark)
-    rows = rows.where("doc_id is not null and y in (0, 1)")
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return (rows if labels is None else rows.join(labels, "doc_id")).where("doc_id is not null and y in (0, 1)")
+
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    keys = C.keep(labelled(hashed.drop("text")).select("doc_id", "y", "h"))
+    sizes = {r["y"]: r["n"] for r in keys.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         only = 1.0 if 1 in sizes else 0.0
         return np.zeros(1 << BITS, np.float32), float(np.log((only + 1e-6) / (1 - only + 1e-6)))
-    ratio, chosen = ratios(rows.select("text", "y"))
+    ratio, chosen = ratios(labelled(docs).select("text", "y"))
     index = np.full(1 << BITS, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
     top = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "y", F.xxhash64("text").alias("h")).withColumn("k", F.row_number().over(top)).where(F.col("k") <= SAMPLE).drop("k")
-    sample = rows.withColumn("h", F.xxhash64("text")).join(C.keep(ids.distinct()), ["doc_id", "y", "h"], "left_semi")
+    ids = C.keep(keys.withColumn("k", F.row_number().over(top)).where(F.col("k") <= SAMPLE).drop("k").distinct())
+    # at most SAMPLE ids a class: a bounded broadcast, so that no text moves for it
+    sample = hashed.join(F.broadcast(ids), ["doc_id", "h"] if labels is not None else ["doc_id", "h", "y"])
     weight = F.when(F.col("y") == 1, sizes[1] / min(sizes[1], SAMPLE)).otherwise(sizes[0] / min(sizes[0], SAMPLE))
     found = C.keep(sample.select(F.col("y").cast("double").alias("label"), weight.alias("w"), _featurise(spark.sparkContext.broadcast(index))("text").alias("f")))
     values = ratio[chosen]
@@ -138,6 +148,6 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     labels = C.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("y")).where(fold != HELD_OUT)
-    model = train(docs.join(labels, "doc_id"))
+    model = train(docs, labels)
     return score(docs, model, out="score").select(
         "doc_id", F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
