@@ -95,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None) -> tuple[np.ndarray,
     C.prepare(spark)
 
     def labelled(rows: DataFrame) -> DataFrame:
-        return (rows if labels is None else rows.join(labels, "doc_id")).where("doc_id is not null and y in (0, 1)")
+        return (rows if labels is None else rows.join(labels.hint("merge"), "doc_id")).where("doc_id is not null and y in (0, 1)")
 
     hashed = docs.withColumn("h", F.xxhash64("text"))
     keys = C.keep(labelled(hashed.drop("text")).select("doc_id", "y", "h"))
