@@ -217,6 +217,7 @@ def gaussian_mixture(df: DataFrame, n_components: int, covariance_type: str = "f
         prev = lower
     model.weights, model.means, model.covariances = weights, means, cov
     model.log_likelihood = score(model, data)
+    data.unpersist()  # labels are read from the source: grids of fits leave no copies behind
     return model, predict(model, data, key)
 
 
