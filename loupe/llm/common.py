@@ -147,15 +147,27 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(out), np.searchsorted(offs, s, "right") - 1
 
 
-def pack48(keys: np.ndarray) -> bytes:
-    """The low six bytes of each key."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def planes(x: np.ndarray, n_bytes: int) -> bytes:
+    """The low ``n_bytes`` bytes of unsigned numbers: all lowest bytes, then all second ones, and so on.
 
+    Bytes that are mostly zero lie together, so the codec of the shuffle removes them.
+    """
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes].T.tobytes()
 
-def unpack48(blob: bytes) -> np.ndarray:
-    raw = np.zeros((len(blob) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return raw.reshape(-1).view("<u8")
+
+def from_planes(blob: bytes, n_bytes: int) -> np.ndarray:
+    out = np.zeros((len(blob) // n_bytes, 8), np.uint8)
+    out[:, :n_bytes] = np.frombuffer(blob, np.uint8).reshape(n_bytes, -1).T
+    return out.reshape(-1).view("<u8")
+
+
+def pack(keys: np.ndarray, n_bytes: int) -> bytes:
+    """Ascending keys below ``2**(8 * n_bytes)`` as the gaps between them."""
+    return planes(np.diff(keys, prepend=np.uint64(0)), n_bytes)
+
+
+def unpack(blob: bytes, n_bytes: int) -> np.ndarray:
+    return np.cumsum(from_planes(blob, n_bytes), dtype=np.uint64)
 
 
 def asks(keys48: np.ndarray, n_ranges: int) -> list[tuple[int, int, int]]:

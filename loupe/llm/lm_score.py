@@ -33,24 +33,14 @@ _ASKS = "g int, r int, keys binary, counts binary"
 _TOTALS = "g int, r int, kind byte, totals binary"
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    raw = np.zeros((len(blob) // KEY_BYTES, 8), np.uint8)
-    raw[:, :KEY_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, KEY_BYTES)
-    return raw.reshape(-1).view("<u8")
-
-
 def _numbers(x: np.ndarray) -> bytes:
     """Counts in the fewest of 1, 2, 4 or 8 bytes each."""
     top = int(x.max()) if len(x) else 0
-    return x.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if top < 1 << 8 * np.dtype(t).itemsize)).tobytes()
+    return C.planes(x, next(n for n in (1, 2, 4, 8) if top < 1 << 8 * n))
 
 
 def _from_numbers(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{max(1, len(blob) // max(n, 1))}").astype(np.int64)
+    return C.from_planes(blob, max(1, len(blob) // max(n, 1))).astype(np.int64)
 
 
 def _grams(tab: pa.Table):
@@ -72,7 +62,7 @@ def _ranges(keys: np.ndarray, n_ranges: int):
 def _ask_table(g: int, keys: np.ndarray, counts: np.ndarray, n_ranges: int) -> pa.Table:
     parts = _ranges(keys, n_ranges)
     return pa.table({"g": pa.array([g] * len(parts), pa.int32()), "r": pa.array([p[0] for p in parts], pa.int32()),
-                     "keys": pa.array([_pack(keys[i:j]) for _, i, j in parts], pa.binary()),
+                     "keys": pa.array([C.pack(keys[i:j], KEY_BYTES) for _, i, j in parts], pa.binary()),
                      "counts": pa.array([_numbers(counts[i:j]) for _, i, j in parts], pa.binary())})
 
 
@@ -86,7 +76,7 @@ def _low_orders(n_ranges: int):
 
 def _total(kind: int):
     def total(tab: pa.Table) -> pa.Table:
-        keys = [_unpack(b.as_py()) for b in tab["keys"]]
+        keys = [C.unpack(b.as_py(), KEY_BYTES) for b in tab["keys"]]
         counts = [_from_numbers(b.as_py(), len(k)) for b, k in zip(tab["counts"], keys)]
         uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.zeros(len(uniq), np.int64)

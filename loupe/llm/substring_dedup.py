@@ -35,7 +35,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,7 +132,7 @@ def _ask(n_ranges: int):
 def _asked(g: int, uniq: np.ndarray, n_ranges: int) -> pa.Table:
     parts = C.asks(uniq, n_ranges)
     return pa.table({"g": pa.array([g] * len(parts), pa.int32()), "r": pa.array([p[0] for p in parts], pa.int32()),
-                     "keys": pa.array([C.pack48(uniq[i:j]) for _, i, j in parts], pa.binary())})
+                     "keys": pa.array([C.pack(uniq[i:j], 6) for _, i, j in parts], pa.binary())})
 
 
 def _shared(key48: np.ndarray, docs: np.ndarray, replies: pa.Table, n_ranges: int) -> np.ndarray:
@@ -146,7 +145,7 @@ def _shared(key48: np.ndarray, docs: np.ndarray, replies: pa.Table, n_ranges: in
 
 
 def _reply(tab: pa.Table) -> pa.Table:
-    blobs = [C.unpack48(b.as_py()) for b in tab["keys"]]
+    blobs = [C.unpack(b.as_py(), 6) for b in tab["keys"]]
     _, inv, cnt = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
     many = cnt[inv] > 1
     out, at = [], 0
@@ -175,9 +174,11 @@ def _settle(k, s, doc):
     return np.where(doc > least, SPANS, ASK).astype(np.int8)
 
 
-def _spread(k, kind, row, at):
-    """Settled rows need no meeting place: deal them out evenly."""
-    return np.where(kind == SPANS, C.mix((row.astype(np.uint64) << np.uint64(32)) + at.astype(np.uint64)), k)
+def _spread(g: int, k, s, kind, row, at):
+    """Settled rows need no meeting place: deal them out evenly, by stretches of a row's text."""
+    settled = kind == SPANS
+    place = C.mix((np.uint64(g) << np.uint64(40)) ^ (row.astype(np.uint64) << np.uint64(16)) ^ (at.astype(np.uint64) >> np.uint64(12)))
+    return np.where(settled, place, k), np.where(settled, np.uint64(0), s)
 
 
 def _super_windows(n_ranges: int):
@@ -200,8 +201,8 @@ def _super_windows(n_ranges: int):
         zero = np.zeros(len(whole), np.uint64)
         spans = np.full(len(whole), SPANS, np.int8)
         return pa.concat_tables([
-            _out(_spread(key, kind, row, at), s, doc, row, at, n, kind, g),
-            _out(_spread(zero, spans, whole, zero.astype(np.int64)), zero, ids[whole], whole, zero, np.diff(offs)[whole] - LENGTH + 1, spans, g)])
+            _out(*_spread(g, key, s, kind, row, at), doc, row, at, n, kind, g),
+            _out(*_spread(g, zero, zero, spans, whole, zero), ids[whole], whole, zero, np.diff(offs)[whole] - LENGTH + 1, spans, g)])
     return refine
 
 
@@ -222,7 +223,6 @@ def _named(ids, data, offs, found: pa.Table):
 
 def _ask_windows(n_ranges: int):
     def ask(tab: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.filter(pc.equal(found["kind"], WINDOWS))
         if not len(found):
             return _asked(0, np.empty(0, np.uint64), n_ranges)
         ids, live, data, offs = _group(tab)
@@ -232,23 +232,16 @@ def _ask_windows(n_ranges: int):
 
 def _windows(n_ranges: int):
     def refine(tab: pa.Table, found: pa.Table) -> pa.Table:
-        if not len(found):
+        todo = found.filter(found["r"].is_null())
+        if not len(todo):
             return _ROWS.empty_table()
         g = tab["g"][0].as_py()
         ids, live, data, offs = _group(tab)
-        replies = found.filter(found["r"].is_valid())
-        done = found.filter(pc.equal(found["kind"], SPANS))
-        row, at, n = (done[c].to_numpy().astype(np.int64) for c in ("row", "at", "n"))
-        zero, kind = np.zeros(len(done), np.uint64), np.full(len(done), SPANS, np.int8)
-        out = [_out(_spread(zero, kind, row, at), zero, ids[row], row, at, n, kind, g)]
-        todo = found.filter(pc.equal(found["kind"], WINDOWS))
-        if len(todo):
-            k, s, wr, wa = _named(ids, data, offs, todo)
-            keep = _shared(k >> np.uint64(16), ids[wr], replies, n_ranges)
-            k, s, wr, wa = k[keep], s[keep], wr[keep], wa[keep]
-            kinds = _settle(k, s, ids[wr])
-            out.append(_out(_spread(k, kinds, wr, wa), s, ids[wr], wr, wa, np.ones(len(k), np.int32), kinds, g))
-        return pa.concat_tables(out)
+        k, s, row, at = _named(ids, data, offs, todo)
+        keep = _shared(k >> np.uint64(16), ids[row], found.filter(found["r"].is_valid()), n_ranges)
+        k, s, row, at = k[keep], s[keep], row[keep], at[keep]
+        kind = _settle(k, s, ids[row])
+        return _out(*_spread(g, k, s, kind, row, at), ids[row], row, at, np.ones(len(k), np.int32), kind, g)
     return refine
 
 
@@ -310,11 +303,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .withColumn("kind", F.when((F.col("kind") == SPANS) | (F.col("least") < F.col("doc_id")), SPANS)
                         .when(F.col("high") > F.col("low"), WINDOWS).otherwise(ASK).cast("byte"))
             .where(F.col("kind") != ASK).select("g", "row", "at", "n", "kind"))
-    held = (by_g.cogroup(told.groupBy("g")).applyInArrow(_ask_windows(n_ranges), "g int, r int, keys binary")
+    span = ["g", "row", "at", "n"]
+    todo = told.where(F.col("kind") == WINDOWS).select(*span)
+    held = (by_g.cogroup(todo.groupBy("g")).applyInArrow(_ask_windows(n_ranges), "g int, r int, keys binary")
             .groupBy("r").applyInArrow(_reply, "g int, r int, bits binary"))
-    single = by_g.cogroup(told.unionByName(held, allowMissingColumns=True).groupBy("g")).applyInArrow(_windows(n_ranges), _ROWS_DDL)
-    spans = (_least(single).where((F.col("kind") == SPANS) | (F.col("least") < F.col("doc_id")))
-             .select("g", "row", "at", "n"))
+    single = by_g.cogroup(todo.unionByName(held, allowMissingColumns=True).groupBy("g")).applyInArrow(_windows(n_ranges), _ROWS_DDL)
+    spans = (_least(single).where((F.col("kind") == SPANS) | (F.col("least") < F.col("doc_id"))).select(*span)
+             .unionByName(told.where(F.col("kind") == SPANS).select(*span)))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return by_g.cogroup(spans.groupBy("g")).applyInArrow(_remove(with_kept), schema + ", kept binary" * with_kept)
 
