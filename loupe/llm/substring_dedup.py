@@ -107,10 +107,10 @@ def _runs(live, data, offs):
     return tuple(np.concatenate(x) for x in (firsts, counts, poss, keys))
 
 
-def _known(keys48: np.ndarray, docs: np.ndarray):
+def _known(keys: np.ndarray, docs: np.ndarray):
     """Sorted distinct keys, the index of each input key in them, and which occur with two ids."""
-    order = np.lexsort((docs, keys48))
-    k, d = keys48[order], docs[order]
+    order = np.lexsort((docs, keys))
+    k, d = keys[order], docs[order]
     new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.empty(0, bool)
     at = np.flatnonzero(new)
     uniq = k[at]
@@ -120,27 +120,28 @@ def _known(keys48: np.ndarray, docs: np.ndarray):
     return uniq, idx, multi
 
 
-def _ask(n_ranges: int):
+def _ask(n_ranges: int, bits: int):
     def ask(tab: pa.Table, copies: pa.Table) -> pa.Table:
         ids, live, data, offs = _group(tab)
         _, live = _skip_copies(live, _sorted(tab), copies)
         _, _, _, key = _runs(live, data, offs)
-        return _asked(tab["g"][0].as_py(), np.unique(key >> np.uint64(16)), n_ranges)
+        return _asked(tab["g"][0].as_py(), key, n_ranges, bits)
     return ask
 
 
-def _asked(g: int, uniq: np.ndarray, n_ranges: int) -> pa.Table:
-    parts = C.asks(uniq, n_ranges)
+def _asked(g: int, names: np.ndarray, n_ranges: int, bits: int) -> pa.Table:
+    uniq = np.unique(names >> np.uint64(64 - bits))
+    parts = C.asks(uniq << np.uint64(48 - bits), n_ranges)
     return pa.table({"g": pa.array([g] * len(parts), pa.int32()), "r": pa.array([p[0] for p in parts], pa.int32()),
                      "keys": pa.array([C.pack(uniq[i:j], 6) for _, i, j in parts], pa.binary())})
 
 
-def _shared(key48: np.ndarray, docs: np.ndarray, replies: pa.Table, n_ranges: int) -> np.ndarray:
-    """Which keys occur with two ids, in this group or by the replies."""
-    uniq, idx, multi = _known(key48, docs)
-    bits = {r: b for r, b in zip(replies["r"].to_pylist(), replies["bits"].to_pylist()) if r is not None}
-    for r, i, j in C.asks(uniq, n_ranges):
-        multi[i:j] |= np.unpackbits(np.frombuffer(bits[r], np.uint8), count=j - i).astype(bool)
+def _shared(names: np.ndarray, docs: np.ndarray, replies: pa.Table, n_ranges: int, bits: int) -> np.ndarray:
+    """Which names occur with two ids, in this group or by the replies; by their first ``bits`` bits, so a few others too."""
+    uniq, idx, multi = _known(names >> np.uint64(64 - bits), docs)
+    told = {r: b for r, b in zip(replies["r"].to_pylist(), replies["bits"].to_pylist()) if r is not None}
+    for r, i, j in C.asks(uniq << np.uint64(48 - bits), n_ranges):
+        multi[i:j] |= np.unpackbits(np.frombuffer(told[r], np.uint8), count=j - i).astype(bool)
     return multi[idx]
 
 
@@ -174,14 +175,24 @@ def _settle(k, s, doc):
     return np.where(doc > least, SPANS, ASK).astype(np.int8)
 
 
-def _spread(g: int, k, s, kind, row, at):
-    """Settled rows need no meeting place: deal them out evenly, by stretches of a row's text."""
+def _pieces(g: int, k, s, doc, row, at, n, kind) -> pa.Table:
+    """One row per string, in the order of the text; settled neighbours are one row.
+
+    Settled rows need no meeting place: they are dealt out evenly, by stretches of a row's text.
+    """
+    order = np.lexsort((at, row))
+    k, s, doc, row, at, n, kind = (x[order] for x in (k, s, doc, row, at, n, kind))
     settled = kind == SPANS
+    first = np.ones(len(k), bool)
+    first[1:] = ~settled[1:] | ~settled[:-1] | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + n[:-1])
+    begin = np.flatnonzero(first)
+    n = np.add.reduceat(n, begin) if len(begin) else n
+    k, s, doc, row, at, kind, settled = (x[begin] for x in (k, s, doc, row, at, kind, settled))
     place = C.mix((np.uint64(g) << np.uint64(40)) ^ (row.astype(np.uint64) << np.uint64(16)) ^ (at.astype(np.uint64) >> np.uint64(12)))
-    return np.where(settled, place, k), np.where(settled, np.uint64(0), s)
+    return _out(np.where(settled, place, k), np.where(settled, np.uint64(0), s), doc, row, at, n, kind, g)
 
 
-def _super_windows(n_ranges: int):
+def _super_windows(n_ranges: int, bits: int):
     def refine(tab: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(tab):
             return _ROWS.empty_table()
@@ -190,7 +201,7 @@ def _super_windows(n_ranges: int):
         copy, live = _skip_copies(live, _sorted(tab), replies.filter(replies["r"].is_null()))
         first, count, pos, key = _runs(live, data, offs)
         row = np.searchsorted(offs, first, "right") - 1
-        keep = _shared(key >> np.uint64(16), ids[row], replies, n_ranges)
+        keep = _shared(key, ids[row], replies, n_ranges, bits)
         at, n, key, row = first[keep], count[keep], key[keep], row[keep]
         view = memoryview(np.ascontiguousarray(data))
         s = np.fromiter((xxhash.xxh3_64_intdigest(view[a:a + m]) for a, m in zip(at.tolist(), (n + LENGTH - 1).tolist())), np.uint64, len(at))
@@ -201,8 +212,8 @@ def _super_windows(n_ranges: int):
         zero = np.zeros(len(whole), np.uint64)
         spans = np.full(len(whole), SPANS, np.int8)
         return pa.concat_tables([
-            _out(*_spread(g, key, s, kind, row, at), doc, row, at, n, kind, g),
-            _out(*_spread(g, zero, zero, spans, whole, zero), ids[whole], whole, zero, np.diff(offs)[whole] - LENGTH + 1, spans, g)])
+            _pieces(g, key, s, doc, row, at, n, kind),
+            _pieces(g, zero, zero, ids[whole], whole, zero.astype(np.int64), np.diff(offs)[whole] - LENGTH + 1, spans)])
     return refine
 
 
@@ -221,16 +232,16 @@ def _named(ids, data, offs, found: pa.Table):
     return names[0], names[1], np.repeat(rw, nw), np.repeat(aw, nw) + i
 
 
-def _ask_windows(n_ranges: int):
+def _ask_windows(n_ranges: int, bits: int):
     def ask(tab: pa.Table, found: pa.Table) -> pa.Table:
         if not len(found):
-            return _asked(0, np.empty(0, np.uint64), n_ranges)
+            return _asked(0, np.empty(0, np.uint64), n_ranges, bits)
         ids, live, data, offs = _group(tab)
-        return _asked(tab["g"][0].as_py(), np.unique(_named(ids, data, offs, found)[0] >> np.uint64(16)), n_ranges)
+        return _asked(tab["g"][0].as_py(), _named(ids, data, offs, found)[0], n_ranges, bits)
     return ask
 
 
-def _windows(n_ranges: int):
+def _windows(n_ranges: int, bits: int):
     def refine(tab: pa.Table, found: pa.Table) -> pa.Table:
         todo = found.filter(found["r"].is_null())
         if not len(todo):
@@ -238,10 +249,9 @@ def _windows(n_ranges: int):
         g = tab["g"][0].as_py()
         ids, live, data, offs = _group(tab)
         k, s, row, at = _named(ids, data, offs, todo)
-        keep = _shared(k >> np.uint64(16), ids[row], found.filter(found["r"].is_valid()), n_ranges)
+        keep = _shared(k, ids[row], found.filter(found["r"].is_valid()), n_ranges, bits)
         k, s, row, at = k[keep], s[keep], row[keep], at[keep]
-        kind = _settle(k, s, ids[row])
-        return _out(*_spread(g, k, s, kind, row, at), ids[row], row, at, np.ones(len(k), np.int32), kind, g)
+        return _pieces(g, k, s, ids[row], row, at, np.ones(len(k), np.int64), _settle(k, s, ids[row]))
     return refine
 
 
@@ -289,14 +299,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = C.total_bytes(docs)
     n_groups, n_ranges = C.n_parts(size, group_bytes), C.n_parts(size / (SPAN / 2), range_keys)
+    # asks only sort out what can't repeat: 16 times as many names as windows keep chance hits few
+    bits = min(48, max(24, size.bit_length() + 4))
     text = C.grouped(docs.withColumn("h", F.xxhash64("text")), n_groups, "doc_id", "text")
     by_g = text.groupBy("g")
     slim = text.where("doc_id is not null").select("g", "doc_id", "h", F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").alias("n"))
     first = slim.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first")
     copies = C.keep(slim.join(C.keep(first).hint("merge"), ["h", "h2", "n"]).where("doc_id > first").select("g", "doc_id", "h"))
-    asked = by_g.cogroup(copies.groupBy("g")).applyInArrow(_ask(n_ranges), "g int, r int, keys binary")
+    asked = by_g.cogroup(copies.groupBy("g")).applyInArrow(_ask(n_ranges, bits), "g int, r int, keys binary")
     replies = asked.groupBy("r").applyInArrow(_reply, "g int, r int, bits binary").unionByName(copies, allowMissingColumns=True)
-    pieces = by_g.cogroup(replies.groupBy("g")).applyInArrow(_super_windows(n_ranges), _ROWS_DDL)
+    pieces = by_g.cogroup(replies.groupBy("g")).applyInArrow(_super_windows(n_ranges, bits), _ROWS_DDL)
     by_k = Window.partitionBy("k")
     told = (_least(pieces.repartition("k"))
             .withColumn("low", F.min("doc_id").over(by_k)).withColumn("high", F.max("least").over(by_k))
@@ -305,9 +317,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .where(F.col("kind") != ASK).select("g", "row", "at", "n", "kind"))
     span = ["g", "row", "at", "n"]
     todo = told.where(F.col("kind") == WINDOWS).select(*span)
-    held = (by_g.cogroup(todo.groupBy("g")).applyInArrow(_ask_windows(n_ranges), "g int, r int, keys binary")
+    held = (by_g.cogroup(todo.groupBy("g")).applyInArrow(_ask_windows(n_ranges, bits), "g int, r int, keys binary")
             .groupBy("r").applyInArrow(_reply, "g int, r int, bits binary"))
-    single = by_g.cogroup(todo.unionByName(held, allowMissingColumns=True).groupBy("g")).applyInArrow(_windows(n_ranges), _ROWS_DDL)
+    single = by_g.cogroup(todo.unionByName(held, allowMissingColumns=True).groupBy("g")).applyInArrow(_windows(n_ranges, bits), _ROWS_DDL)
     spans = (_least(single).where((F.col("kind") == SPANS) | (F.col("least") < F.col("doc_id"))).select(*span)
              .unionByName(told.where(F.col("kind") == SPANS).select(*span)))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
