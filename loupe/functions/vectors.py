@@ -10,13 +10,11 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# largest centre table (k x d numbers, or k x d x d with precisions) inlined
-# into a plan; above it the caller must use a join-based path
-MAX_CONSTANT_CELLS = 4_000_000
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
@@ -62,20 +60,14 @@ def sq_euclidean_distance(a: Column, b: Column) -> Column:
                        lambda acc, v: acc + v)
 
 
-def mahalanobis_distance(a: Column, c: Column, vi: Column) -> Column:
-    """sqrt((a - c)' VI (a - c)) with VI as array of rows."""
-    d = sub(a, c)
-    return F.sqrt(F.greatest(F.lit(0.0), dot(d, F.transform(vi, lambda row: dot(row, d)))))
-
-
 def weighted_sq_distance(a: Column, c: Column, w: Column) -> Column:
-    """sum_i w_i (a_i - c_i)^2: the mahalanobis form for a diagonal precision."""
+    """sum_i w_i (a_i - c_i)^2: the mahalanobis form for a diagonal precision, O(d)."""
     return F.aggregate(F.zip_with(F.zip_with(a, c, lambda x, y: x - y), w, lambda d, p: d * d * p),
                        F.lit(0.0), lambda acc, v: acc + v)
 
 
 def distance(metric: str, x: Column, c: Column, x_norm: Column | None = None,
-             c_norm: Column | None = None, vi: Column | None = None, vd: Column | None = None) -> Column:
+             c_norm: Column | None = None, vd: Column | None = None) -> Column:
     if metric == "cosine":
         return cosine_distance(x, c, x_norm, c_norm)
     if metric == "euclidean":
@@ -83,20 +75,12 @@ def distance(metric: str, x: Column, c: Column, x_norm: Column | None = None,
     if metric == "sqeuclidean":
         return sq_euclidean_distance(x, c)
     if metric == "mahalanobis":
-        if vd is not None:  # diagonal precisions: O(d) instead of O(d^2)
-            return F.sqrt(F.greatest(F.lit(0.0), weighted_sq_distance(x, c, vd)))
-        if vi is None:
+        if vd is None:
             raise ValueError("mahalanobis needs precision matrices")
-        return mahalanobis_distance(x, c, vi)
+        return F.sqrt(F.greatest(F.lit(0.0), weighted_sq_distance(x, c, vd)))
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def check_constant_size(n_cells: int, what: str = "centres") -> None:
-    if n_cells > MAX_CONSTANT_CELLS:
-        raise ValueError(f"{what} hold {n_cells} numbers, above the {MAX_CONSTANT_CELLS} "
-                         "that may be inlined into a plan")
-
-
 def constant(value, ddl: str) -> Column:
     """A (possibly large) constant of type ``ddl`` from Python data.
 
@@ -108,7 +92,6 @@ def constant(value, ddl: str) -> Column:
 
 
 CENTER_DDL = "array<struct<label:int,center:array<double>,cnorm:double>>"
-CENTER_VI_DDL = "array<struct<label:int,center:array<double>,cnorm:double,vi:array<array<double>>>>"
 CENTER_VD_DDL = "array<struct<label:int,center:array<double>,cnorm:double,vd:array<double>>>"
 
 
@@ -117,24 +100,44 @@ def is_diagonal(m) -> bool:
 
 
 def centers_literal(centers: list[tuple], precisions: dict | None = None) -> Column:
-    """Constant ``array<struct<label, center, cnorm[, vi]>>`` from collected centres.
+    """Constant ``array<struct<label, center, cnorm[, vd]>>`` from collected centres.
 
-    ``centers`` is a list of ``(label, vector)``; ``precisions`` maps label
-    to a d x d matrix (list of rows).
+    ``centers`` is a list of ``(label, vector)``: k x d numbers, set by the model
+    and not by the number of rows. ``precisions`` maps label to a diagonal
+    d x d matrix (list of rows); full matrices go by ``mahalanobis_udf``.
     """
-    cells = sum(len(v) for _, v in centers)
-    diag = bool(precisions) and all(is_diagonal(m) for m in precisions.values())
-    if precisions:
-        cells += sum(len(m) if diag else len(m) * len(m[0]) for m in precisions.values())
-    check_constant_size(cells)
     items = []
     for label, vec in centers:
         vec = [float(v) for v in vec]
         item = {"label": int(label), "center": vec, "cnorm": math.sqrt(sum(v * v for v in vec))}
-        if precisions and diag:
+        if precisions:
             item["vd"] = [float(row[i]) for i, row in enumerate(precisions[label])]
-        elif precisions:
-            item["vi"] = [[float(v) for v in row] for row in precisions[label]]
         items.append(item)
-    ddl = (CENTER_VD_DDL if diag else CENTER_VI_DDL) if precisions else CENTER_DDL
-    return constant(items, ddl)
+    return constant(items, CENTER_VD_DDL if precisions else CENTER_DDL)
+
+
+def mahalanobis_udf(spark: SparkSession, centers: list[tuple], precisions: dict):
+    """Function of a vector column: its distances to all centres, in their order.
+
+    The k centres and k full d x d matrices are one broadcast variable (too
+    many numbers for a literal at embedding widths); each Arrow batch is
+    multiplied with them in numpy. A null vector gives null.
+    """
+    model = spark.sparkContext.broadcast(
+        [(np.array(c, dtype=float), np.array(precisions[label], dtype=float)) for label, c in centers])
+
+    @F.pandas_udf("array<double>")
+    def all_centers(x: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(x), dtype=object)
+        there = np.flatnonzero(x.notna().to_numpy())
+        if len(there):
+            rows = np.stack([np.asarray(v, dtype=float) for v in x.iloc[there]])
+            dist = np.empty((len(rows), len(model.value)))
+            for j, (c, vi) in enumerate(model.value):
+                diff = rows - c
+                dist[:, j] = np.sqrt(np.maximum(np.einsum("ij,ij->i", diff @ vi.T, diff), 0.0))
+            for i, d in zip(there, dist):
+                out[i] = d
+        return out
+
+    return all_centers

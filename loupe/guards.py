@@ -1,4 +1,4 @@
-"""Size guards for data that is broadcast or brought to the driver."""
+"""Size checks for data that is broadcast or brought to the driver."""
 
 from __future__ import annotations
 
@@ -10,19 +10,16 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def bounded_broadcast(df: DataFrame, what: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a small derived table after proving its size.
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a small derived table after proving its size, else leave the join to Spark.
 
-    The table (typically one row per label) is cached, counted and refused
-    above ``max_rows``; the join then reads the cached rows, so the count
-    costs no second pass over the data it was aggregated from.
+    The table (typically one narrow row per label) is cached and counted; the
+    join then reads the cached rows, so the count costs no second pass over the
+    data it was aggregated from. Above ``max_rows`` the table comes back without
+    the hint, for a shuffled join.
     """
     small = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.count()
-    if n > max_rows:
-        small.unpersist()
-        raise ValueError(f"{what} has {n} rows, above the {max_rows} allowed for a broadcast")
-    return F.broadcast(small)
+    return F.broadcast(small) if small.count() <= max_rows else small
 
 
 # most rows of a per-label / per-language table brought to the driver

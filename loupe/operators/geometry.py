@@ -1,7 +1,7 @@
 """Cluster geometry: centres, distances, central reviews, silhouettes, merge.
 
 Per-row work is a projection against centres inlined as a constant (k x d
-numbers, size-checked); per-cluster statistics are partial aggregations
+numbers; full precision matrices are a broadcast variable); per-cluster statistics are partial aggregations
 (``Summarizer`` on MLlib vectors), so a cluster holding most rows still
 combines map-side. Nothing collects rows; only k-sized tables reach the
 driver.
@@ -41,15 +41,18 @@ def collect_centers(c) -> list[tuple[int, list[float]]]:
     """Bring a centre table (k rows) to the driver, sorted by label.
 
     Accepts a DataFrame with ``label, center`` or a list of ``(label, vector)``.
-    The size is checked before anything is inlined into a later plan.
     """
     if isinstance(c, DataFrame):
         rows = sorted(collect_bounded(c.select("label", "center"), "centre table"), key=lambda r: r["label"])
-        out = [(int(r["label"]), [float(v) for v in r["center"]]) for r in rows]
-    else:
-        out = [(int(lbl), [float(v) for v in vec]) for lbl, vec in c]
-    V.check_constant_size(sum(len(v) for _, v in out))
-    return out
+        return [(int(r["label"]), [float(v) for v in r["center"]]) for r in rows]
+    return [(int(lbl), [float(v) for v in vec]) for lbl, vec in c]
+
+
+def collect_sized_centers(c: DataFrame) -> tuple[list[tuple[int, list[float]]], dict[int, int]]:
+    """The centres of ``c`` (label, center, n) and the size of each cluster, in one job."""
+    rows = collect_bounded(c.select("label", "center", "n"), "centre table")
+    return collect_centers([(r["label"], r["center"]) for r in sorted(rows, key=lambda r: r["label"])]), {
+        int(r["label"]): int(r["n"]) for r in rows}
 
 
 def centers_long(c: DataFrame, value_col: str = "center") -> DataFrame:
@@ -73,23 +76,31 @@ def _prec_map(precisions) -> dict | None:
     return {int(k): [list(map(float, row)) for row in m] for k, m in precisions.items()}
 
 
+def _diagonal(precisions: dict) -> bool:
+    return all(V.is_diagonal(m) for m in precisions.values())
+
+
 def distances(df: DataFrame, centers_, metric: str = "cosine", precisions=None,
               vec_col: str = VEC, key: str = KEY, keep=()) -> DataFrame:
     """Distance of every row to every centre, ``(key, center_label, distance)``.
 
     The k centres are one constant array; each row expands to k rows with
-    ``inline`` - no join, no shuffle.
+    ``inline`` - no join, no shuffle. Full precision matrices are a broadcast
+    variable that a pandas UDF reads.
     """
     cl = collect_centers(centers_)
     pm = _prec_map(precisions) if metric == "mahalanobis" else None
-    C = V.centers_literal(cl, pm)
     x = F.col(vec_col)
+    if pm and not _diagonal(pm):
+        names = V.constant([label for label, _ in cl], "array<int>")
+        all_centers = V.mahalanobis_udf(df.sparkSession, cl, pm)(x.cast("array<double>"))
+        return df.select(F.col(key), *keep, all_centers.alias("_d")).select(F.col(key), *keep, F.inline(F.zip_with(
+            names, "_d", lambda n, d: F.struct(n.alias("center_label"), d.alias("distance")))))
+    C = V.centers_literal(cl, pm)
     base = df.select(F.col(key), *keep, x.alias("_x"), V.norm(x).alias("_xn"))
-    diag = bool(pm) and all(V.is_diagonal(m) for m in pm.values())
     dist = F.transform(C, lambda c: F.struct(
         c["label"].alias("center_label"),
-        V.distance(metric, F.col("_x"), c["center"], F.col("_xn"), c["cnorm"],
-                   c["vi"] if pm and not diag else None, c["vd"] if diag else None).alias("distance")))
+        V.distance(metric, F.col("_x"), c["center"], F.col("_xn"), c["cnorm"], c["vd"] if pm else None).alias("distance")))
     return base.select(F.col(key), *keep, F.inline(dist))
 
 
@@ -101,13 +112,16 @@ def own_center_distance(df: DataFrame, centers_, metric: str = "cosine", precisi
     """
     cl = collect_centers(centers_)
     pm = _prec_map(precisions) if metric == "mahalanobis" else None
+    x = F.col(vec_col)
+    if pm and not _diagonal(pm):
+        place = F.array_position(V.constant([label for label, _ in cl], "array<int>"), F.col(label_col).cast("int"))
+        all_centers = V.mahalanobis_udf(df.sparkSession, cl, pm)(x.cast("array<double>"))
+        return df.select(F.col(key), F.col(label_col).alias("label"), place.cast("int").alias("_at"), all_centers.alias("_d")).select(
+            F.col(key), "label", F.when(F.col("_at") > 0, F.element_at("_d", F.col("_at"))).alias("distance"))
     C = V.centers_literal(cl, pm)
     lookup = F.map_from_arrays(F.transform(C, lambda c: c["label"]), C)
     own = F.element_at(lookup, F.col(label_col))
-    x = F.col(vec_col)
-    diag = bool(pm) and all(V.is_diagonal(m) for m in pm.values())
-    d = V.distance(metric, x, own["center"], None, own["cnorm"],
-                   own["vi"] if pm and not diag else None, own["vd"] if diag else None)
+    d = V.distance(metric, x, own["center"], None, own["cnorm"], own["vd"] if pm else None)
     return df.select(F.col(key), F.col(label_col).alias("label"), d.alias("distance"))
 
 
@@ -152,18 +166,21 @@ def cluster_sizes(labels: DataFrame, label_col: str = "label") -> DataFrame:
     return labels.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def central_indices(dist: DataFrame, k: int, sizes: DataFrame, key: str = KEY) -> DataFrame:
+def central_indices(dist: DataFrame, k: int, sizes: DataFrame | dict[int, int], key: str = KEY) -> DataFrame:
     """The k rows nearest each centre, capped by the cluster's size.
 
     Candidates are all rows, not only members. ``row_number() <= k`` with a
     literal k plans as a partial WindowGroupLimit (k rows per task and
     centre before the shuffle); the size cap is applied after, against the
-    k-row size table.
+    cluster sizes (a ``{label: n}`` of the centres, or a table).
     """
     w = Window.partitionBy("center_label").orderBy(F.col("distance"), F.col(key))
     top = dist.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    size_tab = bounded_broadcast(sizes.select(F.col("label").alias("center_label"), "n"), "cluster size table")
-    capped = top.join(size_tab, "center_label")
+    if isinstance(sizes, dict):
+        pairs = V.constant([{"l": label, "n": n} for label, n in sorted(sizes.items())], "array<struct<l:int,n:bigint>>")
+        capped = top.withColumn("n", F.try_element_at(F.map_from_entries(pairs), F.col("center_label")))
+    else:
+        capped = top.join(bounded_broadcast(sizes.select(F.col("label").alias("center_label"), "n")), "center_label")
     return (capped.where(F.col("rank") <= F.col("n"))
             .select(F.col("center_label").alias("label"), F.col(key), "distance",
                     F.col("rank").cast("bigint").alias("rank")))
@@ -175,11 +192,15 @@ def central_reviews(df: DataFrame, centers_, k: int, texts: DataFrame, metric: s
     """Central ids per label with their distance and text.
 
     At most ``k`` x (number of centres) rows carry a text, so the text
-    table is only scanned and filtered against those broadcast ids.
+    table is only scanned and filtered against those broadcast ids. Cluster
+    sizes are the ``n`` of a centre table, else counted over the labels.
     """
-    cl = collect_centers(centers_)
+    if isinstance(centers_, DataFrame) and "n" in centers_.columns:
+        cl, sizes = collect_sized_centers(centers_)
+    else:
+        cl, sizes = collect_centers(centers_), cluster_sizes(df, label_col)
     dist = distances(df, cl, metric, precisions, vec_col, key)
-    top = central_indices(dist, k, cluster_sizes(df, label_col), key)
+    top = central_indices(dist, k, sizes, key)
     # the top table has at most k x (number of centres) rows, a proven bound:
     # broadcast its ids so the text table is filtered where it is scanned
     # (never shuffled), then attach the few texts
@@ -216,7 +237,7 @@ def center_distance_density(own: DataFrame, n_grid: int = 100) -> DataFrame:
     lo, hi = float(bounds["lo"]), float(bounds["hi"])
     grid = [lo + (hi - lo) * i / (n_grid - 1) for i in range(n_grid)] if n_grid > 1 else [lo]
     g = F.array(*[F.lit(v) for v in grid])
-    j = own.join(bounded_broadcast(stats, "per-label statistics"), "label")
+    j = own.join(bounded_broadcast(stats), "label")
     h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     contrib = F.transform(g, lambda x, i: F.struct(
         i.alias("grid"), x.alias("x"),
@@ -249,11 +270,8 @@ def silhouette_samples(df: DataFrame, label_col: str = "label", vec_col: str = V
         F.count(F.lit(1)).alias("n"),
         F.sum(V.sq_norm(F.col("_u"))).alias("q"))
     stats = sorted(collect_bounded(stats, "per-label sums"), key=lambda r: r["label"])
-    V.check_constant_size(sum(len(r["s"]) for r in stats))
-    C = F.array(*[F.struct(F.lit(int(r["label"])).alias("label"),
-                           F.array(*[F.lit(float(v)) for v in r["s"]]).alias("s"),
-                           F.lit(float(r["n"])).alias("n"),
-                           F.lit(float(r["q"])).alias("q")) for r in stats])
+    C = V.constant([{"label": int(r["label"]), "s": [float(v) for v in r["s"]], "n": float(r["n"]), "q": float(r["q"])} for r in stats],
+                   "array<struct<label:int,s:array<double>,n:double,q:double>>")
     u = F.col("_u")
     uu = V.sq_norm(u)
 

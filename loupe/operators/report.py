@@ -81,7 +81,7 @@ def rank_in_group(df: DataFrame, group_col: str, order_cols: list[str]) -> DataF
     starts = sizes.select(group_col, "_n", F.coalesce(F.sum("_n").over(
         Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     # one row per group (the label set), size checked
-    return (pos.join(bounded_broadcast(starts, "group offsets"), group_col)
+    return (pos.join(bounded_broadcast(starts), group_col)
             .withColumn("_rank", F.col("_pos") - F.col("_start")).drop("_pos", "_start"))
 
 
@@ -99,7 +99,7 @@ def silhouette_bands(sil: DataFrame, label_col: str = "label", value_col: str =
     ordinals = base.select("label").distinct().select(
         "label", F.row_number().over(Window.orderBy("label")).alias("_ord"))
     # one row per label, size checked
-    return (pos.join(bounded_broadcast(ordinals, "label ordinals"), "label")
+    return (pos.join(bounded_broadcast(ordinals), "label")
             .select("review_id", "label", "silhouette",
                     (F.col("_pos") + F.lit(gap) * F.col("_ord")).cast("bigint").alias("y")))
 
@@ -122,7 +122,7 @@ def exact_quantiles(df: DataFrame, group_col: str, value_col: str, probs) -> Dat
             .withColumn("_hi", F.ceil("_h").cast("bigint")))
     picks = want.select("_g", "p", "_h", "_lo", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank"))
     # at most 2 rows per (group, p), size checked
-    got = ranked.join(bounded_broadcast(picks, "quantile ranks"), ["_g", "_rank"]).select(
+    got = ranked.join(bounded_broadcast(picks), ["_g", "_rank"]).select(
         "_g", "p", "_h", "_lo", F.when(F.col("_rank") == F.col("_lo"), F.col("_v")).alias("_vlo"),
         F.when(F.col("_rank") == F.col("_lo") + F.when(F.col("_h") > F.col("_lo"), 1).otherwise(0),
                F.col("_v")).alias("_vhi"))
@@ -144,7 +144,7 @@ def boxplot_stats(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
               F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3")))
     # one row per group, size checked
     j = df.where(F.col(value_col).isNotNull()).select(F.col(group_col).alias("grp"), F.col(value_col).alias("v")).join(
-        bounded_broadcast(q, "quartile table"), "grp")
+        bounded_broadcast(q), "grp")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("v") >= lo) & (F.col("v") <= hi)

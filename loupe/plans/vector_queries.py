@@ -81,6 +81,25 @@ def distances_mahalanobis(spark, sf_dir):
     return _dist_out(G.distances(v, G.centers(v), "mahalanobis", precisions=prec))
 
 
+def _full_precisions(v):
+    """One non-diagonal matrix per label: the identity plus the outer product of its centre."""
+    idx = F.sequence(F.lit(0), F.size("center") - 1)
+    return G.centers(v).select("label", F.transform(idx, lambda i: F.transform(
+        idx, lambda j: F.col("center")[i] * F.col("center")[j] + F.when(i == j, 1.0).otherwise(0.0))).alias("vi"))
+
+
+def distances_mahalanobis_full(spark, sf_dir):
+    v = _vec(spark, sf_dir)
+    prec = G.format_precisions(_full_precisions(v), "full", 64)
+    return _dist_out(G.distances(v, G.centers(v), "mahalanobis", precisions=prec))
+
+
+def own_center_distance_mahalanobis(spark, sf_dir):
+    v = _vec(spark, sf_dir)
+    prec = G.format_precisions(_full_precisions(v), "full", 64)
+    return _dist_out(G.own_center_distance(v, G.centers(v), "mahalanobis", precisions=prec))
+
+
 def own_center_distance(spark, sf_dir):
     v = _vec(spark, sf_dir)
     return _dist_out(G.own_center_distance(v, G.centers(v), "cosine"))
@@ -118,14 +137,13 @@ def precisions_tied(spark, sf_dir):
 
 
 def precisions_full(spark, sf_dir):
-    diag = G.format_precisions(_diag_precisions(_vec(spark, sf_dir)), "diag", 64)
-    return _prec_long(G.format_precisions(diag, "full", 64))
+    return _prec_long(G.format_precisions(_full_precisions(_vec(spark, sf_dir)), "full", 64))
 
 
 def central_indices(spark, sf_dir):
     v = _vec(spark, sf_dir)
-    dist = G.distances(v, G.centers(v), "cosine")
-    return _dist_out(G.central_indices(dist, CENTRAL_K, G.cluster_sizes(v)))
+    cl, sizes = G.collect_sized_centers(G.centers(v))
+    return _dist_out(G.central_indices(G.distances(v, cl, "cosine"), CENTRAL_K, sizes))
 
 
 def central_reviews(spark, sf_dir):
@@ -248,6 +266,8 @@ QUERIES = {
     "distances_cosine": distances_cosine,
     "distances_euclidean": distances_euclidean,
     "distances_mahalanobis": distances_mahalanobis,
+    "distances_mahalanobis_full": distances_mahalanobis_full,
+    "own_center_distance_mahalanobis": own_center_distance_mahalanobis,
     "own_center_distance": own_center_distance,
     "precisions_spherical": precisions_spherical,
     "precisions_diag": precisions_diag,
@@ -320,6 +340,8 @@ a1 AS (SELECT review_id, label, distance FROM (
          FROM e, c0) WHERE rn = 1)"""
 _UPD1 = """c1l AS (SELECT a1.label, eln.dim, AVG(eln.v) AS c FROM eln JOIN a1 USING (review_id) GROUP BY ALL),
 c1 AS (SELECT label, list(c ORDER BY dim) AS cx FROM c1l GROUP BY label)"""
+# with a precision of identity plus the centre's outer product: |x - c|^2 + (c . (x - c))^2
+_FULL = f"round(sqrt(list_distance(e.x, cv.cx) ** 2 + (list_dot_product(cv.cx, e.x) - list_dot_product(cv.cx, cv.cx)) ** 2), {P})"
 _MERGE_CASE = "CASE WHEN label IN (2) THEN 1 WHEN label IN (3, 7) THEN 5 ELSE label END"
 _MERGED = f"mg AS (SELECT review_id, CAST(dense_rank() OVER (ORDER BY {_MERGE_CASE}) - 1 AS INTEGER) AS label, x FROM e)"
 
@@ -335,9 +357,13 @@ SQL = {
         "SELECT el.review_id, cen.label AS center_label, round(sqrt(SUM((el.v - cen.c) * (el.v - cen.c) * dprec.p)), "
         f"{P}) AS distance FROM el JOIN cen ON el.dim = cen.dim JOIN dprec ON dprec.label = cen.label AND dprec.dim = cen.dim "
         "GROUP BY ALL"),
+    "distances_mahalanobis_full": _w(_E) + f"SELECT e.review_id, cv.label AS center_label, {_FULL} AS distance FROM e, cv",
+    "own_center_distance_mahalanobis": _w(_E) + f"SELECT e.review_id, e.label, {_FULL} AS distance FROM e JOIN cv USING (label)",
     "own_center_distance": _w(_E, _OWN) + f"SELECT review_id, label, round(distance, {P}) AS distance FROM own",
     "precisions_diag": _w(_E) + _diag_long("dprec"),
-    "precisions_full": _w(_E) + _diag_long("dprec"),
+    "precisions_full": _w(_E) + (
+        "SELECT a.label, CAST(a.dim AS INTEGER) AS row, CAST(b.dim AS INTEGER) AS col, "
+        f"round(a.c * b.c + CASE WHEN a.dim = b.dim THEN 1.0 ELSE 0.0 END, {P}) AS value FROM cen a JOIN cen b USING (label)"),
     "precisions_spherical": _w(_E, "sp AS (SELECT label, 1.0 / (AVG(vp) + 1e-6) AS p FROM var GROUP BY label)",
                                "spd AS (SELECT sp.label, CAST(i AS INTEGER) AS dim, sp.p FROM sp, range(64) t(i))") + _diag_long("spd"),
     "precisions_tied": _w(_E, "pool AS (SELECT dim, SUM(vp * n) / SUM(n) AS pv FROM var GROUP BY dim)",

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from loupe.guards import bounded_broadcast
 from loupe.operators import geometry as G
 from loupe.operators import report
 
@@ -192,3 +193,28 @@ def test_exact_quantiles_match_numpy(spark):
         vals = np.array([v for gg, v in rows if gg == g])
         for p in (0.0, 0.25, 0.5, 0.9, 1.0):
             assert abs(got[(g, p)] - np.quantile(vals, p)) < 1e-12
+
+
+def test_full_mahalanobis_at_embedding_width(spark):
+    rng = np.random.default_rng(5)
+    d, k = 768, 10
+    x, c = rng.normal(size=(20, d)), rng.normal(size=(k, d))
+    half = rng.normal(size=(k, d, d)) / d
+    vi = half @ half.transpose(0, 2, 1) + np.eye(d)
+    df = spark.createDataFrame([(i, i % k, row.tolist()) for i, row in enumerate(x)] + [(99, 0, None), (98, 77, x[0].tolist())],
+                               "review_id long, label int, embedding array<double>")
+    centers = [(j, row.tolist()) for j, row in enumerate(c)]
+    prec = {j: vi[j].tolist() for j in range(k)}
+    diff = x[:, None, :] - c[None]
+    want = np.sqrt(np.einsum("nkd,kde,nke->nk", diff, vi, diff))
+    got = {(r.review_id, r.center_label): r.distance for r in G.distances(df, centers, "mahalanobis", prec).collect()}
+    assert all(abs(got[i, j] - want[i, j]) < 1e-8 for i in range(20) for j in range(k))
+    own = {r.review_id: r.distance for r in G.own_center_distance(df, centers, "mahalanobis", prec).collect()}
+    assert all(abs(own[i] - want[i, i % k]) < 1e-8 for i in range(20))
+    assert own[99] is None and own[98] is None  # no vector; no such centre
+
+
+def test_broadcast_only_below_the_bound(spark):
+    df = spark.range(5)
+    plan = lambda bound: spark.range(9).join(bounded_broadcast(df, bound), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(5) and "broadcast" not in plan(4)
