@@ -22,7 +22,7 @@ EPS = 2.220446049250313e-16  # float64 machine epsilon
 
 
 def mutual_info_parts(df: DataFrame, u: str, v: str):
-    """Return (N, MI, H_u, H_v, row marginals df, column marginals list)."""
+    """(N, MI, H_u, H_v, row marginals df, column marginals list, the cached contingency table they read)."""
     pairs = df.select(F.col(u).alias("u"), F.col(v).alias("v"))
     cont = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("nij")).persist()
     a = cont.groupBy("u").agg(F.sum("nij").alias("a"))
@@ -39,8 +39,7 @@ def mutual_info_parts(df: DataFrame, u: str, v: str):
                    .alias("mi")).first())
     mi = max(float(h_u_mi["mi"] or 0.0), 0.0)
     h_u = float(a.agg(F.sum(-(F.col("a") / n) * F.log(F.col("a") / n))).first()[0] or 0.0)
-    cont.unpersist()
-    return n, mi, h_u, h_v, a, b_rows
+    return n, mi, h_u, h_v, a, b_rows, cont
 
 
 def expected_mutual_info(a: DataFrame, b_rows, n: float) -> float:
@@ -66,16 +65,14 @@ def expected_mutual_info(a: DataFrame, b_rows, n: float) -> float:
 
 def adjusted_mutual_info(df: DataFrame, u: str, v: str) -> float:
     """AMI with the arithmetic mean of the entropies as normaliser."""
-    n, mi, h_u, h_v, a, b_rows = mutual_info_parts(df, u, v)
-    n_u = a.count()
-    if (n_u == len(b_rows) == 1) or (n_u == len(b_rows) == 0):
-        return 1.0
-    emi = expected_mutual_info(a, b_rows, n)
+    n, mi, h_u, h_v, a, b_rows, cont = mutual_info_parts(df, u, v)
+    try:
+        n_u = a.count()
+        if (n_u == len(b_rows) == 1) or (n_u == len(b_rows) == 0):
+            return 1.0
+        emi = expected_mutual_info(a, b_rows, n)
+    finally:
+        cont.unpersist()
     denom = 0.5 * (h_u + h_v) - emi
     denom = min(denom, -EPS) if denom < 0 else max(denom, EPS)
     return (mi - emi) / denom
-
-
-def adjusted_mutual_info_df(df: DataFrame, u: str, v: str) -> DataFrame:
-    spark = df.sparkSession
-    return spark.createDataFrame([(float(adjusted_mutual_info(df, u, v)),)], "ami double")

@@ -67,7 +67,8 @@ def normalize_rows(df: DataFrame, vec_col: str = VEC) -> DataFrame:
 
 # ---------------------------------------------------------------- distances
 
-def _prec_map(precisions) -> dict | None:
+def precision_matrices(precisions) -> dict | None:
+    """Label -> matrix (list of rows) of a ``(label, vi)`` table or a mapping."""
     if precisions is None:
         return None
     if isinstance(precisions, DataFrame):
@@ -89,7 +90,7 @@ def distances(df: DataFrame, centers_, metric: str = "cosine", precisions=None,
     variable that a pandas UDF reads.
     """
     cl = collect_centers(centers_)
-    pm = _prec_map(precisions) if metric == "mahalanobis" else None
+    pm = precision_matrices(precisions) if metric == "mahalanobis" else None
     x = F.col(vec_col)
     if pm and not _diagonal(pm):
         names = V.constant([label for label, _ in cl], "array<int>")
@@ -111,7 +112,7 @@ def own_center_distance(df: DataFrame, centers_, metric: str = "cosine", precisi
     The centre is looked up in a constant map keyed by label: a projection.
     """
     cl = collect_centers(centers_)
-    pm = _prec_map(precisions) if metric == "mahalanobis" else None
+    pm = precision_matrices(precisions) if metric == "mahalanobis" else None
     x = F.col(vec_col)
     if pm and not _diagonal(pm):
         place = F.array_position(V.constant([label for label, _ in cl], "array<int>"), F.col(label_col).cast("int"))

@@ -108,7 +108,7 @@ def clustering_benchmark(embeddings: dict, models: dict, true_labels: DataFrame,
     ``embeddings`` maps a name to a ``(review_id, embedding)`` DataFrame;
     ``models`` maps a model name to a list of parameter dicts. The score is
     the adjusted mutual information; a failing fit scores null instead of
-    aborting the benchmark.
+    aborting the benchmark, with the reason in ``error``.
     """
     rows, cell = [], 0
     spark = true_labels.sparkSession
@@ -118,12 +118,13 @@ def clustering_benchmark(embeddings: dict, models: dict, true_labels: DataFrame,
                 for params in plist:
                     s = seed + cell
                     cell += 1
+                    error = None
                     try:
                         lab = _fit_labels(mname, edf, params, s)
                         joined = lab.join(true_labels.select(KEY, true_col), KEY)
                         score = float(agreement.adjusted_mutual_info(joined, "label", true_col))
-                    except Exception:  # noqa: BLE001 - a failed cell is recorded, not raised
-                        score = None
-                    rows.append((ename, mname, json.dumps(params, sort_keys=True), run, s, score))
+                    except Exception as e:  # noqa: BLE001 - a failed cell is recorded, not raised
+                        score, error = None, f"{type(e).__name__}: {e}".splitlines()[0]
+                    rows.append((ename, mname, json.dumps(params, sort_keys=True), run, s, score, error))
     return spark.createDataFrame(
-        rows, "embedding string, model string, params string, run int, seed bigint, score double")
+        rows, "embedding string, model string, params string, run int, seed bigint, score double, error string")

@@ -2,11 +2,13 @@
 
 Validates the inputs with aggregate checks, fills parameters (S3), then
 writes one Parquet table per artifact: the model (S6), top n-grams per
-cluster (P1), word-cloud weights (P2), random and central review texts
-(S4/S5), centre-distance densities (G9), the centre distance matrix (G7)
-and silhouettes with their plot bands (G10, P6). The token table shared by
-several artifacts is checkpointed to the session's checkpoint folder once,
-which also cuts its lineage.
+cluster (P1), word-cloud weights (P2), the cluster summary (P4), random and
+central review texts (S4/S5), centre-distance densities (G9), the centre
+distance matrix (G7) and silhouettes with their plot bands (G10, P6; squared
+Euclidean ones for the Euclidean metric, and named so). Names, metric and
+precisions are checked before anything is written. The review texts shared by
+several artifacts are checkpointed to the session's checkpoint folder once,
+which also cuts their lineage.
 """
 
 from __future__ import annotations
@@ -37,8 +39,29 @@ def validate(vectors: DataFrame, centers: list, reviews: DataFrame) -> int:
     return int(s["g"])
 
 
+SIZES = {"unigram": 1, "bigram": 2, "trigram": 3}
+SILHOUETTES = {"cosine": ("silhouettes", "cosine"), "euclidean": ("silhouettes_sqeuclidean", "sqeuclidean")}
+
+
+def validate_params(ngrams: dict, clouds: dict, diagnostics: dict, metric: str, labels: list[int], precisions) -> None:
+    """Refuse what a later artifact could not be made from."""
+    for name in [*ngrams["names"], *clouds["names"]]:
+        if name.removesuffix("_stem") not in SIZES:
+            raise ValueError(f"unknown n-gram name {name!r}: one of {sorted(SIZES)}, with _stem for stems")
+    if any(types is not None for types in clouds["types"]):
+        tagless = [name for name in clouds["names"] if SIZES[name.removesuffix("_stem")] > 1]
+        if tagless:
+            raise ValueError(f"word types need unigrams, not {tagless}: n-grams have no part of speech")
+    if metric == "mahalanobis":
+        given = set(G.precision_matrices(precisions) or ())
+        if not set(labels) <= given:
+            raise ValueError(f"mahalanobis needs a precision matrix for each label; none for {sorted(set(labels) - given)}")
+        if diagnostics["silhouettes"]:
+            raise ValueError("silhouettes exist for the cosine and euclidean metrics")
+
+
 def _tokens(reviews: DataFrame, name: str) -> tuple[DataFrame, str, int]:
-    n = 1 if name.startswith("unigram") else (2 if name.startswith("bigram") else 3)
+    n = SIZES[name.removesuffix("_stem")]
     tok = terms.review_ngrams(reviews, n, carry=("label",))
     if n == 1:
         tok = terms.with_pos(tok)
@@ -59,6 +82,7 @@ def topic_report(path: str, reviews: DataFrame, vectors: DataFrame, centers=None
         centers = G.centers(vectors, normalize=(metric == "cosine"))
     centers = G.collect_centers(centers)
     validate(vectors, centers, reviews)
+    validate_params(ngp, wcp, dgp, metric, [label for label, _ in centers], precisions)
     mode = "overwrite" if overwrite else "errorifexists"
     root = path.rstrip("/")
     written: list[tuple[str, DataFrame]] = []
@@ -84,6 +108,8 @@ def topic_report(path: str, reviews: DataFrame, vectors: DataFrame, centers=None
             suffix = "" if types is None else "_" + "_".join(types).lower()
             put(f"wordcloud_{name}{suffix}", terms.wordcloud_weights(tf, int(wcp["max_words"])))
 
+    put("cluster_summary", report.cluster_summary(reviews))
+
     tables = sinks.cluster_text(reviews, vectors, centers, txp, metric, precisions, seed)
     sinks.write_cluster_text(f"{root}/text", tables, overwrite)
     for name, lines in tables.items():
@@ -94,8 +120,8 @@ def topic_report(path: str, reviews: DataFrame, vectors: DataFrame, centers=None
         put("center_distance_density", G.center_distance_density(own))
     if dgp["distance_between_clusters"]:
         put("distance_between_clusters", G.center_distance_matrix(centers, metric, precisions, spark))
-    if dgp["silhouettes"] and metric in ("cosine", "euclidean"):
-        sil = G.silhouette_samples(vectors, metric="cosine" if metric == "cosine" else "sqeuclidean")
-        put("silhouettes", report.silhouette_bands(sil))
+    if dgp["silhouettes"]:
+        name, kind = SILHOUETTES[metric]
+        put(name, report.silhouette_bands(G.silhouette_samples(vectors, metric=kind)))
     rows = [(name, df.count()) for name, df in written]
     return spark.createDataFrame(rows, "artifact string, rows bigint")

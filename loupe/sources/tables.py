@@ -58,8 +58,12 @@ def review_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_reviews(spark: SparkSession, sf_dir: str, corrected: bool = True) -> DataFrame:
-    """Reviews joined to their labels at review level (before any explode)."""
-    return reviews(spark, sf_dir, corrected).join(review_labels(spark, sf_dir), "review_id", "inner")
+    """Reviews joined to their labels at review level (before any explode).
+
+    The text is corrected after the join, so unlabelled reviews cost nothing.
+    """
+    rv = reviews(spark, sf_dir, corrected=False).join(review_labels(spark, sf_dir), "review_id", "inner")
+    return rv.withColumn("text", correct_text("text")) if corrected else rv
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,8 @@ def test_scans_read_only_needed_columns(spark):
     plan = _plan(text_queries.top_ngrams_by_label(spark, SF))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert "n_chars" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_text_is_corrected_above_the_label_join(spark):
+    plan = text_queries.top_ngrams_by_label(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and "regexp_replace" not in plan[plan.index("Join Inner"):]

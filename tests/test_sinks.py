@@ -66,9 +66,33 @@ def test_report_job(spark):
     assert set(arts) == {"ngram_bigram", "ngram_bigram_stem", "wordcloud_unigram_noun_verb_adj_adv_propn_part",
                          "wordcloud_unigram_stem_noun_verb_adj_adv_propn_part", "random_sentences",
                          "central_sentences", "center_distance_density", "distance_between_clusters",
-                         "silhouettes"}
+                         "silhouettes", "cluster_summary"}
     assert arts["distance_between_clusters"] == 4 and arts["silhouettes"] == 6
     assert arts["random_sentences"] == 2 + 4
     bad = v.withColumn("label", F.col("label") + 1)
     with pytest.raises(ValueError):
         report_job.topic_report(out + "2", rv, bad)
+
+
+@pytest.mark.parametrize("bad", [
+    {"ngram_params": {"names": ["fourgram"]}},
+    {"wordcloud_params": {"names": ["bigram"]}},
+    {"metric": "mahalanobis"},
+    {"metric": "mahalanobis", "precisions": {0: [[1.0, 0.0], [0.0, 1.0]]}},
+])
+def test_report_refuses_before_writing(spark, bad):
+    rv, v = _inputs(spark)
+    out = os.path.join(tempfile.mkdtemp(prefix="loupe-test-", dir="/tmp"), "report")
+    with pytest.raises(ValueError):
+        report_job.topic_report(out, rv, v, **bad)
+    assert not os.path.exists(out)
+
+
+def test_mahalanobis_report(spark):
+    rv, v = _inputs(spark)
+    out = os.path.join(tempfile.mkdtemp(prefix="loupe-test-", dir="/tmp"), "report")
+    prec = {label: [[2.0, 0.5], [0.5, 1.0]] for label in (0, 1)}
+    arts = {r.artifact: r.rows for r in report_job.topic_report(
+        out, rv, v, metric="mahalanobis", precisions=prec, ngram_params={"names": ["unigram"]},
+        diagnostic_params={"center_distance_density": True, "distance_between_clusters": True, "silhouettes": False}).collect()}
+    assert arts["distance_between_clusters"] == 4 and arts["cluster_summary"] == 2 and "silhouettes" not in arts
