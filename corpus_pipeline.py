@@ -14,8 +14,11 @@ from loupe.llm import common as C
 
 
 def language(spark, docs, sf_dir):
-    """Drops documents whose language can't be told (null, or without a letter)."""
-    known = language_id.identify(docs, language_id.learn(docs), out="__language")
+    """Drops documents that are null or without a letter; all others have a language, if there are labels to learn any from."""
+    texts = language_id.learn(docs)
+    if not texts:
+        return docs.where(language_id.has_letter("text"))
+    known = language_id.identify(docs, texts, out="__language")
     return known.where(known["__language"]["lang"] != language_id.UND).select(*docs.columns)
 
 

@@ -12,6 +12,8 @@ operations per character.
 The sample is bounded by parameters: per language the labelled rows with the
 smallest hash of the id, ``docs_per_language`` at most, of
 ``MIN_CHARS..MAX_CHARS`` characters, until ``chars_per_language`` are reached.
+A language with fewer such rows also learns from its shorter rows, as many as
+make up those characters, and then from the starts of its longer ones.
 Characters are lower-cased; those outside the ``MAX_ALPHABET`` most frequent of
 all samples end a phrase.
 
@@ -22,6 +24,8 @@ order. Rows without an id are not learned from and not held out.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections import Counter
 
 import numpy as np
@@ -37,25 +41,41 @@ MAX_ALPHABET = 200
 FOLDS, HELD_OUT = 3, 1
 
 
+def has_letter(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
 def fold(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
 def samples(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", docs_per_language: int = 24,
             chars_per_language: int = 30_000) -> dict[str, str]:
-    """A bounded sample of whole labelled texts per language."""
-    n = F.length(text_col)
+    """A bounded sample of labelled texts per language, from all rows with a letter."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(
-        F.col("l").isNotNull() & F.col("i").isNotNull() & F.length("t").between(MIN_CHARS, MAX_CHARS) & F.col("t").rlike(r"\p{L}"))
+        F.col("l").isNotNull() & F.col("i").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    n = F.length("t")
+    rows = rows.withColumn("tier", F.when(n < MIN_CHARS, 1).when(n > MAX_CHARS, 2).otherwise(0))
+    counts = rows.groupBy("l").agg(F.count_if(F.col("tier") == 0).alias("mid"), F.count_if(F.col("tier") == 1).alias("short"), F.sum(F.when(F.col("tier") == 1, n)).alias("chars")).collect()
     # ids first: the texts of the chosen rows only are fetched
+    ids = rows.select("i", "l", "tier", F.xxhash64("t").alias("h"))
     top = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    chosen = (rows.select("i", "l", F.xxhash64("t").alias("h")).withColumn("n", F.row_number().over(top))
-              .where(F.col("n") <= docs_per_language).select("i", "l").distinct())
+    chosen = [ids.where("tier = 0").withColumn("n", F.row_number().over(top)).where(F.col("n") <= docs_per_language)]
+    scarce = [r for r in counts if r["mid"] < docs_per_language]
+    if scarce:
+        # twice the rows that reach the characters on average; a language's mean length tells how many
+        want = {r["l"]: docs_per_language + (2 * math.ceil(chars_per_language * r["short"] / r["chars"]) if r["short"] else 0) for r in scarce}
+        within = Window.partitionBy("l", "tier").orderBy(F.xxhash64("i"), "i")
+        some = ids.where(F.col("l").isin(list(want)) & (F.col("tier") > 0)).withColumn("n", F.row_number().over(within)).where(F.col("n") <= max(want.values()))
+        most = docs.sparkSession.createDataFrame(list(want.items()), "l string, most long")
+        chosen.append(some.join(F.broadcast(most), "l").where((F.col("tier") == 1) & (F.col("n") <= F.col("most")) | (F.col("n") <= docs_per_language)).select(ids.columns + ["n"]))
+    chosen = functools.reduce(DataFrame.unionByName, chosen).select("i", "l", "tier").distinct()
+    part = F.when(F.col("tier") == 2, F.substring(F.regexp_replace("t", r"^\P{L}+", ""), 1, chars_per_language)).otherwise(F.col("t"))
     got: dict[str, list[str]] = {}
-    for r in rows.join(F.broadcast(chosen), ["i", "l"], "left_semi").orderBy("l", "i", "t").collect():
-        part = got.setdefault(r["l"], [])
-        if sum(map(len, part)) < chars_per_language:
-            part.append(r["t"])
+    for r in rows.join(F.broadcast(chosen), ["i", "l", "tier"], "left_semi").select("i", "l", "tier", part.alias("t")).orderBy("l", "tier", "i", "t").collect():
+        have = got.setdefault(r["l"], [])
+        if sum(map(len, have)) < chars_per_language:
+            have.append(r["t"])
     return {k: "\n".join(v) for k, v in sorted(got.items())}
 
 
@@ -183,8 +203,7 @@ def identify(docs: DataFrame, texts: dict[str, str], text_col: str = "text", out
              batch_chars: int = 8_000_000) -> DataFrame:
     """Adds ``out``: struct (lang, score). ``texts`` as from ``samples``."""
     C.prepare(docs.sparkSession)
-    t = F.col(text_col).cast("string")
-    return docs.withColumn(out, _predictor(texts, batch_chars)(t, F.coalesce(t.rlike(r"\p{L}"), F.lit(False))))
+    return docs.withColumn(out, _predictor(texts, batch_chars)(F.col(text_col).cast("string"), has_letter(text_col)))
 
 
 def learn(docs: DataFrame, **bounds) -> dict[str, str]:

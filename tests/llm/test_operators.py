@@ -51,6 +51,22 @@ def test_language_on_held_out(spark):
     assert len(out) > 200 and sum(r["lang_pred"] == r["lang"] for r in out) >= 0.97 * len(out)
 
 
+def test_language_learns_from_texts_of_any_length(spark):
+    rows = [(i, "kurz und gut", "de") for i in range(40)] + [(100, "1 " * 40_000 + "tres largo y bueno " * 2000, "es")] + [
+        (200 + i, "some words of a usual length " * 20, "en") for i in range(3)] + [(300, "12 !", "xx"), (301, None, "en")]
+    got = language_id.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert list(got) == ["de", "en", "es"] and got["de"].count("kurz") == 40 and got["en"].count("\n") == 2
+    assert got["es"].startswith("tres largo") and len(got["es"]) == 30_000
+
+
+def test_language_stage_keeps_all_letters(spark):
+    import corpus_pipeline as P
+    rows = [(1, "kurz", "de"), (2, "mot", "fr"), (3, "12 !", "de"), (4, None, "fr"), (5, "", None)]
+    for lang in ("lang", "CAST(NULL AS STRING) AS lang"):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("doc_id", "text", lang)
+        assert sorted(r["doc_id"] for r in P.STAGES[0][1](spark, df, SF).collect()) == [1, 2]
+
+
 def test_language_phrases_by_hand(spark):
     p = language_id.Parser({"a": "abab", "b": "bbc"})
     count, lens = p.phrases(["abab", "bbcab", ""])
