@@ -14,8 +14,10 @@ smallest hash of the id, ``docs_per_language`` at most, of
 ``MIN_CHARS..MAX_CHARS`` characters, until ``chars_per_language`` are reached.
 A language with fewer such rows also learns from its shorter rows, as many as
 make up those characters, and then from the starts of its longer ones.
-Characters are lower-cased; those outside the ``MAX_ALPHABET`` most frequent of
-all samples end a phrase.
+Characters are lower-cased, and every character of the samples has a code of its
+own. Transitions of the most frequent ones are a dense table, at most
+``DENSE_CODES`` wide and ``DENSE_CELLS`` in all; those of the others are sorted
+keys, as one script can have thousands of characters.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text
 when there is nothing to learn from. Ties go to the first language in sorted
@@ -37,7 +39,7 @@ from loupe.llm import common as C
 
 UND = "und"
 MIN_CHARS, MAX_CHARS = 200, 20_000
-MAX_ALPHABET = 200
+DENSE_CODES, DENSE_CELLS = 200, 1 << 26
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -115,26 +117,41 @@ class Parser:
     def __init__(self, texts: dict[str, str]):
         self.langs = list(texts)
         lower = [t.lower() for t in texts.values()]
-        common = [c for c, _ in sorted(Counter("".join(lower)).items(), key=lambda x: (-x[1], x[0]))[:MAX_ALPHABET]]
-        self.size = size = len(common) + 1
-        self.code = np.zeros(0x110000, np.uint8)
-        self.code[[ord(c) for c in common]] = np.arange(1, size)
-        tables, self.roots, base = [], [], 0
-        for t in lower:
-            codes = self.encode(t)
-            auto = _automaton(codes)
-            root = np.array([auto[0].get(c, 0) if c else 0 for c in range(size)], np.int64) + base
-            tab = np.repeat(~root[None, :], len(auto), 0)  # no transition: a phrase ends, the next begins here
-            for s, moves in enumerate(auto):
-                for c, to in moves.items():
-                    if c:
-                        tab[s, c] = to + base
-            tables.append(tab.astype(np.int32))
-            self.roots.append(base)
-            base += len(auto)
-        self.table = np.concatenate(tables).reshape(-1) if tables else np.empty(0, np.int32)
+        chars = [c for c, _ in sorted(Counter("".join(lower)).items(), key=lambda x: (-x[1], x[0]))]
+        self.n_codes = len(chars) + 1
+        self.code = np.zeros(0x110000, np.min_scalar_type(len(chars)))
+        self.code[[ord(c) for c in chars]] = np.arange(1, self.n_codes)
+        autos = [_automaton(self.encode(t)) for t in lower]
+        states = sum(map(len, autos))
+        self.size = size = min(self.n_codes, DENSE_CODES + 1, max(1, DENSE_CELLS // max(states, 1)))
+        self.roots = (np.cumsum([0] + [len(a) for a in autos])[:-1]).tolist()
+        table = np.empty((states, size), np.int32)
+        # of characters beyond the dense table: where a phrase begun by one leads, and (state, code) -> state in order
+        self.first = np.zeros((len(autos), self.n_codes), np.int32)
+        keys, to = [], []
+        for n, (auto, base) in enumerate(zip(autos, self.roots)):
+            self.first[n] = base
+            for c, s in auto[0].items():
+                self.first[n, c] = s + base
+            table[base:base + len(auto)] = ~self.first[n, :size]  # no transition: a phrase ends, the next begins here
+            for s, moves in enumerate(auto, base):
+                for c, t in moves.items():
+                    if c < size:
+                        table[s, c] = t + base
+                    else:
+                        keys.append(s * self.n_codes + c)
+                        to.append(t + base)
+        self.table = table.reshape(-1)
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.keys, self.to = np.array(keys, np.int64)[order], np.array(to, np.int32)[order]
         self.bits = np.array([np.log2(max(2, len(t))) for t in lower])
 
+    def _rare(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Transitions of (languages x texts) states by codes beyond the dense table."""
+        key = state.astype(np.int64) * self.n_codes + codes
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], ~self.first[:, codes])
+
     def encode(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
 
@@ -143,7 +160,7 @@ class Parser:
         codes = [self.encode(t) for t in texts]
         lens = np.array([len(c) for c in codes], np.int64)
         order = np.argsort(-lens, kind="stable")
-        flat = np.concatenate([codes[i] for i in order]) if len(codes) else np.empty(0, np.uint8)
+        flat = np.concatenate([codes[i] for i in order]) if len(codes) else np.empty(0, self.code.dtype)
         ends = np.cumsum(lens[order])
         begin = ends - lens[order]
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(texts), 1)
@@ -152,7 +169,13 @@ class Parser:
         while alive and t < (down[0] if len(down) else 0):
             while down[alive - 1] <= t:
                 alive -= 1
-            v = self.table[state[:, :alive] * self.size + flat[begin[:alive] + t]]
+            now = flat[begin[:alive] + t]
+            if self.n_codes > self.size and (now >= self.size).any():
+                rare = np.flatnonzero(now >= self.size)
+                v = self.table[state[:, :alive] * self.size + np.where(now < self.size, now, 0)]
+                v[:, rare] = self._rare(state[:, rare], now[rare].astype(np.int64))
+            else:
+                v = self.table[state[:, :alive] * self.size + now]
             ended = v >> 31
             count[:, :alive] -= ended
             state[:, :alive] = v ^ ended

@@ -118,6 +118,22 @@ def test_neighbours_odd_rows(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_language_of_large_scripts(monkeypatch):
+    rng = np.random.default_rng(2)
+    chinese, korean = (["".join(map(chr, rng.integers(lo, lo + 3000, 60))) for _ in range(40)] for lo in (0x4E00, 0xAC00))
+    more = ["".join(map(chr, rng.permutation(np.arange(0x4E00, 0x4E00 + 3000))[:60])) for _ in range(40)]
+    texts = {"en": "some words of a sample, and more of them " * 100, "ko": "\n".join(korean), "zh": "\n".join(chinese), "zz": "\n".join(more)}
+    p = language_id.Parser(texts)
+    assert p.n_codes > language_id.DENSE_CODES + 1
+    count, _ = p.phrases([chinese[7], korean[3], more[5]])
+    assert count[[2, 1, 3], [0, 1, 2]].tolist() == [1, 1, 1]  # a part of the sample is one phrase
+    assert p.predict([chinese[7], korean[3], more[5], "and more words"])[0] == ["zh", "ko", "zz", "en"]
+    monkeypatch.setattr(language_id, "DENSE_CODES", 10_000)
+    monkeypatch.setattr(language_id, "DENSE_CELLS", 1 << 40)
+    mixed = [chinese[7][:20] + korean[3] + "more" + more[2][9:]]
+    assert language_id.Parser(texts).phrases(mixed)[0].tolist() == p.phrases(mixed)[0].tolist()
+
+
 def test_archives(spark, tmp_path):
     rows = [(3, "u3", "x" * 100), (1, "u1", "x" * 100), (2, "u\r\n2", "x" * 99), (4, None, "x" * 99), (5, "u5", None), (6, "u6", "é" * 5000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS payload", "2 AS digest", "3 AS g")
