@@ -14,8 +14,9 @@ of all vectors is many cells, and a cell gives each query its best ``k`` only.
 
 Vectors that are null, zero, or hold a null or non-finite component take no
 part. Shorter vectors count as filled up with zeros. Equal scores go to the
-smaller id. Rows that repeat an id are kept apart in the index; a query never
-finds rows of its own id, and of rows with one id the best counts.
+smaller id. Equal rows are one row; unlike rows that repeat an id are kept apart
+in the index. A query never finds rows of its own id, and of rows with one id
+the best counts, before anything is cut to ``k``.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     top = np.abs(x).max(1, keepdims=True)
     norm = np.linalg.norm(x / top, axis=1, keepdims=True)
-    return x / top / norm, np.floor((np.log(top) + np.log(norm))[:, 0] / _BAND + 0.5).astype(np.int64)
+    return x / top / norm, (np.log(top) + np.log(norm))[:, 0]
 
 
 def _axes(unit: np.ndarray, table: int, probes: int) -> np.ndarray:
@@ -74,34 +75,90 @@ def _axes(unit: np.ndarray, table: int, probes: int) -> np.ndarray:
 
 def _addresses(width: int, tables: int, probes: int):
     def find(vectors: pd.Series) -> pd.DataFrame:
-        unit, band = _unit(_matrix(vectors, width)) if len(vectors) else (np.empty((0, width)), np.empty(0, np.int64))
+        unit, ln = _unit(_matrix(vectors, width)) if len(vectors) else (np.empty((0, width)), np.empty(0))
         at = np.concatenate([_axes(unit, t, probes) + t * 2 * width for t in range(tables)], 1) if len(unit) else np.empty((0, tables), int)
-        return pd.DataFrame({"band": band, "at": list(at.astype(np.int32))})
-    return F.pandas_udf(find, "band int, at array<int>")
+        return pd.DataFrame({"band": np.floor(ln / _BAND + 0.5).astype(np.int64), "ln": ln, "at": list(at.astype(np.int32))})
+    return F.pandas_udf(find, "band int, ln double, at array<int>")
+
+
+def _top(k: int, own, ids: np.ndarray, scores: np.ndarray):
+    """(ids, scores) of the ``k`` best different ids."""
+    order = np.lexsort((ids, -scores))
+    _, first = np.unique(ids[order], return_index=True)
+    keep = order[np.sort(first)[:k]]
+    return np.full(len(keep), own), ids[keep], scores[keep]
 
 
 def _best(k: int, width: int):
     def best(key: tuple, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        cols = {"query_id": [], "vec_id": [], "score": []}
+        out = []
         if len(q) and len(p):
+            p = p.sort_values("id", kind="stable")
             x, ids = _matrix(p["vec"], width), p["id"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             for a in range(0, len(q), 256):
                 y = _matrix(q["vec"][a:a + 256], width)
                 s = y @ x.T
                 for i, own in enumerate(q["id"][a:a + 256]):
                     row = np.where(ids == own, -np.inf, s[i])
-                    edge = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                    each = np.maximum.reduceat(row, starts) if len(starts) < len(row) else row  # the best of each id
+                    edge = np.partition(each, len(each) - k)[len(each) - k] if len(each) > k else -np.inf
                     # all that may be among the best k; then their products summed in one fixed order
                     near = np.flatnonzero((row >= edge - 1e-9 * max(1.0, abs(edge))) & (ids != own)) if edge > -np.inf else np.flatnonzero(ids != own)
-                    exact = (x[near] * y[i]).sum(1)
-                    top = np.lexsort((ids[near], -exact))[:k]
-                    cols["query_id"].append(np.full(len(top), own))
-                    cols["vec_id"].append(ids[near][top])
-                    cols["score"].append(exact[top])
-        return pd.DataFrame({c: np.concatenate(v) if v else np.empty(0) for c, v in cols.items()})
+                    out.append(_top(k, own, ids[near], (x[near] * y[i]).sum(1)))
+        return _found(out)
     return best
 
 
+def _found(parts) -> pd.DataFrame:
+    return pd.DataFrame({c: np.concatenate(v) if v else np.empty(0) for c, v in zip(("query_id", "vec_id", "score"), list(zip(*parts)) or [()] * 3)})
+
+
+def _fewer(k: int, rows: int = 1_000_000):
+    """Cuts a partition's finds to the ``k`` best different ids of each query, before they are shuffled."""
+    def cut(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
+        return df[df.groupby("query_id").cumcount() < k]
+
+    def fewer(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size >= rows:
+                one = cut(pd.concat(held))
+                if len(one) > rows // 2:  # little is saved by holding on to them
+                    yield one
+                    one = one[:0]
+                held, size = [one], len(one)
+        if held:
+            yield cut(pd.concat(held))
+    return fewer
+
+
+def _compare(points: DataFrame, queries: DataFrame, on: list[str], k: int, size: int, cell: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: the best of each bucket (band, at) of ``points`` for the queries that meet it ``on`` its columns."""
+    # a row per bucket: sizes that the parameters bound
+    held = points.groupBy("band", "at").agg(F.count(F.lit(1)).alias("np"))
+    want = queries.groupBy(*on).agg(F.count(F.lit(1)).alias("nq"))
+    cells = C.keep(held.join(want, on).select("band", "at", F.ceil(F.col("np") / cell).cast("int").alias("np"),
+                                              F.ceil(F.col("nq") / cell).cast("int").alias("nq")))
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["band", "at", "i", "j"]
+    p = points.join(cells, ["band", "at"]).withColumn("i", F.pmod(F.xxhash64("id", "vec"), F.col("np")).cast("int")).withColumn("j", copies("nq"))
+    q = queries.join(cells, on).withColumn("j", F.pmod(F.xxhash64("id", "vec"), F.col("nq")).cast("int")).withColumn("i", copies("np"))
+    found = q.select(*key, "id", "vec").groupBy(*key).cogroup(p.select(*key, "id", "vec").groupBy(*key)).applyInPandas(
+        _best(k, size), "query_id long, vec_id long, score double")
+    return found.mapInPandas(_fewer(k), found.schema)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """``(query_id, vec_id, score, rank)``: the best of each id, then the best ``k``."""
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
 def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K,
            tables: int = TABLES, probes: int = PROBES, cell: int = CELL) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: up to ``k`` neighbours found per row for which ``is_query`` holds."""
@@ -112,26 +169,13 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
                           F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & _valid("vec"))
     size = base.agg(F.max(F.size("vec"))).first()[0] or 1
     width = 1 << max(1, (size - 1).bit_length())
-    # one row per vector is written; its copies are made on the way to the cells
-    placed = C.keep(base.select("id", "vec", _addresses(width, tables, 1)("vec").alias("a")).select("id", "vec", "a.band", "a.at"))
-    asked = C.keep(base.where("q").select("id", "vec", _addresses(width, tables, min(probes, 2 * width))("vec")["at"].alias("at")))
-    placed, asked = (x.withColumn("at", F.explode("at")) for x in (placed, asked))
-    # a row per axis of a table, and per band of it: sizes that the parameters bound
-    held = placed.groupBy("band", "at").agg(F.count(F.lit(1)).alias("np"))
-    want = asked.groupBy("at").agg(F.count(F.lit(1)).alias("nq"))
-    cells = C.keep(held.join(want, "at").select("band", "at", F.ceil(F.col("np") / cell).cast("int").alias("np"),
-                                                F.ceil(F.col("nq") / cell).cast("int").alias("nq")))
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    key = ["band", "at", "i", "j"]
-    points = placed.join(cells, ["band", "at"]).withColumn("i", F.pmod(F.xxhash64("id", "vec"), F.col("np")).cast("int")).withColumn("j", copies("nq"))
-    queries = asked.join(cells, "at").withColumn("j", F.pmod(F.xxhash64("id", "vec"), F.col("nq")).cast("int")).withColumn("i", copies("np"))
-    found = queries.select(*key, "id", "vec").groupBy(*key).cogroup(points.select(*key, "id", "vec").groupBy(*key)).applyInPandas(
-        _best(k, size), "query_id long, vec_id long, score double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # one neighbour comes from several tables: dense ranks keep k different ones before rows are told apart
-    few = found.withColumn("r", F.dense_rank().over(by)).where(F.col("r") <= k)
-    once = few.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    probes = min(probes, 2 * width)
+    # one row per different vector of an id is written; its copies are made on the way to the cells
+    base = base.groupBy("id", "vec").agg(F.max("q").alias("q"))
+    placed = C.keep(base.select("id", "vec", "q", _addresses(width, tables, 1)("vec").alias("a")).select("id", "vec", "q", "a.band", "a.ln", "a.at"))
+    asked = C.keep(placed.where("q").select("id", "vec", "ln", _addresses(width, tables, probes)("vec")["at"].alias("at")))
+    first = C.keep(_compare(placed.withColumn("at", F.explode("at")), asked.withColumn("at", F.explode("at")), ["at"], k, size, cell))
+    return _ranked(first, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_cross_polytope(spark, sf_dir: str) -> DataFrame:

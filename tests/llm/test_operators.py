@@ -134,6 +134,35 @@ def test_language_of_large_scripts(monkeypatch):
     assert language_id.Parser(texts).phrases(mixed)[0].tolist() == p.phrases(mixed)[0].tolist()
 
 
+def recall(spark, x, queries, ids=None):
+    from pyspark.sql import functions as F
+    ids = np.arange(len(x)) if ids is None else ids
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id").isin([int(ids[q]) for q in queries])).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = total = 0
+    for own in {ids[q] for q in queries}:
+        best = {}
+        for q in queries:
+            if ids[q] == own:
+                for i, s in zip(ids, x @ x[q]):
+                    best[i] = max(s, best.get(i, -np.inf))
+        del best[own]
+        want = set(sorted(best, key=lambda i: (-best[i], i))[:20])
+        hit, total = hit + len(want & got.get(own, set())), total + len(want)
+    return hit / total
+
+
+def test_repeated_rows_leave_neighbours_their_place(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((60, 64))
+    copies = np.repeat(x[:1] * 1.5, 100, 0)
+    unlike = x[:1] * 1.4 + 1e-3 * rng.standard_normal((100, 64))
+    ids = np.concatenate([np.arange(60), np.full(100, 100), np.full(100, 101)])
+    assert recall(spark, np.concatenate([x, copies, unlike]), [0, 1], ids) == 1
+
+
 def test_archives(spark, tmp_path):
     rows = [(3, "u3", "x" * 100), (1, "u1", "x" * 100), (2, "u\r\n2", "x" * 99), (4, None, "x" * 99), (5, "u5", None), (6, "u6", "é" * 5000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS payload", "2 AS digest", "3 AS g")
