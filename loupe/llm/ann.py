@@ -8,6 +8,12 @@ given. Every vector is indexed. Vectors of unlike norm are kept in bands of
 about the same norm, so that direction alone decides within a bucket; a query
 probes all bands.
 
+The probes reach ``REACH`` of the vectors up to some angle (measured on random
+pairs). The best found so far tell how wide an angle may matter in a band: where
+a vector beyond the reach could still be among the best ``k``, as in bands of
+larger norm, and in all bands for a query with fewer than ``k`` found, the query
+is compared with the whole band.
+
 Buckets are split into cells of about ``CELL`` vectors and queries into sets of
 about ``CELL`` queries (by their counted sizes), so a bucket that holds a third
 of all vectors is many cells, and a cell gives each query its best ``k`` only.
@@ -30,6 +36,7 @@ from loupe.llm import common as C
 
 TABLES, PROBES, CELL = 8, 16, 4096
 K, EVERY = 20, 20
+REACH = 0.95
 _BAND = np.log(1.25)
 
 
@@ -81,6 +88,27 @@ def _addresses(width: int, tables: int, probes: int):
     return F.pandas_udf(find, "band int, ln double, at array<int>")
 
 
+def _reach(size: int, width: int, tables: int, probes: int) -> float:
+    """The cosine from which on the probes find ``REACH`` of the vectors, measured on random pairs."""
+    if probes >= 2 * width:
+        return 0.0
+    rng = np.random.Generator(np.random.Philox(5))
+    x, y = np.zeros((2, 1000, width))
+    x[:, :size], y[:, :size] = rng.standard_normal((2, 1000, size))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    low, high = 0.0, 1.0
+    for _ in range(7):
+        c = (low + high) / 2
+        q = c * x + np.sqrt(1 - c * c) * y
+        hit = np.zeros(len(x), bool)
+        for t in range(tables):
+            hit |= (_axes(q, t, probes) == _axes(x, t, 1)).any(1)
+        low, high = (low, c) if hit.mean() >= REACH else (c, high)
+    return high
+
+
 def _top(k: int, own, ids: np.ndarray, scores: np.ndarray):
     """(ids, scores) of the ``k`` best different ids."""
     order = np.lexsort((ids, -scores))
@@ -175,7 +203,18 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     placed = C.keep(base.select("id", "vec", "q", _addresses(width, tables, 1)("vec").alias("a")).select("id", "vec", "q", "a.band", "a.ln", "a.at"))
     asked = C.keep(placed.where("q").select("id", "vec", "ln", _addresses(width, tables, probes)("vec")["at"].alias("at")))
     first = C.keep(_compare(placed.withColumn("at", F.explode("at")), asked.withColumn("at", F.explode("at")), ["at"], k, size, cell))
-    return _ranked(first, k).select("query_id", "rank", "vec_id", "score")
+    # the bands (a few for each factor of ten between the norms) that may hold better vectors out of the probes' reach
+    bands = placed.groupBy("band").agg(F.max("ln").alias("ln")).collect()
+    least = _ranked(first, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
+    ln_reach = float(np.log(max(_reach(size, width, tables, probes), 1e-300)))
+    if not bands:
+        return _ranked(first, k).select("query_id", "rank", "vec_id", "score")
+    open_bands = F.filter(F.array(*[F.struct(F.lit(b["band"]).alias("band"), F.lit(b["ln"]).alias("ln")) for b in bands]),
+                          lambda b: F.col("least").isNull() | (F.col("least") <= 0) | (F.log("least") < F.col("ln") + b["ln"] + ln_reach))
+    again = C.keep(asked.join(least, asked["id"] == least["query_id"], "left")
+                   .select("id", "vec", F.explode(open_bands).alias("b")).select("id", "vec", "b.band"))
+    second = _compare(placed.withColumn("at", F.lit(-1)), again, ["band"], k, size, cell)
+    return _ranked(first.union(second), k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_cross_polytope(spark, sf_dir: str) -> DataFrame:

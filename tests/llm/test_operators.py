@@ -154,6 +154,16 @@ def recall(spark, x, queries, ids=None):
     return hit / total
 
 
+def test_recall_of_unlike_norms_small_tables_and_outliers(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda n: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.standard_normal((n, 64)))
+    assert recall(spark, unit(15), range(15)) == 1
+    assert recall(spark, unit(41), range(41)) >= 0.95
+    assert recall(spark, unit(4000) * rng.lognormal(0, 1, (4000, 1)), range(0, 4000, 100)) >= 0.95
+    hot = np.repeat(unit(1), 3000, 0) + 0.01 * unit(3000)
+    assert recall(spark, np.concatenate([unit(10), hot]), range(10)) >= 0.95
+
+
 def test_repeated_rows_leave_neighbours_their_place(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((60, 64))
