@@ -39,8 +39,7 @@ def gaussian_mixture_diag(spark, sf_dir):
 
 
 def em_selection(spark, sf_dir):
-    _, _, _, means = selection.em_selection(_vec(spark, sf_dir), [8, 10], seed=SEED,
-                                            cv_types=("spherical", "diag"))
+    _, _, _, means = selection.em_selection(_vec(spark, sf_dir), [8, 10], seed=SEED)
     return means
 
 

@@ -41,3 +41,13 @@ def test_scans_read_only_needed_columns(spark):
 def test_text_is_corrected_above_the_label_join(spark):
     plan = text_queries.top_ngrams_by_label(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" in plan and "regexp_replace" not in plan[plan.index("Join Inner"):]
+
+
+def test_em_selection_fits_all_covariance_types(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from loupe.plans import model_queries
+    fitted = SimpleNamespace(bic=lambda: 1.0)
+    monkeypatch.setattr(model_queries.selection.mixture, "gaussian_mixture", lambda *a, **k: (fitted, None))
+    rows = model_queries.em_selection(spark, "/root/testdata/sf0.001").collect()
+    assert {(r["cov_type"], r["k"]) for r in rows} == {(c, k) for c in ("spherical", "tied", "diag", "full") for k in (8, 10)}
