@@ -161,6 +161,16 @@ def from_planes(blob: bytes, n_bytes: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def numbers(x: np.ndarray) -> bytes:
+    """Counts in the fewest of 1, 2, 4 or 8 bytes each."""
+    top = int(x.max()) if len(x) else 0
+    return planes(x, next(n for n in (1, 2, 4, 8) if top < 1 << 8 * n))
+
+
+def from_numbers(blob: bytes, n: int) -> np.ndarray:
+    return from_planes(blob, max(1, len(blob) // max(n, 1))).astype(np.int64)
+
+
 def pack(keys: np.ndarray, n_bytes: int) -> bytes:
     """Ascending keys below ``2**(8 * n_bytes)`` as the gaps between them."""
     return planes(np.diff(keys, prepend=np.uint64(0)), n_bytes)
