@@ -21,7 +21,7 @@ def odd(spark, rows=ODD):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(entry.oracle_sql()[name])
     cols = [c[0] for c in want.description]
@@ -45,6 +45,15 @@ def test_bpe_same_as_library(spark):
         assert r["decoded"] == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_same_as_library_for_all_code_points():
+    from tokenizers import Tokenizer
+    lib, own = Tokenizer.from_file(bpe.vocabulary_path()), bpe.load(bpe.vocabulary_path())
+    points = [c for c in (*range(0x34000), *range(0xE0000, 0xE0200), *range(0x34000, 0x110000, 977)) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}b 1{chr(c)}" for c in points[i:i + 256]) for i in range(0, len(points), 256)]
+    for text, want in zip(texts, lib.encode_batch(texts, add_special_tokens=False)):
+        assert own.encode(text) == want.ids
+
+
 def test_language_on_held_out(spark):
     docs = C.table(spark, MORE, "documents").select("doc_id", "lang")
     out = language_id.op9_language_id(spark, MORE).join(docs, "doc_id").where("held_out and lang_pred <> 'und'").collect()
