@@ -8,6 +8,12 @@ met before are answered from a bounded cache of the Python worker. Decoding
 concatenates vocabulary strings; this tokenizer file has no decoder, so the
 library joins them by spaces, and so does this one.
 
+Which characters are letters, numbers or white space, and how texts are normalised,
+depends on a library's Unicode version. The tokenizers library is asked for its
+classes once, on the driver; a text with a character that is classed otherwise here,
+or not assigned, is normalised by the library and split by its classes. Splitting,
+merging and decoding are done here.
+
 Only ``word_bpe_49k.json``-like files are read (BPE with an end-of-word suffix).
 Special tokens in a text are matched before normalising, as the library does.
 Null counts as empty: no tokens, empty decoded text.
@@ -15,20 +21,24 @@ Null counts as empty: no tokens, empty decoded text.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from array import array
+from itertools import chain
 
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loupe.llm import common as C
 
-CACHE_WORDS = 120_000
+CACHE_WORDS = 200_000  # of each of two generations
 SLICE_ROWS = 500  # rows whose tokens a task holds at once
 
 # fixed values: the byte alphabet of byte-level BPE (printable bytes stand for themselves, the others follow from 256 on)
@@ -40,74 +50,132 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in _PLAIN else chr(next(rest)) for b in range(256)]
 
 
+# classes of the split pattern, and what they are to ``regex``, whose \s has separators that are not White_Space
+CLASSES = {r"\p{L}": r"\p{L}", r"\p{N}": r"\p{N}", r"\s": r"\p{White_Space}"}
+_PLANES = range(0x40000)  # no version of Unicode has letters, numbers or white space beyond
+
+
+def _ranges(points: list[int]) -> str:
+    """Code points as ranges of a pattern's set."""
+    ends: list[list[int]] = []
+    for c in points:
+        if ends and ends[-1][1] == c - 1:
+            ends[-1][1] = c
+        else:
+            ends.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ends)
+
+
+@functools.cache
+def odd_points() -> dict[str, tuple[str, str]]:
+    """Of each class the code points that it has in the library's Unicode version alone, and in that of ``regex`` alone."""
+    everything = "".join(chr(c) for c in _PLANES if not 0xD800 <= c < 0xE000)
+    out = {}
+    for name in CLASSES:
+        split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(f"{name}+"), "removed", invert=True)
+        theirs = {ord(c) for part, _ in split.pre_tokenize_str(everything) for c in part}
+        ours = {ord(c) for c in regex.findall(CLASSES[name], everything)}
+        out[name] = (_ranges(sorted(theirs - ours)), _ranges(sorted(ours - theirs)))
+    return out | {"unassigned": (_ranges([ord(c) for c in everything if unicodedata.category(c) == "Cn"]), "")}
+
+
 class Tokenizer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd: dict[str, tuple[str, str]] | None = None):
+        odd = odd or odd_points()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.vocab = model["vocab"]
-        self.suffix = model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
+        suffix = model["end_of_word_suffix"] or ""
+        self.unknown = 1 << 31  # symbols from here on are not in the vocabulary and give no id
+        symbol = lambda s: self.vocab.get(s, self.unknown)
+        # pair of symbols -> its rank and the symbol it becomes
+        self.merges = {symbol(a) << 32 | symbol(b): (rank, symbol(a + b)) for rank, (a, b) in enumerate(map(tuple, model["merges"]))}
+        self.first, self.last = [symbol(c) for c in _byte_symbols()], [symbol(c + suffix) for c in _byte_symbols()]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
         self.strings = [""] * (max([*self.vocab.values(), *special.values()]) + 1)
         for s, i in [*self.vocab.items(), *special.items()]:
             self.strings[i] = s
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        # white space here is Unicode White_Space, without the separators U+001C to U+001F that Python counts
-        space = r"\p{White_Space}"
-        self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]"))
-        self.spaces = regex.compile(space + "+")
+        self.normaliser = tokenizers.Tokenizer.from_file(path).normalizer
+        usual, exact = split["pattern"]["Regex"], split["pattern"]["Regex"]
+        for name, ours in CLASSES.items():
+            usual = usual.replace(name, ours)
+            more, less = odd[name]
+            exact = exact.replace(name, f"[{ours}{more}]" + (f"--[{less}]" if less else "")) if more or less else exact.replace(name, ours)
+        # few texts have one: most are settled by a bitmap of the first plane and not having a character beyond it
+        every = "".join(x for pair in odd.values() for x in pair)
+        self.odd = re.compile(f"[{every}]")
+        self.odd_first_plane = re.compile("[" + "".join(re.findall(r"\\U0000\w{4}-\\U0000\w{4}", every)) + "]")
+        self.beyond = re.compile("[\U00010000-\U0010ffff]")
+        self.pattern, self.exact = regex.compile(usual), regex.compile(exact, regex.V1)
+        self.ascii_pattern = re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.symbols = _byte_symbols()
+        # words met since the last change of generation, and those met in the generation before
         self.cache: dict[str, tuple[int, ...]] = {}
-
-    def normalise(self, text: str) -> str:
-        text = self.spaces.sub(" ", unicodedata.normalize("NFC", text))
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def words(self, text: str) -> list[str]:
+        # white space only parts words: that runs of it become one blank changes none
+        if text.isascii():
+            return self.ascii_pattern.findall(text.lower())
+        if self.odd_first_plane.search(text) or self.beyond.search(text) and self.odd.search(text):
+            return self.exact.findall(self.normaliser.normalize_str(text))
+        text = unicodedata.normalize("NFC", text)
         # character by character: no final sigma rule
-        return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        return self.pattern.findall(text.lower() if "Σ" not in text else "".join(c.lower() for c in text))
 
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token, by merges in order of rank and place."""
-        sym = [self.symbols[b] for b in word.encode("utf-8")]
-        sym[-1] += self.suffix
+        first, merges = self.first, self.merges
+        raw = word.encode("utf-8")
+        sym = [first[b] for b in raw]
+        sym[-1] = self.last[raw[-1]]
         n = len(sym)
-        prev, nxt, ranks = list(range(-1, n - 1)), list(range(1, n + 1)), self.ranks
-        heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := ranks.get((sym[i], sym[i + 1]))) is not None]
+        prev, nxt = list(range(-1, n - 1)), list(range(1, n + 1))
+        # an entry is the rank of a pair and the place of its left symbol
+        heap = [m[0] << 32 | i for i in range(n - 1) if (m := merges.get(sym[i] << 32 | sym[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            i = entry & 0xFFFFFFFF
             j = nxt[i]
-            if j >= n or sym[i] != a or sym[j] != b:
+            if j >= n or sym[i] < 0 or (m := merges.get(sym[i] << 32 | sym[j])) is None or m[0] != entry >> 32:
                 continue  # stale: one of the two symbols has been merged
-            sym[i], sym[j] = a + b, ""
+            sym[i], sym[j] = m[1], -1
             k = nxt[i] = nxt[j]
             if k < n:
                 prev[k] = i
-                if (r := ranks.get((sym[i], sym[k]))) is not None:
-                    heapq.heappush(heap, (r, i, sym[i], sym[k]))
+                if (m := merges.get(sym[i] << 32 | sym[k])) is not None:
+                    heapq.heappush(heap, m[0] << 32 | i)
             h = prev[i]
-            if h >= 0 and (r := ranks.get((sym[h], sym[i]))) is not None:
-                heapq.heappush(heap, (r, h, sym[h], sym[i]))
-        vocab = self.vocab
-        return tuple(vocab[s] for s in sym if s in vocab)
+            if h >= 0 and (m := merges.get(sym[h] << 32 | sym[i])) is not None:
+                heapq.heappush(heap, m[0] << 32 | h)
+        return tuple(s for s in sym if 0 <= s < self.unknown)
+
+    def missed(self, w: str) -> tuple[int, ...]:
+        """Ids of a word that this generation of the cache has not met."""
+        ids = self.older.get(w)
+        if ids is None:
+            ids = self.word(w)
+        if len(w) <= 40:
+            if len(self.cache) >= CACHE_WORDS:
+                self.older, self.cache = self.cache, {}
+            self.cache[w] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        cache, special = self.cache, self.special
         for k, part in enumerate(self.parts.split(text) if self.parts else [text]):
             if k % 2:
-                out.append(special[part])
+                out.append(self.special[part])
                 continue
-            for w in self.pattern.findall(self.normalise(part)):
-                ids = cache.get(w)
-                if ids is None:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    ids = self.word(w)
-                    if len(w) <= 40:
-                        cache[w] = ids
-                out.extend(ids)
+            words = self.words(part)
+            found = list(map(self.cache.get, words))
+            if None in found:
+                found = [self.missed(w) if ids is None else ids for w, ids in zip(words, found)]
+            out.extend(chain.from_iterable(found))
         return out
 
     def decode(self, ids) -> str:
@@ -117,9 +185,9 @@ class Tokenizer:
 _LOADED: dict[str, Tokenizer] = {}
 
 
-def load(path: str) -> Tokenizer:
+def load(path: str, odd: dict[str, tuple[str, str]] | None = None) -> Tokenizer:
     if path not in _LOADED:  # one for each Python worker
-        _LOADED[path] = Tokenizer(path)
+        _LOADED[path] = Tokenizer(path, odd)
     return _LOADED[path]
 
 
@@ -130,8 +198,10 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def _coder(name: str, want: tuple[str, ...]):
+    odd = odd_points()  # found once, on the driver
+
     def code(batches):
-        tok = load(name if "/" in name else vocabulary_path(name))
+        tok = load(name if "/" in name else vocabulary_path(name), odd)
         for b in (whole.slice(i, SLICE_ROWS) for whole in batches for i in range(0, whole.num_rows, SLICE_ROWS)):
             cols = {k: [] for k in want}
             for t in b.column("text"):
