@@ -104,12 +104,73 @@ def test_pooling(spark):
         embed.check_token_output("max")
 
 
-def test_encoder_batches(spark):
-    from loupe.plans.python_queries import ENCODER_DIM, make_hashing_encoder
+def test_sentence_encoder_batches(spark):
+    """E1 with a caller's sentence encoder: texts in, vectors out, loaded once for each worker."""
+    def make():
+        return lambda texts: np.array([[len(str(t)), str(t).count("a")] for t in texts], dtype=np.float32)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "a b", "c", ""])], "review_id bigint, text string")
-    out = {r.review_id: np.array(r.embedding) for r in embed.embed_reviews(df, make_hashing_encoder, ENCODER_DIM, 2).collect()}
-    assert np.allclose(out[0], out[1]) and abs(np.linalg.norm(out[2]) - 1) < 1e-6
-    assert np.allclose(out[3], 0)
+    out = {r.review_id: list(r.embedding) for r in embed.embed_reviews(df, make, 2, 2).collect()}
+    assert out == {0: [3, 1], 1: [3, 1], 2: [1, 0], 3: [0, 0]}
+
+
+ODD_REVIEWS = [(0, "great machine"), (1, "love it, really"), (2, ""), (3, None), (4, "w " * 300 + "end"), (4, "again"), (None, "no key")]
+
+
+def _by_definition(text, dim, max_length=None):
+    """Tokens and their vectors, one by one."""
+    import hashlib
+    import re
+    toks = re.findall(r"[^\W_]+|[^\w\s]|_", (text or "").lower())
+    toks = ["[CLS]", *(toks if max_length is None else toks[:max_length - 2]), "[SEP]"]
+    word = lambda t: np.array([b for k in range(-(-dim // 16)) for b in hashlib.md5(f"{t}#{k}".encode()).digest()][:dim], float) / embed.hashed_scale(dim) - 127.5 / embed.hashed_scale(dim)
+    vec = [(word(t) + (word(toks[i + 1]) if i + 1 < len(toks) else 0)) / 2 for i, t in enumerate(toks)]
+    return toks, np.array(vec)
+
+
+@pytest.mark.parametrize("batch_size,cells", [(1, 1 << 16), (3, 1 << 16), (16, 100)])
+def test_token_embeddings_whatever_the_batches(spark, monkeypatch, batch_size, cells):
+    monkeypatch.setattr(embed, "BATCH_CELLS", cells)
+    df = spark.createDataFrame(ODD_REVIEWS, "review_id bigint, text string").selectExpr("*", "1 AS idx", "2 AS tokens", "3 AS embedding")
+    got = embed.token_embeddings(df, embed.hashed_token_encoder(20), batch_size)
+    assert got.columns == ["review_id", "idx", "token", "embedding"]
+    rows = {}
+    for r in got.collect():
+        rows.setdefault((r.review_id, r.idx, r.token), []).append(list(r.embedding))
+    want = {}
+    for key, text in ODD_REVIEWS:
+        for i, (t, v) in enumerate(zip(*_by_definition(text, 20))):
+            want.setdefault((key, i, t), []).append(v.tolist())
+    assert rows.keys() == want.keys()
+    assert all(np.allclose(sorted(rows[k]), sorted(want[k]), atol=1e-12) for k in want)
+    assert embed.token_embeddings(df.limit(0), embed.hashed_token_encoder(20)).collect() == []
+
+
+def test_tokens_of_embeddings_and_tags_are_the_same(spark):
+    df = spark.createDataFrame(ODD_REVIEWS[:3] + ODD_REVIEWS[4:5], "review_id bigint, text string")
+    vec = embed.token_embeddings(df, embed.hashed_token_encoder(8), max_length=6)
+    tags = align.token_pos_table(df, max_length=6)
+    both = vec.join(tags, ["review_id", "idx", "token"])
+    assert both.count() == vec.count() == tags.count() == 4 + 6 + 2 + 6
+
+
+@pytest.mark.parametrize("mode", embed.POOLING_MODES)
+def test_pooling_in_the_worker_equals_pooling_the_token_table(spark, mode):
+    df = spark.createDataFrame(ODD_REVIEWS[:5], "review_id bigint, text string")
+    enc = embed.hashed_token_encoder(8)
+    whole = {r.review_id: np.array(r.embedding) for r in embed.sentence_embeddings(df, enc, mode, batch_size=2).collect()}
+    parts = {r.review_id: np.array(r.embedding) for r in embed.pool(embed.token_embeddings(df, enc), mode).collect()}
+    assert set(whole) == set(parts) == {0, 1, 2, 3, 4}
+    for key, text in ODD_REVIEWS[:5]:
+        v = _by_definition(text, 8)[1]
+        want = {"cls": v[0], "mean": v.mean(0), "max": v.max(0), "mean_sqrt_len": v.sum(0) / np.sqrt(len(v))}[mode]
+        assert np.allclose(whole[key], want, atol=1e-6) and np.allclose(parts[key], want, atol=1e-6)
+
+
+def test_exact_positions(spark):
+    df = spark.createDataFrame([(0, "A b, a b a a"), (1, None)], "review_id bigint, text string")
+    got = {(r.idx, r.token): r.word_idx for r in align.exact_positions(df).collect()}
+    # the three latest words "a" stand at 2, 4 and 5; tokens count the comma
+    assert got == {(0, "a"): 2, (1, "b"): 1, (2, ","): None, (3, "a"): 2, (4, "b"): 3, (5, "a"): 4, (6, "a"): 5}
 
 
 def test_language_flags(spark):
