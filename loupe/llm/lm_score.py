@@ -1,18 +1,19 @@
-"""Stupid-backoff language-model scores, as joins of n-gram counts.
+"""Stupid-backoff language-model scores, from n-gram counts of a whole corpus.
 
-Counts of words, word pairs and word triples are taken over all documents; pairs
-and triples seen less than ``MIN_COUNT`` times are left out of the model, as in
-the published large models. A word scores ``count(triple) / count(its first
-pair)`` if the triple is in the model, else ``0.4 * count(pair) /
-count(its first word)`` if the pair is, else ``0.4**2 * count(word) / words``
-(one factor less per word of context missing at a text's start). A document's
-score is the mean natural logarithm over its words.
+Counts of words, word pairs and word triples are taken over all texts of the corpus,
+by default the scored documents themselves. A word scores ``count(triple) /
+count(its first pair)`` if the triple occurs, else ``0.4 * count(pair) / count(its
+first word)`` if the pair does, else ``0.4**2 * count(word) / words`` (one factor
+less per word of context missing at a text's start; a word that never occurs counts
+as one). A document's score is the mean natural logarithm over its words.
 
 The count tables are partitioned by ranges of an n-gram's 56-bit hash. Groups of
-documents send the distinct n-grams they hold with their local counts, packed,
-to those partitions (so a frequent word is one entry per group) and get the
-totals back; triples are only asked for where both their pairs are in the
-model. Scores are summed per document within its group.
+documents send the distinct n-grams they hold with their local counts to those
+partitions (so a frequent word is one entry per group) and get the totals back;
+scores are summed per document within its group. The exchange stands for a join of
+the exploded n-grams with the counts, one row each: three rows a word are far over
+the disk that one may use (figures in the README), so a group's n-grams for one
+partition travel as one row of packed keys.
 
 Words are those of ``common.word_hashes``. Texts that are null or without a word
 have 0 words and a null score. Rows may repeat ids; each row gives one row.
@@ -27,20 +28,10 @@ from pyspark.sql import functions as F
 
 from loupe.llm import common as C
 
-MIN_COUNT, BACKOFF = 2, 0.4
+BACKOFF = 0.4
 KEY_BYTES = 7
 _ASKS = "g int, r int, keys binary, counts binary"
-_TOTALS = "g int, r int, kind byte, totals binary"
-
-
-def _numbers(x: np.ndarray) -> bytes:
-    """Counts in the fewest of 1, 2, 4 or 8 bytes each."""
-    top = int(x.max()) if len(x) else 0
-    return C.planes(x, next(n for n in (1, 2, 4, 8) if top < 1 << 8 * n))
-
-
-def _from_numbers(blob: bytes, n: int) -> np.ndarray:
-    return C.from_planes(blob, max(1, len(blob) // max(n, 1))).astype(np.int64)
+_TOTALS = "g int, r int, totals binary"
 
 
 def _grams(tab: pa.Table):
@@ -59,88 +50,53 @@ def _ranges(keys: np.ndarray, n_ranges: int):
     return C.asks(keys >> np.uint64(8 * KEY_BYTES - 48), n_ranges)
 
 
-def _ask_table(g: int, keys: np.ndarray, counts: np.ndarray, n_ranges: int) -> pa.Table:
-    parts = _ranges(keys, n_ranges)
-    return pa.table({"g": pa.array([g] * len(parts), pa.int32()), "r": pa.array([p[0] for p in parts], pa.int32()),
-                     "keys": pa.array([C.pack(keys[i:j], KEY_BYTES) for _, i, j in parts], pa.binary()),
-                     "counts": pa.array([_numbers(counts[i:j]) for _, i, j in parts], pa.binary())})
-
-
-def _low_orders(n_ranges: int):
+def _asker(n_ranges: int, corpus: bool, queries: bool):
+    """Rows for the partitions of the counts; groups that are no queries are numbered below 0 and get no answer."""
     def ask(tab: pa.Table) -> pa.Table:
-        _, _, one, two, _, in2, _ = _grams(tab)
-        keys, counts = np.unique(np.concatenate([one, two[in2]]), return_counts=True)
-        return _ask_table(tab["g"][0].as_py(), keys, counts, n_ranges)
+        _, _, one, two, three, in2, in3 = _grams(tab)
+        keys, counts = np.unique(np.concatenate([one, two[in2], three[in3]]), return_counts=True)
+        g, parts = tab["g"][0].as_py(), _ranges(keys, n_ranges)
+        counts = counts if corpus else np.zeros(len(keys), np.int64)
+        return pa.table({"g": pa.array([g if queries else -1 - g] * len(parts), pa.int32()), "r": pa.array([p[0] for p in parts], pa.int32()),
+                         "keys": pa.array([C.pack(keys[i:j], KEY_BYTES) for _, i, j in parts], pa.binary()),
+                         "counts": pa.array([C.numbers(counts[i:j]) for _, i, j in parts], pa.binary())})
     return ask
 
 
-def _total(kind: int):
-    def total(tab: pa.Table) -> pa.Table:
-        keys = [C.unpack(b.as_py(), KEY_BYTES) for b in tab["keys"]]
-        counts = [_from_numbers(b.as_py(), len(k)) for b, k in zip(tab["counts"], keys)]
-        uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.zeros(len(uniq), np.int64)
-        np.add.at(sums, inv, np.concatenate(counts))
-        sums[sums < MIN_COUNT] = 1  # as told to those who ask: below MIN_COUNT
-        totals, at, out = sums[inv], 0, []
-        for k in keys:
-            out.append(_numbers(totals[at:at + len(k)]))
-            at += len(k)
-        return pa.table({"g": tab["g"], "r": tab["r"], "kind": pa.array([kind] * len(tab), pa.int8()), "totals": pa.array(out, pa.binary())})
-    return total
-
-
-def _answers(keys: np.ndarray, replies: pa.Table, kind: int, n_ranges: int) -> np.ndarray:
-    """Totals of sorted distinct keys from the replies of a kind."""
-    found = {r: b for r, k, b in zip(replies["r"].to_pylist(), replies["kind"].to_pylist(), replies["totals"].to_pylist()) if k == kind}
-    out = np.zeros(len(keys), np.int64)
-    for r, i, j in _ranges(keys, n_ranges):
-        out[i:j] = _from_numbers(found[r], j - i)
-    return out
-
-
-def _known_orders(grams, replies: pa.Table, n_ranges: int):
-    _, _, one, two, _, in2, in3 = grams
-    keys, inv = np.unique(np.concatenate([one, two[in2]]), return_inverse=True)
-    total = _answers(keys, replies, 2, n_ranges)[inv]
-    c2 = np.zeros(len(two), np.int64)
-    c2[in2] = total[len(one):]
-    return total[:len(one)], c2, in3 & (c2[:-1] >= MIN_COUNT) & (c2[1:] >= MIN_COUNT)
-
-
-def _triples(n_ranges: int):
-    def ask(tab: pa.Table, replies: pa.Table) -> pa.Table:
-        grams = _grams(tab)
-        _, _, may = _known_orders(grams, replies, n_ranges)
-        keys, counts = np.unique(grams[4][may], return_counts=True)
-        return _ask_table(tab["g"][0].as_py(), keys, counts, n_ranges)
-    return ask
+def _total(tab: pa.Table) -> pa.Table:
+    """Sums of all counts of a partition, for each query group that asked."""
+    keys = [C.unpack(b.as_py(), KEY_BYTES) for b in tab["keys"]]
+    counts = [C.from_numbers(b.as_py(), len(k)) for b, k in zip(tab["counts"], keys)]
+    uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.zeros(len(uniq), np.int64)
+    np.add.at(sums, inv, np.concatenate(counts))
+    ends = np.cumsum([len(k) for k in keys]).tolist()
+    rows = [(g, r, C.numbers(sums[inv[e - len(k):e]])) for g, r, k, e in zip(tab["g"].to_pylist(), tab["r"].to_pylist(), keys, ends) if g >= 0]
+    return pa.table({"g": pa.array([x[0] for x in rows], pa.int32()), "r": pa.array([x[1] for x in rows], pa.int32()),
+                     "totals": pa.array([x[2] for x in rows], pa.binary())})
 
 
 def _scores(n_ranges: int, words: int):
     def score(tab: pa.Table, replies: pa.Table) -> pa.Table:
-        grams = _grams(tab)
-        ids, bounds, one, two, three, in2, in3 = grams
+        ids, bounds, one, two, three, in2, in3 = _grams(tab)
+        keys, inv = np.unique(np.concatenate([one, two[in2], three[in3]]), return_inverse=True)
+        found, total = dict(zip(replies["r"].to_pylist(), replies["totals"].to_pylist())), np.zeros(len(keys), np.int64)
+        for r, i, j in _ranges(keys, n_ranges):
+            total[i:j] = C.from_numbers(found[r], j - i)
+        total = total[inv]
         n = len(one)
-        c1, c2, may = _known_orders(grams, replies, n_ranges)
+        c1, c2, c3 = total[:n], np.zeros(n, np.int64), np.zeros(n, np.int64)
+        at2, at3 = np.flatnonzero(in2) + 1, np.flatnonzero(in3) + 2  # places with one and with two words before them
+        c2[at2], c3[at3] = total[n:n + len(at2)], total[n + len(at2):]
         out = np.log(np.maximum(c1, 1) / max(words, 1))
-        back = np.zeros(n)
-        has2 = np.zeros(n, bool)
-        has2[1:] = in2  # a word before it
-        has3 = np.zeros(n, bool)
-        has3[2:] = in3
-        use2 = np.zeros(n, bool)
-        use2[1:] = c2 >= MIN_COUNT
-        out[use2] = np.log(c2[use2[1:]] / c1[:-1][use2[1:]])
-        c3 = np.zeros(len(three), np.int64)
-        if may.any():
-            keys, inv = np.unique(three[may], return_inverse=True)
-            c3[may] = _answers(keys, replies, 3, n_ranges)[inv]
-        use3 = np.zeros(n, bool)
-        use3[2:] = c3 >= MIN_COUNT
-        out[use3] = np.log(c3[use3[2:]] / c2[:-1][use3[2:]])
-        back = np.where(use3, 0, np.where(use2, has3, has2.astype(int) + has3))
-        out += back * np.log(BACKOFF)
+        context = np.zeros(n, np.int64)
+        context[at2], context[at3] = 1, 2
+        use2, use3 = np.flatnonzero(c2 > 0), np.flatnonzero(c3 > 0)
+        out[use2] = np.log(c2[use2] / c1[use2 - 1])
+        out[use3] = np.log(c3[use3] / c2[use3 - 1])
+        order = np.zeros(n, np.int64)
+        order[use2], order[use3] = 1, 2
+        out += (context - order) * np.log(BACKOFF)
         size = np.diff(bounds)
         sums = np.bincount(np.repeat(np.arange(len(size)), size), out, len(size)) if n else np.zeros(len(size))
         return pa.table({"doc_id": ids, "n_words": pa.array(size, pa.int64()),
@@ -148,23 +104,31 @@ def _scores(n_ranges: int, words: int):
     return score
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 8_000_000, range_keys: int = 400_000) -> DataFrame:
-    """``(doc_id, n_words, log_score)`` per row of ``docs``.
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def score(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 8_000_000, range_keys: int = 400_000) -> DataFrame:
+    """``(doc_id, n_words, log_score)`` per row of ``docs``, under counts of ``corpus`` (``docs`` itself, if not given).
 
     ``group_bytes`` and ``range_keys`` bound what a task holds at once; the
     numbers of groups and of partitions of the counts follow the input.
     """
-    spark = docs.sparkSession
-    C.prepare(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    C.prepare(docs.sparkSession)
+    rows, model = _texts(docs, id_col, text_col), _texts(docs if corpus is None else corpus, id_col, text_col)
     ids = rows.schema["doc_id"].dataType.simpleString()
-    size = rows.agg(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()
+    size = model.agg(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()
     n_bytes, words = int(size[0] or 0), int(size[1] or 0)
-    n_groups, n_ranges = C.n_parts(n_bytes, group_bytes), C.n_parts(words, range_keys)
-    by_g = C.grouped(rows, n_groups, "doc_id", "text").groupBy("g")
-    low = by_g.applyInArrow(_low_orders(n_ranges), _ASKS).groupBy("r").applyInArrow(_total(2), _TOTALS)
-    high = by_g.cogroup(low.groupBy("g")).applyInArrow(_triples(n_ranges), _ASKS).groupBy("r").applyInArrow(_total(3), _TOTALS)
-    return by_g.cogroup(low.unionByName(high).groupBy("g")).applyInArrow(_scores(n_ranges, words), f"doc_id {ids}, n_words long, log_score double")
+    n_ranges = C.n_parts(3 * words, range_keys)
+    groups = lambda df, n: C.grouped(df, C.n_parts(n, group_bytes), "doc_id", "text").groupBy("g")
+    if corpus is None:
+        by_g = groups(rows, n_bytes)
+        asks = by_g.applyInArrow(_asker(n_ranges, True, True), _ASKS)
+    else:
+        by_g = groups(rows, C.total_bytes(rows))
+        asks = by_g.applyInArrow(_asker(n_ranges, False, True), _ASKS).unionByName(groups(model, n_bytes).applyInArrow(_asker(n_ranges, True, False), _ASKS))
+    totals = asks.groupBy("r").applyInArrow(_total, _TOTALS)
+    return by_g.cogroup(totals.groupBy("g")).applyInArrow(_scores(n_ranges, words), f"doc_id {ids}, n_words long, log_score double")
 
 
 def op2_stupid_backoff(spark, sf_dir: str) -> DataFrame:
@@ -178,8 +142,8 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS r,
 t AS (SELECT r, i, w[i] AS w3, w[i - 1] AS w2, w[i - 2] AS w1
   FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 c1 AS (SELECT w3, count(*) AS n FROM t GROUP BY ALL),
-c2 AS (SELECT w2, w3, count(*) AS n FROM t WHERE i >= 2 GROUP BY ALL HAVING count(*) >= {MIN_COUNT}),
-c3 AS (SELECT w1, w2, w3, count(*) AS n FROM t WHERE i >= 3 GROUP BY ALL HAVING count(*) >= {MIN_COUNT}),
+c2 AS (SELECT w2, w3, count(*) AS n FROM t WHERE i >= 2 GROUP BY ALL),
+c3 AS (SELECT w1, w2, w3, count(*) AS n FROM t WHERE i >= 3 GROUP BY ALL),
 s AS (SELECT t.r, CASE WHEN c3.n IS NOT NULL THEN ln(c3.n / ctx.n)
     WHEN c2.n IS NOT NULL THEN ln(c2.n / p.n) + CASE WHEN t.i >= 3 THEN ln({BACKOFF}) ELSE 0 END
     ELSE ln(c1.n / (SELECT count(*) FROM t)) + least(t.i - 1, 2) * ln({BACKOFF}) END AS s
