@@ -15,7 +15,10 @@ taken within that slice alone (1/4096 of a leaf).
 Tokens are runs of characters other than blank, tab and line ends; a null or
 empty text has none and is taken with the full epochs and, in a part epoch, as
 the prefix reaches it. Null path values are a child of their own; weights that
-are not given are 1, as are null ones. Budgets are rounded down to tokens.
+are not given are 1, as are null ones. A child of weight 0 is left out with all below
+it: it gives no rows, and its tokens count nowhere as usable. Budgets are rounded
+down to tokens. Rows that repeat id and text alike are taken one by one: where the
+prefix ends among them, as many as still fit, those of the first scan parts.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loupe.llm import common as C
+from loupe.llm.merkle import number
 
 SLICE = 3  # hex digits of the order that tell slices apart
 # fixed parameters of the registered query: weights by level, share of the budget, epochs, seed
@@ -42,6 +46,11 @@ def _weight(column: str, given: dict) -> Column:
     return out
 
 
+def _left_out(weights: dict, levels: tuple[str, ...], path: list[str]) -> Column:
+    """Whether a node on the path has weight 0."""
+    return F.array_contains(F.array(*(_weight(c, weights.get(level) or {}) for c, level in zip(path, levels))), F.lit(0).cast("long"))
+
+
 def budgets(leaves: DataFrame, weights: dict, budget: int, max_epochs: int, levels: tuple[str, ...], path: list[str]) -> DataFrame:
     """``(path..., budget)``: the tokens each of the leaves (path..., tokens) is to give.
 
@@ -49,6 +58,7 @@ def budgets(leaves: DataFrame, weights: dict, budget: int, max_epochs: int, leve
     """
     big = "decimal(38,0)"
     above = None
+    leaves = leaves.withColumn("tokens", F.when(_left_out(weights, levels, path), 0).otherwise(F.col("tokens")))
     for i, (column, level) in enumerate(zip(path, levels)):
         nodes = leaves.groupBy(*path[:i + 1]).agg((F.sum("tokens") * max_epochs).alias("cap"))
         nodes = nodes.withColumn("w", _weight(column, weights.get(level) or {}))
@@ -57,7 +67,8 @@ def budgets(leaves: DataFrame, weights: dict, budget: int, max_epochs: int, leve
         else:
             nodes = nodes.join(above.withColumnRenamed("budget", "given"), path[:i])
         by = Window.partitionBy(*path[:i]) if i else Window.partitionBy(F.lit(0))
-        before = by.orderBy(F.col("cap") / F.col("w"), column).rowsBetween(Window.unboundedPreceding, -1)
+        per_weight = F.when(F.col("w") > 0, F.col("cap") / F.greatest("w", F.lit(1))).otherwise(0)
+        before = by.orderBy(per_weight, column).rowsBetween(Window.unboundedPreceding, -1)
         nodes = (nodes.withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0)))
                  .withColumn("w_left", F.sum("w").over(by) - F.coalesce(F.sum("w").over(before), F.lit(0)))
                  .withColumn("full", F.col("cap").cast(big) * F.col("w_left") <= F.col("w").cast(big) * (F.col("given") - F.col("cap_before")))
@@ -83,8 +94,9 @@ def select(docs: DataFrame, path: dict[str, Column], weights: dict, share: float
                        *([F.struct(*docs.columns).alias("row")] if carry else []))
     slim = C.keep(rows.select("doc_id", *names, "tokens", "th"))
     leaves = C.keep(slim.groupBy(*names).agg(F.sum("tokens").alias("tokens")))
-    total = leaves.agg(F.sum("tokens")).first()[0] or 0
-    plan = budgets(leaves, weights, min(int(total * share), total * max_epochs), max_epochs, levels, names)
+    left_out = _left_out(weights, levels, names)
+    total, usable = (int(x or 0) for x in leaves.agg(F.sum("tokens"), F.sum(F.when(~left_out, F.col("tokens")))).first())
+    plan = budgets(leaves, weights, min(int(total * share), usable * max_epochs), max_epochs, levels, names)
     plan = plan.join(leaves, names).withColumn(
         "epochs", F.when(F.col("tokens") > 0, F.expr("budget DIV greatest(tokens, 1)")).otherwise(0).cast("int"))
     plan = C.keep(plan.select(*names, "epochs", (F.col("budget") - F.col("epochs") * F.col("tokens")).alias("rest")))
@@ -101,16 +113,28 @@ def select(docs: DataFrame, path: dict[str, Column], weights: dict, share: float
                   .groupBy(*names).agg(F.min(F.struct("slice", (F.col("upto") - F.col("s")).alias("b"))).alias("e"))
                   .select(*names, F.col("e.slice").alias("end"), F.col("e.b").alias("before")))
     last = marked.join(ends, names).where(F.col("slice") == F.col("end"))
-    running = Window.partitionBy(*names).orderBy("order", "th").rowsBetween(Window.unboundedPreceding, 0)
-    stops = (last.withColumn("sum", F.sum("tokens").over(running) + F.col("before")).where(F.col("sum") <= F.col("rest"))
-             .groupBy(*names).agg(F.max(F.struct("order", "th")).alias("stop")))
-    cuts = C.keep(ends.join(stops, names, "left").select(*names, "end", "stop"))  # a row per leaf at most
+    # equal rows are one row of the running sum: all those before the place where it passes the budget, and of those there as many as fit
+    alike = last.groupBy(*names, "order", "th", "rest", "before").agg(F.count(F.lit(1)).alias("rows"), F.max("tokens").alias("tokens"))
+    running = Window.partitionBy(*names).orderBy("order", "th").rowsBetween(Window.unboundedPreceding, -1)
+    alike = alike.withColumn("at", F.coalesce(F.sum(F.col("rows") * F.col("tokens")).over(running), F.lit(0)) + F.col("before"))
+    fits = F.when(F.col("tokens") > 0, F.expr("greatest(rest - at, 0L) DIV greatest(tokens, 1L)")).otherwise(F.col("rows"))
+    place = F.struct("order", "th")
+    stops = (alike.withColumn("fit", F.least("rows", fits)).where((F.col("at") <= F.col("rest")) & (F.col("fit") > 0)).groupBy(*names)
+             .agg(F.max(place).alias("stop"), F.max_by("fit", place).alias("fit"), F.max_by("rows", place).alias("rows")))
+    cuts = C.keep(ends.join(stops, names, "left").select(*names, "end", "stop", "fit", "rows"))  # a row per leaf at most
     final = ordered(rows).join(cuts, names, "left")
-    here = F.coalesce(F.struct("order", "th") <= F.col("stop"), F.lit(False))
+    if not cuts.where("fit < rows").isEmpty():  # equal rows of which some are taken: number them
+        split = F.coalesce((place == F.col("stop")) & (F.col("fit") < F.col("rows")), F.lit(False))
+        some = number(final.where(split).withColumn("leaf", F.array_join(F.array(*names), "\x00")), "leaf", "order")
+        final = final.where(~split).withColumn("pos", F.lit(0).cast("long")).unionByName(some.drop("leaf", "gid", "n"))
+    else:
+        final = final.withColumn("pos", F.lit(0).cast("long"))
+    here = F.coalesce((place < F.col("stop")) | ((place == F.col("stop")) & (F.col("pos") < F.col("fit"))), F.lit(False))
     more = F.when(F.col("epochs") >= max_epochs, 0).when(
         F.col("end").isNull() | (F.col("slice") < F.col("end")) | ((F.col("slice") == F.col("end")) & here), 1).otherwise(0)
+    copies = F.when(left_out, 0).otherwise(F.col("epochs") + more).cast("int")
     return final.select("doc_id", *[F.when(F.col(n) != "", F.substr(n, F.lit(2))).alias(level) for n, level in zip(names, levels)], "tokens",
-                        (F.col("epochs") + more).cast("int").alias("copies"), *(["row"] if carry else []))
+                        copies.alias("copies"), *(["row"] if carry else []))
 
 
 def tree() -> dict[str, Column]:
