@@ -10,7 +10,7 @@ dense transition tables, so whole texts of any length cost a few array
 operations per character.
 
 The sample is bounded by parameters: per language the labelled rows with the
-smallest hash of the id, ``docs_per_language`` at most, of
+smallest hash of the id (then of the text), ``docs_per_language`` at most, of
 ``MIN_CHARS..MAX_CHARS`` characters, until ``chars_per_language`` are reached.
 A language with fewer such rows also learns from its shorter rows, as many as
 make up those characters, and then from the starts of its longer ones.
@@ -57,27 +57,30 @@ def samples(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(
         F.col("l").isNotNull() & F.col("i").isNotNull() & F.col("t").rlike(r"\p{L}"))
     n = F.length("t")
-    rows = rows.withColumn("tier", F.when(n < MIN_CHARS, 1).when(n > MAX_CHARS, 2).otherwise(0))
+    rows = rows.withColumn("tier", F.when(n < MIN_CHARS, 1).when(n > MAX_CHARS, 2).otherwise(0)).withColumn("h", F.xxhash64("t"))
     counts = rows.groupBy("l").agg(F.count_if(F.col("tier") == 0).alias("mid"), F.count_if(F.col("tier") == 1).alias("short"), F.sum(F.when(F.col("tier") == 1, n)).alias("chars")).collect()
     # ids first: the texts of the chosen rows only are fetched
-    ids = rows.select("i", "l", "tier", F.xxhash64("t").alias("h"))
-    top = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
+    ids = rows.select("i", "l", "tier", "h")
+    top = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i", "h")
     chosen = [ids.where("tier = 0").withColumn("n", F.row_number().over(top)).where(F.col("n") <= docs_per_language)]
     scarce = [r for r in counts if r["mid"] < docs_per_language]
     if scarce:
         # twice the rows that reach the characters on average; a language's mean length tells how many
         want = {r["l"]: docs_per_language + (2 * math.ceil(chars_per_language * r["short"] / r["chars"]) if r["short"] else 0) for r in scarce}
-        within = Window.partitionBy("l", "tier").orderBy(F.xxhash64("i"), "i")
+        within = Window.partitionBy("l", "tier").orderBy(F.xxhash64("i"), "i", "h")
         some = ids.where(F.col("l").isin(list(want)) & (F.col("tier") > 0)).withColumn("n", F.row_number().over(within)).where(F.col("n") <= max(want.values()))
         most = docs.sparkSession.createDataFrame(list(want.items()), "l string, most long")
         chosen.append(some.join(F.broadcast(most), "l").where((F.col("tier") == 1) & (F.col("n") <= F.col("most")) | (F.col("n") <= docs_per_language)).select(ids.columns + ["n"]))
-    chosen = functools.reduce(DataFrame.unionByName, chosen).select("i", "l", "tier").distinct()
+    # an id may be repeated: the text's hash tells its rows apart, and equal rows are fetched as often as they are chosen
+    chosen = functools.reduce(DataFrame.unionByName, chosen).groupBy("i", "l", "tier", "h").agg(F.count(F.lit(1)).alias("times"))
     part = F.when(F.col("tier") == 2, F.substring(F.regexp_replace("t", r"^\P{L}+", ""), 1, chars_per_language)).otherwise(F.col("t"))
     got: dict[str, list[str]] = {}
-    for r in rows.join(F.broadcast(chosen), ["i", "l", "tier"], "left_semi").select("i", "l", "tier", part.alias("t")).orderBy("l", "tier", "i", "t").collect():
+    fetched = rows.join(F.broadcast(chosen), ["i", "l", "tier", "h"]).dropDuplicates(["i", "l", "tier", "h"])
+    for r in fetched.select("i", "l", "tier", "times", part.alias("t")).orderBy("l", "tier", "i", "t").collect():
         have = got.setdefault(r["l"], [])
-        if sum(map(len, have)) < chars_per_language:
-            have.append(r["t"])
+        for _ in range(r["times"]):
+            if sum(map(len, have)) < chars_per_language:
+                have.append(r["t"])
     return {k: "\n".join(v) for k, v in sorted(got.items())}
 
 
