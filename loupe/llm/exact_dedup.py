@@ -1,7 +1,8 @@
 """Exact dedup by deterministic block naming, in DataFrame operations only.
 
-Texts are cut into blocks of ``block`` bytes. The distinct blocks are sorted and
-numbered: a block's name is its place in that order. Then the names of adjacent
+Texts are cut into blocks of ``block`` bytes. The distinct blocks are dealt by hash,
+sorted within each part and numbered: a block's name is its part and its place there,
+so nothing is sampled to the driver. Then the names of adjacent
 blocks are paired, the distinct pairs sorted and numbered again, until one name
 per document is left. Equal name and equal length mean equal text; nothing is
 compared by a fingerprint, so there are no collisions.
@@ -30,8 +31,8 @@ BLOCK, LEAD = 2048, 64
 
 
 def _names(df: DataFrame, *cols: str) -> DataFrame:
-    """The distinct values of ``cols``, sorted, with their place as ``name``."""
-    return C.keep(df.select(*cols).distinct().orderBy(*cols).withColumn("name", F.monotonically_increasing_id()))
+    """The distinct values of ``cols``, sorted within the parts that they are dealt to, with part and place as ``name``."""
+    return C.keep(df.select(*cols).distinct().sortWithinPartitions(*cols).withColumn("name", F.monotonically_increasing_id()))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
