@@ -205,6 +205,87 @@ def test_odd_rows(spark):
     assert mixed.columns == df.columns and mixing.mix(none).collect() == []
 
 
+def test_language_fetches_a_bounded_sample_of_a_repeated_id(spark):
+    rows = [(7, f"some words of text number {i} " * 10, "en") for i in range(500)] + [(8, "mots du texte " * 20, "fr")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.samples(df, docs_per_language=5)
+    assert got["en"].count("\n") == 4 and got["fr"].count("\n") == 2
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_language_phrases_by_definition(seed):
+    rng = np.random.default_rng(seed)
+    word = lambda n, of: "".join(rng.choice(list(of), n))
+    samples = {"a": word(60, "abc"), "b": word(80, "bcd"), "c": "e"}
+    texts = [word(int(rng.integers(0, 50)), "abcdef") for _ in range(30)]
+    count, lens = language_id.Parser(samples).phrases(texts)
+    for n, sample in enumerate(samples.values()):
+        for k, text in enumerate(texts):
+            phrases, phrase = 1, ""
+            for c in text:
+                if phrase + c in sample:
+                    phrase += c
+                else:
+                    phrases, phrase = phrases + 1, c if c in sample else ""
+            assert count[n, k] == phrases and lens[k] == len(text)
+
+
+def test_scores_under_another_corpus(spark):
+    from collections import Counter
+    model = ["a b c a b d", "b c a", None, "c"]
+    texts = ["a b c", "a b x", "b d a", "x y", "", None, "d"]
+    n = [Counter(tuple(w[i:i + k]) for w in ((t or "").split() for t in model) for i in range(len(w) - k + 1)) for k in (1, 2, 3)]
+
+    def log_score(text):
+        w, out = text.split(), []
+        for i, x in enumerate(w):
+            two, three = tuple(w[max(0, i - 1):i + 1]), tuple(w[max(0, i - 2):i + 1])
+            if i >= 2 and n[2][three]:
+                out.append(np.log(n[2][three] / n[1][three[:2]]))
+            elif i >= 1 and n[1][two]:
+                out.append(np.log(n[1][two] / n[0][two[:1]]) + (i >= 2) * np.log(0.4))
+            else:
+                out.append(np.log(max(1, n[0][(x,)]) / sum(n[0].values())) + min(i, 2) * np.log(0.4))
+        return round(float(np.mean(out)), 6) if out else None
+
+    table = lambda t: spark.createDataFrame(list(enumerate(t)), DDL)
+    for bounds in ({}, {"group_bytes": 8, "range_keys": 3}):
+        got = {r["doc_id"]: r["log_score"] for r in lm_score.score(table(texts), table(model), **bounds).collect()}
+        assert got == pytest.approx({i: log_score(t or "") for i, t in enumerate(texts)})
+
+
+def test_mix_takes_equal_rows_one_by_one(spark):
+    df = spark.createDataFrame([(1, "x y z")] * 4, DDL).selectExpr("*", "'en' AS lang", "'src1' AS source", "3L AS n_chars")
+    for share, want in ((0.25, 1), (0.5, 2), (0.8, 3), (1.0, 4)):
+        out = mixing.select(df, mixing.tree(), {}, share, 1, 17).collect()
+        assert len(out) == 4 and sum(r["copies"] for r in out) == want
+    out = mixing.select(df, mixing.tree(), {}, 0.25, 1, 17, carry=True)
+    assert sorted(r["copies"] for r in out.collect()) == [0, 0, 0, 1] and out.select("row.*").columns == df.columns
+
+
+def test_mix_leaves_out_weight_zero(spark):
+    rows = [(i, "a b c", lang, src, 5) for i, (lang, src) in enumerate([("en", "src1"), ("en", "src2"), ("de", "src1"), ("fr", "src3")] * 5)] + [
+        (50, "", "en", "src1", 0), (51, "", "fr", "src3", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    weights = {"language": {"fr": 0}, "source": {"src2": 0}}
+    out = {r["doc_id"]: r for r in mixing.select(df, mixing.tree(), weights, 0.5, 3, 17).collect()}
+    taken = {i for i, r in out.items() if r["copies"]}
+    assert len(out) == len(rows) and all(rows[i][2] != "fr" and rows[i][3] != "src2" for i in taken if i < 50) and 51 not in taken
+    # 60 tokens, half of them wanted; the four left-out groups give none, so the others give 30
+    assert sum(r["copies"] * r["tokens"] for r in out.values()) == 30
+
+
+def test_empty_tables(spark):
+    none = odd(spark).limit(0)
+    assert bpe.round_trip(none).collect() == [] and language_id.identify(none, {"en": "words"}).collect() == []
+    assert toxicity.score(none, toxicity.train(spark.createDataFrame([(1, "x", 0)], "doc_id long, text string, y int"))).collect() == []
+    import corpus_pipeline as P
+    docs = none.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in P.STAGES:
+        docs = C.keep(stage(spark, docs, SF))
+        assert docs.count() == 0
+
+
 def test_budgets_make_up_shortage_among_siblings(spark):
     leaves = spark.createDataFrame([("=a", "=x", 10), ("=a", "=y", 1000), ("=b", "=z", 1000)], "p0 string, p1 string, tokens long")
     got = {r["p1"]: r["budget"] for r in mixing.budgets(leaves, {"l0": {"a": 3}}, 400, 1, ("l0", "l1"), ["p0", "p1"]).collect()}
