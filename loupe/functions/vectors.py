@@ -141,3 +141,25 @@ def mahalanobis_udf(spark: SparkSession, centers: list[tuple], precisions: dict)
         return out
 
     return all_centers
+
+
+def own_mahalanobis_udf(spark: SparkSession, centers: list[tuple], precisions: dict):
+    """Function of a label and a vector column: the vector's distance to that label's centre alone.
+
+    The rows of each label in an Arrow batch are multiplied together. A null
+    vector, and a label without a centre, give null.
+    """
+    model = spark.sparkContext.broadcast(
+        {label: (np.array(c, dtype=float), np.array(precisions[label], dtype=float)) for label, c in centers})
+
+    @F.pandas_udf("double")
+    def own(labels: pd.Series, x: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(x), dtype=object)
+        for label, at in labels[x.notna()].groupby(labels).groups.items():
+            if label in model.value:
+                c, vi = model.value[label]
+                diff = np.stack([np.asarray(v, dtype=float) for v in x[at]]) - c
+                out[at] = np.sqrt(np.maximum(np.einsum("ij,ij->i", diff @ vi.T, diff), 0.0))
+        return out.astype("float64")
+
+    return own

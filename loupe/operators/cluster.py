@@ -44,33 +44,41 @@ def lloyd(df: DataFrame, init_centers, max_iter: int = 100, tol: float = 1e-4,
     ties), sum the distances (inertia), recompute centres as the mean of the
     normalised members (cosine) or of the members (euclidean); clusters that
     empty vanish and keep no label. Stops when the inertia improves by less
-    than ``tol`` or after ``max_iter`` iterations. The reported inertia
-    belongs to the returned labels. Cosine centres are returned unit length.
+    than ``tol`` or after ``max_iter`` iterations. Labels, inertia and centres
+    returned belong together: each label is that of the nearest returned
+    centre, and the inertia is the sum of those distances. Cosine centres are
+    returned unit length. Null vectors are left out.
     """
-    data = df.select(F.col(key), F.col(vec_col).alias(VEC))
+    if max_iter < 1:
+        raise ValueError("max_iter must be 1 or more")
+    data = df.select(F.col(key), F.col(vec_col).alias(VEC)).where(F.col(VEC).isNotNull())
     if metric == "cosine":
         data = G.normalize_rows(data)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     centers = G.collect_centers(init_centers)
     dist = "cosine" if metric == "cosine" else "euclidean"
-    prev = float("inf")
-    it = 0
-    for it in range(1, max_iter + 1):
-        assigned = G.assign(data, centers, dist, VEC, key)
-        stats = assigned.groupBy("label").agg(
-            F.sum("distance").alias("s"),
-            vector_to_array(Summarizer.mean(array_to_vector(F.col(VEC)))).alias("center"),
-        ).collect()
-        stats = sorted(stats, key=lambda r: r["label"])  # k rows, sorted on the driver
-        cur = float(sum(r["s"] for r in stats))
-        new_centers = [(int(r["label"]), [float(v) for v in r["center"]]) for r in stats]
-        if prev - cur < tol:
-            break
-        prev = cur
-        centers = new_centers
-    final = [(lbl, _unit(vec)) for lbl, vec in new_centers] if metric == "cosine" else new_centers
+    prev, history = float("inf"), []
+    try:
+        for it in range(1, max_iter + 1):
+            used = centers
+            assigned = G.assign(data, used, dist, VEC, key)
+            stats = assigned.groupBy("label").agg(
+                F.sum("distance").alias("s"),
+                vector_to_array(Summarizer.mean(array_to_vector(F.col(VEC)))).alias("center"),
+            ).collect()
+            stats = sorted(stats, key=lambda r: r["label"])  # k rows, sorted on the driver
+            cur = float(sum(r["s"] for r in stats))
+            history.append(cur)
+            centers = [(int(r["label"]), [float(v) for v in r["center"]]) for r in stats]
+            if prev - cur < tol:
+                break
+            prev = cur
+    finally:
+        data.unpersist()  # labels are read from the source again
+    kept = {label for label, _ in centers}
+    final = [(label, _unit(vec) if metric == "cosine" else vec) for label, vec in used if label in kept]
     return ClusterResult(labels=assigned.select(key, "label", "distance"), centers=final,
-                         inertia=cur, n_iter=it)
+                         inertia=cur, inertias=history, n_iter=it)
 
 
 def _unit(vec):

@@ -115,10 +115,8 @@ def own_center_distance(df: DataFrame, centers_, metric: str = "cosine", precisi
     pm = precision_matrices(precisions) if metric == "mahalanobis" else None
     x = F.col(vec_col)
     if pm and not _diagonal(pm):
-        place = F.array_position(V.constant([label for label, _ in cl], "array<int>"), F.col(label_col).cast("int"))
-        all_centers = V.mahalanobis_udf(df.sparkSession, cl, pm)(x.cast("array<double>"))
-        return df.select(F.col(key), F.col(label_col).alias("label"), place.cast("int").alias("_at"), all_centers.alias("_d")).select(
-            F.col(key), "label", F.when(F.col("_at") > 0, F.element_at("_d", F.col("_at"))).alias("distance"))
+        own = V.own_mahalanobis_udf(df.sparkSession, cl, pm)(F.col(label_col).cast("int"), x.cast("array<double>"))
+        return df.select(F.col(key), F.col(label_col).alias("label"), own.alias("distance"))
     C = V.centers_literal(cl, pm)
     lookup = F.map_from_arrays(F.transform(C, lambda c: c["label"]), C)
     own = F.element_at(lookup, F.col(label_col))
@@ -304,16 +302,18 @@ def silhouette_score(df: DataFrame, label_col: str = "label", vec_col: str = VEC
 
 # ---------------------------------------------------------------- assignment
 
+def nearest(centers_: list, x: Column, metric: str = "cosine", x_norm: Column | None = None) -> Column:
+    """Struct (distance, label) of the centre nearest to ``x``, the lowest label on ties."""
+    return F.array_min(F.transform(V.centers_literal(centers_), lambda c: F.struct(
+        V.distance(metric, x, c["center"], x_norm, c["cnorm"]).alias("distance"), c["label"].alias("label"))))
+
+
 def assign(df: DataFrame, centers_, metric: str = "cosine", vec_col: str = VEC,
            key: str = KEY, keep=()) -> DataFrame:
     """C1d: nearest centre per row, lowest label on ties: ``(key, label, distance)``."""
-    cl = collect_centers(centers_)
-    C = V.centers_literal(cl)
     x = F.col(vec_col)
     base = df.select(F.col(key), *keep, x.alias("_x"), V.norm(x).alias("_xn"))
-    best = F.array_min(F.transform(C, lambda c: F.struct(
-        V.distance(metric, F.col("_x"), c["center"], F.col("_xn"), c["cnorm"]).alias("distance"),
-        c["label"].alias("label"))))
+    best = nearest(collect_centers(centers_), F.col("_x"), metric, F.col("_xn"))
     return base.select(F.col(key), *keep, F.col("_x").alias(vec_col),
                        best["label"].alias("label"), best["distance"].alias("distance"))
 

@@ -1,11 +1,10 @@
 """Gaussian mixtures by EM with full, tied, diag or spherical covariances.
 
 E-step and sufficient statistics run per partition in numpy
-(``mapInPandas``): each task emits one row per component (responsibility
-sum, weighted sum, weighted second moments). Spark sums those rows (or, when
-partitions x k x statistics stay under a fixed bound, the driver sums the
-few task rows directly, saving a stage per iteration); the M-step runs on
-the driver over k x d x d numbers. Rows never leave the
+(``mapInPandas``): each task emits one frame per component (responsibility
+sum, weighted sum, weighted second moments; of symmetric matrices the upper
+triangle). Spark sums those rows; the M-step runs on the driver over the k
+components, as the model itself holds k x d x d numbers. Rows never leave the
 executors. Initialisation: hard responsibilities from seeded Euclidean
 k-means, as is customary for mixture fits.
 """
@@ -16,6 +15,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -142,18 +142,16 @@ def _stats_fn(cov_type, d, k, params=None, hard=False):
                     sxx[j] += (X * R[:, j:j + 1]).T @ X
             else:
                 sxx += R.T @ (X * X)
-        import pandas as pd
-        yield pd.DataFrame({"component": np.arange(k, dtype=np.int32), "nk": nk,
-                            "sx": list(sx), "sxx": [a.ravel() for a in sxx],
-                            "ll": [ll] + [0.0] * (k - 1)})
+        for j in range(k):
+            moments = sxx[j][np.triu_indices(d)] if second == "outer" else sxx[j]
+            yield pd.DataFrame({"component": np.array([j], dtype=np.int32), "nk": nk[j:j + 1], "sx": [sx[j]],
+                                "sxx": [moments], "ll": [ll if j == 0 else 0.0]})
     return fn
 
 
 def _collect_stats(data: DataFrame, fn, k, d, cov_type):
     ship_package(data.sparkSession)
     per_part = data.mapInPandas(fn, STATS_SCHEMA)
-    second = d * d if cov_type in ("full", "tied") else d
-    shape = (k, d, d) if cov_type in ("full", "tied") else (k, d)
     agg = (per_part.groupBy("component").agg(
                F.sum("nk").alias("nk"),
                vector_to_array(Summarizer.sum(array_to_vector("sx"))).alias("sx"),
@@ -163,7 +161,11 @@ def _collect_stats(data: DataFrame, fn, k, d, cov_type):
     agg = sorted(agg, key=lambda r: r["component"])  # k rows: sorted on the driver, no extra stage
     nk = np.array([r["nk"] for r in agg])
     sx = np.array([r["sx"] for r in agg])
-    sxx = np.array([r["sxx"] for r in agg]).reshape(shape)
+    sxx = np.array([r["sxx"] for r in agg])
+    if cov_type in ("full", "tied"):
+        upper, sxx = sxx, np.zeros((k, d, d))
+        rows, cols = np.triu_indices(d)
+        sxx[:, rows, cols] = sxx[:, cols, rows] = upper
     ll = float(sum(r["ll"] for r in agg))
     return nk, sx, sxx, ll
 
@@ -195,49 +197,67 @@ def gaussian_mixture(df: DataFrame, n_components: int, covariance_type: str = "f
     k = n_components
     data = df.select(F.col(key), F.col(vec_col).cast("array<double>").alias(VEC)).persist(
         StorageLevel.MEMORY_AND_DISK)
-    d = len(data.select(VEC).first()[0])
-    init = kmeans(data, k=k, n_init=1, seed=seed, max_iter=300).labels
-    init = init.join(data, key)
-    nk, sx, sxx, _ = _collect_stats(init, _stats_fn(covariance_type, d, k, hard=True), k, d, covariance_type)
-    n = int(round(nk.sum()))
-    weights, means, cov = m_step(covariance_type, nk, sx, sxx, n, reg_covar)
-    prev = -np.inf
-    model = MixtureModel(covariance_type, weights, means, cov, n=n, d=d, seed=seed)
-    for it in range(1, max_iter + 1):
-        chol, logdet = _prec_chol(covariance_type, cov)
-        params = (means, chol, logdet, np.log(weights))
-        nk, sx, sxx, ll = _collect_stats(data, _stats_fn(covariance_type, d, k, params), k, d, covariance_type)
-        lower = ll / n
-        model.history.append(lower)
-        weights, means, cov = m_step(covariance_type, nk, sx, sxx, n, reg_covar)
-        model.n_iter = it
-        if abs(lower - prev) < tol:
-            model.converged = True
-            break
-        prev = lower
-    model.weights, model.means, model.covariances = weights, means, cov
-    model.log_likelihood = score(model, data)
-    data.unpersist()  # labels are read from the source: grids of fits leave no copies behind
+    try:
+        init = kmeans(data, k=k, n_init=1, seed=seed, max_iter=300, key=key).labels.join(data, key)
+        model = from_labels(init, covariance_type, k, reg_covar)
+        model.seed, prev = seed, -np.inf
+        for it in range(1, max_iter + 1):
+            step, lower = em_step(model, data, reg_covar)
+            model.weights, model.means, model.covariances = step.weights, step.means, step.covariances
+            model.history.append(lower)
+            model.n_iter = it
+            if abs(lower - prev) < tol:
+                model.converged = True
+                break
+            prev = lower
+        model.log_likelihood = score(model, data)
+    finally:
+        data.unpersist()  # labels are read from the source: grids of fits leave no copies behind
     return model, predict(model, data, key)
 
 
-def _params(model: MixtureModel):
+def from_labels(df: DataFrame, covariance_type: str, k: int | None = None, reg_covar: float = 1e-6, vec_col: str = VEC, label_col: str = "label") -> MixtureModel:
+    """The mixture whose components are the given clusters 0..k-1: their shares, means and covariances."""
+    data = df.select(F.col(vec_col).cast("array<double>").alias(VEC), F.col(label_col).cast("int").alias("label")).where(F.col(VEC).isNotNull() & F.col("label").isNotNull())
+    size = data.agg(F.max("label"), F.max(F.size(VEC))).first()
+    if size[0] is None:
+        raise ValueError("no labelled vectors")
+    k, d = k or size[0] + 1, size[1]
+    nk, sx, sxx, _ = _collect_stats(data, _stats_fn(covariance_type, d, k, hard=True), k, d, covariance_type)
+    n = int(round(nk.sum()))
+    return MixtureModel(covariance_type, *m_step(covariance_type, nk, sx, sxx, n, reg_covar), n=n, d=d)
+
+
+def em_step(model: MixtureModel, data: DataFrame, reg_covar: float = 1e-6) -> tuple[MixtureModel, float]:
+    """One E- and M-step: the next model, and the mean log-likelihood of the rows under the one given."""
+    kind, k = model.covariance_type, len(model.weights)
+    nk, sx, sxx, ll = _collect_stats(data.select(VEC), _stats_fn(kind, model.d, k, e_step_params(model)), k, model.d, kind)
+    n = int(round(nk.sum()))
+    return MixtureModel(kind, *m_step(kind, nk, sx, sxx, n, reg_covar), n=n, d=model.d), ll / max(n, 1)
+
+
+def e_step_params(model: MixtureModel):
     chol, logdet = _prec_chol(model.covariance_type, model.covariances)
     return model.means, chol, logdet, np.log(model.weights)
 
 
+def precision_matrices(model: MixtureModel) -> dict[int, list[list[float]]]:
+    """One d x d precision matrix for each component, of any covariance type (Cholesky inverses)."""
+    chol, _ = _prec_chol(model.covariance_type, model.covariances)
+    of = {"full": lambda j: chol[j] @ chol[j].T, "tied": lambda j: chol @ chol.T,
+          "diag": lambda j: np.diag(chol[j] ** 2), "spherical": lambda j: np.eye(model.d) * chol[j] ** 2}[model.covariance_type]
+    return {j: of(j).tolist() for j in range(len(model.weights))}
+
+
 def score(model: MixtureModel, data: DataFrame) -> float:
     """Mean log-likelihood per row under the model."""
-    nk, _, _, ll = _collect_stats(data.select(VEC), _stats_fn(model.covariance_type, model.d,
-                                                             len(model.weights), _params(model)),
-                                  len(model.weights), model.d, model.covariance_type)
-    return ll / max(nk.sum(), 1.0)
+    return em_step(model, data)[1]
 
 
 def predict(model: MixtureModel, data: DataFrame, key: str = KEY) -> DataFrame:
     """Hard labels: component of highest responsibility (lowest index on ties)."""
     ship_package(data.sparkSession)
-    params = _params(model)
+    params = e_step_params(model)
     ct = model.covariance_type
 
     def fn(batches):

@@ -1,20 +1,28 @@
 """Registered model-fitting queries (C1, C2, C3, C4, C5, C9, E1, P7 over runs).
 
-Iterative fits have no SQL equivalent: the driver's check is rows-only and
+Whole iterative fits have no SQL equivalent: the driver's check is rows-only and
 the value checks (AMI on the circle fixture, cost identities, agreement with
-MLlib) live in ``tests/``.
+MLlib) live in ``tests/``. Their parts have: mixtures of given clusters, one EM
+step from them, their likelihood and criteria, and labels by saved and loaded
+models are compared with SQL.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loupe.functions.text import words
-from loupe.operators import cluster, embed, mixture, report, selection
+from loupe.operators import cluster, embed, estimators, mixture, report, selection
+from loupe.plans.vector_queries import _E, _w
+from loupe.session import checkpoint_dir
 from loupe.sources import tables
 
 K = 10
 SEED = 42
+REG = 1e-6
+P = 6  # rounding places
 
 
 def _vec(spark, sf_dir):
@@ -66,7 +74,44 @@ def embed_tfidf(spark, sf_dir):
     return embed.tfidf_embeddings(rv, num_features=256)
 
 
+def _saved_and_loaded(spark, model):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return type(model).load(path)
+
+
+def mixture_roundtrip(spark, sf_dir):
+    """Labels by the diagonal mixture of the given clusters, after saving and loading it."""
+    v = _vec(spark, sf_dir)
+    model = _saved_and_loaded(spark, estimators.MixtureClusters(mixture.from_labels(v, "diag", reg_covar=REG)))
+    return model.transform(v.drop("label")).select("review_id", "label")
+
+
+def em_step_diag(spark, sf_dir):
+    """Weights, means and variances after one EM step from the given clusters."""
+    v = _vec(spark, sf_dir)
+    model, _ = mixture.em_step(mixture.from_labels(v, "diag", reg_covar=REG), v, REG)
+    rows = [(j, float(w), [float(x) for x in m], [float(x) for x in c]) for j, (w, m, c) in enumerate(zip(model.weights, model.means, model.covariances))]
+    df = spark.createDataFrame(rows, "component int, weight double, mean array<double>, variance array<double>")
+    long = df.select("component", "weight", F.posexplode(F.arrays_zip("mean", "variance")).alias("dim", "z"))
+    return long.select("component", "dim", *[F.round(c, P).alias(n) for c, n in (("weight", "weight"), ("z.mean", "mean"), ("z.variance", "variance"))])
+
+
+def mixture_criteria(spark, sf_dir):
+    """Mean log-likelihood, AIC and BIC of the mixtures of the given clusters."""
+    v = _vec(spark, sf_dir)
+    rows = []
+    for kind in ("diag", "spherical"):
+        model = mixture.from_labels(v, kind, reg_covar=REG)
+        model.log_likelihood = mixture.score(model, v)
+        rows.append((kind, model.n_parameters(), round(model.log_likelihood, P), round(model.aic(), 3), round(model.bic(), 3)))
+    return spark.createDataFrame(rows, "cov_type string, n_parameters int, log_likelihood double, aic double, bic double")
+
+
 QUERIES = {
+    "mixture_roundtrip": mixture_roundtrip,
+    "em_step_diag": em_step_diag,
+    "mixture_criteria": mixture_criteria,
     "spherical_kmeans": spherical_kmeans,
     "kmeans_euclidean": kmeans_euclidean,
     "gaussian_mixture": gaussian_mixture,
@@ -78,4 +123,32 @@ QUERIES = {
     "embed_tfidf": embed_tfidf,
 }
 
-SQL: dict[str, str] = {}
+# weighted log densities of all rows under the mixture of the given clusters
+_DENSITIES = (
+    f"par AS (SELECT label, dim, avg(v) AS m, var_pop(v) + {REG} AS s, count(*) AS n FROM el GROUP BY ALL)",
+    "tot AS (SELECT count(*)::DOUBLE AS n FROM e)",
+)
+_LP = """lp AS (SELECT el.review_id, p.label, ln(any_value(p.n) / any_value(tot.n)) - 0.5 * sum(ln(2 * pi()) + ln(p.s) + (el.v - p.m) ** 2 / p.s) AS lp
+  FROM el JOIN {par} p ON p.dim = el.dim, tot GROUP BY ALL)"""
+_RESP = """mx AS (SELECT review_id, max(lp) AS top FROM lp GROUP BY ALL),
+ll AS (SELECT review_id, any_value(top) + ln(sum(exp(lp - top))) AS ll FROM lp JOIN mx USING (review_id) GROUP BY ALL),
+resp AS (SELECT review_id, label, exp(lp - ll) AS r FROM lp JOIN ll USING (review_id))"""
+_SPHERICAL = "par_s AS (SELECT label, dim, m, avg(s) OVER (PARTITION BY label) AS s, n FROM par)"
+
+
+def _criteria(kind: str, par: str, covariances: str) -> str:
+    size = "(SELECT count(DISTINCT label) FROM e) AS k, (SELECT len(any_value(x)) FROM e) AS d, (SELECT n FROM tot) AS n"
+    return (f"SELECT '{kind}' AS cov_type, ({covariances} + k * d + k - 1)::INTEGER AS p, n, ll FROM (SELECT {size}), "
+            f"(WITH {_LP.format(par=par)}, {_RESP} SELECT avg(ll) AS ll FROM ll)")
+
+
+SQL: dict[str, str] = {
+    "mixture_roundtrip": _w(_E, *_DENSITIES, _LP.format(par="par")) + "SELECT review_id, arg_max(label, lp) AS label FROM lp GROUP BY review_id",
+    "em_step_diag": _w(_E, *_DENSITIES, _LP.format(par="par"), _RESP) + (
+        f"SELECT r.label AS component, el.dim, round(sum(r.r) / any_value(tot.n), {P}) AS weight, round(sum(r.r * el.v) / sum(r.r), {P}) AS mean, "
+        f"round(sum(r.r * el.v * el.v) / sum(r.r) - (sum(r.r * el.v) / sum(r.r)) ** 2 + {REG}, {P}) AS variance "
+        "FROM resp r JOIN el USING (review_id), tot GROUP BY r.label, el.dim"),
+    "mixture_criteria": _w(_E, *_DENSITIES, _SPHERICAL) + (
+        f"SELECT cov_type, p AS n_parameters, round(ll, {P}) AS log_likelihood, round(-2 * ll * n + 2 * p, 3) AS aic, round(-2 * ll * n + p * ln(n), 3) AS bic "
+        f"FROM ({_criteria('diag', 'par', 'k * d')} UNION ALL {_criteria('spherical', 'par_s', 'k')})"),
+}

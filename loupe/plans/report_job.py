@@ -5,8 +5,9 @@ writes one Parquet table per artifact: the model (S6), top n-grams per
 cluster (P1), word-cloud weights (P2), the cluster summary (P4), random and
 central review texts (S4/S5), centre-distance densities (G9), the centre
 distance matrix (G7) and silhouettes with their plot bands (G10, P6; squared
-Euclidean ones for the Euclidean metric, and named so). Names, metric and
-precisions are checked before anything is written. The review texts shared by
+Euclidean ones for the Euclidean metric, and named so). Centres, labels and
+precisions come from a fitted model (``operators.estimators``) where they are not
+given. Names, metric and precisions are checked before anything is written. The review texts shared by
 several artifacts are checkpointed to the session's checkpoint folder once,
 which also cuts their lineage.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from loupe.operators import geometry as G
 from loupe.operators import report, stem, terms
+from loupe.operators.estimators import CentersModel
 from loupe.session import checkpoint_dir
 from loupe.sources import sinks
 
@@ -72,12 +74,26 @@ def _tokens(reviews: DataFrame, name: str) -> tuple[DataFrame, str, int]:
 
 def topic_report(path: str, reviews: DataFrame, vectors: DataFrame, centers=None, metric: str = "cosine",
                  precisions=None, seed: int = 0, ngram_params=None, wordcloud_params=None,
-                 text_params=None, diagnostic_params=None, overwrite: bool = False) -> DataFrame:
-    """Write every artifact of a clustering under ``path``; return ``(artifact, rows)``."""
+                 text_params=None, diagnostic_params=None, overwrite: bool = False, model=None) -> DataFrame:
+    """Write every artifact of a clustering under ``path``; return ``(artifact, rows)``.
+
+    With a fitted ``model`` (``CentersModel`` or ``MixtureClusters``) vectors and
+    reviews need no label, and centres and precisions are the model's unless given.
+    """
     spark = reviews.sparkSession
     checkpoint_dir(spark)
     ngp, wcp, txp, dgp = sinks.check_params(ngram_params, wordcloud_params, text_params,
                                             diagnostic_params, metric)
+    if model is not None:
+        if "label" not in vectors.columns:
+            vectors = model.transform(vectors).withColumnRenamed(model.getPredictionCol(), "label").checkpoint()
+        if "label" not in reviews.columns:
+            reviews = reviews.join(vectors.select("review_id", "label"), "review_id")
+        centers = model.centers if centers is None else centers
+        if metric == "mahalanobis" and precisions is None:
+            if not hasattr(model, "precisions"):
+                raise ValueError("mahalanobis needs precision matrices or a fitted mixture")
+            precisions = model.precisions
     if centers is None:
         centers = G.centers(vectors, normalize=(metric == "cosine"))
     centers = G.collect_centers(centers)
@@ -91,7 +107,8 @@ def topic_report(path: str, reviews: DataFrame, vectors: DataFrame, centers=None
         df.write.mode(mode).parquet(f"{root}/{name}")
         written.append((name, spark.read.parquet(f"{root}/{name}")))
 
-    sinks.save_centers_model(spark, centers, f"{root}/model", {"metric": metric, "seed": seed}, overwrite)
+    saved = model or CentersModel(centers)._set(metric=metric if metric == "euclidean" else "cosine")
+    (saved.write().overwrite() if overwrite else saved.write()).save(f"{root}/model")
 
     rv = reviews.select("review_id", "text", "label").checkpoint()
     for name in ngp["names"]:

@@ -9,7 +9,9 @@ from __future__ import annotations
 import uuid
 
 from loupe.operators import geometry as G
+from loupe.operators.estimators import CentersModel
 from loupe.plans import report_job
+from loupe.plans.vector_queries import _ASSIGN0, _E, _w
 from loupe.session import checkpoint_dir
 from loupe.sources import sinks, tables
 
@@ -41,17 +43,16 @@ def _scratch(spark, name):
 
 
 def model_roundtrip(spark, sf_dir):
-    from loupe.operators import cluster
+    """Labels by the unit centres of the given clusters, after saving and loading them as a model."""
     v = tables.vectors(spark, sf_dir)
-    res = cluster.spherical_kmeans(v, k=10, n_init=1, seed=SEED)
     path = _scratch(spark, "model")
-    sinks.save_centers_model(spark, res.centers, path, {"metric": "cosine"})
-    centers, meta = sinks.load_centers_model(spark, path)
-    return G.assign(v, centers, meta["metric"]).select("review_id", "label")
+    CentersModel(G.centers(v, normalize=True)).write().save(path)
+    return CentersModel.load(path).transform(v.drop("label")).select("review_id", "label")
 
 
 def topic_report(spark, sf_dir):
-    v, rv = _inputs(spark, sf_dir, corrected=True)
+    v = tables.vectors(spark, sf_dir)
+    rv = tables.reviews(spark, sf_dir).select("review_id", "text").join(v.select("review_id", "label"), "review_id")
     return report_job.topic_report(_scratch(spark, "topic-report"), rv, v, seed=SEED,
                                    text_params={"random": TEXT_K, "central_sentences": TEXT_K})
 
@@ -70,6 +71,7 @@ summ AS (SELECT label, 'label = ' || CAST(label AS VARCHAR) || ', n = ' || CAST(
          FROM rv GROUP BY label)"""
 
 SQL = {
+    "model_roundtrip": _w(_E, _ASSIGN0) + "SELECT review_id, label FROM a1",
     "cluster_text_central": "WITH " + _BASE + """,
 el AS (SELECT review_id, label, generate_subscripts(x, 1) AS dim, unnest(x) AS v FROM e),
 cv AS (SELECT label, list(c ORDER BY dim) AS cx FROM (SELECT label, dim, AVG(v) AS c FROM el GROUP BY ALL) GROUP BY label),

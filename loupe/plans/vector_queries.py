@@ -12,12 +12,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from loupe.operators import agreement, cluster, embed, geometry as G, report
+from loupe.operators import agreement, cluster, embed, geometry as G, mixture, report
 from loupe.sources import tables
 
 P = 6  # rounding places
+P_INVERSE = 4  # of what inverse matrices enter
 CENTRAL_K = 5
 REG = 1e-6
+REG_FULL = 1e-2  # clusters have fewer rows than dimensions
 MERGE = [[1, 2], [5, 3, 7]]
 LLOYD_STEPS = 2
 DENSITY_GRID = 100
@@ -35,8 +37,8 @@ def _long(df, key, col):
     return df.select(key, F.posexplode(col).alias("dim", "value")).withColumn("value", _r(F.col("value")))
 
 
-def _dist_out(df):
-    return df.withColumn("distance", _r(F.col("distance")))
+def _dist_out(df, places=P):
+    return df.withColumn("distance", F.round("distance", places))
 
 
 def normalize_rows(spark, sf_dir):
@@ -82,22 +84,21 @@ def distances_mahalanobis(spark, sf_dir):
 
 
 def _full_precisions(v):
-    """One non-diagonal matrix per label: the identity plus the outer product of its centre."""
-    idx = F.sequence(F.lit(0), F.size("center") - 1)
-    return G.centers(v).select("label", F.transform(idx, lambda i: F.transform(
-        idx, lambda j: F.col("center")[i] * F.col("center")[j] + F.when(i == j, 1.0).otherwise(0.0))).alias("vi"))
+    """Inverse of each cluster's covariance matrix."""
+    prec = mixture.precision_matrices(mixture.from_labels(v, "full", reg_covar=REG_FULL))
+    return v.sparkSession.createDataFrame(sorted(prec.items()), "label int, vi array<array<double>>")
 
 
 def distances_mahalanobis_full(spark, sf_dir):
     v = _vec(spark, sf_dir)
     prec = G.format_precisions(_full_precisions(v), "full", 64)
-    return _dist_out(G.distances(v, G.centers(v), "mahalanobis", precisions=prec))
+    return _dist_out(G.distances(v, G.centers(v), "mahalanobis", precisions=prec), P_INVERSE)
 
 
 def own_center_distance_mahalanobis(spark, sf_dir):
     v = _vec(spark, sf_dir)
     prec = G.format_precisions(_full_precisions(v), "full", 64)
-    return _dist_out(G.own_center_distance(v, G.centers(v), "mahalanobis", precisions=prec))
+    return _dist_out(G.own_center_distance(v, G.centers(v), "mahalanobis", precisions=prec), P_INVERSE)
 
 
 def own_center_distance(spark, sf_dir):
@@ -105,8 +106,8 @@ def own_center_distance(spark, sf_dir):
     return _dist_out(G.own_center_distance(v, G.centers(v), "cosine"))
 
 
-def _prec_long(df):
-    return G.matrix_long(df).withColumn("value", _r(F.col("value")))
+def _prec_long(df, places=P):
+    return G.matrix_long(df).withColumn("value", F.round("value", places))
 
 
 def precisions_diag(spark, sf_dir):
@@ -137,7 +138,7 @@ def precisions_tied(spark, sf_dir):
 
 
 def precisions_full(spark, sf_dir):
-    return _prec_long(G.format_precisions(_full_precisions(_vec(spark, sf_dir)), "full", 64))
+    return _prec_long(G.format_precisions(_full_precisions(_vec(spark, sf_dir)), "full", 64), P_INVERSE)
 
 
 def central_indices(spark, sf_dir):
@@ -340,8 +341,25 @@ a1 AS (SELECT review_id, label, distance FROM (
          FROM e, c0) WHERE rn = 1)"""
 _UPD1 = """c1l AS (SELECT a1.label, eln.dim, AVG(eln.v) AS c FROM eln JOIN a1 USING (review_id) GROUP BY ALL),
 c1 AS (SELECT label, list(c ORDER BY dim) AS cx FROM c1l GROUP BY label)"""
-# with a precision of identity plus the centre's outer product: |x - c|^2 + (c . (x - c))^2
-_FULL = f"round(sqrt(list_distance(e.x, cv.cx) ** 2 + (list_dot_product(cv.cx, e.x) - list_dot_product(cv.cx, cv.cx)) ** 2), {P})"
+# covariances and their inverses: Newton-Schulz steps from 1 / trace, all of whose matrices are symmetric and commute
+NEWTON_STEPS = 13  # from here on rounding grows
+
+
+def _newton(k: int) -> str:
+    return (f"s{k} AS MATERIALIZED (SELECT a.label, a.i, list(list_dot_product(a.r, b.r) ORDER BY b.i) AS r FROM covr a JOIN x{k} b USING (label) GROUP BY a.label, a.i),\n"
+            f"x{k + 1} AS MATERIALIZED (SELECT a.label, a.i, list(2 * a.r[b.i + 1] - list_dot_product(a.r, b.r) ORDER BY b.i) AS r FROM x{k} a JOIN s{k} b USING (label) GROUP BY a.label, a.i)")
+
+
+_INVERSE = ",\n".join([
+    f"""cov AS (SELECT a.label, a.dim AS i, b.dim AS j, AVG(a.v * b.v) - AVG(a.v) * AVG(b.v) + CASE WHEN a.dim = b.dim THEN {REG_FULL} ELSE 0 END AS c
+  FROM el a JOIN el b USING (review_id) GROUP BY a.label, a.dim, b.dim)""",
+    "covr AS MATERIALIZED (SELECT label, i, list(c ORDER BY j) AS r FROM cov GROUP BY ALL)",
+    "x0 AS MATERIALIZED (SELECT c.label, c.i, list_transform(c.r, lambda v, p: CASE WHEN p = c.i + 1 THEN 1 / t.t ELSE 0::DOUBLE END) AS r "
+    "FROM covr c JOIN (SELECT label, SUM(c) AS t FROM cov WHERE i = j GROUP BY label) t USING (label))",
+    *map(_newton, range(NEWTON_STEPS)),
+    f"vi AS MATERIALIZED (SELECT label, list(r ORDER BY i) AS m FROM x{NEWTON_STEPS} GROUP BY label)"])
+_DIFF = "list_transform(list_zip(e.x, cv.cx), lambda z: z[1] - z[2])"
+_FULL = f"round(sqrt(list_dot_product({_DIFF}, list_transform(vi.m, lambda r: list_dot_product(r, {_DIFF})))), {P_INVERSE})"
 _MERGE_CASE = "CASE WHEN label IN (2) THEN 1 WHEN label IN (3, 7) THEN 5 ELSE label END"
 _MERGED = f"mg AS (SELECT review_id, CAST(dense_rank() OVER (ORDER BY {_MERGE_CASE}) - 1 AS INTEGER) AS label, x FROM e)"
 
@@ -357,13 +375,12 @@ SQL = {
         "SELECT el.review_id, cen.label AS center_label, round(sqrt(SUM((el.v - cen.c) * (el.v - cen.c) * dprec.p)), "
         f"{P}) AS distance FROM el JOIN cen ON el.dim = cen.dim JOIN dprec ON dprec.label = cen.label AND dprec.dim = cen.dim "
         "GROUP BY ALL"),
-    "distances_mahalanobis_full": _w(_E) + f"SELECT e.review_id, cv.label AS center_label, {_FULL} AS distance FROM e, cv",
-    "own_center_distance_mahalanobis": _w(_E) + f"SELECT e.review_id, e.label, {_FULL} AS distance FROM e JOIN cv USING (label)",
+    "distances_mahalanobis_full": _w(_E, _INVERSE) + f"SELECT e.review_id, cv.label AS center_label, {_FULL} AS distance FROM e, cv JOIN vi USING (label)",
+    "own_center_distance_mahalanobis": _w(_E, _INVERSE) + f"SELECT e.review_id, e.label, {_FULL} AS distance FROM e JOIN cv USING (label) JOIN vi USING (label)",
     "own_center_distance": _w(_E, _OWN) + f"SELECT review_id, label, round(distance, {P}) AS distance FROM own",
     "precisions_diag": _w(_E) + _diag_long("dprec"),
-    "precisions_full": _w(_E) + (
-        "SELECT a.label, CAST(a.dim AS INTEGER) AS row, CAST(b.dim AS INTEGER) AS col, "
-        f"round(a.c * b.c + CASE WHEN a.dim = b.dim THEN 1.0 ELSE 0.0 END, {P}) AS value FROM cen a JOIN cen b USING (label)"),
+    "precisions_full": _w(_E, _INVERSE) + (
+        f"SELECT label, CAST(i AS INTEGER) AS row, CAST(generate_subscripts(r, 1) - 1 AS INTEGER) AS col, round(unnest(r), {P_INVERSE}) AS value FROM x{NEWTON_STEPS}"),
     "precisions_spherical": _w(_E, "sp AS (SELECT label, 1.0 / (AVG(vp) + 1e-6) AS p FROM var GROUP BY label)",
                                "spd AS (SELECT sp.label, CAST(i AS INTEGER) AS dim, sp.p FROM sp, range(64) t(i))") + _diag_long("spd"),
     "precisions_tied": _w(_E, "pool AS (SELECT dim, SUM(vp * n) / SUM(n) AS pv FROM var GROUP BY dim)",

@@ -1,4 +1,4 @@
-"""Report parameters, per-cluster text files, model save / load.
+"""Report parameters and per-cluster text files (S6 are the writers in ``operators.estimators``).
 
 Text files are written one folder per label (``partitionBy``), each task
 writing its own labels' lines in order, so no file is funnelled through one
@@ -9,9 +9,8 @@ task. Save modes replace the reference's overwrite guard:
 from __future__ import annotations
 
 import copy
-import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loupe.operators import geometry as G
@@ -137,23 +136,3 @@ TITLES = {"random_sentences": "randomly sampled reviews",
 def write_cluster_text(path: str, tables: dict[str, DataFrame], overwrite: bool = False) -> None:
     for name, lines in tables.items():
         write_text(lines, f"{path.rstrip('/')}/{name}", TITLES[name], overwrite=overwrite)
-
-
-# ---------------------------------------------------------------- S6
-
-def save_centers_model(spark: SparkSession, centers, path: str, meta: dict | None = None,
-                       overwrite: bool = False) -> None:
-    """Persist a centre-based model (centres as Parquet, metadata as JSON)."""
-    mode = "overwrite" if overwrite else "errorifexists"
-    cdf = spark.createDataFrame([(int(lbl), [float(v) for v in vec]) for lbl, vec in centers],
-                                "label int, center array<double>")
-    cdf.write.mode(mode).parquet(f"{path.rstrip('/')}/centers")
-    spark.createDataFrame([(json.dumps(meta or {}, sort_keys=True),)], "meta string") \
-        .write.mode(mode).json(f"{path.rstrip('/')}/meta")
-
-
-def load_centers_model(spark: SparkSession, path: str):
-    """Reload ``(centers list, metadata dict)``."""
-    c = spark.read.parquet(f"{path.rstrip('/')}/centers")
-    meta = json.loads(spark.read.json(f"{path.rstrip('/')}/meta").first()["meta"])
-    return G.collect_centers(c), meta

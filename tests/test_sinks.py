@@ -7,6 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from loupe.operators.estimators import CenterClustering, CentersModel, MixtureClustering
 from loupe.plans import report_job
 from loupe.sources import sinks
 
@@ -49,15 +50,6 @@ def test_text_files(spark):
     sinks.write_cluster_text(out, tables, overwrite=True)
 
 
-def test_model_roundtrip(spark):
-    out = os.path.join(tempfile.mkdtemp(prefix="loupe-test-", dir="/tmp"), "m")
-    sinks.save_centers_model(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])], out, {"metric": "cosine"})
-    centers, meta = sinks.load_centers_model(spark, out)
-    assert centers == [(0, [1.0, 0.0]), (1, [0.0, 1.0])] and meta == {"metric": "cosine"}
-    with pytest.raises(Exception):
-        sinks.save_centers_model(spark, centers, out)
-
-
 def test_report_job(spark):
     rv, v = _inputs(spark)
     out = os.path.join(tempfile.mkdtemp(prefix="loupe-test-", dir="/tmp"), "report")
@@ -96,3 +88,32 @@ def test_mahalanobis_report(spark):
         out, rv, v, metric="mahalanobis", precisions=prec, ngram_params={"names": ["unigram"]},
         diagnostic_params={"center_distance_density": True, "distance_between_clusters": True, "silhouettes": False}).collect()}
     assert arts["distance_between_clusters"] == 4 and arts["cluster_summary"] == 2 and "silhouettes" not in arts
+
+
+@pytest.mark.parametrize("kind", ["centres", "full", "tied", "diag", "spherical"])
+def test_report_from_a_fitted_model(spark, kind):
+    """Labels, centres and precisions all come from the model, which is saved with the report."""
+    rv, v = _inputs(spark)
+    v = v.unionByName(spark.createDataFrame([(i, [float(i), 20.0 - i], 0) for i in range(6, 12)], v.schema)).drop("label")
+    rv = rv.unionByName(spark.createDataFrame([(i, f"word{i} more", 0, 1.0) for i in range(6, 12)], rv.schema)).drop("label")
+    model = (CenterClustering(k=2, metric="euclidean", seed=3) if kind == "centres" else MixtureClustering(k=2, covarianceType=kind, regCovar=0.1, seed=3)).fit(v)
+    metric = "euclidean" if kind == "centres" else "mahalanobis"
+    out = os.path.join(tempfile.mkdtemp(prefix="loupe-test-", dir="/tmp"), "report")
+    arts = {r.artifact: r.rows for r in report_job.topic_report(
+        out, rv, v, metric=metric, model=model, ngram_params={"names": ["unigram"]}, text_params={"random": 2, "central_sentences": 2},
+        diagnostic_params={"center_distance_density": True, "distance_between_clusters": True, "silhouettes": kind == "centres"}).collect()}
+    assert arts["cluster_summary"] == 2 and arts["distance_between_clusters"] == 4 and arts["central_sentences"] == 2 * 2 + 2
+    loaded = type(model).load(f"{out}/model")
+    assert loaded.centers == model.centers
+    labels = lambda m: sorted(tuple(r) for r in m.transform(v).select("review_id", "label").collect())
+    assert labels(loaded) == labels(model)
+
+
+def test_mahalanobis_report_needs_precisions(spark):
+    rv, v = _inputs(spark)
+    out = os.path.join(tempfile.mkdtemp(prefix="loupe-test-", dir="/tmp"), "report")
+    with pytest.raises(ValueError):
+        report_job.topic_report(out, rv, v, metric="mahalanobis", model=CentersModel([(0, [1.0, 1.0]), (1, [2.0, 2.0])]))
+    with pytest.raises(ValueError):  # a vector without a review
+        report_job.topic_report(out, rv.where("review_id > 0"), v)
+    assert not os.path.exists(out)
