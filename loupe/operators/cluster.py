@@ -11,14 +11,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loupe.functions import vectors as V
+from loupe.guards import collect_bounded
 from loupe.operators import geometry as G
 
 KEY = "review_id"
@@ -122,6 +124,76 @@ def _mllib_kmeans(df: DataFrame, k: int, n_init: int, max_iter: int, tol: float,
                          n_iter=int(model.summary.numIter), seeds=seeds, dropped_zero_rows=dropped)
 
 
+# ---------------------------------------------------------------- own seeding
+
+def draw(seed: int, turn: int, key: str) -> Column:
+    """A number in [0, 1) for each key: 52 bits of an MD5, the same on any partitioning."""
+    text = F.concat_ws("-", F.lit(str(seed)), F.lit(str(turn)), F.col(key).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
+
+
+def _cost(centers: list, metric: str) -> Column:
+    return G.nearest(centers, F.col(VEC), "cosine" if metric == "cosine" else "sqeuclidean")["distance"]
+
+
+def seeding_round(data: DataFrame, centers: list, wanted: float, seed: int, turn: int, metric: str = "cosine", key: str = KEY) -> DataFrame:
+    """C1b, one round of k-means||: rows ``(key, embedding, cost)`` drawn with probability ``wanted * cost / total cost``."""
+    costs = data.select(key, VEC, _cost(centers, metric).alias("cost"))
+    total = costs.agg(F.sum("cost")).first()[0] or 0.0
+    return costs.where(draw(seed, turn, key) < F.lit(float(wanted)) * F.try_divide(F.col("cost"), F.lit(float(total))))
+
+
+def parallel_seeds(df: DataFrame, k: int, seed: int = 0, metric: str = "cosine", rounds: int = 5, oversample: float = 2.0,
+                   vec_col: str = VEC, key: str = KEY) -> list[tuple[int, list[float]]]:
+    """Starting centres by k-means|| with draws keyed by row, so a seed gives the same ones on any partitioning.
+
+    About ``rounds * oversample * k`` candidates are drawn by their cost, weighted
+    by the rows nearest to each, and reduced to ``k`` by seeded k-means++. Fewer
+    come back where there are fewer different vectors. Null vectors, and for cosine
+    zero ones, are no candidates.
+    """
+    data = df.select(F.col(key), F.col(vec_col).cast("array<double>").alias(VEC)).where(F.col(VEC).isNotNull())
+    if metric == "cosine":
+        data = G.normalize_rows(data.where(V.sq_norm(F.col(VEC)) > 0))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        first = data.agg(F.min_by(VEC, F.struct(draw(seed, 0, key), F.col(key)))).first()[0]
+        if first is None:
+            return []
+        points = [list(first)]
+        for turn in range(1, rounds + 1):
+            drawn = collect_bounded(seeding_round(data, list(enumerate(points)), oversample * k, seed, turn, metric, key), "drawn candidates")
+            known = set(map(tuple, points))
+            points += [list(v) for v in sorted({tuple(r[VEC]) for r in drawn} - known)]
+        labels = G.nearest(list(enumerate(points)), F.col(VEC), "cosine" if metric == "cosine" else "sqeuclidean")["label"]
+        counts = {r["label"]: r["count"] for r in data.groupBy(labels.alias("label")).count().collect()}
+    finally:
+        data.unpersist()
+    return _reduced(np.array(points), np.array([counts.get(i, 0) for i in range(len(points))], float), k, seed, metric)
+
+
+def _reduced(points: np.ndarray, weights: np.ndarray, k: int, seed: int, metric: str) -> list[tuple[int, list[float]]]:
+    """``k`` of the weighted candidates by k-means++, on the driver."""
+    rng, chosen, cost = np.random.default_rng(seed), [], np.ones(len(points))
+    while len(chosen) < min(k, len(points)) and (weights * cost).sum() > 0:
+        at = int(np.searchsorted(np.cumsum(weights * cost), rng.random() * (weights * cost).sum(), "right"))
+        chosen.append(min(at, len(points) - 1))
+        diff = points - points[chosen[-1]]
+        new = 1 - points @ points[chosen[-1]] if metric == "cosine" else (diff * diff).sum(1)
+        new[chosen[-1]] = 0
+        cost = np.maximum(new, 0) if len(chosen) == 1 else np.minimum(cost, np.maximum(new, 0))
+    return [(i, points[at].tolist()) for i, at in enumerate(chosen)]
+
+
+def seeded_kmeans(df: DataFrame, k: int = 5, n_init: int = 1, max_iter: int = 100, tol: float = 1e-4, seed: int = 0,
+                  metric: str = "cosine", vec_col: str = VEC, key: str = KEY) -> ClusterResult:
+    """C1 with own seeding and Lloyd iterations: the best of ``n_init`` runs by inertia."""
+    runs = [lloyd(df, parallel_seeds(df, k, seed + run, metric, vec_col=vec_col, key=key), max_iter, tol, metric, vec_col, key) for run in range(n_init)]
+    best = min(runs, key=lambda r: r.inertia)
+    best.inertias, best.seeds = [r.inertia for r in runs], [seed + run for run in range(n_init)]
+    return best
+
+
 def spherical_kmeans(df: DataFrame, k: int = 5, n_init: int = 1, max_iter: int = 100,
                      tol: float = 1e-4, seed: int = 0, vec_col: str = VEC, key: str = KEY,
                      init=None) -> ClusterResult:

@@ -51,38 +51,41 @@ def stacked_bar(df: DataFrame, series_col: str, category_col: str, value_col: st
 def ordered_positions(df: DataFrame, order_cols: list[str]) -> DataFrame:
     """Add ``_pos``: each row's 0-based position in the global order.
 
-    A range-partitioned sort spreads the rows (a hot leading key is split
-    over many tasks); per-partition row counts (one small table) give each
-    partition's offset, and the row's index inside its sorted partition is
-    read off ``monotonically_increasing_id``. The sorted table is
-    checkpointed to the shared folder so both uses see the same partitions.
+    A range-partitioned sort spreads the rows (a hot leading key is split over
+    many tasks; Spark sizes the ranges by their bytes); each row is numbered in
+    its range, and per-range counts (one small table) give the offsets. The
+    ranges are checkpointed to the shared folder so both uses see the same ones.
     """
-    spark = df.sparkSession
-    nparts = max(1, spark.sparkContext.defaultParallelism)
-    ordered = (df.repartitionByRange(nparts, *order_cols)
-               .sortWithinPartitions(*order_cols)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
-    checkpoint_dir(spark)
-    ordered = ordered.checkpoint(eager=True)
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = counts.select("_pid", (F.coalesce(F.sum("_c").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_off"))
-    # one row per partition
-    return (ordered.join(F.broadcast(offsets), "_pid")
+    checkpoint_dir(df.sparkSession)
+    ranges = df.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    counts = ranges.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.select("_pid", (F.sum("_c").over(Window.orderBy("_pid")) - F.col("_c")).alias("_off"))
+    within = Window.partitionBy("_pid").orderBy(*order_cols)
+    # one row per range
+    return (ranges.withColumn("_local", F.row_number().over(within) - 1).join(F.broadcast(offsets), "_pid")
             .withColumn("_pos", F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off"))
 
 
-def rank_in_group(df: DataFrame, group_col: str, order_cols: list[str]) -> DataFrame:
-    """Add ``_rank`` (0-based within ``group_col``) and ``_n`` (group size)
-    without a window over a whole group."""
-    pos = ordered_positions(df, [group_col] + order_cols)
-    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select(group_col, "_n", F.coalesce(F.sum("_n").over(
-        Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    # one row per group (the label set), size checked
-    return (pos.join(bounded_broadcast(starts), group_col)
-            .withColumn("_rank", F.col("_pos") - F.col("_start")).drop("_pos", "_start"))
+def value_counts(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
+    """``(_g, _v, _c, _before, _n)``: each group's distinct values, how often they occur, how many rows are smaller, and the group's size.
+
+    Equal values are merged before any shuffle, so a value that half of a group's
+    rows share is one row; ranges of (group, value) are numbered as in
+    ``ordered_positions``, so no group is gathered into one task. Null values do
+    not count.
+    """
+    checkpoint_dir(df.sparkSession)
+    rows = df.where(F.col(value_col).isNotNull()).select(F.col(group_col).alias("_g"), F.col(value_col).alias("_v"))
+    counts = rows.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranges = counts.repartitionByRange("_g", "_v").withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    # one row per group in each range that holds some of it
+    pieces = ranges.groupBy("_g", "_pid").agg(F.sum("_c").alias("_s"))
+    in_group = Window.partitionBy("_g")
+    pieces = pieces.select(F.col("_g").alias("_pg"), F.col("_pid").alias("_pp"), F.sum("_s").over(in_group).alias("_n"),
+                           (F.sum("_s").over(in_group.orderBy("_pid")) - F.col("_s")).alias("_off"))
+    local = F.sum("_c").over(Window.partitionBy("_g", "_pid").orderBy("_v")) - F.col("_c")
+    same = F.col("_g").eqNullSafe(F.col("_pg")) & (F.col("_pid") == F.col("_pp"))
+    return ranges.withColumn("_local", local).join(pieces, same).select("_g", "_v", "_c", (F.col("_off") + F.col("_local")).alias("_before"), "_n")
 
 
 def silhouette_bands(sil: DataFrame, label_col: str = "label", value_col: str = "silhouette",
@@ -104,55 +107,52 @@ def silhouette_bands(sil: DataFrame, label_col: str = "label", value_col: str =
                     (F.col("_pos") + F.lit(gap) * F.col("_ord")).cast("bigint").alias("y")))
 
 
+def _order_statistic(position) -> "F.Column":
+    """The value at a 0-based position of a group's ascending rows, as an aggregate of ``value_counts``."""
+    return F.max(F.when((F.col("_before") <= position) & (position < F.col("_before") + F.col("_c")), F.col("_v")))
+
+
 def exact_quantiles(df: DataFrame, group_col: str, value_col: str, probs) -> DataFrame:
     """Exact linear-interpolation quantiles per group, ``(group, p, value)``.
 
     The value at fraction p of a group of n is v[lo] + (h - lo)(v[hi] - v[lo])
     with h = (n - 1)p, lo = floor(h), hi = ceil(h) (as numpy / DuckDB
-    ``quantile_cont``). Ranks come from ``rank_in_group``; the two needed
-    order statistics are picked by a join with a small (group, p) table, so
-    no group is gathered into one task. Null values do not count.
+    ``quantile_cont``). The order statistics are partial aggregates over the
+    counted distinct values. Null values do not count.
     """
-    ranked = rank_in_group(df.where(F.col(value_col).isNotNull()).select(F.col(group_col).alias("_g"), F.col(value_col).alias("_v")), "_g", ["_v"])
-    plist = F.array(*[F.lit(float(p)) for p in probs])
-    want = (ranked.select("_g", "_n").distinct()
-            .select("_g", "_n", F.explode(plist).alias("p"))
-            .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
-            .withColumn("_lo", F.floor("_h").cast("bigint"))
-            .withColumn("_hi", F.ceil("_h").cast("bigint")))
-    picks = want.select("_g", "p", "_h", "_lo", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank"))
-    # at most 2 rows per (group, p), size checked
-    got = ranked.join(bounded_broadcast(picks), ["_g", "_rank"]).select(
-        "_g", "p", "_h", "_lo", F.when(F.col("_rank") == F.col("_lo"), F.col("_v")).alias("_vlo"),
-        F.when(F.col("_rank") == F.col("_lo") + F.when(F.col("_h") > F.col("_lo"), 1).otherwise(0),
-               F.col("_v")).alias("_vhi"))
-    agg = got.groupBy("_g", "p", "_h", "_lo").agg(F.max("_vlo").alias("_vlo"), F.max("_vhi").alias("_vhi"))
-    val = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.col("_lo").cast("double"))
-    return agg.select(F.col("_g").alias(group_col), "p", val.alias("value"))
+    return _quantiles(value_counts(df, group_col, value_col), probs).withColumnRenamed("_g", group_col)
+
+
+def _quantiles(counts: DataFrame, probs) -> DataFrame:
+    picks = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        picks += [_order_statistic(F.floor(h)).alias(f"lo{i}"), _order_statistic(F.ceil(h)).alias(f"hi{i}"), F.max(h - F.floor(h)).alias(f"part{i}")]
+    found = counts.groupBy("_g").agg(*picks)
+    values = [F.struct(F.lit(float(p)).alias("p"), (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")).alias("value")) for i, p in enumerate(probs)]
+    return found.select("_g", F.inline(F.array(*values)))
 
 
 def boxplot_stats(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
     """Quartiles, whisker ends inside 1.5 IQR, and outlier count per group.
 
-    Quartiles are exact (``exact_quantiles``); the whiskers are a partial
-    aggregation against the per-group quartile table.
+    Quartiles are exact; the whiskers are a partial aggregation of the counted
+    values against the per-group quartile table.
     """
-    qs = exact_quantiles(df, group_col, value_col, [0.25, 0.5, 0.75])
-    q = (qs.groupBy(F.col(group_col).alias("grp"))
-         .agg(F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
-              F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),
-              F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3")))
+    counts = value_counts(df, group_col, value_col)
+    quartile = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
+    q = _quantiles(counts, [0.25, 0.5, 0.75]).groupBy(F.col("_g").alias("_qg")).agg(
+        quartile(0.25).alias("q1"), quartile(0.5).alias("median"), quartile(0.75).alias("q3"))
     # one row per group, size checked
-    j = df.where(F.col(value_col).isNotNull()).select(F.col(group_col).alias("grp"), F.col(value_col).alias("v")).join(
-        bounded_broadcast(q), "grp")
+    j = counts.join(bounded_broadcast(q), F.col("_g").eqNullSafe(F.col("_qg")))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    inside = (F.col("v") >= lo) & (F.col("v") <= hi)
-    return j.groupBy("grp", "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(1)).cast("bigint").alias("outliers"),
-    ).withColumnRenamed("grp", group_col)
+    inside = (F.col("_v") >= lo) & (F.col("_v") <= hi)
+    return j.groupBy("_g", "q1", "median", "q3").agg(
+        F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
+        F.sum(F.when(inside, 0).otherwise(F.col("_c"))).cast("bigint").alias("outliers"),
+    ).withColumnRenamed("_g", group_col)
 
 
 def format_distance(col) -> "F.Column":

@@ -1,15 +1,19 @@
 """Model selection and benchmarking: C4, C5, C8, C9, C11.
 
 The grid loops run on the driver over a handful of parameter cells; every
-fit inside is a distributed job. Seeds are ``base_seed + cell index`` and
+fit inside is a distributed job, and benchmark cells can run side by side. Seeds are ``base_seed + cell index`` and
 are recorded in the result tables (C11).
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +95,11 @@ def kmeans_selection(df: DataFrame, n_components_range, n_runs: int = 1, seed: i
     return runs, means
 
 
-def _fit_labels(model: str, df: DataFrame, params: dict, seed: int) -> DataFrame:
+def _fit_labels(model, df: DataFrame, params: dict, seed: int) -> DataFrame:
+    """Labels of a fit: of a named model, or of an estimator that ``model(seed=..., **params)`` makes."""
+    if callable(model):
+        fitted = model(seed=seed, **params).fit(df)
+        return fitted.transform(df).select(KEY, F.col(fitted.getPredictionCol()).alias("label"))
     if model == "spherical_kmeans":
         return cluster.spherical_kmeans(df, seed=seed, **params).labels
     if model == "kmeans":
@@ -101,30 +109,45 @@ def _fit_labels(model: str, df: DataFrame, params: dict, seed: int) -> DataFrame
     raise ValueError(f"unknown model {model!r}")
 
 
-def clustering_benchmark(embeddings: dict, models: dict, true_labels: DataFrame, seed: int = 0,
-                         n_runs: int = 1, true_col: str = "true_label") -> DataFrame:
+def ami(joined: DataFrame) -> float:
+    return agreement.adjusted_mutual_info(joined, "label", "true_label")
+
+
+def clustering_benchmark(embeddings: dict, models: dict, true_labels: DataFrame, seed: int = 0, n_runs: int = 1, true_col: str = "true_label",
+                         criterion: Callable[[DataFrame], float] = ami, parallel: int = 1) -> DataFrame:
     """Score every (embedding, model, parameters, run) cell against true labels.
 
-    ``embeddings`` maps a name to a ``(review_id, embedding)`` DataFrame;
-    ``models`` maps a model name to a list of parameter dicts. The score is
-    the adjusted mutual information; a failing fit scores null instead of
-    aborting the benchmark, with the reason in ``error``.
+    ``embeddings`` maps a name to a ``(review_id, embedding)`` DataFrame; ``models``
+    maps a name to a list of parameter dicts, or to a pair of an estimator class
+    (or factory) and such a list. ``criterion`` scores a DataFrame of (label,
+    true_label), by default the adjusted mutual information. ``parallel`` cells run
+    at a time, each under a job tag of its own; a failing cell cancels its own
+    jobs, scores null and leaves its reason in ``error``.
     """
-    rows, cell = [], 0
     spark = true_labels.sparkSession
+    cells = []
     for run in range(n_runs):
         for ename, edf in embeddings.items():
-            for mname, plist in models.items():
-                for params in plist:
-                    s = seed + cell
-                    cell += 1
-                    error = None
-                    try:
-                        lab = _fit_labels(mname, edf, params, s)
-                        joined = lab.join(true_labels.select(KEY, true_col), KEY)
-                        score = float(agreement.adjusted_mutual_info(joined, "label", true_col))
-                    except Exception as e:  # noqa: BLE001 - a failed cell is recorded, not raised
-                        score, error = None, f"{type(e).__name__}: {e}".splitlines()[0]
-                    rows.append((ename, mname, json.dumps(params, sort_keys=True), run, s, score, error))
+            for mname, given in models.items():
+                model, plist = given if isinstance(given, tuple) else (mname, given)
+                cells += [(ename, edf, mname, model, params, run) for params in plist]
+
+    def work(at: int) -> tuple:
+        ename, edf, mname, model, params, run = cells[at]
+        sc, tag, score, error = spark.sparkContext, f"benchmark-{id(cells)}-{at}", None, None
+        sc.addJobTag(tag)
+        try:
+            lab = _fit_labels(model, edf, params, seed + at)
+            score = float(criterion(lab.join(true_labels.select(KEY, F.col(true_col).alias("true_label")), KEY).select("label", "true_label")))
+        except Exception as e:  # noqa: BLE001 - a failed cell is recorded, not raised
+            sc.cancelJobsWithTag(tag)  # what the cell may have left running
+            error = f"{type(e).__name__}: {e}".splitlines()[0]
+        finally:
+            sc.removeJobTag(tag)
+        return ename, mname, json.dumps(params, sort_keys=True), run, seed + at, score, error
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:  # each cell gets local properties, and so tags, of its own
+        started = [pool.submit(inheritable_thread_target(spark)(functools.partial(work, at))) for at in range(len(cells))]
+        rows = [s.result() for s in started]
     return spark.createDataFrame(
         rows, "embedding string, model string, params string, run int, seed bigint, score double, error string")

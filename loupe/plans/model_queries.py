@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loupe.functions.text import words
 from loupe.operators import cluster, embed, estimators, mixture, report, selection
+from loupe.operators import geometry as G
 from loupe.plans.vector_queries import _E, _w
 from loupe.session import checkpoint_dir
 from loupe.sources import tables
@@ -23,6 +24,7 @@ K = 10
 SEED = 42
 REG = 1e-6
 P = 6  # rounding places
+LLOYD_MOST, LLOYD_TOL = 5, 1.0
 
 
 def _vec(spark, sf_dir):
@@ -64,9 +66,10 @@ def clustering_benchmark(spark, sf_dir):
     v = _vec(spark, sf_dir)
     truth = v.select("review_id", F.col("label").alias("true_label"))
     models = {"spherical_kmeans": [{"k": 8}, {"k": 10}],
+              "estimator": (estimators.CenterClustering, [{"k": 10}]),
               "kmeans": [{"k": 10}],
               "gaussian_mixture": [{"n_components": 10, "covariance_type": "diag"}]}
-    return selection.clustering_benchmark({"embeddings": v.drop("label")}, models, truth, seed=SEED)
+    return selection.clustering_benchmark({"embeddings": v.drop("label")}, models, truth, seed=SEED, parallel=2)
 
 
 def embed_tfidf(spark, sf_dir):
@@ -108,7 +111,33 @@ def mixture_criteria(spark, sf_dir):
     return spark.createDataFrame(rows, "cov_type string, n_parameters int, log_likelihood double, aic double, bic double")
 
 
+def _first_seed(v):
+    """The vector whose key draws the least number, as ``cluster.parallel_seeds`` begins."""
+    first = v.agg(F.min_by("embedding", F.struct(cluster.draw(SEED, 0, "review_id"), F.col("review_id")))).first()[0]
+    return [(0, list(first))]
+
+
+def seeding_round(spark, sf_dir):
+    """Candidates of the first round of own seeding: rows drawn by their distance from the first one."""
+    v = G.normalize_rows(_vec(spark, sf_dir))
+    drawn = cluster.seeding_round(v, _first_seed(v), 2.0 * K, SEED, 1)
+    return drawn.select("review_id", F.round("cost", P).alias("cost"))
+
+
+def lloyd_converged(spark, sf_dir):
+    """Labels when the inertia of iterations from the given clusters' unit centres improves by less than ``LLOYD_TOL``."""
+    v = _vec(spark, sf_dir)
+    return cluster.lloyd(v.drop("label"), G.centers(v, normalize=True), max_iter=LLOYD_MOST, tol=LLOYD_TOL).labels.select("review_id", "label")
+
+
+def seeded_kmeans(spark, sf_dir):
+    return cluster.seeded_kmeans(_vec(spark, sf_dir), k=K, n_init=2, seed=SEED).labels.select("review_id", "label")
+
+
 QUERIES = {
+    "seeding_round": seeding_round,
+    "lloyd_converged": lloyd_converged,
+    "seeded_kmeans": seeded_kmeans,
     "mixture_roundtrip": mixture_roundtrip,
     "em_step_diag": em_step_diag,
     "mixture_criteria": mixture_criteria,
@@ -142,7 +171,32 @@ def _criteria(kind: str, par: str, covariances: str) -> str:
             f"(WITH {_LP.format(par=par)}, {_RESP} SELECT avg(ll) AS ll FROM ll)")
 
 
+def _draw(turn: int) -> str:
+    return f"CAST('0x' || substr(md5('{SEED}-{turn}-' || review_id), 1, 13) AS BIGINT) / 16 ** 13"
+
+
+def _lloyd_steps() -> str:
+    """Assignments a1.. from the unit centres of the given clusters, and their inertias i1.."""
+    steps = ["m0 AS (SELECT label, list(c ORDER BY dim) AS cx FROM cen GROUP BY label)"]
+    for t in range(1, LLOYD_MOST + 1):
+        steps += [
+            f"""a{t} AS MATERIALIZED (SELECT review_id, label, d FROM (SELECT e.review_id, m.label, 1 - list_cosine_similarity(e.x, m.cx) AS d,
+  row_number() OVER (PARTITION BY e.review_id ORDER BY 1 - list_cosine_similarity(e.x, m.cx), m.label) AS rn FROM e, m{t - 1} m) WHERE rn = 1)""",
+            f"i{t} AS (SELECT sum(d) AS i FROM a{t})",
+            f"""m{t} AS MATERIALIZED (SELECT label, list(c ORDER BY dim) AS cx FROM (SELECT a.label, eln.dim, avg(eln.v) AS c
+  FROM eln JOIN a{t} a USING (review_id) GROUP BY a.label, eln.dim) GROUP BY label)"""]
+    stops = " ".join(f"WHEN (SELECT i FROM i{t - 1}) - (SELECT i FROM i{t}) < {LLOYD_TOL} THEN {t}" for t in range(2, LLOYD_MOST))
+    steps.append(f"stop AS (SELECT CASE {stops} ELSE {LLOYD_MOST} END AS t)")
+    steps.append("runs AS (" + " UNION ALL ".join(f"SELECT {t} AS t, review_id, label FROM a{t}" for t in range(1, LLOYD_MOST + 1)) + ")")
+    return ",\n".join(steps)
+
+
 SQL: dict[str, str] = {
+    "seeding_round": _w(
+        _E, f"first AS (SELECT x FROM e ORDER BY {_draw(0)}, review_id LIMIT 1)",
+        "c AS (SELECT e.review_id, 1 - list_cosine_similarity(e.x, first.x) AS cost FROM e, first)",
+    ) + f"SELECT review_id, round(cost, {P}) AS cost FROM c WHERE {_draw(1)} < {2.0 * K} * cost / (SELECT sum(cost) FROM c)",
+    "lloyd_converged": _w(_E, _lloyd_steps()) + "SELECT review_id, label FROM runs JOIN stop USING (t)",
     "mixture_roundtrip": _w(_E, *_DENSITIES, _LP.format(par="par")) + "SELECT review_id, arg_max(label, lp) AS label FROM lp GROUP BY review_id",
     "em_step_diag": _w(_E, *_DENSITIES, _LP.format(par="par"), _RESP) + (
         f"SELECT r.label AS component, el.dim, round(sum(r.r) / any_value(tot.n), {P}) AS weight, round(sum(r.r * el.v) / sum(r.r), {P}) AS mean, "

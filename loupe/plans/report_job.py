@@ -14,6 +14,8 @@ which also cuts their lineage.
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,20 +47,20 @@ SIZES = {"unigram": 1, "bigram": 2, "trigram": 3}
 SILHOUETTES = {"cosine": ("silhouettes", "cosine"), "euclidean": ("silhouettes_sqeuclidean", "sqeuclidean")}
 
 
-def validate_params(ngrams: dict, clouds: dict, diagnostics: dict, metric: str, labels: list[int], precisions) -> None:
+def validate_options(options: sinks.ReportOptions, labels: list[int], precisions) -> None:
     """Refuse what a later artifact could not be made from."""
-    for name in [*ngrams["names"], *clouds["names"]]:
+    for name in [*options.ngrams.names, *options.clouds.names]:
         if name.removesuffix("_stem") not in SIZES:
             raise ValueError(f"unknown n-gram name {name!r}: one of {sorted(SIZES)}, with _stem for stems")
-    if any(types is not None for types in clouds["types"]):
-        tagless = [name for name in clouds["names"] if SIZES[name.removesuffix("_stem")] > 1]
+    if any(types is not None for types in options.clouds.types):
+        tagless = [name for name in options.clouds.names if SIZES[name.removesuffix("_stem")] > 1]
         if tagless:
             raise ValueError(f"word types need unigrams, not {tagless}: n-grams have no part of speech")
-    if metric == "mahalanobis":
+    if options.metric == "mahalanobis":
         given = set(G.precision_matrices(precisions) or ())
         if not set(labels) <= given:
             raise ValueError(f"mahalanobis needs a precision matrix for each label; none for {sorted(set(labels) - given)}")
-        if diagnostics["silhouettes"]:
+        if options.diagnostics.silhouettes:
             raise ValueError("silhouettes exist for the cosine and euclidean metrics")
 
 
@@ -82,8 +84,8 @@ def topic_report(path: str, reviews: DataFrame, vectors: DataFrame, centers=None
     """
     spark = reviews.sparkSession
     checkpoint_dir(spark)
-    ngp, wcp, txp, dgp = sinks.check_params(ngram_params, wordcloud_params, text_params,
-                                            diagnostic_params, metric)
+    options = sinks.ReportOptions(metric, ngram_params, wordcloud_params, text_params, diagnostic_params)
+    ngrams, clouds, diagnostics = options.ngrams, options.clouds, options.diagnostics
     if model is not None:
         if "label" not in vectors.columns:
             vectors = model.transform(vectors).withColumnRenamed(model.getPredictionCol(), "label").checkpoint()
@@ -98,7 +100,7 @@ def topic_report(path: str, reviews: DataFrame, vectors: DataFrame, centers=None
         centers = G.centers(vectors, normalize=(metric == "cosine"))
     centers = G.collect_centers(centers)
     validate(vectors, centers, reviews)
-    validate_params(ngp, wcp, dgp, metric, [label for label, _ in centers], precisions)
+    validate_options(options, [label for label, _ in centers], precisions)
     mode = "overwrite" if overwrite else "errorifexists"
     root = path.rstrip("/")
     written: list[tuple[str, DataFrame]] = []
@@ -111,33 +113,33 @@ def topic_report(path: str, reviews: DataFrame, vectors: DataFrame, centers=None
     (saved.write().overwrite() if overwrite else saved.write()).save(f"{root}/model")
 
     rv = reviews.select("review_id", "text", "label").checkpoint()
-    for name in ngp["names"]:
+    for name in ngrams.names:
         tok, col, n = _tokens(rv, name)
         tf = terms.term_frequency(tok, term_col=col, n=n, use_stem=(col == "stem"), label_col="label",
-                                  additional_stopwords=ngp["additional_stopwords"].get(name))
-        put(f"ngram_{name}", terms.top_terms(tf, int(ngp["k"])))
-    for name in wcp["names"]:
+                                  additional_stopwords=ngrams.additional_stopwords.get(name))
+        put(f"ngram_{name}", terms.top_terms(tf, ngrams.k))
+    for name in clouds.names:
         tok, col, n = _tokens(rv, name)
-        for types in wcp["types"]:
+        for types in clouds.types:
             tf = terms.term_frequency(tok, term_col=col, n=n, use_stem=(col == "stem"), types=types,
                                       label_col="label",
-                                      additional_stopwords=wcp["additional_stopwords"].get(name))
+                                      additional_stopwords=clouds.additional_stopwords.get(name))
             suffix = "" if types is None else "_" + "_".join(types).lower()
-            put(f"wordcloud_{name}{suffix}", terms.wordcloud_weights(tf, int(wcp["max_words"])))
+            put(f"wordcloud_{name}{suffix}", terms.wordcloud_weights(tf, clouds.max_words))
 
     put("cluster_summary", report.cluster_summary(reviews))
 
-    tables = sinks.cluster_text(reviews, vectors, centers, txp, metric, precisions, seed)
+    tables = sinks.cluster_text(reviews, vectors, centers, asdict(options.texts), metric, precisions, seed)
     sinks.write_cluster_text(f"{root}/text", tables, overwrite)
     for name, lines in tables.items():
         put(name, lines)
 
-    if dgp["center_distance_density"]:
+    if diagnostics.center_distance_density:
         own = G.own_center_distance(vectors, centers, metric, precisions)
         put("center_distance_density", G.center_distance_density(own))
-    if dgp["distance_between_clusters"]:
+    if diagnostics.distance_between_clusters:
         put("distance_between_clusters", G.center_distance_matrix(centers, metric, precisions, spark))
-    if dgp["silhouettes"]:
+    if diagnostics.silhouettes:
         name, kind = SILHOUETTES[metric]
         put(name, report.silhouette_bands(G.silhouette_samples(vectors, metric=kind)))
     rows = [(name, df.count()) for name, df in written]

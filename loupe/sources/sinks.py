@@ -1,60 +1,82 @@
 """Report parameters and per-cluster text files (S6 are the writers in ``operators.estimators``).
 
 Text files are written one folder per label (``partitionBy``), each task
-writing its own labels' lines in order, so no file is funnelled through one
-task. Save modes replace the reference's overwrite guard:
-``errorifexists`` by default, ``overwrite`` on request.
+writing a sorted range of lines, so no label is funnelled through one task. A
+folder that exists is only replaced on request, and only by a whole one.
 """
 
 from __future__ import annotations
 
-import copy
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields
+from typing import ClassVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loupe.operators import geometry as G
 from loupe.operators import report, sample
 
 # ---------------------------------------------------------------- S3
+# fixed values: names and defaults of the report's options
 
-NGRAM_DEFAULTS = {"names": ["bigram", "bigram_stem"], "k": 10, "additional_stopwords": {}}
-WORDCLOUD_DEFAULTS = {"names": ["unigram", "unigram_stem"],
-                      "types": [["NOUN", "VERB", "ADJ", "ADV", "PROPN", "PART"]],
-                      "additional_stopwords": {}, "max_words": 20}
-TEXT_DEFAULTS = {"random": 10, "central_sentences": 10}
-DIAGNOSTIC_DEFAULTS = {"center_distance_density": True, "distance_between_clusters": True,
-                       "silhouettes": True}
-METRICS = ("cosine", "euclidean", "mahalanobis")
-
-
-def _fill(given, defaults, what):
-    if given is None:
-        return copy.deepcopy(defaults)
-    unknown = set(given) - set(defaults)
-    if unknown:
-        raise ValueError(f"unknown {what} parameters: {sorted(unknown)}")
-    out = copy.deepcopy(defaults)
-    out.update(given)
-    return out
 
+@dataclass
+class NgramTables:
+    names: list = field(default_factory=lambda: ["bigram", "bigram_stem"])
+    k: int = 10
+    additional_stopwords: dict = field(default_factory=dict)
 
-def check_params(ngram_params=None, wordcloud_params=None, text_params=None,
-                 diagnostic_params=None, metric: str = "cosine"):
-    """S3: reject unknown keys, fill the rest with defaults.
 
-    Diagnostics default to off for the mahalanobis metric (they are the
-    expensive ones there). Plot sizes of the reference become on/off flags.
-    """
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
-    diag_defaults = dict(DIAGNOSTIC_DEFAULTS)
-    if metric == "mahalanobis":
-        diag_defaults = {k: False for k in diag_defaults}
-    return (_fill(ngram_params, NGRAM_DEFAULTS, "ngram"),
-            _fill(wordcloud_params, WORDCLOUD_DEFAULTS, "wordcloud"),
-            _fill(text_params, TEXT_DEFAULTS, "text"),
-            _fill(diagnostic_params, diag_defaults, "diagnostic"))
+@dataclass
+class WordClouds:
+    names: list = field(default_factory=lambda: ["unigram", "unigram_stem"])
+    types: list = field(default_factory=lambda: [["NOUN", "VERB", "ADJ", "ADV", "PROPN", "PART"]])
+    additional_stopwords: dict = field(default_factory=dict)
+    max_words: int = 20
+
+
+@dataclass
+class Texts:
+    random: int = 10
+    central_sentences: int = 10
+
+
+@dataclass
+class Diagnostics:
+    """On unless said otherwise; for the mahalanobis metric, where they cost most, off unless asked for."""
+
+    center_distance_density: bool | None = None
+    distance_between_clusters: bool | None = None
+    silhouettes: bool | None = None
+
+
+@dataclass
+class ReportOptions:
+    """S3: the options of a report, complete and checked. Parts are given as dicts of what differs from the defaults."""
+
+    metric: str = "cosine"
+    ngrams: NgramTables | dict | None = None
+    clouds: WordClouds | dict | None = None
+    texts: Texts | dict | None = None
+    diagnostics: Diagnostics | dict | None = None
+
+    METRICS: ClassVar = ("cosine", "euclidean", "mahalanobis")
+    PARTS: ClassVar = {"ngrams": NgramTables, "clouds": WordClouds, "texts": Texts, "diagnostics": Diagnostics}
+
+    def __post_init__(self):
+        if self.metric not in self.METRICS:
+            raise ValueError(f"metric must be one of {self.METRICS}")
+        for name, kind in self.PARTS.items():
+            given = getattr(self, name) or {}
+            if not isinstance(given, kind):
+                if unknown := sorted(set(given) - {f.name for f in fields(kind)}):
+                    raise ValueError(f"unknown options of {name}: {unknown}")
+                setattr(self, name, kind(**given))
+        for f in fields(Diagnostics):
+            if getattr(self.diagnostics, f.name) is None:
+                setattr(self.diagnostics, f.name, self.metric != "mahalanobis")
 
 
 # ---------------------------------------------------------------- S5
@@ -92,19 +114,48 @@ def random_entries(sampled: DataFrame) -> DataFrame:
 
 
 def write_text(lines: DataFrame, path: str, title: str, sep: str = "\n \n", overwrite: bool = False) -> None:
-    """S5 sink: one text file per label under ``path/label=<l>/``.
+    """S5 sink: text files under ``path/label=<l>/``, one label's lines in the order of the file names.
 
-    Each file starts with the title, then the subtitle and entries separated
-    by ``sep``. Rows are clustered by label and sorted within partitions,
-    so every label's file is written whole by one task.
+    The first file of a label starts with the title, then come the subtitle and the
+    entries, each followed by ``sep``. Ranges of (label, line) are sorted and
+    written by a task each, so a label of any length is spread over tasks. All is
+    written to a folder beside ``path`` and renamed when whole: a failure leaves
+    nothing, and a folder that exists is only replaced on ``overwrite``.
     """
-    body = (lines.groupBy("label")
-            .agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
-            .select("label", F.concat(F.lit(title + "\n \n \n"),
-                                      F.array_join(F.transform("_l", lambda s: s["line"]), sep),
-                                      F.lit("\n \n")).alias("value")))
-    (body.repartition("label").write.mode("overwrite" if overwrite else "errorifexists")
-     .partitionBy("label").text(path))
+    first = F.when(F.col("line_no") == 0, F.concat(F.lit(title + "\n \n \n"), "line")).otherwise(F.col("line"))
+    rows = lines.select("label", "line_no", first.alias("value")).repartitionByRange("label", "line_no").sortWithinPartitions("label", "line_no")
+    folder = Folder(lines.sparkSession, path)
+    if folder.exists() and not overwrite:
+        raise FileExistsError(f"{path} exists; pass overwrite=True to replace it")
+    folder.replaced_by(lambda part: rows.select("label", "value").write.option("lineSep", sep).partitionBy("label").text(part))
+
+
+class Folder:
+    """A folder of any file system that Spark writes to."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark._jvm, path.rstrip("/")
+        self.fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, path: str):
+        return self.jvm.org.apache.hadoop.fs.Path(path)
+
+    def exists(self) -> bool:
+        return self.fs.exists(self._at(self.path))
+
+    def replaced_by(self, write: Callable[[str], None]) -> None:
+        """Let ``write`` fill a new folder and give it this name; what was here goes only when that is whole."""
+        part = f"{self.path}.{uuid.uuid4().hex}"
+        try:
+            write(part)
+            if self.exists():
+                self.fs.delete(self._at(self.path), True)
+            elif (above := self._at(self.path).getParent()) is not None:
+                self.fs.mkdirs(above)
+            if not self.fs.rename(self._at(part), self._at(self.path)):
+                raise OSError(f"{part} could not be renamed to {self.path}")
+        finally:
+            self.fs.delete(self._at(part), True)
 
 
 # ---------------------------------------------------------------- S4

@@ -62,6 +62,63 @@ def test_ami_matches_definition(spark):
     assert abs(agreement.adjusted_mutual_info(same, "u", "v") - 1.0) < 1e-9
 
 
+def test_expected_term_by_definition():
+    lf = lambda k: math.lgamma(k + 1)
+    for a, b, n in ((1, 1, 1), (1, 5, 9), (7, 9, 12), (40, 60, 100), (300, 20, 1000), (999, 999, 1000), (5, 5, 10**6)):
+        want = sum(k / n * math.log(n * k / (a * b)) * math.exp(lf(a) + lf(b) + lf(n - a) + lf(n - b) - lf(n) - lf(k) - lf(a - k) - lf(b - k) - lf(n - a - b + k))
+                   for k in range(max(1, a + b - n), min(a, b) + 1))
+        assert abs(agreement.expected_term(a, b, n) - want) <= 1e-9 * abs(want) + 1e-15
+    # a third of 10**9 rows on both sides: independent, so about 1 / (2 n) is expected for each of four cells
+    assert 0 < agreement.expected_term(3 * 10**8, 3 * 10**8, 10**9) < 1
+
+
+def test_ami_of_very_many_clusters(spark):
+    df = spark.range(300_000).select((F.col("id") % 100_000).alias("u"), (F.xxhash64("id") % 100_000).alias("v"), "id")
+    assert abs(agreement.adjusted_mutual_info(df, "u", "v")) < 0.01
+    assert abs(agreement.adjusted_mutual_info(df.withColumn("v", F.col("u") * 7), "u", "v") - 1) < 1e-9
+
+
+def test_ami_leaves_out_null_labels(spark):
+    rows = [(0, 0), (0, 0), (1, 1), (1, 0), (2, 2), (None, 1), (2, None), (None, None)]
+    ami = lambda r: agreement.adjusted_mutual_info(spark.createDataFrame(r, "u int, v int"), "u", "v")
+    assert ami(rows) == ami(rows[:5]) and ami([]) == 1.0
+
+
+def test_own_seeding_is_the_same_on_any_partitioning(spark):
+    X, truth = _circle(12)
+    df = _vec(spark, np.concatenate([X, np.zeros((2, 2))]))
+    seeds = [cluster.parallel_seeds(df.repartition(n), 4, seed=3) for n in (1, 5, 9)]
+    assert all(len(s) == 4 and np.allclose([c for _, c in s], [c for _, c in seeds[0]]) for s in seeds)
+    assert not np.allclose([c for _, c in seeds[0]], [c for _, c in cluster.parallel_seeds(df, 4, seed=4)])
+    res = cluster.seeded_kmeans(_vec(spark, X), 4, n_init=3, seed=3)
+    lab = res.labels.join(_vec(spark, X, truth).select("review_id", F.col("label").alias("t")), "review_id")
+    assert abs(agreement.adjusted_mutual_info(lab, "label", "t") - 1) < 0.01 and res.inertia == min(res.inertias)
+    few = _vec(spark, np.array([[1.0, 0], [1.0, 0], [0, 2.0]]))
+    assert len(cluster.parallel_seeds(few, 5)) == 2 and cluster.parallel_seeds(few.limit(0), 5) == []
+
+
+def test_benchmark_of_a_user_model_and_criterion(spark):
+    from pyspark.ml import Estimator
+
+    from loupe.operators.estimators import CenterClustering
+
+    class Broken(Estimator):
+        def __init__(self, seed, k):
+            super().__init__()
+
+        def _fit(self, dataset):
+            dataset.select(F.raise_error(F.lit("no fit"))).collect()
+
+    X, truth = _circle(7)
+    df = _vec(spark, X, truth)
+    purity = lambda j: j.groupBy("label", "true_label").count().groupBy("label").agg(F.max("count").alias("m")).agg(F.sum("m")).first()[0] / 400
+    out = selection.clustering_benchmark({"x": df.drop("label")}, {"own": (CenterClustering, [{"k": 4}, {"k": 2}]), "broken": (Broken, [{"k": 2}]), "kmeans": [{"k": 4}]},
+                                         df.select("review_id", F.col("label").alias("t")), seed=5, true_col="t", criterion=purity, parallel=4).collect()
+    assert [(r.model, r.params, r.seed) for r in out] == [("own", '{"k": 4}', 5), ("own", '{"k": 2}', 6), ("broken", '{"k": 2}', 7), ("kmeans", '{"k": 4}', 8)]
+    assert out[0].score > 0.99 and out[1].score == 0.5 and out[3].score is not None
+    assert out[2].score is None and "no fit" in out[2].error
+
+
 def test_spherical_kmeans_circle(spark):
     X, truth = _circle()
     df = _vec(spark, X, truth)

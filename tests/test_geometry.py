@@ -195,6 +195,19 @@ def test_exact_quantiles_match_numpy(spark):
             assert abs(got[(g, p)] - np.quantile(vals, p)) < 1e-12
 
 
+def test_quantiles_of_values_that_many_rows_share(spark):
+    rows = [(0, 5.0)] * 500 + [(0, float(i)) for i in range(99)] + [(1, 2.0)] * 7 + [(None, 1.0), (None, 4.0), (1, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(6)
+    counts = report.value_counts(df, "g", "v").collect()
+    assert len(counts) == 99 + 1 + 2 and {(r["_g"], r["_n"]) for r in counts} == {(0, 599), (1, 7), (None, 2)}
+    got = {(r.g, r.p): r.value for r in report.exact_quantiles(df, "g", "v", [0.0, 0.1, 0.5, 0.93, 1.0]).collect()}
+    for g in (0, 1, None):
+        vals = [v for gg, v in rows if gg == g and v is not None]
+        assert all(abs(got[g, p] - np.quantile(vals, p)) < 1e-12 for p in (0.0, 0.1, 0.5, 0.93, 1.0))
+    box = {r.g: r for r in report.boxplot_stats(df, "g", "v").collect()}
+    assert (box[0].q1, box[0].median, box[0].q3, box[0].whisker_low, box[0].outliers) == (5.0, 5.0, 5.0, 5.0, 98)
+
+
 def test_full_mahalanobis_at_embedding_width(spark):
     rng = np.random.default_rng(5)
     d, k = 768, 10

@@ -1,6 +1,7 @@
 """Parameters, text files, model round trip, report job."""
 
 import glob
+import hashlib
 import os
 import tempfile
 
@@ -12,15 +13,53 @@ from loupe.plans import report_job
 from loupe.sources import sinks
 
 
-def test_check_params():
-    ng, wc, tx, dg = sinks.check_params(text_params={"random": 3}, metric="cosine")
-    assert tx == {"random": 3, "central_sentences": 10} and ng["k"] == 10 and wc["max_words"] == 20
-    assert all(dg.values())
-    assert not any(sinks.check_params(metric="mahalanobis")[3].values())
-    with pytest.raises(ValueError):
-        sinks.check_params(text_params={"central": 5})
-    with pytest.raises(ValueError):
-        sinks.check_params(metric="manhattan")
+def test_report_options():
+    o = sinks.ReportOptions(texts={"random": 3})
+    assert o.texts == sinks.Texts(3, 10) and o.ngrams.k == 10 and o.clouds.max_words == 20
+    assert o.diagnostics == sinks.Diagnostics(True, True, True)
+    assert sinks.ReportOptions("mahalanobis").diagnostics == sinks.Diagnostics(False, False, False)
+    assert sinks.ReportOptions("mahalanobis", diagnostics={"silhouettes": True}).diagnostics == sinks.Diagnostics(False, False, True)
+    assert sinks.ReportOptions(ngrams=sinks.NgramTables(k=3)).ngrams.k == 3
+    for bad in ({"texts": {"central": 5}}, {"metric": "manhattan"}, {"ngrams": {"max_words": 3}}):
+        with pytest.raises(ValueError):
+            sinks.ReportOptions(**bad)
+
+
+def test_one_label_is_written_by_many_tasks_in_order(spark):
+    n = 20_000
+    lines = spark.range(n).select((F.col("id") % 3 == 0).cast("int").alias("label"), F.col("id").alias("line_no"), F.concat(F.lit("line "), "id").alias("line"))
+    lines = lines.withColumn("line", F.concat("line", F.lit(" "), *(F.sha2(F.concat("line", F.lit(str(i))), 256) for i in range(4)))).repartition(7)
+    out = tempfile.mkdtemp(prefix="loupe-test-", dir="/tmp") + "/text"
+    was = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        sinks.write_text(lines, out, "title")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", was)
+    for label in (0, 1):
+        files = sorted(glob.glob(f"{out}/label={label}/part-*.txt"))
+        text = "".join(open(f).read() for f in files)
+        mine = [i for i in range(n) if (i % 3 == 0) == label]
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        want = [f"line {i} " + "".join(sha(f"line {i}{j}") for j in range(4)) for i in mine]
+        if label:  # line 0 is this label's: the title comes first
+            want[0] = "title\n \n \n" + want[0]
+        assert len(files) > 1 and text == "".join(w + "\n \n" for w in want)
+
+
+def test_failed_writing_leaves_nothing(spark):
+    top = tempfile.mkdtemp(prefix="loupe-test-", dir="/tmp")
+    rows = spark.createDataFrame([(0, 0, "head"), (0, 1, "x")], "label int, line_no bigint, line string")
+    bad = rows.withColumn("line", F.when(F.col("line_no") == 1, F.raise_error(F.lit("no"))).otherwise(F.col("line")))
+    with pytest.raises(Exception):
+        sinks.write_text(bad, f"{top}/a", "t")
+    assert os.listdir(top) == []
+    sinks.write_text(rows, f"{top}/a", "t")
+    with pytest.raises(Exception):
+        sinks.write_text(bad, f"{top}/a", "t", overwrite=True)
+    assert os.listdir(top) == ["a"] and glob.glob(f"{top}/a/label=0/part-*.txt")  # the earlier one is whole
+    with pytest.raises(FileExistsError):
+        sinks.write_text(rows, f"{top}/a", "t")
 
 
 def _inputs(spark):
