@@ -227,8 +227,8 @@ def center_distance_density(own: DataFrame, n_grid: int = 100) -> DataFrame:
 
     Evaluated on ``n_grid`` points spanning the global min..max distance,
     bandwidth by Scott's rule (std with ddof 1 times n^-1/5). One
-    aggregation for the per-label statistics (k rows), then every distance
-    adds its kernel to the grid points inside a map-side partial sum.
+    aggregation for the per-label statistics (k rows), then every distance is
+    one vector of kernels at the grid points, summed map-side.
     """
     stats = own.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
                                      F.stddev_samp("distance").alias("sd"))
@@ -238,13 +238,11 @@ def center_distance_density(own: DataFrame, n_grid: int = 100) -> DataFrame:
     g = F.array(*[F.lit(v) for v in grid])
     j = own.join(bounded_broadcast(stats), "label")
     h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    contrib = F.transform(g, lambda x, i: F.struct(
-        i.alias("grid"), x.alias("x"),
-        (F.exp(-0.5 * F.pow((x - F.col("distance")) / h, 2)) /
-         (h * F.col("n") * F.lit(math.sqrt(2 * math.pi)))).alias("d")))
+    kernels = F.transform(g, lambda x: F.exp(-0.5 * F.pow((x - F.col("distance")) / h, 2)) / (h * F.col("n") * F.lit(math.sqrt(2 * math.pi))))
     # a label of one row, or of equal distances, has no bandwidth and so no density
-    return (j.where((F.col("n") > 1) & (F.col("sd") > 0)).select("label", F.inline(contrib))
-            .groupBy("label", "grid", "x").agg(F.sum("d").alias("density")))
+    sums = (j.where((F.col("n") > 1) & (F.col("sd") > 0) & F.col("distance").isNotNull()).groupBy("label")
+            .agg(vector_to_array(Summarizer.sum(array_to_vector(kernels))).alias("d")))
+    return sums.select("label", F.posexplode("d").alias("grid", "density")).select("label", "grid", F.element_at(g, F.col("grid") + 1).alias("x"), "density")
 
 
 # ---------------------------------------------------------------- silhouettes

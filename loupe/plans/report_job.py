@@ -65,13 +65,11 @@ def validate_options(options: sinks.ReportOptions, labels: list[int], precisions
 
 
 def _tokens(reviews: DataFrame, name: str) -> tuple[DataFrame, str, int]:
-    n = SIZES[name.removesuffix("_stem")]
-    tok = terms.review_ngrams(reviews, n, carry=("label",))
+    n, stemmed = SIZES[name.removesuffix("_stem")], name.endswith("_stem")
+    tok = (stem.review_ngram_stems if stemmed else terms.review_ngrams)(reviews, n, carry=("label",))
     if n == 1:
         tok = terms.with_pos(tok)
-    if name.endswith("_stem"):
-        return stem.with_stems(tok), "stem", n
-    return tok, "term", n
+    return tok, "stem" if stemmed else "term", n
 
 
 def topic_report(path: str, reviews: DataFrame, vectors: DataFrame, centers=None, metric: str = "cosine",

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loupe.functions.porter import stem
-from loupe.operators import align, embed, language, terms
+from loupe.functions.porter import stem as porter_stem
+from loupe.operators import align, embed, language, stem, terms
 from loupe.operators.stem import stem_vocabulary, with_stems
 
 # Examples from the published Porter paper and its standard vocabulary.
@@ -34,7 +34,7 @@ PORTER = {
 
 
 def test_porter_examples():
-    bad = {w: (stem(w), s) for w, s in PORTER.items() if stem(w) != s}
+    bad = {w: (porter_stem(w), s) for w, s in PORTER.items() if porter_stem(w) != s}
     assert bad == {}
 
 
@@ -46,6 +46,14 @@ def test_stem_vocabulary_and_ngrams(spark):
     assert bi == {"great washing": "great wash", "washing machine": "wash machin"}
 
 
+def test_ngram_stems_in_the_row(spark):
+    df = spark.createDataFrame([(0, "great washing machine washing", 1), (1, "", 2), (2, None, 3), (3, "machines", 4)], "review_id bigint, text string, label int")
+    got = sorted((r.review_id, r.idx, r.term, r.label, r.stem) for r in stem.review_ngram_stems(df, 2, carry=("label",)).collect())
+    assert got == [(0, 0, "great washing", 1, "great wash"), (0, 1, "washing machine", 1, "wash machin"), (0, 2, "machine washing", 1, "machin wash")]
+    one = stem.review_ngram_stems(df, 1).collect()
+    assert sorted((r.term, r.stem) for r in one) == [("great", "great"), ("machine", "machin"), ("machines", "machin"), ("washing", "wash"), ("washing", "wash")]
+
+
 def test_close_matches_fixture():
     assert align._matches_for_review(["great"], ["super", "great", "nice"], 3, 0.6) == [[1]]
     assert align._matches_for_review(["great"], ["great", "great", "great"], 3, 0.6) == [[2, 1, 0]]
