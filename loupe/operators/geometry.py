@@ -174,7 +174,7 @@ def central_indices(dist: DataFrame, k: int, sizes: DataFrame | dict[int, int],
     cluster sizes (a ``{label: n}`` of the centres, or a table).
     """
     w = Window.partitionBy("center_label").orderBy(F.col("distance"), F.col(key))
-    top = dist.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = dist.where("distance IS NOT NULL").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if isinstance(sizes, dict):
         pairs = V.constant([{"l": label, "n": n} for label, n in sorted(sizes.items())], "array<struct<l:int,n:bigint>>")
         capped = top.withColumn("n", F.try_element_at(F.map_from_entries(pairs), F.col("center_label")))
@@ -187,9 +187,10 @@ def central_indices(dist: DataFrame, k: int, sizes: DataFrame | dict[int, int],
 
 def central_reviews(df: DataFrame, centers_, k: int, texts: DataFrame, metric: str = "cosine",
                     precisions=None, label_col: str = "label", vec_col: str = VEC,
-                    key: str = KEY) -> DataFrame:
+                    key: str = KEY, members_only: bool = False) -> DataFrame:
     """Central ids per label with their distance and text.
 
+    Candidates are all rows, with ``members_only`` those of the centre's own label.
     At most ``k`` x (number of centres) rows carry a text, so the text
     table is only scanned and filtered against those broadcast ids. Cluster
     sizes are the ``n`` of a centre table, else counted over the labels.
@@ -198,7 +199,10 @@ def central_reviews(df: DataFrame, centers_, k: int, texts: DataFrame, metric: s
         cl, sizes = collect_sized_centers(centers_)
     else:
         cl, sizes = collect_centers(centers_), cluster_sizes(df, label_col)
-    dist = distances(df, cl, metric, precisions, vec_col, key)
+    if members_only:
+        dist = own_center_distance(df, cl, metric, precisions, label_col, vec_col, key).withColumnRenamed("label", "center_label")
+    else:
+        dist = distances(df, cl, metric, precisions, vec_col, key)
     top = central_indices(dist, k, sizes, key)
     # the top table has at most k x (number of centres) rows, a proven bound:
     # broadcast its ids so the text table is filtered where it is scanned

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from loupe.operators import geometry as G
 from loupe.operators.estimators import CentersModel
 from loupe.plans import report_job
@@ -17,6 +19,7 @@ from loupe.sources import sinks, tables
 
 TEXT_K = 3
 SEED = 314
+TITLE, MARK = "sampled reviews", "\n\x1e\n"
 
 
 def _inputs(spark, sf_dir, corrected=False):
@@ -38,6 +41,15 @@ def cluster_text_random(spark, sf_dir):
     return sinks.cluster_text(rv, v, None, {"random": TEXT_K}, seed=SEED)["random_sentences"]
 
 
+def cluster_text_lines(spark, sf_dir):
+    """The files of sampled reviews, written and read again: what stands between their separators."""
+    v, rv = _inputs(spark, sf_dir)
+    lines = sinks.cluster_text(rv, v, None, {"random": TEXT_K}, seed=SEED)["random_sentences"]
+    path = _scratch(spark, "text")
+    sinks.write_text(lines, path, TITLE, sep=MARK)
+    return spark.read.option("lineSep", MARK).text(path).select(F.col("label").cast("int").alias("label"), "value")
+
+
 def _scratch(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -60,6 +72,7 @@ def topic_report(spark, sf_dir):
 QUERIES = {
     "cluster_text_central": cluster_text_central,
     "cluster_text_random": cluster_text_random,
+    "cluster_text_lines": cluster_text_lines,
     "model_roundtrip": model_roundtrip,
     "topic_report": topic_report,
 }
@@ -91,4 +104,9 @@ UNION ALL
 SELECT label, line_no, text AS line FROM (
   SELECT label, text, CAST(row_number() OVER (PARTITION BY label ORDER BY md5(concat('""" + str(SEED) + """-', CAST(review_id AS VARCHAR))), review_id) AS BIGINT) AS line_no
   FROM rv) WHERE line_no <= """ + str(TEXT_K),
+    "cluster_text_lines": "WITH " + _BASE + f"""
+SELECT label, '{TITLE}' || chr(10) || ' ' || chr(10) || ' ' || chr(10) || line AS value FROM summ
+UNION ALL
+SELECT label, text AS value FROM (
+  SELECT label, text, row_number() OVER (PARTITION BY label ORDER BY md5(concat('{SEED}-', CAST(review_id AS VARCHAR))), review_id) AS k FROM rv) WHERE k <= {TEXT_K}""",
 }

@@ -153,6 +153,12 @@ def central_reviews(spark, sf_dir):
     return _dist_out(G.central_reviews(v, G.centers(v), CENTRAL_K, texts, "cosine"))
 
 
+def central_reviews_members(spark, sf_dir):
+    v = _vec(spark, sf_dir)
+    texts = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), "text")
+    return _dist_out(G.central_reviews(v, G.centers(v), CENTRAL_K, texts, "cosine", members_only=True))
+
+
 def center_distance_matrix(spark, sf_dir):
     return _dist_out(G.center_distance_matrix(G.centers(_vec(spark, sf_dir)), "cosine"))
 
@@ -276,6 +282,7 @@ QUERIES = {
     "precisions_full": precisions_full,
     "central_indices": central_indices,
     "central_reviews": central_reviews,
+    "central_reviews_members": central_reviews_members,
     "center_distance_matrix": center_distance_matrix,
     "center_distance_density": center_distance_density,
     "silhouette_samples": silhouette_samples,
@@ -398,6 +405,10 @@ SQL = {
         "CAST(row_number() OVER (PARTITION BY d.center_label ORDER BY d.distance, d.review_id) AS BIGINT) AS rank, s.n "
         f"FROM ({_COS_ALL}) d JOIN (SELECT label, COUNT(*) AS n FROM e GROUP BY label) s ON s.label = d.center_label) q "
         f"LEFT JOIN documents doc ON doc.doc_id = q.review_id WHERE q.rank <= {CENTRAL_K} AND q.rank <= q.n"),
+    "central_reviews_members": _w(_E, _OWN) + (
+        f"SELECT q.label, q.review_id, round(q.distance, {P}) AS distance, q.rank, doc.text FROM (SELECT *, "
+        "CAST(row_number() OVER (PARTITION BY label ORDER BY distance, review_id) AS BIGINT) AS rank FROM own) q "
+        f"LEFT JOIN documents doc ON doc.doc_id = q.review_id WHERE q.rank <= {CENTRAL_K}"),
     "center_distance_matrix": _w(_E) + (
         f"SELECT a.label, b.label AS center_label, round(1 - list_cosine_similarity(a.cx, b.cx), {P}) AS distance FROM cv a, cv b"),
     "center_distance_density": _w(

@@ -231,3 +231,15 @@ def test_broadcast_only_below_the_bound(spark):
     df = spark.range(5)
     plan = lambda bound: spark.range(9).join(bounded_broadcast(df, bound), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(5) and "broadcast" not in plan(4)
+    few_wide = spark.createDataFrame([(i, "x" * 1000) for i in range(5)], "id long, t string")
+    plan = lambda size: spark.range(9).join(bounded_broadcast(few_wide, max_bytes=size), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(10_000) and "broadcast" not in plan(5_000)
+
+
+def test_central_reviews_of_members_only(spark):
+    df = spark.createDataFrame([(0, [0.0, 1.0], 0), (1, [0.0, 2.0], 0), (2, [0.1, 0.1], 1), (3, [9.0, 9.0], 1), (4, None, 1)], "review_id bigint, embedding array<double>, label int")
+    texts = df.selectExpr("review_id", "concat('t', review_id) AS text")
+    centers = [(0, [0.0, 0.0]), (1, [5.0, 5.0])]
+    near = lambda m: sorted((r.label, r["rank"], r.review_id, r.text) for r in G.central_reviews(df, centers, 2, texts, "euclidean", members_only=m).collect())
+    assert near(True) == [(0, 1, 0, "t0"), (0, 2, 1, "t1"), (1, 1, 3, "t3"), (1, 2, 2, "t2")]
+    assert near(False)[0] == (0, 1, 2, "t2")
