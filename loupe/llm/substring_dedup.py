@@ -21,8 +21,11 @@ refine without one global sort, and three steps keep the data small:
 Whole texts that equal one with a smaller id are removed as one span before all
 this (by two 64-bit hashes and the length), so copies add nothing to the steps.
 
-Every group sends a bucket once however many of its documents hold it, so a
-passage in a third of all documents is a few rows per group.
+Every group sends a refined bucket once however many of its documents hold it, so a
+passage in a third of all documents is a few rows per group. A bucket of one q-gram,
+which many unlike strings can share, is never in one task: its refined buckets are
+dealt by both identifiers, and whether it has several is a partial aggregate that is
+joined back.
 
 Null texts count as empty. A null ``doc_id`` is smaller than none and none is
 smaller than it: such rows lose nothing. Rows with equal ``doc_id`` never
@@ -49,7 +52,7 @@ _NONE = 255
 _ROWS = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int32()),
                    ("at", pa.int32()), ("n", pa.int32()), ("kind", pa.int8()), ("g", pa.int32())])
 _ROWS_DDL = "k long, s long, doc_id long, row int, at int, n int, kind byte, g int"
-ASK, SPANS, WINDOWS = 0, 1, 2
+ASK, SPANS = 0, 1
 
 
 def _group(tab: pa.Table):
@@ -309,19 +312,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = by_g.cogroup(copies.groupBy("g")).applyInArrow(_ask(n_ranges, bits), "g int, r int, keys binary")
     replies = asked.groupBy("r").applyInArrow(_reply, "g int, r int, bits binary").unionByName(copies, allowMissingColumns=True)
     pieces = by_g.cogroup(replies.groupBy("g")).applyInArrow(_super_windows(n_ranges, bits), _ROWS_DDL)
-    by_k = Window.partitionBy("k")
-    told = (_least(pieces.repartition("k"))
-            .withColumn("low", F.min("doc_id").over(by_k)).withColumn("high", F.max("least").over(by_k))
-            .withColumn("kind", F.when((F.col("kind") == SPANS) | (F.col("least") < F.col("doc_id")), SPANS)
-                        .when(F.col("high") > F.col("low"), WINDOWS).otherwise(ASK).cast("byte"))
-            .where(F.col("kind") != ASK).select("g", "row", "at", "n", "kind"))
+    # refined buckets of a q-gram bucket: those of several are told apart by their windows
+    dealt = pieces.repartition("k", "s")
+    told = _least(dealt)
+    done = (F.col("kind") == SPANS) | (F.col("least") < F.col("doc_id"))
+    mixed = (dealt.where(F.col("kind") == ASK).groupBy("k", "s").agg(F.min("doc_id").alias("least")).groupBy("k")
+             .agg(F.min("least").alias("low"), F.max("least").alias("high")).where("high > low").select("k"))
     span = ["g", "row", "at", "n"]
-    todo = told.where(F.col("kind") == WINDOWS).select(*span)
+    todo = told.where(~done).join(mixed.hint("merge"), "k", "left_semi").select(*span)
     held = (by_g.cogroup(todo.groupBy("g")).applyInArrow(_ask_windows(n_ranges, bits), "g int, r int, keys binary")
             .groupBy("r").applyInArrow(_reply, "g int, r int, bits binary"))
     single = by_g.cogroup(todo.unionByName(held, allowMissingColumns=True).groupBy("g")).applyInArrow(_windows(n_ranges, bits), _ROWS_DDL)
     spans = (_least(single).where((F.col("kind") == SPANS) | (F.col("least") < F.col("doc_id"))).select(*span)
-             .unionByName(told.where(F.col("kind") == SPANS).select(*span)))
+             .unionByName(told.where(done).select(*span)))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return by_g.cogroup(spans.groupBy("g")).applyInArrow(_remove(with_kept), schema + ", kept binary" * with_kept)
 

@@ -51,3 +51,24 @@ def test_kept_bytes_and_empty_table(spark):
     got = {r["doc_id"]: bytes(r["kept"]) for r in S.remove_repeats(df, with_kept=True).collect()}
     assert got == {1: ("é" * 60).encode(), 2: b"xy"}
     assert S.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_over_the_edge_of_a_chunk(spark):
+    """Windows of a text longer than what one pass of numpy takes, and of its neighbours in the group."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    passage, edge = noise(120), 1 << 19
+    rows = [(1, noise(edge - 60) + passage + noise(900)), (2, noise(300) + passage), (3, passage[:70] + noise(edge - 100) + passage[40:] + noise(200)),
+            (4, noise(100)), (5, "x" * 700_000)]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert sum(r["n_removed"] > 0 for r in got) == 2
+
+
+def test_one_line_in_every_text(spark):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    line = noise(80)
+    rows = [(d, noise(rng.randrange(90)) + line[rng.randrange(20):80 - rng.randrange(9)] + noise(rng.randrange(90)) + (line if d % 7 == 0 else "")) for d in range(300)]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=3000, range_keys=500).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
