@@ -1,7 +1,7 @@
 """Helpers shared by the training-data operators.
 
 * ``keep`` cuts lineage through a Parquet table in the shared folder that
-  ``spark.checkpoint.dir`` names.
+  ``spark.checkpoint.dir`` names; what a program has kept goes when it ends.
 * ``grouped`` deals rows into groups of bounded bytes by a hash of the row, so
   a task holds one group and no key of the data can make a group large.
 * ``string_buffers`` and the hash functions view an Arrow text column as one
@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import math
 import uuid
 
@@ -35,10 +37,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """This program's folder in the shared one. Results read from it, so it is removed when the program ends."""
+    shared = prepare(spark).rstrip("/")
+    if shared not in _SCRATCH:
+        _SCRATCH[shared] = f"{shared}/kept-{uuid.uuid4().hex}"
+        atexit.register(remove, spark, _SCRATCH[shared])
+    return _SCRATCH[shared]
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{prepare(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

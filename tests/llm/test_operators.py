@@ -308,3 +308,18 @@ def test_pipeline_stages(spark):
     assert set(near) <= set(exact) and len(near) > 0.5 * len(exact)
     last = P.STAGES[4][1](spark, docs, SF)
     assert last.count() == docs.count() and "ids" in last.columns
+
+
+def test_kept_tables_go_when_the_program_ends(tmp_path):
+    import os
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, sys.argv[2])\n"
+            "from loupe.session import get_session\nfrom loupe.llm import common as C\nimport os\n"
+            "spark = get_session('local[1]', 1)\nspark.sparkContext.setCheckpointDir(sys.argv[1])\n"
+            "assert C.keep(C.keep(spark.range(3))).count() == 3\n"
+            "print('during', sum(f.startswith('kept-') for _, d, _ in os.walk(sys.argv[1]) for f in d))\n")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code, str(tmp_path), root], capture_output=True, text=True, timeout=200)
+    assert "during 1" in out.stdout
+    assert not [d for _, ds, _ in os.walk(tmp_path) for d in ds if d.startswith("kept-")]
