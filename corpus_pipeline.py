@@ -44,13 +44,13 @@ def encode(spark, docs, sf_dir):
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixture), ("bpe", encode)]
 
-#: SQL has no suffix automata, weighted sampling or BPE: tests hold run() against brute force instead.
+#: SQL has no suffix automata, weighted sampling or BPE: tests/llm holds run() against a brute-force version instead.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     """All stages over ``documents``, each written to the shared folder before the next."""
-    folder = f"{C.prepare(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{C.scratch(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = C.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
