@@ -1,5 +1,6 @@
 """Python-worker steps and language flags."""
 
+import random
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -194,3 +195,26 @@ def test_language_flags(spark):
     out = {r.review_id: r.is_english for r in
            language.score(terms.review_tokens(probe).select("review_id", "term"), probe, model, stats).collect()}
     assert out == {10: 1, 11: 0, 12: 2, 13: 2}
+
+
+def test_close_matches_are_difflibs_for_odd_and_long_strings():
+    rng = random.Random(3)
+    for letters, longest in (("ab", 9), ("abcdefgh", 12), ("aàé漢𝄞b", 5), ("abcdefghijklmnopqrstuvwxyz", 6), ("abc", 80), ("ab", 230)):
+        for _ in range(6):
+            words = ["".join(rng.choices(letters, k=rng.randint(1, longest))) for _ in range(rng.randint(0, 25))]
+            tokens = ["[CLS]"] + [rng.choice(words) if words and rng.random() < 0.4 else "".join(rng.choices(letters, k=rng.randint(1, longest)))
+                                  for _ in range(15)] + ["[SEP]"]
+            want = []
+            for t in tokens:
+                scores = [(SequenceMatcher(None, w, t).ratio(), i) for i, w in enumerate(words)] if t not in ("[CLS]", "[SEP]") else []
+                want.append([i for _, i in sorted((x for x in scores if x[0] >= 0.5), reverse=True)[:3]])
+            assert align._matches_for_review(tokens, words, 3, 0.5) == want
+
+
+def test_close_matches_of_a_long_review_compare_few_pairs_one_by_one(monkeypatch):
+    """2,000 different words: the pairs are bounded and matched in arrays, none alone in difflib."""
+    rng = random.Random(4)
+    words = list({"".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(2000)})
+    monkeypatch.setattr(align, "SequenceMatcher", None)
+    found = align._matches_for_review(words, words, 3, 0.6)
+    assert all(m[0] == i for i, m in enumerate(found))
