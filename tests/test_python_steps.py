@@ -218,3 +218,15 @@ def test_close_matches_of_a_long_review_compare_few_pairs_one_by_one(monkeypatch
     monkeypatch.setattr(align, "SequenceMatcher", None)
     found = align._matches_for_review(words, words, 3, 0.6)
     assert all(m[0] == i for i, m in enumerate(found))
+
+
+def test_pooling_is_hash_aggregation_and_refuses_other_lengths(spark):
+    v = spark.createDataFrame([(1, 0, [1.0, 2.0]), (1, 1, [3.0, -2.0]), (2, 0, None)], "review_id long, idx int, embedding array<double>")
+    for mode, want in (("cls", [1.0, 2.0]), ("mean", [2.0, 0.0]), ("max", [3.0, 2.0]), ("mean_sqrt_len", [4.0 / 2 ** 0.5, 0.0])):
+        out = embed.pool(v, mode)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+        assert {r.review_id: r.embedding for r in out.collect()} == {1: pytest.approx(want), 2: None}
+    longer = v.union(spark.createDataFrame([(1, 2, [1.0, 2.0, 3.0])], v.schema))
+    with pytest.raises(Exception, match="components"):
+        embed.pool(longer, "mean", dim=2).collect()
