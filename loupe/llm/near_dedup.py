@@ -17,9 +17,12 @@ then in one class are done. Buckets with up to ``PAIRS`` pairs of different clas
 and ``WEIGHT`` shingles are settled pair by pair in one task each. A larger one is
 dealt anew, in ``CHAINS`` ways, by ``STEP`` further samples of its units: texts of
 similarity s stay together in one way with probability s ** STEP, unlike ones part.
-Parts get leaders of their own and are settled or dealt anew in the same way, so
-work is the number of units times ``CHAINS`` a round, not the square of a bucket,
-and no unit is dropped. Classes are connected components.
+Parts get leaders of their own and are settled in the same way, which finds most
+links of a large bucket for ``CHAINS`` comparisons a unit. The dealing drops pairs, so
+what is left is exact: in every large bucket all pairs of units of different classes
+are taken, block against block of about ``WEIGHT`` shingles in a task each. There a
+pair is compared if it shares one of the rarest shingles that hold more than 1 -
+``threshold`` of a text's weight, as all links do. Classes are connected components.
 
 Texts that are null or have no word are classes of their own. The class id is
 the smallest ``doc_id`` of the class; a class without any id, or whose smallest id
@@ -44,7 +47,9 @@ SLACK = 1e-4  # float32 weights: totals are trusted to this
 BANDS, ROWS = 9, 3
 SHINGLE_BITS = 48
 PAIRS, WEIGHT = 100_000, 400_000  # what one task compares of a bucket, and holds of its texts
+BLOCK = 2000  # units of a block at most
 STEP, CHAINS = 6, 6
+DEALS = 1  # of large buckets before the exact comparison of the rest
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -261,14 +266,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     wanted = C.keep(members.select("unit", "rid").distinct())
     dfs = signed.select("rid", "df").join(wanted.hint("merge"), "rid").dropDuplicates(["rid"])
     texts = C.keep(rows.select("rid", "text").join(dfs.hint("merge"), "rid").dropDuplicates(["rid"]).select("unit", "text", "df"))
-    labels, deals = None, 0
-    while True:
-        edges, large = _settled(members, labels, texts, n_rows, threshold)
-        labels = _merge(wanted.select("unit", F.col("unit").alias("cls")) if labels is None else labels, edges)
-        if large.isEmpty():
-            return _result(signed, labels)
-        deals += 1
-        members = _parts(_dealt(large, texts, n_rows, deals - 1), deals)
+    edges, rest = _settled(members, None, texts, n_rows, threshold)
+    labels = _merge(wanted.select("unit", F.col("unit").alias("cls")), edges)
+    if not rest.isEmpty():
+        large = rest
+        for deals in range(DEALS):
+            members = _parts(_dealt(large, texts, n_rows, deals), deals + 1)
+            edges, large = _settled(members, labels, texts, n_rows, threshold)
+            labels = _merge(labels, edges)
+        labels = _merge(labels, _blocks(rest.select("band", "cell", "unit", "total"), labels, texts, n_rows, threshold))
+    return _result(signed, labels)
 
 
 def _near(a: str, b: str, threshold: float):
@@ -302,6 +309,60 @@ def _settled(members: DataFrame, labels: DataFrame | None, texts: DataFrame, n_r
     return links.union(edges), todo.where(~small)
 
 
+def _prefix(s: np.ndarray, w: np.ndarray, df: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest shingles of a text, so many that the others weigh less than ``threshold`` of it.
+
+    A link shares at least ``threshold`` of the heavier text, so two linked texts
+    have one of these in common: all take shingles in one order (df, shingle).
+    """
+    order = np.lexsort((s, df))
+    left = w.sum(dtype=np.float64) - np.cumsum(w[order], dtype=np.float64)
+    return s[order[:int(np.searchsorted(-left, -(threshold - SLACK) * w.sum(dtype=np.float64), "right")) + 1]]
+
+
+def _between(n_rows: int, threshold: float):
+    """Links of different classes between the units of two blocks, or of one."""
+    def between(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        vec = _vectors(pdf["text"], pdf["df"], n_rows)
+        unit, out = pdf["unit"].tolist(), []
+        cls = np.unique(pdf["cls"], return_inverse=True)[1]
+        block = pdf["block"].to_numpy()
+        one = block.min() == block.max()
+        total = np.array([w.sum(dtype=np.float64) for _, w in vec])
+        least = [_prefix(s, w, C.from_numbers(d, len(s)), threshold) for (s, w), d in zip(vec, pdf["df"])]
+        keys, at = np.concatenate(least), np.repeat(np.arange(len(vec)), [len(x) for x in least])
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], at[order]
+        for i in range(len(vec)):
+            if not one and block[i] != block.min():
+                continue
+            lo, hi = np.searchsorted(keys, least[i]), np.searchsorted(keys, least[i], "right")
+            near = np.unique(np.concatenate([at[a:b] for a, b in zip(lo, hi)]))
+            near = near[near > i] if one else near[block[near] != block[i]]
+            near = near[(cls[near] != cls[i]) & (np.minimum(total[near], total[i]) >= np.maximum(total[near], total[i]) * (threshold - SLACK))]
+            for j in near.tolist():
+                if cls[i] != cls[j] and weighted_jaccard(vec[i], vec[j]) >= threshold:
+                    out.append((unit[i], unit[j]))
+                    cls[cls == cls[j]] = cls[i]
+        return pd.DataFrame(out, columns=["a", "b"])
+    return between
+
+
+def _blocks(rest: DataFrame, labels: DataFrame, texts: DataFrame, n_rows: int, threshold: float) -> DataFrame:
+    """All links (a, b) that join classes within the buckets ``rest`` (band, cell, unit, total)."""
+    of = C.keep(rest.join(labels, "unit"))
+    buckets = of.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("unit")).alias("x"), F.bit_xor(F.xxhash64("unit", F.lit(1))).alias("y"),
+                                             F.sum("total").alias("weight"), F.min("cls").alias("one"), F.max("cls").alias("other"))
+    blocks = F.greatest(F.ceil(2 * F.col("weight") / WEIGHT), F.ceil(F.col("n") / BLOCK)).cast("int")
+    # buckets of the same units are compared once
+    buckets = buckets.where("one <> other").dropDuplicates(["n", "x", "y"]).select("band", "cell", blocks.alias("blocks"))
+    placed = of.join(buckets, ["band", "cell"]).withColumn("block", F.pmod(F.xxhash64("unit", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = placed.select("band", "cell", "unit", "cls", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    dealt = dealt.withColumn("p", F.least("block", "k")).withColumn("q", F.greatest("block", "k")).drop("k")
+    pairs = dealt.join(texts.select("unit", "text", "df").hint("merge"), "unit").groupBy("band", "cell", "p", "q")
+    return C.keep(pairs.applyInPandas(_between(n_rows, threshold), "a string, b string"))
+
+
 def _samples(n_rows: int, first: int):
     """Hashes of STEP samples for each chain, numbered from ``first``."""
     def samples(texts: pd.Series, dfs: pd.Series) -> pd.Series:

@@ -95,6 +95,26 @@ def test_large_buckets_are_dealt_anew(spark, monkeypatch):
     assert deals and got <= want and len(got) >= 0.9 * len(want) > 30
 
 
+def test_pairs_that_dealing_parts_are_compared_all_the_same(spark, monkeypatch):
+    """Buckets too large for one task, and deals that keep no two texts together: no link of a bucket is lost."""
+    monkeypatch.setattr(N, "STEP", 90)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    line, texts = " ".join(word() for _ in range(60)), []
+    for _ in range(60):
+        own = [word() for _ in range(50)]
+        texts.append(line + " " + " ".join(own))
+        own[rng.randrange(40)] = word()
+        texts.append(line + " " + " ".join(own))
+    rows = list(enumerate(texts))
+    want = found(spark, rows)
+    assert len(links(want)) > 50
+    for pairs, weight in ((1, 400_000), (1, 3000)):  # one block, and many
+        monkeypatch.setattr(N, "PAIRS", pairs)
+        monkeypatch.setattr(N, "WEIGHT", weight)
+        assert found(spark, rows) == want
+
+
 def test_recall_on_whole_table(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect())
     ids = [i for i, _ in rows]
