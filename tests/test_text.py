@@ -1,5 +1,10 @@
 """Text predicates, correction, tokens and n-grams (FIXTURES A1-A5)."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from loupe.functions import text
 from loupe.functions.text import correct_text, is_ascii
 from loupe.operators import terms
 
@@ -74,3 +79,18 @@ def test_ngram_filters(spark):
     assert sorted(r.term for r in freq) == ["big dog", "the big"]
     inc = terms.review_ngrams(df, 2, include_pos=["ADJ", "NOUN"]).select("term").collect()
     assert sorted(r.term for r in inc) == ["big dog", "big dog", "dog saw"]
+
+
+def test_correction_steps_on_any_whitespace_and_marks(spark):
+    """The chain as its rules say, a pattern for each: any whitespace at the ends and inside, marks in any order."""
+    rng = random.Random(1)
+    marks = list(" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u3000aabbcZ.,?!;:\"-_9é漢'()\u200b")
+    df = spark.createDataFrame([(i, "".join(rng.choices(marks, k=rng.randint(0, 25)))) for i in range(3000)] + [(-1, None)], "i long, t string")
+    s = F.lower("t")
+    for pattern, by in ((f"^{text.WS}+|{text.WS}+$", ""), (f"{text.WS}+", " "), ("([a-z])\\1{2,}", "$1"), (f"({text.NONWORD})\\1+", "$1"), (f"{text.NONWORD}+?\\.", "."),
+                        (f"([.?!,])({text.WORD})", "$1 $2"), (f"{text.WS}([?.!,;:\"](?:{text.WS}|$))", "$1")):
+        s = F.regexp_replace(s, pattern, by)
+    out = df.select(F.col("t"), s.alias("want"), text.correct_text("t").alias("got")).collect()
+    assert [r.got for r in out] == [r.want for r in out]
+    plan = df.select(text.correct_text("t").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "trim" in plan and plan.count("regexp_replace") == 6
