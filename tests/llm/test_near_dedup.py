@@ -107,12 +107,13 @@ def test_pairs_that_dealing_parts_are_compared_all_the_same(spark, monkeypatch):
         own[rng.randrange(40)] = word()
         texts.append(line + " " + " ".join(own))
     rows = list(enumerate(texts))
-    want = found(spark, rows)
-    assert len(links(want)) > 50
-    for pairs, weight in ((1, 400_000), (1, 3000)):  # one block, and many
-        monkeypatch.setattr(N, "PAIRS", pairs)
-        monkeypatch.setattr(N, "WEIGHT", weight)
-        assert found(spark, rows) == want
+    was = N._parts
+    one = lambda cells: cells.selectExpr("unit", "rid", "total", "0 AS band", "0L AS cell").distinct()
+    monkeypatch.setattr(N, "_parts", lambda cells, deals=0: was(cells if deals else one(cells), deals))  # one bucket of all texts
+    monkeypatch.setattr(N, "PAIRS", 1)
+    monkeypatch.setattr(N, "WEIGHT", 3000)  # some blocks
+    want = brute(rows)
+    assert len(links(want)) > 50 and found(spark, rows) == want
 
 
 def test_recall_on_whole_table(spark):
