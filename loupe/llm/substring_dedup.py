@@ -312,19 +312,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = by_g.cogroup(copies.groupBy("g")).applyInArrow(_ask(n_ranges, bits), "g int, r int, keys binary")
     replies = asked.groupBy("r").applyInArrow(_reply, "g int, r int, bits binary").unionByName(copies, allowMissingColumns=True)
     pieces = by_g.cogroup(replies.groupBy("g")).applyInArrow(_super_windows(n_ranges, bits), _ROWS_DDL)
-    # refined buckets of a q-gram bucket: those of several are told apart by their windows
-    dealt = pieces.repartition("k", "s")
-    told = _least(dealt)
+    # the pieces are made and dealt once: their strings are settled here, and only what is left keeps its bucket
     done = (F.col("kind") == SPANS) | (F.col("least") < F.col("doc_id"))
-    mixed = (dealt.where(F.col("kind") == ASK).groupBy("k", "s").agg(F.min("doc_id").alias("least")).groupBy("k")
-             .agg(F.min("least").alias("low"), F.max("least").alias("high")).where("high > low").select("k"))
     span = ["g", "row", "at", "n"]
-    todo = told.where(~done).join(mixed.hint("merge"), "k", "left_semi").select(*span)
+    told = C.keep(_least(pieces.repartition("k", "s")).select(*span, *[F.when(~done, F.col(c)).alias(c) for c in ("k", "least")]))
+    # refined buckets of a q-gram bucket: those of several are told apart by their windows; a bucket's first document is always left
+    left = told.where("k is not null")
+    mixed = left.groupBy("k").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("high > low").select("k")
+    todo = left.join(mixed.hint("merge"), "k", "left_semi").select(*span)
     held = (by_g.cogroup(todo.groupBy("g")).applyInArrow(_ask_windows(n_ranges, bits), "g int, r int, keys binary")
             .groupBy("r").applyInArrow(_reply, "g int, r int, bits binary"))
     single = by_g.cogroup(todo.unionByName(held, allowMissingColumns=True).groupBy("g")).applyInArrow(_windows(n_ranges, bits), _ROWS_DDL)
     spans = (_least(single).where((F.col("kind") == SPANS) | (F.col("least") < F.col("doc_id"))).select(*span)
-             .unionByName(told.where(done).select(*span)))
+             .unionByName(told.where("k is null").select(*span)))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return by_g.cogroup(spans.groupBy("g")).applyInArrow(_remove(with_kept), schema + ", kept binary" * with_kept)
 

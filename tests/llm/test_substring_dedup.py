@@ -72,3 +72,9 @@ def test_one_line_in_every_text(spark):
     rows = [(d, noise(rng.randrange(90)) + line[rng.randrange(20):80 - rng.randrange(9)] + noise(rng.randrange(90)) + (line if d % 7 == 0 else "")) for d in range(300)]
     got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=3000, range_keys=500).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_pieces_are_made_once(spark):
+    """What is left to do reads the settled pieces: the plan asks for windows, refines them and removes, no more."""
+    out = S.remove_repeats(spark.createDataFrame(corpus(), "doc_id long, text string"), group_bytes=700, range_keys=50)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow") <= 3
