@@ -133,7 +133,7 @@ def band_hashes(s: np.ndarray, row: np.ndarray, weight: np.ndarray, n_rows: int,
     log_w = np.log(weight).astype(np.float32)
     for i in range(bands * size):
         k = first + i
-        if k < BANDS * ROWS and k not in _TABLES:  # kept for the samples that every text needs
+        if k < BANDS * ROWS + CHAINS * STEP and k not in _TABLES:  # kept for the samples that every text, or every text of a large bucket, needs
             _TABLES[k] = _tables(k)
         r, ln_c, beta = _TABLES[k] if k in _TABLES else _tables(k)
         mixed = (s ^ np.uint64(k * 0x9E37)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x10001)
@@ -195,17 +195,52 @@ def _vectors(texts: pd.Series, dfs: pd.Series, n: int) -> list[tuple[np.ndarray,
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64)
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    j = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    i = np.flatnonzero(b[0][j] == a[0])
+    shared = np.minimum(a[1][i], b[1][j[i]]).sum(dtype=np.float64)
     union = a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - shared
     return float(shared / union) if union else 0.0
 
 
+class _Group:
+    """Texts whose shingles lie in one array, so that one text is compared with many at once."""
+
+    def __init__(self, vec: list[tuple[np.ndarray, np.ndarray]]):
+        self.size = np.array([len(s) for s, _ in vec], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.total = np.array([w.sum(dtype=np.float64) for _, w in vec])
+        keys, self.at = np.unique(np.concatenate([s for s, _ in vec]), return_inverse=True)
+        self.weight = np.concatenate([w for _, w in vec])
+        self.mine = np.zeros(len(keys), np.float32)
+
+    def similarities(self, i: int, others: np.ndarray) -> np.ndarray:
+        """``weighted_jaccard`` of text ``i`` with each of ``others``."""
+        own = slice(self.start[i], self.start[i] + self.size[i])
+        self.mine[self.at[own]] = self.weight[own]
+        n = self.size[others]
+        place = np.arange(n.sum()) + np.repeat(self.start[others] - (np.cumsum(n) - n), n)
+        both = np.minimum(self.mine[self.at[place]], self.weight[place])
+        shared = np.bincount(np.repeat(np.arange(len(others)), n), both, len(others))
+        self.mine[self.at[own]] = 0
+        union = self.total[i] + self.total[others] - shared
+        return np.divide(shared, union, out=np.zeros(len(others)), where=union > 0)
+
+
+def _distinct_vectors(texts: pd.Series, dfs: pd.Series, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``_vectors`` of each text, made once for equal ones."""
+    codes = pd.factorize(texts)[0]
+    first = np.unique(codes, return_index=True)[1]
+    vec = _vectors(texts.iloc[first], dfs.iloc[first], n)
+    return [vec[c] for c in codes]
+
+
 def _similarity(n: int):
     def similar(a: pd.Series, df_a: pd.Series, b: pd.Series, df_b: pd.Series) -> pd.Series:
         out = []
         for i in range(0, len(a), 200):
-            va, vb = _vectors(a[i:i + 200], df_a[i:i + 200], n), _vectors(b[i:i + 200], df_b[i:i + 200], n)
+            va, vb = _distinct_vectors(a[i:i + 200], df_a[i:i + 200], n), _distinct_vectors(b[i:i + 200], df_b[i:i + 200], n)
             out += [weighted_jaccard(x, y) for x, y in zip(va, vb)]
         return pd.Series(out, dtype="float64")
     return F.pandas_udf(similar, "double")
@@ -219,8 +254,28 @@ def _compare(pairs: DataFrame, texts: DataFrame, n_rows: int, threshold: float)
     return C.keep(both.withColumn("sim", _similarity(n_rows)("text_a", "df_a", "text_b", "df_b")).where(F.col("sim") >= threshold).select("a", "b"))
 
 
+def _stars(batches):
+    """Edges (a, b) that connect the same units as those of each batch: every unit with the least it is connected with there."""
+    for pdf in batches:
+        names, code = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
+        a, b = code[:len(pdf)], code[len(pdf):]
+        least, was = np.arange(len(names)), None
+        while was is None or (least != was).any():
+            was, least = least, least.copy()
+            low = np.minimum(was[a], was[b])
+            for x in (a, b, was[a], was[b]):
+                np.minimum.at(least, x, low)
+            least = least[least]
+        on = np.flatnonzero(least != np.arange(len(names)))
+        yield pd.DataFrame({"a": names[on], "b": names[least[on]]})
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``(unit, cls)`` for the units of ``edges`` (a, b): the least unit each is connected with."""
+    """``(unit, cls)`` for the units of ``edges`` (a, b): the least unit each is connected with.
+
+    Chains within a batch of rows become stars first, which shortens the rounds that follow.
+    """
+    edges = C.keep(edges.select("a", "b").mapInPandas(_stars, "a string, b string").distinct())
     both = edges.select("a", "b").union(edges.select("b", "a"))
     labels = C.keep(both.groupBy(F.col("a").alias("unit")).agg(F.least(F.min("b"), F.first("a")).alias("cls")))
     while True:
@@ -235,21 +290,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _within(n_rows: int, threshold: float):
     def within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        vec = _vectors(pdf["text"], pdf["df"], n_rows)
-        unit, cls, out = pdf["unit"].tolist(), pdf["cls"].tolist(), []
-        total = np.array([w.sum(dtype=np.float64) for _, w in vec])
-        order = np.argsort(-total, kind="stable").tolist()
-        for n, i in enumerate(order):
-            for j in order[n + 1:]:
-                if total[j] < total[i] * (threshold - SLACK):
-                    break  # and so are all lighter ones
-                if cls[i] != cls[j] and weighted_jaccard(vec[i], vec[j]) >= threshold:
-                    out.append((unit[i], unit[j]))
-                    cls = [cls[j] if c == cls[i] else c for c in cls]
+        group, unit, out = _Group(_vectors(pdf["text"], pdf["df"], n_rows)), pdf["unit"].tolist(), []
+        cls = np.unique(pdf["cls"], return_inverse=True)[1]
+        order = np.argsort(-group.total, kind="stable")
+        # no text is linked with one lighter than this
+        ends = np.searchsorted(-group.total[order], -group.total[order] * (threshold - SLACK), "right")
+        for n, i in enumerate(order.tolist()):
+            near = order[n + 1:ends[n]]
+            _link(group, i, near, unit, cls, threshold, out)
         return pd.DataFrame(out, columns=["a", "b"])
     return within
 
 
+def _link(group: _Group, i: int, near: np.ndarray, unit: list, cls: np.ndarray, threshold: float, out: list) -> None:
+    """Compares text ``i`` with those of ``near`` that are in other classes; links join classes and go to ``out``."""
+    near = near[cls[near] != cls[i]]
+    if not len(near):
+        return
+    for j in near[group.similarities(i, near) >= threshold].tolist():
+        if cls[i] != cls[j]:
+            out.append((unit[i], unit[j]))
+            cls[cls == cls[j]] = cls[i]
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, class_id, class_size, is_first, rid)`` per row of ``docs``.
 
@@ -324,11 +387,11 @@ def _between(n_rows: int, threshold: float):
     """Links of different classes between the units of two blocks, or of one."""
     def between(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         vec = _vectors(pdf["text"], pdf["df"], n_rows)
-        unit, out = pdf["unit"].tolist(), []
+        group, unit, out = _Group(vec), pdf["unit"].tolist(), []
         cls = np.unique(pdf["cls"], return_inverse=True)[1]
         block = pdf["block"].to_numpy()
         one = block.min() == block.max()
-        total = np.array([w.sum(dtype=np.float64) for _, w in vec])
+        total = group.total
         least = [_prefix(s, w, C.from_numbers(d, len(s)), threshold) for (s, w), d in zip(vec, pdf["df"])]
         keys, at = np.concatenate(least), np.repeat(np.arange(len(vec)), [len(x) for x in least])
         order = np.argsort(keys, kind="stable")
@@ -339,11 +402,8 @@ def _between(n_rows: int, threshold: float):
             lo, hi = np.searchsorted(keys, least[i]), np.searchsorted(keys, least[i], "right")
             near = np.unique(np.concatenate([at[a:b] for a, b in zip(lo, hi)]))
             near = near[near > i] if one else near[block[near] != block[i]]
-            near = near[(cls[near] != cls[i]) & (np.minimum(total[near], total[i]) >= np.maximum(total[near], total[i]) * (threshold - SLACK))]
-            for j in near.tolist():
-                if cls[i] != cls[j] and weighted_jaccard(vec[i], vec[j]) >= threshold:
-                    out.append((unit[i], unit[j]))
-                    cls[cls == cls[j]] = cls[i]
+            near = near[np.minimum(total[near], total[i]) >= np.maximum(total[near], total[i]) * (threshold - SLACK)]
+            _link(group, i, near, unit, cls, threshold, out)
         return pd.DataFrame(out, columns=["a", "b"])
     return between
 
@@ -380,7 +440,7 @@ def _dealt(large: DataFrame, texts: DataFrame, n_rows: int, deals: int) -> DataF
     """Units of large buckets (band, cell, unit, total) in the parts that further samples make of each; the first deal is made in all chains."""
     first = BANDS * ROWS + deals * CHAINS * STEP
     units = large.select("unit").distinct()
-    more = C.keep(texts.join(units.hint("merge"), "unit", "left_semi").select("unit", _samples(n_rows, first)("text", "df").alias("x")))
+    more = texts.join(units.hint("merge"), "unit", "left_semi").select("unit", _samples(n_rows, first)("text", "df").alias("x"))
     joined = large.select("band", "cell", "unit", "total").join(more.hint("merge"), "unit")
     if deals:  # band holds the chain
         return joined.select("band", F.xxhash64("cell", F.element_at("x", (F.col("band") % CHAINS + 1).cast("int"))).alias("cell"), "unit", "total")
@@ -396,7 +456,7 @@ def _parts(cells: DataFrame, deals: int = 0) -> DataFrame:
     cells = C.keep(cells)
     lead = F.struct(F.xxhash64("unit", F.lit(deals)).alias("h"), F.col("unit").alias("unit"), F.col("total").alias("total"))
     shared = cells.groupBy("band", "cell").agg(F.min(lead).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = C.keep(shared.select("band", "cell", F.col("l.unit").alias("leader"), F.col("l.total").alias("leader_total"), "n"))
+    shared = shared.select("band", "cell", F.col("l.unit").alias("leader"), F.col("l.total").alias("leader_total"), "n")
     return C.keep(cells.join(shared, ["band", "cell"]))
 
 
@@ -417,7 +477,7 @@ def _result(signed: DataFrame, labels: DataFrame) -> DataFrame:
                                            F.min(F.struct("doc_id", "rid")).alias("least")))
     owners = sizes.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("least.rid").alias("owner"))
     own_id = F.when(F.col("owner") == F.col("least.rid"), F.col("class_id")).otherwise(-1 - F.col("least.rid").bitwiseAND((1 << 62) - 1))
-    sizes = C.keep(sizes.join(owners, "class_id", "left").select("cls", own_id.alias("class_id"), "class_size", "least"))
+    sizes = sizes.join(owners, "class_id", "left").select("cls", own_id.alias("class_id"), "class_size", "least")
     out = rows.join(sizes, "cls")
     return out.select("doc_id", "class_id", "class_size",
                       (F.col("rid") == F.col("least.rid")).alias("is_first"), "rid")

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from loupe.llm import near_dedup as N
 
@@ -161,3 +162,19 @@ def test_weights_follow_true_document_counts(spark):
     signed, n = N._signed(rows, group_bytes=5000, range_keys=1000)
     got = {r["doc_id"]: r["total"] for r in signed.collect()}
     assert n == len(texts) and all(abs(got[i] - w) <= 1e-5 * w for i, w in enumerate(want))
+
+
+def test_one_text_with_many_is_pair_by_pair():
+    rng = np.random.default_rng(3)
+    vec = [(np.sort(rng.choice(60, size=n, replace=False)).astype(np.uint64), rng.integers(1, 4, n).astype(np.float32) * np.float32(1.3)) for n in rng.integers(1, 40, 25)]
+    group = N._Group(vec)
+    for i in (0, 7, 24):
+        others = np.array([j for j in range(25) if j != i])
+        assert np.allclose(group.similarities(i, others), [N.weighted_jaccard(vec[i], vec[j]) for j in others], rtol=0, atol=1e-12)
+
+
+def test_stars_connect_what_chains_do():
+    chain = [f"u{i:03}" for i in range(200)]
+    edges = pd.DataFrame([(a, b) for a, b in zip(chain[1:], chain[:-1])] + [("x", "y")], columns=["a", "b"]).sample(frac=1, random_state=5)
+    (stars,) = N._stars([edges])
+    assert sorted(map(tuple, stars.to_numpy())) == [(u, "u000") for u in chain[1:]] + [("y", "x")]
