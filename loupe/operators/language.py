@@ -5,9 +5,10 @@ applied as Spark aggregations and joins:
 
 * train: ``groupBy(lang, term).count()`` (sparse), per-language token totals
   and document priors, vocabulary size V;
-* score: per review and term counts, one equi-join to the model as a
-  per-term vector over languages, one per-review vector sum of
-  ``n * log(c + 1)``; the unseen-pair mass is the closed form
+* score: one equi-join of the words to the model as a per-term vector over
+  languages (broadcast where it is proven small), one per-review sum of
+  ``log(c + 1)`` for each language by plain aggregates, so words combine
+  map-side; the unseen-pair mass is the closed form
   ``- n_in_vocab * log(T_lang + V)``; the language table (a handful of rows)
   is the only constant;
 * choose: highest score, ties to the alphabetically first language.
@@ -20,12 +21,10 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loupe.guards import collect_bounded
+from loupe.guards import bounded_broadcast, collect_bounded
 
 MAX_LANGUAGES = 10_000
 
@@ -50,13 +49,6 @@ def train(tokens: DataFrame, docs: DataFrame, lang_col: str = "lang") -> tuple[D
     return model, lang_stats
 
 
-def review_term_counts(tokens: DataFrame, lang_col: str | None = "lang") -> DataFrame:
-    """``(review_id, term[, lang], n)``: one pass over the tokens, cached for
-    both training and scoring (much smaller than the token table)."""
-    keys = ["review_id", "term"] + ([lang_col] if lang_col else [])
-    return tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def profile(model: DataFrame, lang_stats: list) -> DataFrame:
     """Dense-free view of the model: ``(lang, term, logp)`` for seen pairs."""
     den = F.create_map(*[x for lang, _, ld in lang_stats for x in (F.lit(lang), F.lit(ld))])
@@ -68,26 +60,23 @@ def score(tokens: DataFrame, reviews: DataFrame, model: DataFrame, lang_stats: l
     """``(review_id, lang_pred, is_english)`` for every review.
 
     ``tokens`` is ``(review_id, term)`` or aggregated ``(review_id, term, n)``
-    rows (one per review and term); ``reviews`` lists every review id.
+    rows; ``reviews`` lists every review id.
     The model becomes one row per term holding log(c + 1) for every language
     (exactly 0 where the pair was never seen), so scoring is one join and
-    one per-review vector sum; the argmax is a projection. Reviews without
+    one sum per review and language; the argmax is a projection. Reviews without
     any known word get no prediction and flag 2.
     """
     if len(lang_stats) > MAX_LANGUAGES:
         raise ValueError("too many languages for the constant language table")
     langs = [lang for lang, _, _ in lang_stats]
-    dt = (tokens if "n" in tokens.columns
-          else tokens.groupBy("review_id", "term").agg(F.count(F.lit(1)).alias("n")))
+    n = F.col("n") if "n" in tokens.columns else F.lit(1)
     per_term = model.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("lang", "logc"))).alias("m"))
     lang_arr = F.array(*[F.lit(x) for x in langs])
     vec = per_term.select("term", F.transform(lang_arr, lambda l: F.coalesce(F.element_at("m", l), F.lit(0.0)))
                           .alias("logc"))
-    joined = dt.join(vec, "term")
-    sums = joined.groupBy("review_id").agg(
-        F.sum("n").alias("n_in"),
-        vector_to_array(Summarizer.sum(array_to_vector(
-            F.transform("logc", lambda x: x * F.col("n"))))).alias("s"))
+    joined = tokens.join(bounded_broadcast(vec), "term")
+    sums = joined.groupBy("review_id").agg(F.sum(n).alias("n_in"), *[F.sum(F.get("logc", F.lit(i)) * n).alias(f"_{i}") for i in range(len(langs))])
+    sums = sums.select("review_id", "n_in", F.array(*[F.col(f"_{i}") for i in range(len(langs))]).alias("s"))
     consts = F.array(*[F.struct(F.lit(lp).alias("prior"), F.lit(ld).alias("logden")) for _, lp, ld in lang_stats])
     scores = F.zip_with(consts, F.col("s"), lambda c, x: c["prior"] - F.col("n_in") * c["logden"] + x)
     # highest score; equal scores go to the alphabetically first language

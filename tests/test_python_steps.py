@@ -1,6 +1,7 @@
 """Python-worker steps and language flags."""
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -230,3 +231,30 @@ def test_pooling_is_hash_aggregation_and_refuses_other_lengths(spark):
     longer = v.union(spark.createDataFrame([(1, 2, [1.0, 2.0, 3.0])], v.schema))
     with pytest.raises(Exception, match="components"):
         embed.pool(longer, "mean", dim=2).collect()
+
+
+def test_positions_within_a_row_and_of_shared_ids(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(["a", "b", "ç", ",", "d!", "ee"]) for _ in range(rng.randrange(60)))
+    rows = [(i, text()) for i in range(40)] + [(None, text()), (None, "a a")]
+    schema = "review_id bigint, text string"
+    alone = spark.createDataFrame(rows, schema)
+    out = align.exact_positions(alone)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert Counter(map(tuple, out.collect())) == Counter(map(tuple, align._shared_positions(alone, 3, None).collect()))
+    both = spark.createDataFrame(rows + rows[:5] + [(6, "a b a b")], schema)
+    assert Counter(map(tuple, align.exact_positions(both).collect())) == Counter(map(tuple, align._shared_positions(both, 3, None).collect()))
+
+
+def test_language_words_are_summed_where_they_are_read(spark):
+    """Words are neither sorted nor shuffled one by one: the model is broadcast, sums are plain aggregates."""
+    rows = [(i, w, lang) for i in range(30) for w, lang in (("how are you", "en"), ("wie geht es", "de"))]
+    docs = spark.createDataFrame(rows, "review_id bigint, text string, lang string")
+    tok = terms.review_tokens(docs, carry=("lang",))
+    model, stats = language.train(tok, docs)
+    out = language.score(tok.select("review_id", "term"), docs, model, stats)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate_metrics" not in plan and "SortAggregate" not in plan.split("Initial Plan")[0] and "BroadcastHashJoin" in plan
+    # both languages' words meet under one id, so the doubled priors decide: the first of equal scores
+    assert {r.lang_pred for r in out.collect()} == {"de"}
