@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +117,34 @@ def centers_literal(centers: list[tuple], precisions: dict | None = None) -> Col
     return constant(items, CENTER_VD_DDL if precisions else CENTER_DDL)
 
 
+def rows_of(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length, without nulls, as the rows of a matrix."""
+    size = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    if len(size) and (size != size[0]).any():
+        raise ValueError("vectors differ in length")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(size), -1 if len(size) and size[0] else 0)
+
+
+def center_distances(X: np.ndarray, C: np.ndarray, metric: str) -> np.ndarray:
+    """``distance`` of every row of ``X`` to every row of ``C``."""
+    if metric == "cosine":
+        length = np.sqrt((X * X).sum(axis=1))[:, None] * np.sqrt((C * C).sum(axis=1))
+        return 1.0 - np.divide(X @ C.T, length, out=np.zeros((len(X), len(C))), where=~(length == 0))
+    out = np.empty((len(X), len(C)))
+    for j, c in enumerate(C):
+        diff = X - c
+        out[:, j] = np.einsum("ij,ij->i", diff, diff)
+    return np.sqrt(out) if metric == "euclidean" else out
+
+
+def nearest_rows(X: np.ndarray, centers: list[tuple], metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Label and distance of the centre nearest to each row, the lowest label on ties."""
+    centers = sorted(centers, key=lambda c: c[0])
+    D = center_distances(X, np.array([c for _, c in centers], dtype=float), metric)
+    at = D.argmin(axis=1)
+    return np.array([label for label, _ in centers], dtype=np.int32)[at], D[np.arange(len(X)), at]
+
+
 def mahalanobis_udf(spark: SparkSession, centers: list[tuple], precisions: dict):
     """Function of a vector column: its distances to all centres, in their order.
 

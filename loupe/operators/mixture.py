@@ -1,7 +1,7 @@
 """Gaussian mixtures by EM with full, tied, diag or spherical covariances.
 
 E-step and sufficient statistics run per partition in numpy
-(``mapInPandas``): each task emits one frame per component (responsibility
+(``mapInArrow``): each task emits one frame per component (responsibility
 sum, weighted sum, weighted second moments; of symmetric matrices the upper
 triangle). Spark sums those rows; the M-step runs on the driver over the k
 components, as the model itself holds k x d x d numbers. Rows never leave the
@@ -15,14 +15,15 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loupe.operators.cluster import kmeans
+from loupe.functions.vectors import rows_of
+from loupe.operators.cluster import joined_back, kmeans
 from loupe.session import ship_package
 
 COV_TYPES = ("spherical", "tied", "diag", "full")
@@ -97,8 +98,9 @@ def log_prob(X: np.ndarray, cov_type: str, means: np.ndarray, chol, logdet, log_
             out[:, j] = np.sum(y * y, axis=1)
         ld = logdet
     elif cov_type == "tied":
+        turned = X @ chol
         for j in range(k):
-            y = X @ chol - means[j] @ chol
+            y = turned - means[j] @ chol
             out[:, j] = np.sum(y * y, axis=1)
         ld = np.full(k, logdet)
     elif cov_type == "diag":
@@ -121,13 +123,13 @@ def _stats_fn(cov_type, d, k, params=None, hard=False):
         sx = np.zeros((k, d))
         sxx = np.zeros((k, d, d)) if second == "outer" else np.zeros((k, d))
         ll = 0.0
-        for pdf in batches:
-            if len(pdf) == 0:
+        for b in batches:
+            if len(b) == 0:
                 continue
-            X = np.stack(pdf[VEC].to_numpy()).astype(np.float64)
+            X = rows_of(b.column(0))
             if hard:
                 R = np.zeros((len(X), k))
-                R[np.arange(len(X)), pdf["label"].to_numpy().astype(int)] = 1.0
+                R[np.arange(len(X)), b.column(1).to_numpy().astype(int)] = 1.0
             else:
                 means, chol, logdet, log_w = params
                 lp = log_prob(X, cov_type, means, chol, logdet, log_w)
@@ -137,21 +139,23 @@ def _stats_fn(cov_type, d, k, params=None, hard=False):
                 ll += float(lse.sum())
             nk += R.sum(axis=0)
             sx += R.T @ X
-            if second == "outer":
+            if cov_type == "tied":  # only the sum over components counts
+                sxx[0] += (X * R.sum(axis=1)[:, None]).T @ X
+            elif second == "outer":
                 for j in range(k):
                     sxx[j] += (X * R[:, j:j + 1]).T @ X
             else:
                 sxx += R.T @ (X * X)
         for j in range(k):
             moments = sxx[j][np.triu_indices(d)] if second == "outer" else sxx[j]
-            yield pd.DataFrame({"component": np.array([j], dtype=np.int32), "nk": nk[j:j + 1], "sx": [sx[j]],
-                                "sxx": [moments], "ll": [ll if j == 0 else 0.0]})
+            yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array(nk[j:j + 1]), pa.array([sx[j]], pa.list_(pa.float64())),
+                                              pa.array([moments], pa.list_(pa.float64())), pa.array([ll if j == 0 else 0.0])], names=["component", "nk", "sx", "sxx", "ll"])
     return fn
 
 
 def _collect_stats(data: DataFrame, fn, k, d, cov_type):
     ship_package(data.sparkSession)
-    per_part = data.mapInPandas(fn, STATS_SCHEMA)
+    per_part = data.mapInArrow(fn, STATS_SCHEMA)
     agg = (per_part.groupBy("component").agg(
                F.sum("nk").alias("nk"),
                vector_to_array(Summarizer.sum(array_to_vector("sx"))).alias("sx"),
@@ -198,7 +202,7 @@ def gaussian_mixture(df: DataFrame, n_components: int, covariance_type: str = "f
     data = df.select(F.col(key), F.col(vec_col).cast("array<double>").alias(VEC)).persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
-        init = kmeans(data, k=k, n_init=1, seed=seed, max_iter=300, key=key).labels.join(data, key)
+        init = joined_back(kmeans(data, k=k, n_init=1, seed=seed, max_iter=300, key=key).rows, key)
         model = from_labels(init, covariance_type, k, reg_covar)
         model.seed, prev = seed, -np.inf
         for it in range(1, max_iter + 1):

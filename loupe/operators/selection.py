@@ -87,8 +87,8 @@ def kmeans_selection(df: DataFrame, n_components_range, n_runs: int = 1, seed: i
             else:
                 res = cluster.kmeans(df, int(k), seed=s, vec_col=vec_col)
                 sil_metric = "sqeuclidean"
-            lab = res.labels.join(df.select(KEY, vec_col), KEY)
-            sil = G.silhouette_score(lab, "label", vec_col, sil_metric)
+            lab = cluster.joined_back(res.rows)
+            sil = G.silhouette_score(lab, "label", cluster.VEC, sil_metric)
             rows.append((int(k), run, s, float(res.inertia), float(sil)))
     runs = spark.createDataFrame(rows, "k int, run int, seed bigint, inertia double, silhouette double")
     means = runs.groupBy("k").agg(F.avg("inertia").alias("inertia"), F.avg("silhouette").alias("silhouette"))

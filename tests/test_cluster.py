@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loupe.functions import vectors as V
 from loupe.operators import agreement, cluster, mixture, selection
 from loupe.operators import geometry as G
 
@@ -237,3 +238,26 @@ def test_skmeans_recomputed_centers(spark):
     for label, c in res.centers:
         m = U[[i for i in range(len(U)) if lab[i] == label]].mean(0)
         assert np.allclose(c, m / np.linalg.norm(m))
+
+
+def test_labels_are_joined_back_without_moving_vectors(spark):
+    rows = [(i, [float(i), 1.0], i % 3) for i in range(20)]
+    schema = "review_id bigint, embedding array<double>, label int"
+    own = cluster.joined_back(spark.createDataFrame(rows, schema))
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString() and sorted(map(str, own.collect())) == sorted(str(r) for r in spark.createDataFrame(rows, schema).collect())
+    df = spark.createDataFrame(rows + [(4, [9.0, 9.0], 2), (4, [8.0, 9.0], 2), (None, [1.0, 2.0], 0)], schema)
+    want = df.select("review_id", "embedding").join(df.select("review_id", "label"), "review_id")
+    assert sorted(map(str, cluster.joined_back(df).collect())) == sorted(map(str, want.collect()))
+
+
+def test_nearest_in_arrays_is_nearest_in_columns(spark):
+    rng = np.random.default_rng(5)
+    X = np.vstack([rng.normal(size=(60, 4)), np.zeros((1, 4))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "review_id bigint, embedding array<double>")
+    centers = [(3, [1.0, 0, 0, 0]), (1, [0.0, 0, 0, 0]), (2, [1.0, 0, 0, 0]), (0, [0.0, 1, 1, 0])]
+    for metric in ("cosine", "euclidean", "sqeuclidean"):
+        want = {r.review_id: (r.label, r.distance) for r in G.assign(df, centers, metric).collect()}
+        label, distance = V.nearest_rows(X, centers, metric)
+        assert all(want[i][0] == label[i] and abs(want[i][1] - distance[i]) < 1e-9 for i in range(len(X)))
+        sums = cluster._member_sums(cluster.packed(df), centers, metric)
+        assert [r.label for r in sums] == sorted(set(label.tolist())) and all(np.allclose(r.sx, X[label == r.label].sum(0)) and r.n == (label == r.label).sum() for r in sums)
