@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loupe.session import keep
+
 # largest per-label (or per-group) table joined by broadcast, in rows and in bytes of their JSON
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 << 20
@@ -14,17 +15,16 @@ MAX_BROADCAST_BYTES = 64 << 20
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Broadcast a small derived table after proving its size, else leave the join to Spark.
 
-    The table (typically one narrow row per label) is cached and measured; the
-    join then reads the cached rows, so measuring costs no second pass over the
-    data it was aggregated from. Above ``max_rows`` or ``max_bytes`` the table
-    comes back uncached and without the hint, for a shuffled join.
+    The table (typically one narrow row per label) is kept in the shared folder
+    and measured; the join then reads the kept rows, so measuring costs no second
+    pass over the data it was aggregated from. Above ``max_rows`` or ``max_bytes``
+    the kept table comes back without the hint, for a shuffled join.
     """
-    small = df.persist(StorageLevel.MEMORY_AND_DISK)
+    small = keep(df)
     rows, size = small.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
     if rows <= max_rows and (size or 0) <= max_bytes:
         return F.broadcast(small)
-    small.unpersist()
-    return df
+    return small
 
 
 # most rows of a per-label / per-language table brought to the driver

@@ -10,10 +10,7 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -21,48 +18,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.session import checkpoint_dir, ship_package
+from loupe.session import keep, prepare, scratch  # noqa: F401 - used as C.keep, C.prepare, C.scratch
 
 M1 = np.uint64(0x9E3779B97F4A7C15)
 M2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def prepare(spark: SparkSession) -> str:
-    """Ship the package to the executors; return the shared folder."""
-    ship_package(spark)
-    return checkpoint_dir(spark)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-_SCRATCH: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """This program's folder in the shared one. Results read from it, so it is removed when the program ends."""
-    shared = prepare(spark).rstrip("/")
-    if shared not in _SCRATCH:
-        _SCRATCH[shared] = f"{shared}/kept-{uuid.uuid4().hex}"
-        atexit.register(remove, spark, _SCRATCH[shared])
-    return _SCRATCH[shared]
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may have ended before
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def total_bytes(df: DataFrame, text: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 

@@ -20,11 +20,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loupe.guards import bounded_broadcast, collect_bounded
+from loupe.session import keep
 
 MAX_LANGUAGES = 10_000
 
@@ -36,8 +36,7 @@ def train(tokens: DataFrame, docs: DataFrame, lang_col: str = "lang") -> tuple[D
     ``(review_id, term, lang, n)`` rows; ``docs`` is ``(review_id, lang)``.
     """
     n = F.col("n") if "n" in tokens.columns else F.lit(1)
-    counts = (tokens.groupBy(F.col(lang_col).alias("lang"), "term").agg(F.sum(n).alias("c"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    counts = keep(tokens.groupBy(F.col(lang_col).alias("lang"), "term").agg(F.sum(n).alias("c")))
     model = counts.select("term", "lang", F.log(F.col("c") + 1.0).alias("logc"))
     totals = counts.groupBy("lang").agg(F.sum("c").alias("t"))
     v = counts.select("term").distinct().count()
