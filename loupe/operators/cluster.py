@@ -149,7 +149,7 @@ def _mllib_kmeans(df: DataFrame, k: int, n_init: int, max_iter: int, tol: float,
         zero = data.where(nz == 0).select(key, VEC, F.lit(0).alias("label"))
         dropped = zero.count()
         data = data.where(nz > 0)
-    cached = data.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    cached = data.select(key, "features").persist(StorageLevel.MEMORY_AND_DISK)
     best = None
     inertias, seeds = [], []
     try:
