@@ -35,8 +35,16 @@ from loupe.llm import common as C
 SIZE, PIECE = 10, 512
 MAX_BYTES = 32 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
+_DIGITS = "0123456789"
+
+
+def _runs(of: str) -> str:
+    """Runs of characters that are not ASCII or in ``of``. Each other ASCII character is listed: Java looks those up in one table, but tries ranges one by one."""
+    return "[^" + "".join(f"\\x{i:02X}" for i in range(128) if chr(i) not in of) + "]+"
+
+
+WORD = _runs(_DIGITS + _LOWER)
+ANY_WORD = _runs(_DIGITS + _LOWER + _UPPER)  # before lower-casing
 
 
 def words(text: Column) -> Column:
