@@ -50,6 +50,7 @@ PAIRS, WEIGHT = 100_000, 400_000  # what one task compares of a bucket, and hold
 BLOCK = 2000  # units of a block at most
 STEP, CHAINS = 6, 6
 DEALS = 1  # of large buckets before the exact comparison of the rest
+SMALL, EDGES = 60_000, 100_000  # rows (of one or two units each) that are broadcast, and links that one task connects
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,7 +175,7 @@ def _signer(n: int, n_ranges: int):
     return sign
 
 
-def _signed(rows: DataFrame, group_bytes: int = 8_000_000, range_keys: int = 400_000) -> tuple[DataFrame, int]:
+def _signed(rows: DataFrame, group_bytes: int = 4_000_000, range_keys: int = 400_000) -> tuple[DataFrame, int]:
     """``(doc_id, rid, unit, bands, total, df)`` per row, and the number of rows; ``df`` has the document frequencies of the row's shingles in order."""
     size = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     n_bytes, n = int(size[0] or 0), int(size[1])
@@ -254,28 +255,53 @@ def _compare(pairs: DataFrame, texts: DataFrame, n_rows: int, threshold: float)
     return C.keep(both.withColumn("sim", _similarity(n_rows)("text_a", "df_a", "text_b", "df_b")).where(F.col("sim") >= threshold).select("a", "b"))
 
 
+def _small(kept: DataFrame) -> DataFrame:
+    """A kept table of units, to be broadcast if its rows are few; else the join is left to Spark."""
+    return F.broadcast(kept) if kept.count() <= SMALL else kept
+
+
+def _least(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The units of edges (a, b) in order, and the place of the least that each is connected with."""
+    names, code = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
+    a, b = code[:len(pdf)], code[len(pdf):]
+    least, was = np.arange(len(names)), None
+    while was is None or (least != was).any():
+        was, least = least, least.copy()
+        low = np.minimum(was[a], was[b])
+        for x in (a, b, was[a], was[b]):
+            np.minimum.at(least, x, low)
+        least = least[least]
+    return names, least
+
+
 def _stars(batches):
     """Edges (a, b) that connect the same units as those of each batch: every unit with the least it is connected with there."""
     for pdf in batches:
-        names, code = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
-        a, b = code[:len(pdf)], code[len(pdf):]
-        least, was = np.arange(len(names)), None
-        while was is None or (least != was).any():
-            was, least = least, least.copy()
-            low = np.minimum(was[a], was[b])
-            for x in (a, b, was[a], was[b]):
-                np.minimum.at(least, x, low)
-            least = least[least]
+        names, least = _least(pdf)
         on = np.flatnonzero(least != np.arange(len(names)))
         yield pd.DataFrame({"a": names[on], "b": names[least[on]]})
 
 
+def _connected(batches):
+    """``components`` of all batches together."""
+    if parts := [pdf for pdf in batches if len(pdf)]:
+        names, least = _least(pd.concat(parts))
+        yield pd.DataFrame({"unit": names, "cls": names[least]})
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``(unit, cls)`` for the units of ``edges`` (a, b): the least unit each is connected with.
+    """``(unit, cls)`` for the units of ``edges`` (a, b), a kept table: the least unit each is connected with.
 
-    Chains within a batch of rows become stars first, which shortens the rounds that follow.
+    Up to ``EDGES`` edges are connected in one task. Of more, chains within a batch of rows become
+    stars first, which leaves fewer edges and shortens the rounds that follow.
     """
-    edges = C.keep(edges.select("a", "b").mapInPandas(_stars, "a string, b string").distinct())
+    connected = lambda few: C.keep(few.coalesce(1).mapInPandas(_connected, "unit string, cls string"))
+    edges = edges.select("a", "b")
+    if edges.count() <= EDGES:
+        return connected(edges)
+    edges = C.keep(edges.mapInPandas(_stars, "a string, b string").distinct())
+    if edges.count() <= EDGES:
+        return connected(edges)
     both = edges.select("a", "b").union(edges.select("b", "a"))
     labels = C.keep(both.groupBy(F.col("a").alias("unit")).agg(F.least(F.min("b"), F.first("a")).alias("cls")))
     while True:
@@ -327,10 +353,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     units = signed.where("unit is not null").groupBy("unit").agg(F.min("rid").alias("rid"), F.first("bands").alias("bands"), F.first("total").alias("total"))
     members = _parts(units.select("unit", "rid", "total", F.posexplode("bands").alias("band", "cell")))
     wanted = C.keep(members.select("unit", "rid").distinct())
-    dfs = signed.select("rid", "df").join(wanted.hint("merge"), "rid").dropDuplicates(["rid"])
+    dfs = signed.select("rid", "df").join(_small(wanted), "rid").dropDuplicates(["rid"])
     texts = C.keep(rows.select("rid", "text").join(dfs.hint("merge"), "rid").dropDuplicates(["rid"]).select("unit", "text", "df"))
     edges, rest = _settled(members, None, texts, n_rows, threshold)
-    labels = _merge(wanted.select("unit", F.col("unit").alias("cls")), edges)
+    labels = _merge(wanted.select("unit", F.col("unit").alias("cls")), edges, True)
     if not rest.isEmpty():
         large = rest
         for deals in range(DEALS):
@@ -356,10 +382,12 @@ def _settled(members: DataFrame, labels: DataFrame | None, texts: DataFrame, n_r
     if labels is None:
         of = members.withColumn("cls", F.col("unit")).withColumn("leader_cls", F.col("leader"))
     else:
-        of = C.keep(members.join(labels, "unit").join(labels.select(F.col("unit").alias("leader"), F.col("cls").alias("leader_cls")), "leader"))
+        own = _small(labels)
+        of = C.keep(members.join(own, "unit").join(own.select(F.col("unit").alias("leader"), F.col("cls").alias("leader_cls")), "leader"))
     asked = of.where(F.col("cls") != F.col("leader_cls")).where(_near("total", "leader_total", threshold))
-    links = _compare(asked.select(F.col("unit").alias("a"), F.col("leader").alias("b")).distinct(), texts, n_rows, threshold)
-    linked = links.select(F.col("a").alias("unit"), F.col("b").alias("leader"), F.lit(True).alias("linked"))
+    # dealt by unit, which serves the join with its text too
+    links = _compare(asked.select(F.col("unit").alias("a"), F.col("leader").alias("b")).repartition("a").distinct(), texts, n_rows, threshold)
+    linked = _small(links).select(F.col("a").alias("unit"), F.col("b").alias("leader"), F.lit(True).alias("linked"))
     of = of.where("n > 2").join(linked, ["unit", "leader"], "left")
     of = C.keep(of.select("band", "cell", "unit", "total", F.when(F.col("linked"), F.col("leader_cls")).otherwise(F.col("cls")).alias("cls")))
     sizes = of.groupBy("band", "cell", "cls").agg(F.count(F.lit(1)).alias("k"), F.sum("total").alias("w")).groupBy("band", "cell").agg(
@@ -410,7 +438,7 @@ def _between(n_rows: int, threshold: float):
 
 def _blocks(rest: DataFrame, labels: DataFrame, texts: DataFrame, n_rows: int, threshold: float) -> DataFrame:
     """All links (a, b) that join classes within the buckets ``rest`` (band, cell, unit, total)."""
-    of = C.keep(rest.join(labels, "unit"))
+    of = C.keep(rest.join(_small(labels), "unit"))
     buckets = of.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("unit")).alias("x"), F.bit_xor(F.xxhash64("unit", F.lit(1))).alias("y"),
                                              F.sum("total").alias("weight"), F.min("cls").alias("one"), F.max("cls").alias("other"))
     blocks = F.greatest(F.ceil(2 * F.col("weight") / WEIGHT), F.ceil(F.col("n") / BLOCK)).cast("int")
@@ -439,8 +467,7 @@ def _samples(n_rows: int, first: int):
 def _dealt(large: DataFrame, texts: DataFrame, n_rows: int, deals: int) -> DataFrame:
     """Units of large buckets (band, cell, unit, total) in the parts that further samples make of each; the first deal is made in all chains."""
     first = BANDS * ROWS + deals * CHAINS * STEP
-    units = large.select("unit").distinct()
-    more = texts.join(units.hint("merge"), "unit", "left_semi").select("unit", _samples(n_rows, first)("text", "df").alias("x"))
+    more = texts.join(_small(large.select("unit")), "unit", "left_semi").select("unit", _samples(n_rows, first)("text", "df").alias("x"))
     joined = large.select("band", "cell", "unit", "total").join(more.hint("merge"), "unit")
     if deals:  # band holds the chain
         return joined.select("band", F.xxhash64("cell", F.element_at("x", (F.col("band") % CHAINS + 1).cast("int"))).alias("cell"), "unit", "total")
@@ -460,25 +487,30 @@ def _parts(cells: DataFrame, deals: int = 0) -> DataFrame:
     return C.keep(cells.join(shared, ["band", "cell"]))
 
 
-def _merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """``labels`` (unit, cls) after the classes that ``edges`` (a, b) connect are one."""
-    ca, cb = (labels.select(F.col("unit").alias(c), F.col("cls").alias(f"c{c}")) for c in "ab")
-    between = C.keep(edges.join(ca, "a").join(cb, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+def _merge(labels: DataFrame, edges: DataFrame, alone: bool = False) -> DataFrame:
+    """``labels`` (unit, cls) after the classes that ``edges`` (a, b) connect are one. ``alone``: each unit is its own class so far."""
+    if alone:
+        between = edges
+    else:
+        own = _small(labels)
+        ca, cb = (own.select(F.col("unit").alias(c), F.col("cls").alias(f"c{c}")) for c in "ab")
+        between = C.keep(edges.join(ca, "a").join(cb, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     if between.isEmpty():
         return labels
-    joined = components(between).select(F.col("unit").alias("cls"), F.col("cls").alias("new"))
+    joined = _small(components(between)).select(F.col("unit").alias("cls"), F.col("cls").alias("new"))
     return C.keep(labels.join(joined, "cls", "left").select("unit", F.coalesce("new", "cls").alias("cls")))
 
 
 def _result(signed: DataFrame, labels: DataFrame) -> DataFrame:
     own = F.concat(F.lit("row "), F.col("rid").cast("string"))  # no words: a class of its own
-    rows = C.keep(signed.join(labels, "unit", "left").select("doc_id", "rid", F.coalesce("cls", "unit", own).alias("cls")))
+    rows = C.keep(signed.select("doc_id", "rid", "unit").join(_small(labels), "unit", "left").select("doc_id", "rid", F.coalesce("cls", "unit", own).alias("cls")))
     sizes = C.keep(rows.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"),
                                            F.min(F.struct("doc_id", "rid")).alias("least")))
     owners = sizes.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("least.rid").alias("owner"))
     own_id = F.when(F.col("owner") == F.col("least.rid"), F.col("class_id")).otherwise(-1 - F.col("least.rid").bitwiseAND((1 << 62) - 1))
+    few = sizes.count() <= SMALL
     sizes = sizes.join(owners, "class_id", "left").select("cls", own_id.alias("class_id"), "class_size", "least")
-    out = rows.join(sizes, "cls")
+    out = rows.join(F.broadcast(sizes) if few else sizes, "cls")
     return out.select("doc_id", "class_id", "class_size",
                       (F.col("rid") == F.col("least.rid")).alias("is_first"), "rid")
 

@@ -178,3 +178,28 @@ def test_stars_connect_what_chains_do():
     edges = pd.DataFrame([(a, b) for a, b in zip(chain[1:], chain[:-1])] + [("x", "y")], columns=["a", "b"]).sample(frac=1, random_state=5)
     (stars,) = N._stars([edges])
     assert sorted(map(tuple, stars.to_numpy())) == [(u, "u000") for u in chain[1:]] + [("y", "x")]
+
+
+def _components(spark, edges):
+    return {(r["unit"], r["cls"]) for r in N.components(spark.createDataFrame(edges, "a string, b string").repartition(4)).collect()}
+
+
+def test_few_links_are_connected_in_one_job(spark, monkeypatch):
+    """A chain over several partitions and a pair: no rounds of joins while the links are few, the same classes by rounds."""
+    chain = [f"u{i:03}" for i in range(60)]
+    edges = [*zip(chain[1:], chain[:-1]), ("x", "y"), ("y", "x"), ("x", "y")]
+    want = {(u, "u000") for u in chain} | {("x", "x"), ("y", "x")}
+    kept, was = [], N.C.keep
+    monkeypatch.setattr(N.C, "keep", lambda df: kept.append(df) or was(df))
+    assert _components(spark, edges) == want and len(kept) == 1
+    monkeypatch.setattr(N, "EDGES", 1)
+    assert _components(spark, edges) == want and len(kept) > 4
+
+
+def test_same_classes_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(N, "SMALL", 0)
+    monkeypatch.setattr(N, "EDGES", 0)
+    monkeypatch.setattr(N, "PAIRS", 30)
+    rows = corpus(5)
+    want, got = links(brute(rows)), links(found(spark, rows))
+    assert got <= want and len(got) >= 0.9 * len(want) > 30
