@@ -461,7 +461,8 @@ def _samples(n_rows: int, first: int):
             s, w = (np.concatenate([v[j] for v in vec]) for j in (0, 1))
             out += band_hashes(s, row, w, len(vec), first, CHAINS, STEP).view(np.int64).tolist()
         return pd.Series(out, dtype=object)
-    return F.pandas_udf(samples, "array<long>")
+    # called so, it runs once: else the filter that Spark infers for posexplode runs it again, in a second worker a task
+    return F.pandas_udf(samples, "array<long>").asNondeterministic()
 
 
 def _dealt(large: DataFrame, texts: DataFrame, n_rows: int, deals: int) -> DataFrame:

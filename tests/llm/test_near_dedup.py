@@ -180,6 +180,16 @@ def test_stars_connect_what_chains_do():
     assert sorted(map(tuple, stars.to_numpy())) == [(u, "u000") for u in chain[1:]] + [("y", "x")]
 
 
+def test_samples_are_drawn_once_a_text(spark):
+    """The filter inferred for the exploded samples must not draw them again: that took two workers a task."""
+    large = spark.createDataFrame([(0, 1, "u", 3.0)], "band int, cell long, unit string, total double")
+    texts = spark.createDataFrame([("u", "a b c d e f g", bytearray(b"\1\1\1"))], "unit string, text string, df binary")
+    dealt = N._dealt(large, texts, 1, 0)
+    assert dealt._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    rows = dealt.collect()
+    assert [r["band"] for r in rows] == list(range(N.CHAINS)) and {(r["unit"], r["total"]) for r in rows} == {("u", 3.0)}
+
+
 def _components(spark, edges):
     return {(r["unit"], r["cls"]) for r in N.components(spark.createDataFrame(edges, "a string, b string").repartition(4)).collect()}
 
