@@ -73,7 +73,7 @@ def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[new], r[new], np.diff(np.append(new, len(s))), (h, bounds)
 
 
-def _slices(tab: pa.Table, size: int = 2_000_000):
+def _slices(tab: pa.Table, size: int = 500_000):
     """Parts of a table of about ``size`` bytes of text."""
     ends = C.string_buffers(tab["text"])[1][1:]
     a = 0

@@ -4,6 +4,8 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from loupe.llm import near_dedup as N
 
@@ -190,6 +192,24 @@ def test_samples_are_drawn_once_a_text(spark):
     assert [r["band"] for r in rows] == list(range(N.CHAINS)) and {(r["unit"], r["total"]) for r in rows} == {("u", 3.0)}
 
 
+def test_slices_of_a_group_hold_all_rows_and_give_the_same(monkeypatch):
+    texts = [t for _, t in corpus(4)]
+    tab = pa.table({"doc_id": pa.array(range(len(texts))), "rid": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())})
+    assert [r for t in N._slices(tab, 1000) for r in t["rid"].to_pylist()] == list(range(len(texts)))
+    keys = N._held(tab)[0]
+    replies = pa.table({"r": pa.array([0], pa.int32()), "totals": pa.array([N.C.numbers(np.arange(len(keys)) % 9 + 1)])})
+    whole, was = N._signer(50, 1)(tab, replies), N._slices
+    monkeypatch.setattr(N, "_slices", lambda t: was(t, 1000))
+    assert len(list(N._slices(tab))) > 5 and N._signer(50, 1)(tab, replies).equals(whole)
+
+
+def test_slices_are_small_beside_a_group():
+    """Some ten arrays of 8 bytes a word stand beside a slice: at 2 MB that was more than the group itself."""
+    tab = pa.table({"text": pa.array(["w" * 999] * 4000 + ["x" * 1_500_000, None, "y"])})
+    sizes = [pc.sum(pc.binary_length(t["text"])).as_py() or 0 for t in N._slices(tab)]
+    assert sum(sizes) == 999 * 4000 + 1_500_001 and sorted(sizes)[-2] <= 1_000_000
+
+
 def _components(spark, edges):
     return {(r["unit"], r["cls"]) for r in N.components(spark.createDataFrame(edges, "a string, b string").repartition(4)).collect()}
 
