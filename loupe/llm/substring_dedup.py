@@ -7,9 +7,12 @@ they hold equal 50-byte strings. Identifiers are content hashes, so buckets
 refine without one global sort, and three steps keep the data small:
 
 1. *q-gram buckets.* Of each 50-byte window only the suffix at its minimal
-   16-gram takes part (equal windows choose equal offsets). Groups of documents
-   send their sorted bucket identifiers, packed, to ranges of identifiers; the
-   reply says which occur in another group. Buckets of one document are done.
+   16-gram takes part (equal windows choose equal offsets). All windows that start
+   near that place hold the same 33 bytes from it on, all others the same 33 bytes
+   before its end. Groups of documents send the sorted identifiers of these strings,
+   packed, to ranges of identifiers; the reply says which occur in another group.
+   Windows whose 33 bytes are in one document are done: unlike 16-grams, few of
+   these strings are shared by chance, so what is left does not outgrow the input.
 2. *Super-windows.* Neighbouring windows that share a bucket form one string; a
    bucket is refined by that string's identifier. One smallest document per
    refined bucket settles all windows of its other members at once.
@@ -47,6 +50,7 @@ from loupe.llm import common as C
 LENGTH = 50
 Q = 16
 SPAN = LENGTH - Q + 1  # q-grams in a window
+NEAR = SPAN // 2  # windows that start so many bytes before their minimal q-gram at most hold LENGTH - NEAR bytes from it on
 _NONE = 255
 
 _ROWS = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int32()),
@@ -76,10 +80,10 @@ def _sorted(tab: pa.Table) -> pa.Table:
 
 
 def _runs(live, data, offs):
-    """Super-windows: first window start, number of windows, q-gram position and identifier of each."""
+    """Super-windows: first window start, q-gram identifier, numbers of windows far from and near the q-gram, identifier of the bytes that each of the two share."""
     n = len(data)
     lens = np.diff(offs)
-    firsts, counts, poss, keys = [], [], [], []
+    found = []
     chunk = 1 << 19
     room = np.repeat(np.where(live, offs[1:], -1), lens)  # end of the row that a byte belongs to
     for c in range(0, n, chunk):
@@ -100,14 +104,18 @@ def _runs(live, data, offs):
         new = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1]]))
         size = np.diff(np.append(new, m))
         good = pos[new] >= 0
-        firsts.append(new[good] + c)
-        counts.append(size[good])
-        poss.append(pos[new[good]] + c)
-        keys.append(h[pos[new[good]]])
-    if not firsts:
-        z = np.empty(0, np.int64)
-        return z, z, z, np.empty(0, np.uint64)
-    return tuple(np.concatenate(x) for x in (firsts, counts, poss, keys))
+        new, size, pos = new[good], size[good], pos[new[good]]
+        far = np.clip(pos - NEAR - new, 0, size)
+
+        def shared(at, some):
+            at = np.where(some > 0, at, 0)
+            return C.mix(C.mix(h[at] * C.M1 + h[at + Q]) * C.M2 + seg[at + 2 * Q])
+
+        found.append((new + c, h[pos], far, size - far, shared(pos - NEAR, far), shared(pos, size - far)))
+    if not found:
+        z, u = np.empty(0, np.int64), np.empty(0, np.uint64)
+        return z, u, z, z, u, u
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _known(keys: np.ndarray, docs: np.ndarray):
@@ -127,8 +135,8 @@ def _ask(n_ranges: int, bits: int):
     def ask(tab: pa.Table, copies: pa.Table) -> pa.Table:
         ids, live, data, offs = _group(tab)
         _, live = _skip_copies(live, _sorted(tab), copies)
-        _, _, _, key = _runs(live, data, offs)
-        return _asked(tab["g"][0].as_py(), key, n_ranges, bits)
+        _, _, far, near, before, after = _runs(live, data, offs)
+        return _asked(tab["g"][0].as_py(), np.concatenate([before[far > 0], after[near > 0]]), n_ranges, bits)
     return ask
 
 
@@ -202,10 +210,16 @@ def _super_windows(n_ranges: int, bits: int):
         g = tab["g"][0].as_py()
         ids, live, data, offs = _group(tab)
         copy, live = _skip_copies(live, _sorted(tab), replies.filter(replies["r"].is_null()))
-        first, count, pos, key = _runs(live, data, offs)
+        first, key, far, near, before, after = _runs(live, data, offs)
         row = np.searchsorted(offs, first, "right") - 1
-        keep = _shared(key, ids[row], replies, n_ranges, bits)
-        at, n, key, row = first[keep], count[keep], key[keep], row[keep]
+        a, b = np.flatnonzero(far), np.flatnonzero(near)
+        told = _shared(np.concatenate([before[a], after[b]]), ids[row[np.concatenate([a, b])]], replies, n_ranges, bits)
+        # the windows that go on: all of a super-window, the far or the near ones
+        first[a] += np.where(told[:len(a)], 0, far[a])
+        far[a] *= told[:len(a)]
+        near[b] *= told[len(a):]
+        keep = far + near > 0
+        at, n, key, row = first[keep], (far + near)[keep], key[keep], row[keep]
         view = memoryview(np.ascontiguousarray(data))
         s = np.fromiter((xxhash.xxh3_64_intdigest(view[a:a + m]) for a, m in zip(at.tolist(), (n + LENGTH - 1).tolist())), np.uint64, len(at))
         doc = ids[row]
@@ -301,21 +315,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     C.prepare(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = C.total_bytes(docs)
-    n_groups, n_ranges = C.n_parts(size, group_bytes), C.n_parts(size / (SPAN / 2), range_keys)
+    n_groups, n_ranges = C.n_parts(size, group_bytes), C.n_parts(1.5 * size / (SPAN / 2), range_keys)
     # asks only sort out what can't repeat: 16 times as many names as windows keep chance hits few
     bits = min(48, max(24, size.bit_length() + 4))
     text = C.grouped(docs.withColumn("h", F.xxhash64("text")), n_groups, "doc_id", "text")
     by_g = text.groupBy("g")
     slim = text.where("doc_id is not null").select("g", "doc_id", "h", F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").alias("n"))
     first = slim.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first")
-    copies = C.keep(slim.join(C.keep(first).hint("merge"), ["h", "h2", "n"]).where("doc_id > first").select("g", "doc_id", "h"))
+    copies = C.keep(slim.join(C.keep(first, free=True).hint("merge"), ["h", "h2", "n"]).where("doc_id > first").select("g", "doc_id", "h"), free=True)
     asked = by_g.cogroup(copies.groupBy("g")).applyInArrow(_ask(n_ranges, bits), "g int, r int, keys binary")
     replies = asked.groupBy("r").applyInArrow(_reply, "g int, r int, bits binary").unionByName(copies, allowMissingColumns=True)
     pieces = by_g.cogroup(replies.groupBy("g")).applyInArrow(_super_windows(n_ranges, bits), _ROWS_DDL)
     # the pieces are made and dealt once: their strings are settled here, and only what is left keeps its bucket
     done = (F.col("kind") == SPANS) | (F.col("least") < F.col("doc_id"))
     span = ["g", "row", "at", "n"]
-    told = C.keep(_least(pieces.repartition("k", "s")).select(*span, *[F.when(~done, F.col(c)).alias(c) for c in ("k", "least")]))
+    # texts are dealt to their groups again after this, so the shuffle files of the first steps go
+    told = C.keep(_least(pieces.repartition("k", "s")).select(*span, *[F.when(~done, F.col(c)).alias(c) for c in ("k", "least")]), free=True)
     # refined buckets of a q-gram bucket: those of several are told apart by their windows; a bucket's first document is always left
     left = told.where("k is not null")
     mixed = left.groupBy("k").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("high > low").select("k")

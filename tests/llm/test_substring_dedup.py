@@ -1,8 +1,10 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
+from loupe import session
 from loupe.llm import substring_dedup as S
 
 
@@ -78,3 +80,37 @@ def test_pieces_are_made_once(spark):
     """What is left to do reads the settled pieces: the plan asks for windows, refines them and removes, no more."""
     out = S.remove_repeats(spark.createDataFrame(corpus(), "doc_id long, text string"), group_bytes=700, range_keys=50)
     assert out._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow") <= 3
+
+
+def test_passages_of_16_bytes_alone_are_not_refined():
+    """Two groups of texts share 16-byte passages between noise, and one passage of 50 bytes: only its windows are left."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    common, passage = [noise(16) for _ in range(40)], noise(50)
+    tabs = [pa.table({"doc_id": [g], "text": ["".join(c + noise(20) for c in rng.choices(common, k=300)) + passage + noise(60)], "g": pa.array([g], pa.int32()),
+                      "h": [g]}) for g in range(2)]
+    copies = tabs[0].slice(0, 0)
+    asked = pa.concat_tables([S._ask(1, 48)(t, copies) for t in tabs])
+    replies = S._reply(asked).append_column("doc_id", pa.nulls(2, pa.int64())).append_column("h", pa.nulls(2, pa.int64()))
+    pieces = [S._super_windows(1, 48)(t, replies.filter(replies["g"].to_numpy() == g)) for g, t in enumerate(tabs)]
+    assert [0 < sum(p["n"].to_pylist()) <= S.SPAN for p in pieces] == [True, True]
+    for t, p in zip(tabs, pieces):
+        at = t["text"][0].as_py().index(passage)
+        assert any(a <= at < a + n for a, n in zip(p["at"].to_pylist(), p["n"].to_pylist()))
+
+
+def test_shuffle_files_of_a_kept_table_go_at_once(spark, monkeypatch):
+    """The texts are dealt twice: what the first job dealt is gone when the second begins."""
+    left, keep = [], S.C.keep
+    n = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+    def kept(df, *args, **kw):
+        before = n()
+        out = keep(df, *args, **kw)
+        left.append(n() - before)
+        return out
+
+    monkeypatch.setattr(S.C, "keep", kept)
+    S.remove_repeats(spark.createDataFrame(corpus(), "doc_id long, text string"), group_bytes=700, range_keys=50)
+    assert len(left) == 3 and max(left) <= 0
+    assert spark.conf.get(session.FREE, None) is None
