@@ -221,6 +221,31 @@ def test_close_matches_of_a_long_review_compare_few_pairs_one_by_one(monkeypatch
     assert all(m[0] == i for i, m in enumerate(found))
 
 
+def test_close_matches_bound_pairs_before_difflibs_blocks(monkeypatch):
+    """Most pairs with enough letters in common share too few in order: only a token's few best words are matched in blocks."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("aeinorst", k=rng.randint(4, 9))) for _ in range(500)]
+    matched, seen = align._matched, []
+    monkeypatch.setattr(align, "_matched", lambda M: seen.append(len(M)) or matched(M))
+    found = align._matches_for_review(words, words, 3, 0.6)
+    assert sum(seen) < 12 * len(set(words))
+    for t, m in zip(words[:40], found):
+        scores = sorted(((SequenceMatcher(None, w, t).ratio(), i) for i, w in enumerate(words)), reverse=True)
+        assert m == [i for r, i in scores if r >= 0.6][:3]
+
+
+@pytest.mark.parametrize("cells", [1, 200, 10**6])
+def test_close_matches_of_reviews_taken_together(monkeypatch, cells):
+    rng = random.Random(6)
+    text = lambda letters, k: ["".join(rng.choices(letters, k=rng.randint(1, 8))) for _ in range(k)]
+    reviews = [(["[CLS]", *text(letters, 9), *w[:3], "[SEP]"], w) for letters in ("abc", "漢字仮名交", "aé.") for k in (0, 1, 30) for w in [text(letters, k)]]
+    reviews += [([], ["a"]), (["a" * 70, "ab"], ["a" * 69, "", "ab", "ab"])]
+    monkeypatch.setattr(align, "CELLS", cells)
+    want = [[[] if t in ("[CLS]", "[SEP]") else [i for r, i in sorted(((SequenceMatcher(None, w, t).ratio(), i) for i, w in enumerate(ws)), reverse=True) if r >= 0.6][:3]
+             for t in ts] for ts, ws in reviews]
+    assert list(align._matches(reviews, 3, 0.6)) == want
+
+
 def test_pooling_is_hash_aggregation_and_refuses_other_lengths(spark):
     v = spark.createDataFrame([(1, 0, [1.0, 2.0]), (1, 1, [3.0, -2.0]), (2, 0, None)], "review_id long, idx int, embedding array<double>")
     for mode, want in (("cls", [1.0, 2.0]), ("mean", [2.0, 0.0]), ("max", [3.0, 2.0]), ("mean_sqrt_len", [4.0 / 2 ** 0.5, 0.0])):
